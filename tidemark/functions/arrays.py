@@ -46,11 +46,19 @@ def activate(a: Column, name: str) -> Column:
     return F.transform(a, ACTIVATIONS[name])
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row rather than once per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def share_of_total(a: Column) -> Column:
+    """Elements divided by their sum."""
+    return let(a, lambda v: let(array_sum(v), lambda total: F.transform(v, lambda x: x / total)))
+
+
 def softmax(a: Column) -> Column:
     """Softmax of an array, shifted by its maximum so large scores do not overflow."""
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / array_sum(e))
+    return let(a, lambda v: let(F.array_max(v), lambda top: share_of_total(F.transform(v, lambda x: F.exp(x - top)))))
 
 
 def argmax_first(a: Column) -> Column:
@@ -60,9 +68,9 @@ def argmax_first(a: Column) -> Column:
 
 def minmax_sum_normalize(a: Column) -> Column:
     """Scale to [0, 1], then to sum 1."""
-    lo, hi = F.array_min(a), F.array_max(a)
-    scaled = F.transform(a, lambda x: (x - lo) / (hi - lo + F.lit(1e-10)))
-    return F.transform(scaled, lambda x: x / array_sum(scaled))
+    ends = F.struct(F.array_min(a).alias("lo"), F.array_max(a).alias("hi"))
+    scaled = let(ends, lambda e: F.transform(a, lambda x: (x - e["lo"]) / (e["hi"] - e["lo"] + F.lit(1e-10))))
+    return share_of_total(scaled)
 
 
 def max_proba(a: Column) -> Column:
@@ -80,20 +88,16 @@ def top2_margin(a: Column) -> Column:
     return F.element_at(down, 1) - F.element_at(down, 2)
 
 
-def _to_distribution(a: Column) -> Column:
-    return F.transform(a, lambda x: x / array_sum(a))
-
-
 def kl_divergence(p: Column, q: Column) -> Column:
     """KL(p || q) after normalising both to sum 1; terms with p = 0 are 0."""
-    p, q = _to_distribution(p), _to_distribution(q)
+    p, q = share_of_total(p), share_of_total(q)
     term = F.zip_with(p, q, lambda x, y: F.when(x == 0, F.lit(0.0)).when(y == 0, F.lit(float("inf"))).otherwise(x * F.log(x / y)))
     return array_sum(term)
 
 
 def js_divergence(p: Column, q: Column) -> Column:
     """Jensen-Shannon divergence: mean KL of both to their average."""
-    p, q = _to_distribution(p), _to_distribution(q)
+    p, q = share_of_total(p), share_of_total(q)
     mid = F.zip_with(p, q, lambda x, y: (x + y) / 2.0)
     return (kl_divergence(p, mid) + kl_divergence(q, mid)) / 2.0
 

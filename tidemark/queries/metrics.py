@@ -154,7 +154,7 @@ def _(spark, sf):
     return M.imbalance_metrics(doc_scores(spark, sf), ["lang"])
 
 
-@query("ranked_auc", "G6", "L21", sql=with_(DOCS) + """SELECT lang, round((sum(CASE WHEN y_true = 1 THEN r ELSE 0 END) - np * (np + 1) / 2.0) / np / nn, 6) AS auc FROM (
+@query("ranked_auc", "G6", "L21", sql=with_(DOCS) + """SELECT lang, CASE WHEN np = 0 OR nn = 0 THEN 0.0 ELSE round((sum(CASE WHEN y_true = 1 THEN r ELSE 0 END) - np * (np + 1) / 2.0) / np / nn, 6) END AS auc FROM (
   SELECT *, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0 AS r,
     sum(y_true) OVER (PARTITION BY lang) AS np, sum(1 - y_true) OVER (PARTITION BY lang) AS nn FROM sc) GROUP BY lang, np, nn""")
 def _(spark, sf):
@@ -214,7 +214,7 @@ def binary_scores(spark, sf):
   ends AS (SELECT segment, interval, max(seq) AS seq FROM s GROUP BY ALL),
   pre AS (SELECT ends.segment, ends.interval, ends.seq AS upto, s.score, s.y_true, s.y_pred FROM ends JOIN s ON s.segment = ends.segment AND s.seq <= ends.seq),
   m AS (""" + imbalance_sql("pre", "segment, interval, upto") + """),
-  a AS (SELECT segment, interval, (sum(CASE WHEN y_true = 1 THEN r ELSE 0 END) - np * (np + 1) / 2.0) / np / nn AS auc FROM (
+  a AS (SELECT segment, interval, CASE WHEN np = 0 OR nn = 0 THEN 0.0 ELSE (sum(CASE WHEN y_true = 1 THEN r ELSE 0 END) - np * (np + 1) / 2.0) / np / nn END AS auc FROM (
    SELECT *, rank() OVER (PARTITION BY segment, interval ORDER BY score) + (count(*) OVER (PARTITION BY segment, interval, score) - 1) / 2.0 AS r,
     sum(y_true) OVER (PARTITION BY segment, interval) AS np, sum(1 - y_true) OVER (PARTITION BY segment, interval) AS nn FROM pre) GROUP BY segment, interval, np, nn)""") +
     "SELECT m.segment, m.interval, m.upto AS seq, gm, f1, minority_recall, auc FROM m JOIN a ON a.segment = m.segment AND a.interval = m.interval")
