@@ -41,7 +41,7 @@ def running(
     ``measures`` maps output name to (kind, column).  ``order`` is an integer column unique within
     a key; ``exclusive`` leaves the current row out (test-then-train).
     """
-    block = "__block"
+    block = "__run_block"
     raw = {f"__m_{name}": col for name, (_, col) in measures.items()}
     base = df.withColumns({block: F.expr(f"cast(`{order}` as bigint) div {int(span)}"), **raw})
     aggs = []

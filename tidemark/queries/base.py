@@ -161,19 +161,20 @@ def with_(*parts: str) -> str:
 
 
 def fold_sql(
-    *, source: str, key: str, order: str, cols: list[str], state: dict[str, str], steps: list[dict[str, str]],
+    *, source: str, key: str, order: str, cols: list[str], state: dict[str, str], steps: list[dict[str, str]], tag: str = ""
 ) -> str:
     """Recursive SQL that runs a per-key state machine one position at a time.
 
     ``state`` gives initial values; each element of ``steps`` is a layer of named expressions over
     the state and input columns (a name assigned in a layer replaces it in later layers).  The
-    result ``f`` has key, rn, order value and all state columns.
+    result ``f{tag}`` has key, rn (0 is the start row), order value, inputs and all state columns.
     """
     names = list(state)
+    f, src = f"f{tag}", f"src{tag}"
     layer = (
-        f"SELECT f.{key} AS {key}, f.rn + 1 AS rn, s.{order} AS {order}, "
-        + ", ".join([f"s.{c} AS {c}" for c in cols] + [f"f.{n} AS {n}" for n in names])
-        + f" FROM f JOIN src s ON s.{key} = f.{key} AND s.rn = f.rn + 1"
+        f"SELECT {f}.{key} AS {key}, {f}.rn + 1 AS rn, s.{order} AS {order}, "
+        + ", ".join([f"s.{c} AS {c}" for c in cols] + [f"{f}.{n} AS {n}" for n in names])
+        + f" FROM {f} JOIN {src} s ON s.{key} = {f}.{key} AND s.rn = {f}.rn + 1"
     )
     have = [key, "rn", order, *cols, *names]
     for i, exprs in enumerate(steps):
@@ -182,8 +183,24 @@ def fold_sql(
         have = kept + list(exprs)
     out = [key, "rn", order, *cols, *names]
     return (
-        f"src AS (SELECT {key}, {order}, {', '.join(cols)}, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn FROM ({source}) z),\n"
-        f"f AS (SELECT {key}, CAST(0 AS BIGINT) AS rn, min({order}) AS {order}, "
+        f"{src} AS (SELECT {key}, {order}, {', '.join(cols)}, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn FROM ({source}) z),\n"
+        f"{f} AS (SELECT {key}, CAST(0 AS BIGINT) AS rn, min({order}) AS {order}, "
         + ", ".join([f"any_value({c}) AS {c}" for c in cols] + [f"{v} AS {n}" for n, v in state.items()])
-        + f" FROM src GROUP BY {key}\nUNION ALL SELECT {', '.join(out)} FROM ({layer}) step)"
+        + f" FROM {src} GROUP BY {key}\nUNION ALL SELECT {', '.join(out)} FROM ({layer}) step)"
     )
+
+
+def recursive(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with hashed three-class probabilities and a three-class label."""
+    e = events(spark, sf).withColumn("label", (F.col("k") % 3).cast("int"))
+    u = F.array(*[hash_uniform(F.col("event_id"), f"class{i}") for i in range(3)])
+    total = F.get("u", F.lit(0)) + F.get("u", F.lit(1)) + F.get("u", F.lit(2))
+    return e.withColumn("u", u).withColumn("proba", F.array(*[F.get("u", F.lit(i)) / total for i in range(3)])).drop("u")
+
+
+SCORED = f"""scored AS (SELECT *, [u0 / (u0 + u1 + u2), u1 / (u0 + u1 + u2), u2 / (u0 + u1 + u2)] AS proba FROM (
+  SELECT *, CAST(k % 3 AS INT) AS label, {", ".join(f"{uniform_sql('event_id', repr(f'class{i}'))} AS u{i}" for i in range(3))} FROM ev) z)"""
