@@ -24,11 +24,11 @@ def _(spark, sf):
 
 
 @query("query_margin_variable", "Q3", sql=recursive(EV, SCORED, fold_sql(
-  source=f"SELECT user_id, seq, {HALF} AS m FROM scored", key="user_id", order="seq", cols=["m"], state={"theta": "CAST(0.5 AS DOUBLE)", "used": "CAST(0 AS DOUBLE)", "ask": "false"},
+  source=f"SELECT user_id, seq, {HALF} AS m FROM scored", key="user_id", order="seq", cols=["m"], state={"theta": "CAST(0.47 AS DOUBLE)", "used": "CAST(0 AS DOUBLE)", "ask": "false"},
   steps=[{"ask": "m < theta", "used": "theta"}, {"theta": "CASE WHEN ask THEN theta * (1 - 0.01::DOUBLE) ELSE theta * (1 + 0.01::DOUBLE) END"}])) +
   "SELECT user_id, seq, ask AS is_queried, round(used, 6) AS threshold FROM f WHERE rn > 0")
 def _(spark, sf):
-    out = Q.query_keyed(scored(spark, sf), ["user_id"], "seq", Q.MarginVariable(0.5), {"margin": range_margin(F.col("proba"))})
+    out = Q.query_keyed(scored(spark, sf), ["user_id"], "seq", Q.MarginVariable(0.47), {"margin": range_margin(F.col("proba"))})
     return out.withColumn("threshold", F.round("threshold", 6))
 
 
