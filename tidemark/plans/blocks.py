@@ -64,18 +64,19 @@ def map_blocks(
 
 def stream_past(
     rows: DataFrame, side: DataFrame, on: list[str], payload: list[str], fn: Callable[[pd.DataFrame, dict | None], pd.DataFrame],
-    schema: T.StructType, *, salts: int = 1,
+    schema: T.StructType, *, salts: int = 1, order: list[str] | None = None,
 ) -> DataFrame:
     """Feed each block's rows, batch by batch, to ``fn(batch, side_row)``.
 
     ``side`` has one row per block; it is sorted before the block's rows and held while they pass,
     instead of being copied onto each of them.  With ``salts`` > 1 a block's rows are spread over
     that many tasks, each with its own copy of the side row, so a hot block is not one task.
+    ``order`` sorts a block's rows (with one salt).
     """
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if not isinstance(rows.schema[c].dataType, T.MapType)]), F.lit(salts)) if salts > 1 else F.lit(0)
     left = rows.withColumn("__salt", spread.cast("int")).withColumn("__kind", F.lit(1))
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    right = side.select(*on, F.struct(*payload).alias("__side")).withColumn("__salt", copies.cast("int")).withColumn("__kind", F.lit(0))
+    copies = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
+    right = side.select(*on, F.struct(*payload).alias("__side")).withColumn("__salt", copies).withColumn("__kind", F.lit(0))
     # side rows carry filler, never null, in number columns, so batches keep their integer types
     filler = {f.name: F.lit(0).cast(f.dataType) for f in rows.schema if f.name not in on and isinstance(f.dataType, T.NumericType)}
     both = left.withColumn("__side", F.lit(None).cast(right.schema["__side"].dataType)).unionByName(
@@ -101,7 +102,7 @@ def stream_past(
         if out:
             yield pd.concat(out, ignore_index=True)
 
-    return both.repartition(*by).sortWithinPartitions(*by, "__kind").mapInPandas(run, schema)
+    return both.repartition(*by).sortWithinPartitions(*by, "__kind", *(order or [])).mapInPandas(run, schema)
 
 
 def fold_blocks(
