@@ -8,27 +8,24 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.chunks import lagged_prefix, score_join
 from tidemark.plans.scan import running
 
 
-def stat_columns(features: list[str], label: str, classes: list[int], weight: Column | None = None) -> dict[str, Column]:
-    """Additive terms per row, zero for other classes, unlabelled rows and rows with gaps."""
-    usable = F.col(label).isNotNull()
-    for f in features:
-        usable = usable & F.col(f).isNotNull()
-    w = F.lit(1.0) if weight is None else weight.cast("double")
+def stat_columns(features: list[str], label: str, classes: list[int], weight: str = "1.0D") -> dict[str, str]:
+    """Additive terms per row as SQL text, zero for other classes, unlabelled rows and rows with gaps."""
+    usable = " AND ".join(f"`{f}` IS NOT NULL" for f in features)
     cols = {}
     for c in classes:
-        own = usable & (F.col(label) == c)
-        cols[f"n{c}"] = F.when(own, w).otherwise(0.0)
+        own = f"`{label}` = {c} AND {usable}"
+        cols[f"n{c}"] = f"CASE WHEN {own} THEN {weight} ELSE 0.0D END"
         for j, f in enumerate(features):
-            x = F.col(f).cast("double")
-            cols[f"s{c}_{j}"] = F.when(own, w * x).otherwise(0.0)
-            cols[f"q{c}_{j}"] = F.when(own, w * x * x).otherwise(0.0)
+            x = f"cast(`{f}` as double)"
+            cols[f"s{c}_{j}"] = f"CASE WHEN {own} THEN {weight} * {x} ELSE 0.0D END"
+            cols[f"q{c}_{j}"] = f"CASE WHEN {own} THEN {weight} * {x} * {x} ELSE 0.0D END"
     return cols
 
 
@@ -36,58 +33,74 @@ def stat_names(n_features: int, classes: list[int]) -> list[str]:
     return [n for c in classes for n in [f"n{c}", *[f"{k}{c}_{j}" for j in range(n_features) for k in "sq"]]]
 
 
-def nb_stats(df: DataFrame, by: list[str], features: list[str], label: str, classes: list[int], weight: Column | None = None) -> DataFrame:
-    """Sufficient statistics per group; partial sums are combined before the shuffle."""
-    cols = stat_columns(features, label, classes, weight)
-    return df.groupBy(*by).agg(*[F.sum(c).alias(n) for n, c in cols.items()])
+def nb_stats(df: DataFrame, by: list[str], features: list[str], label: str, classes: list[int], weight: str | None = None) -> DataFrame:
+    """Sufficient statistics per group; partial sums are combined before the shuffle.
 
+    ``weight`` is the name of a weight column.
+    """
+    cols = stat_columns(features, label, classes, f"cast(`{weight}` as double)" if weight else "1.0D")
+    return df.groupBy(*by).agg(*[F.expr(f"sum({c}) AS {n}") for n, c in cols.items()])
 
-def score(
-    df: DataFrame, features: list[str], classes: list[int], *, prefix: str = "", pred: str = "y_pred", joint: str | None = None,
-    proba: str | None = None, smoothing: float = 1e-9,
-) -> DataFrame:
-    """Predict from statistics held as columns ``{prefix}n0, {prefix}s0_0, ...`` of the same row.
 
+def parameters(df: DataFrame, n_features: int, classes: list[int], *, smoothing: float = 1e-9) -> DataFrame:
+    """Replace statistics columns by the model they imply: per class a constant ``a``, means ``m``
+    and variances ``v``.
+
+    Done on the model side, before models meet rows, so rows only see a short arithmetic expression.
     Variances get ``smoothing`` times the largest overall feature variance, at least 1e-9.  A class
-    not seen yet has probability 0; ties and an empty model give the lowest class id.
+    not seen yet has constant minus infinity.
     """
-    n = {c: F.col(f"{prefix}n{c}") for c in classes}
-    s = lambda c, j: F.col(f"{prefix}s{c}_{j}")
-    q = lambda c, j: F.col(f"{prefix}q{c}_{j}")
-    total = sum(n.values(), F.lit(0.0))
-    spread = []
-    for j in range(len(features)):
-        mean = sum((s(c, j) for c in classes), F.lit(0.0)) / F.col("__all")
-        spread.append(sum((q(c, j) for c in classes), F.lit(0.0)) / F.col("__all") - mean * mean)
-    widest = F.greatest(*spread) if len(spread) > 1 else spread[0]
-    df = df.withColumn("__all", total)
-    df = df.withColumn("__eps", F.when(F.col("__all") > 0, F.greatest(widest * smoothing, F.lit(1e-9))).otherwise(1e-9))
-    scores = {}
+    plus = lambda terms: "(" + " + ".join(terms) + ")"
+    spread = [
+        f"({plus(f'q{c}_{j}' for c in classes)} / __all - pow({plus(f's{c}_{j}' for c in classes)} / __all, 2))" for j in range(n_features)]
+    widest = f"greatest({', '.join(spread)})" if n_features > 1 else spread[0]
+    stats = set(stat_names(n_features, classes))
+    kept = [f"`{c}`" for c in df.columns if c not in stats]
+    means, finals = [], []
     for c in classes:
-        ll = F.log(n[c] / F.col("__all"))
-        for j, f in enumerate(features):
-            mean = s(c, j) / n[c]
-            var = F.greatest(q(c, j) / n[c] - mean * mean, F.lit(0.0)) + F.col("__eps")
-            x = F.col(f).cast("double")
-            ll = ll - 0.5 * (F.log(F.lit(2 * math.pi) * var) + (x - mean) * (x - mean) / var)
-        scores[f"__ll{c}"] = F.when(n[c] > 0, ll).otherwise(F.lit(float("-inf")))
-    df = df.withColumns(scores)
-    best = F.greatest(*scores) if len(scores) > 1 else F.col("__ll%d" % classes[0])
-    choice = F.when(F.lit(False), F.lit(None))
+        means.append(f"n{c}")
+        logs = []
+        for j in range(n_features):
+            means.append(f"CASE WHEN n{c} > 0 THEN s{c}_{j} / n{c} ELSE 0.0D END AS m{c}_{j}")
+            means.append(f"CASE WHEN n{c} > 0 THEN greatest(q{c}_{j} / n{c} - pow(s{c}_{j} / n{c}, 2), 0.0D) + __eps ELSE 1.0D END AS v{c}_{j}")
+            logs.append(f"ln({2 * math.pi!r}D * v{c}_{j})")
+            finals += [f"m{c}_{j}", f"v{c}_{j}"]
+        finals.append(f"CASE WHEN n{c} > 0 THEN ln(n{c} / __all) - 0.5D * {plus(logs)} ELSE double('-infinity') END AS a{c}")
+    return (
+        df.selectExpr("*", f"{plus(f'n{c}' for c in classes)} AS __all")
+        .selectExpr("*", f"CASE WHEN __all > 0 THEN greatest({widest} * {smoothing!r}D, 1e-9D) ELSE 1e-9D END AS __eps")
+        .selectExpr(*kept, "__all", *means)
+        .selectExpr(*kept, *finals))
+
+
+def parameter_names(n_features: int, classes: list[int]) -> list[str]:
+    return [n for c in classes for n in [f"a{c}", *[f"{k}{c}_{j}" for j in range(n_features) for k in "mv"]]]
+
+
+def apply(df: DataFrame, features: list[str], classes: list[int], *, pred: str = "y_pred", proba: str | None = None) -> DataFrame:
+    """Predict from parameter columns of the same row, which are dropped.
+
+    Ties and an empty model give the lowest class id; a row with a missing feature stays unscored.
+    """
+    params = set(parameter_names(len(features), classes))
+    kept = [f"`{c}`" for c in df.columns if c not in params]
+    lls = []
     for c in classes:
-        choice = choice.when(F.col(f"__ll{c}") == F.col("__best"), F.lit(c))
-    gaps = F.lit(False)
-    for f in features:
-        gaps = gaps | F.col(f).isNull()
-    df = df.withColumn("__best", best).withColumn(pred, F.when(gaps, F.lit(None)).otherwise(F.coalesce(choice, F.lit(classes[0]))).cast("int"))
-    if joint:
-        df = df.withColumn(joint, F.array(*[F.col(c) for c in scores]))
+        gaps = [f"pow(cast(`{f}` as double) - m{c}_{j}, 2) / v{c}_{j}" for j, f in enumerate(features)]
+        lls.append(f"coalesce(a{c}, double('-infinity')) - 0.5D * ({' + '.join(gaps)}) AS __ll{c}")
+    names = [f"__ll{c}" for c in classes]
+    best = f"greatest({', '.join(names)})" if len(names) > 1 else names[0]
+    choice = " ".join(f"WHEN __ll{c} = __best THEN {c}" for c in classes)
+    gap = " OR ".join(f"`{f}` IS NULL" for f in features)
+    out = [f"cast(CASE WHEN {gap} THEN NULL {choice} ELSE {classes[0]} END as int) AS `{pred}`"]
+    if proba:
+        shifted = ", ".join(f"CASE WHEN __best = double('-infinity') THEN 1.0D ELSE exp(__ll{c} - __best) END" for c in classes)
+        out.append(f"array({shifted}) AS __e")
+    done = df.selectExpr(*kept, *lls).selectExpr("*", f"{best} AS __best").selectExpr(*kept, *out)
     if proba:
-        e = [F.when(F.col("__best") == float("-inf"), F.lit(1.0)).otherwise(F.exp(F.col(c) - F.col("__best"))) for c in scores]
-        df = df.withColumns({f"__e{c}": x for c, x in zip(classes, e)})
-        z = sum((F.col(f"__e{c}") for c in classes), F.lit(0.0))
-        df = df.withColumn(proba, F.array(*[F.col(f"__e{c}") / z for c in classes])).drop(*[f"__e{c}" for c in classes])
-    return df.drop("__all", "__eps", "__best", *scores)
+        total = " + ".join(f"__e[{i}]" for i in range(len(classes)))
+        done = done.selectExpr(*kept, f"`{pred}`", f"transform(__e, x -> x / ({total})) AS `{proba}`")
+    return done
 
 
 def prequential_nb(
@@ -96,27 +109,25 @@ def prequential_nb(
 ) -> DataFrame:
     """Exact per-row test-then-train: each row is scored by the statistics of strictly earlier rows."""
     cols = stat_columns(features, label, classes)
-    names = list(cols)
     run = running(df, keys, order, {n: ("sum", c) for n, c in cols.items()}, exclusive=True, span=span)
-    return score(run, features, classes, proba=proba).drop(*names)
+    return apply(parameters(run, len(features), classes), features, classes, proba=proba)
 
 
 def chunked_nb(
     df: DataFrame, keys: list[str], chunk: str, features: list[str], label: str, classes: list[int], *,
-    weight: Column | None = None, proba: str | None = None, warm: DataFrame | None = None,
+    weight: str | None = None, proba: str | None = None,
 ) -> DataFrame:
     """Chunk t is scored by the model of all chunks before it (lagged model join)."""
     stats = nb_stats(df, [*keys, chunk], features, label, classes, weight)
-    names = stat_names(len(features), classes)
-    models = lagged_prefix(stats, keys, chunk, names)
-    return score(score_join(df, models, [*keys, chunk]), features, classes, proba=proba).drop(*names)
+    sums = lagged_prefix(stats, keys, chunk, stat_names(len(features), classes))
+    return apply(score_join(df, parameters(sums, len(features), classes), [*keys, chunk]), features, classes, proba=proba)
 
 
-def fit_nb(df: DataFrame, features: list[str], label: str, classes: list[int], weight: Column | None = None) -> dict[str, float]:
-    """One model of the whole table: classes x features numbers on the driver."""
-    return nb_stats(df, [], features, label, classes, weight).first().asDict()
+def fit_nb(df: DataFrame, features: list[str], label: str, classes: list[int], weight: str | None = None) -> dict[str, float]:
+    """One model of the whole table: a few numbers per class and feature, on the driver."""
+    return parameters(nb_stats(df, [], features, label, classes, weight), len(features), classes).first().asDict()
 
 
 def predict_nb(df: DataFrame, model: dict[str, float], features: list[str], classes: list[int], *, pred: str = "y_pred", proba: str | None = None) -> DataFrame:
-    tagged = df.withColumns({f"__nb_{n}": F.lit(float(v or 0.0)) for n, v in model.items()})
-    return score(tagged, features, classes, prefix="__nb_", pred=pred, proba=proba).drop(*[f"__nb_{n}" for n in model])
+    fixed = [f"double('{float(v)!r}') AS `{n}`" for n, v in model.items()]
+    return apply(df.selectExpr("*", *fixed), features, classes, pred=pred, proba=proba)

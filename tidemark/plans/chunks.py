@@ -13,9 +13,7 @@ BROADCAST_BYTES = 64 << 20
 
 def lagged_prefix(stats: DataFrame, keys: list[str], chunk: str, names: list[str], *, span: int = 100_000) -> DataFrame:
     """Sums of all strictly earlier chunks for each chunk present in ``stats``."""
-    renamed = stats.withColumnsRenamed({n: f"__in_{n}" for n in names})
-    run = running(renamed, keys, chunk, {n: ("sum", F.col(f"__in_{n}")) for n in names}, exclusive=True, span=span)
-    return run.select(*keys, chunk, *names)
+    return running(stats, keys, chunk, {n: ("sum", f"`{n}`") for n in names}, exclusive=True, span=span).select(*keys, chunk, *names)
 
 
 def latest_before(rows: DataFrame, models: DataFrame, keys: list[str], at: str, names: list[str], *, span: int = 100_000) -> DataFrame:

@@ -3,7 +3,8 @@
 ``Window.partitionBy(key).orderBy(seq)`` sends a key holding a third of the table to one task.
 Here each key is cut into blocks of ``span`` consecutive order values: block totals are combined
 map-side, the prefix over block totals runs on one small row per block, and the row-level window
-is partitioned by (key, block), so no task ever sees more than ``span`` rows of one key.
+is partitioned by (key, block), so no task ever sees more than ``span`` rows of one key.  Plans are
+built from SQL text, which keeps planning quick when there are hundreds of measures.
 """
 
 from __future__ import annotations
@@ -15,76 +16,61 @@ from tidemark.session import materialize
 
 DEFAULT_SPAN = 1_000_000
 
-_AGG = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
-
-
-def _combine(kind: str, before: Column, local: Column) -> Column:
-    if kind == "sum":
-        return F.coalesce(before, F.lit(0)) + F.coalesce(local, F.lit(0))
-    if kind == "last":
-        return F.coalesce(local, before)
-    pick = F.least if kind == "min" else F.greatest
-    return F.when(before.isNull(), local).when(local.isNull(), before).otherwise(pick(before, local))
+_AGG = {"sum": "sum({})", "min": "min({})", "max": "max({})", "last": "last({}, true)"}
 
 
 def running(
     df: DataFrame,
     keys: list[str],
     order: str,
-    measures: dict[str, tuple[str, Column]],
+    measures: dict[str, tuple[str, Column | str]],
     *,
     exclusive: bool = False,
     span: int = DEFAULT_SPAN,
 ) -> DataFrame:
     """Add running ``sum`` / ``min`` / ``max`` / ``last`` columns in ``order`` within ``keys``.
 
-    ``measures`` maps output name to (kind, column).  ``order`` is an integer column unique within
-    a key; ``exclusive`` leaves the current row out (test-then-train).
+    ``measures`` maps output name to (kind, column or SQL text).  ``order`` is a non-null integer
+    column unique within a key; ``exclusive`` leaves the current row out (test-then-train).
+
+    The prefix of a block enters its window as one extra row sorted first, so rows are shuffled once
+    and never joined.
     """
-    block = "__run_block"
-    raw = {f"__m_{name}": col for name, (_, col) in measures.items()}
-    base = df.withColumns({block: F.expr(f"cast(`{order}` as bigint) div {int(span)}"), **raw})
+    columns = df.columns
+    block = f"cast(`{order}` as bigint) div {int(span)} AS __run_block"
+    if all(isinstance(c, str) for _, c in measures.values()):
+        base = df.selectExpr("*", block, *[f"{c} AS `__m_{n}`" for n, (_, c) in measures.items()])
+    else:
+        cols = {f"__m_{n}": F.expr(c) if isinstance(c, str) else c for n, (_, c) in measures.items()}
+        base = df.withColumns({"__run_block": F.expr(block.removesuffix(" AS __run_block")), **cols})
+    by = ", ".join(f"`{k}`" for k in keys)
     aggs = []
-    for name, (kind, _) in measures.items():
+    for n, (kind, _) in measures.items():
         if kind == "last":
-            picked = F.max_by(f"__m_{name}", F.when(F.col(f"__m_{name}").isNotNull(), F.col(order)))
-            aggs.append(picked.alias(f"__t_{name}"))
+            aggs.append(F.expr(f"max_by(`__m_{n}`, CASE WHEN `__m_{n}` IS NOT NULL THEN `{order}` END) AS `__m_{n}`"))
         else:
-            aggs.append(_AGG[kind](f"__m_{name}").alias(f"__t_{name}"))
-    totals = base.groupBy(*keys, block).agg(*aggs)
-    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
-        block,
-        *[_AGG[kind](f"__t_{name}").over(earlier).alias(f"__o_{name}") for name, (kind, _) in measures.items()],
-    )
+            aggs.append(F.expr(f"{_AGG[kind].format(f'`__m_{n}`')} AS `__m_{n}`"))
+    totals = base.groupBy(*keys, "__run_block").agg(*aggs)
+    earlier = f"OVER (PARTITION BY {by or '0'} ORDER BY __run_block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    offsets = totals.selectExpr(
+        *[f"`{k}`" for k in keys], "__run_block", "false AS __is_row",
+        *[f"{_AGG[kind].format(f'`__m_{n}`')} {earlier} AS `__m_{n}`" for n, (kind, _) in measures.items()])
+    both = base.selectExpr("*", "true AS __is_row").unionByName(offsets, allowMissingColumns=True)
+    within = ", ".join(x for x in (by, "__run_block") if x)
     frame = (
-        Window.partitionBy(*keys, block)
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
-    )
-    local = base.withColumns({f"__l_{n}": _AGG[kind](f"__m_{n}").over(frame) for n, (kind, _) in measures.items()})
-    # a null key is a key too: join on null-safe equality
-    right = offsets.select(
-        *[F.col(c).alias(f"__k_{c}") for c in [*keys, block]], *[f"__o_{n}" for n in measures]
-    )
-    cond = F.lit(True)
-    for c in keys:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-    cond = cond & (F.col(block) == F.col(f"__k_{block}"))
-    joined = local.join(right, cond, "left")
-    done = joined.withColumns(
-        {n: _combine(kind, F.col(f"__o_{n}"), F.col(f"__l_{n}")) for n, (kind, _) in measures.items()}
-    )
-    drop = [block, f"__k_{block}", *[f"__k_{c}" for c in keys]]
-    for n in measures:
-        drop += [f"__m_{n}", f"__l_{n}", f"__o_{n}"]
-    return done.drop(*drop)
+        f"OVER (PARTITION BY {within} ORDER BY __is_row, `{order}` ROWS BETWEEN UNBOUNDED PRECEDING AND "
+        + ("1 PRECEDING)" if exclusive else "CURRENT ROW)"))
+    outs = []
+    for n, (kind, _) in measures.items():
+        value = f"{_AGG[kind].format(f'`__m_{n}`')} {frame}"
+        outs.append(f"{f'coalesce({value}, 0)' if kind == 'sum' else value} AS `{n}`")
+    kept = [f"`{c}`" for c in columns if c not in measures]
+    return both.selectExpr(*kept, "__is_row", *outs).filter("__is_row").drop("__is_row")
 
 
 def with_seq(df: DataFrame, keys: list[str], order: str, *, name: str = "seq", span: int = DEFAULT_SPAN) -> DataFrame:
     """Dense 1-based position of each row within its key, by block counts."""
-    return running(df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))}, span=span)
+    return running(df, keys, order, {name: ("sum", "1L")}, span=span)
 
 
 def with_global_seq(

@@ -34,7 +34,7 @@ def _(spark, sf):
 
 @query("nb_stats_weighted", "G11", "M13", sql=with_(LI) + f"SELECT l_returnflag, {nb_stats_sql(LF, C3, 'label', '()', 'tax').replace(' OVER ()', '')} FROM li GROUP BY l_returnflag")
 def _(spark, sf):
-    return NB.nb_stats(lines(spark, sf), ["l_returnflag"], LF, "label", C3, weight=F.col("tax"))
+    return NB.nb_stats(lines(spark, sf), ["l_returnflag"], LF, "label", C3, weight="tax")
 
 
 @query("chunked_nb", "L1", "J3", "R1", sql=month_nb_sql() + "SELECT rid, label AS y_true, y_pred FROM sc")
