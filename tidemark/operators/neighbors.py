@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.arrays import squared_distance
-from tidemark.plans.blocks import _pieces, map_blocks
+from tidemark.plans.blocks import map_blocks, tile_stream
 from tidemark.plans.scan import with_halo
 
 TILE = 2048
@@ -38,73 +38,34 @@ def knn_join(
     block are cut into tiles of about ``tile`` rows, one task each; a block's references stream past
     a tile in batches, so a hot block uses many tasks and bounded memory and stays exact.
     """
-    tiles = query.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("__tiles"))
-    q = query.select(*by, F.col(query_id).cast("bigint").alias("__id"), F.col(features).alias("__x")).join(tiles, by)
-    q = q.withColumn("__tile", F.pmod(F.xxhash64("__id"), F.col("__tiles")).cast("int")).withColumn("__kind", F.lit(0))
-    r = ref.select(*by, F.col(ref_id).cast("bigint").alias("__id"), F.col(features).alias("__x")).join(tiles, by)
-    r = r.withColumn("__tile", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1))).withColumn("__kind", F.lit(1))
-    both = q.unionByName(r).drop("__tiles")
-    keys = [*by, "__tile"]
-    out = T.StructType([query.schema[c] for c in by] + [
+    side = lambda df, ident: df.select(*by, F.col(ident).cast("bigint").alias("__id"), F.col(features).alias("__x"))
+    schema = T.StructType([query.schema[c] for c in by] + [
         T.StructField(query_id, T.LongType()), T.StructField("neighbor", T.LongType()),
         T.StructField("distance", T.DoubleType()), T.StructField("rank", T.IntegerType())])
 
-    def run(frames):
-        key, ids, xs, best_d, best_i = None, [], [], None, None
-        done = []
-
-        def flush():
-            if key is None or best_d is None:
-                return None
-            order = np.lexsort((best_i, best_d), axis=1)
-            d, i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-            found = np.isfinite(d)
-            rows, cols = np.nonzero(found)
-            frame = {c: [v] * len(rows) for c, v in zip(by, key)}
-            q_ids = np.concatenate(ids)
-            frame[query_id] = q_ids[rows]
-            frame["neighbor"] = i[rows, cols]
-            frame["distance"] = np.sqrt(d[rows, cols])
-            frame["rank"] = (cols + 1).astype(np.int32)
-            return pd.DataFrame(frame)
-
-        for kk, part in _pieces(frames, keys):
-            if kk != key:
-                last = flush()
-                if last is not None and len(last):
-                    done.append(last)
-                if sum(len(x) for x in done) >= 10_000:
-                    yield pd.concat(done, ignore_index=True)
-                    done = []
-                key, ids, xs, best_d, best_i = kk, [], [], None, None
-            kinds = part["__kind"].to_numpy()
-            if (kinds == 0).any():
-                mine = part[kinds == 0]
-                ids.append(mine["__id"].to_numpy())
-                xs.append(np.stack(mine["__x"].to_numpy()))
-            refs = part[kinds == 1]
-            if len(refs) and ids:
-                if best_d is None:
-                    xs = [np.concatenate(xs)]
-                    best_d = np.full((len(xs[0]), k), np.inf)
-                    best_i = np.full((len(xs[0]), k), np.iinfo(np.int64).max)
-                r_ids = refs["__id"].to_numpy()
-                r_x = np.stack(refs["__x"].to_numpy())
-                for lo in range(0, len(r_ids), 1024):
-                    d = _distances(xs[0], r_x[lo : lo + 1024])
-                    near = np.broadcast_to(r_ids[lo : lo + 1024], d.shape)
-                    if exclude_self:
-                        d = np.where(near == np.concatenate(ids)[:, None], np.inf, d)
-                    all_d, all_i = np.concatenate([best_d, d], 1), np.concatenate([best_i, near], 1)
-                    order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
-        last = flush()
-        if last is not None and len(last):
-            done.append(last)
-        if done:
-            yield pd.concat(done, ignore_index=True)
-
-    return both.repartition(*keys).sortWithinPartitions(*keys, "__kind", "__id").mapInPandas(run, out)
+    def begin(q):
+        return np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+
+    def update(acc, q, r):
+        ids = r["__id"].to_numpy()
+        d = _distances(np.stack(q["__x"].to_numpy()), np.stack(r["__x"].to_numpy()))
+        near = np.broadcast_to(ids, d.shape)
+        if exclude_self:
+            d = np.where(near == q["__id"].to_numpy()[:, None], np.inf, d)
+        d, near = np.concatenate([acc[0], d], 1), np.concatenate([acc[1], near], 1)
+        order = np.lexsort((near, d), axis=1)[:, :k]
+        return np.take_along_axis(d, order, 1), np.take_along_axis(near, order, 1)
+
+    def finish(acc, q):
+        rows, cols = np.nonzero(np.isfinite(acc[0]))
+        out = q.iloc[rows][by].reset_index(drop=True) if by else pd.DataFrame(index=range(len(rows)))
+        out[query_id] = q["__id"].to_numpy()[rows]
+        out["neighbor"] = acc[1][rows, cols]
+        out["distance"] = np.sqrt(acc[0][rows, cols])
+        out["rank"] = (cols + 1).astype(np.int32)
+        return out
+
+    return tile_stream(side(query, query_id), side(ref, ref_id), by, "__id", begin, update, finish, schema, tile=tile)
 
 
 def window_knn_regress(

@@ -133,6 +133,62 @@ def fold_blocks(
     return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
+def tile_stream(
+    query: DataFrame, ref: DataFrame, by: list[str], order: str, begin: Callable, update: Callable, finish: Callable, schema: T.StructType, *,
+    tile: int = 2048,
+) -> DataFrame:
+    """Compare every query row with every reference row of its block, keeping only an accumulator.
+
+    A block's queries are cut into tiles of about ``tile`` rows, one task each, and its references
+    stream past each tile in batches: exact, with bounded memory, and a hot block uses many tasks.
+    ``begin(queries) -> acc``, ``update(acc, queries, references) -> acc``,
+    ``finish(acc, queries) -> frame``.  Both sides have the same columns.
+    """
+    keys = by or ["__one"]
+    if not by:
+        query, ref = query.withColumn("__one", F.lit(0)), ref.withColumn("__one", F.lit(0))
+    tiles = query.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("__tiles"))
+    q = query.join(tiles, keys)
+    q = q.withColumn("__tile", F.pmod(F.xxhash64(order), F.col("__tiles")).cast("int")).withColumn("__kind", F.lit(0))
+    r = ref.join(tiles, keys)
+    r = r.withColumn("__tile", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1))).withColumn("__kind", F.lit(1))
+    both = q.unionByName(r).drop("__tiles")
+    spots = [*keys, "__tile"]
+
+    def run(frames):
+        key, parts, queries, acc, done = None, [], None, None, []
+
+        def close():
+            if key is not None and parts:
+                whole = pd.concat(parts, ignore_index=True) if queries is None else queries
+                out = finish(begin(whole) if acc is None else acc, whole)
+                if len(out):
+                    done.append(out)
+
+        for k, part in _pieces(frames, spots):
+            if k != key:
+                close()
+                if sum(len(d) for d in done) >= 10_000:
+                    yield pd.concat(done, ignore_index=True)
+                    done.clear()
+                key, parts, queries, acc = k, [], None, None
+            kind = part["__kind"].to_numpy()
+            if (kind == 0).any():
+                parts.append(part[kind == 0])
+            refs = part[kind == 1]
+            if len(refs) and parts:
+                if queries is None:
+                    queries = pd.concat(parts, ignore_index=True)
+                    acc = begin(queries)
+                for lo in range(0, len(refs), 1024):
+                    acc = update(acc, queries, refs.iloc[lo : lo + 1024])
+        close()
+        if done:
+            yield pd.concat(done, ignore_index=True)
+
+    return both.repartition(*spots).sortWithinPartitions(*spots, "__kind", order).mapInPandas(run, schema)
+
+
 def sum_arrays(df: DataFrame, by: list[str], arrays: list[str], scalars: list[str], *, salts: int = 1) -> DataFrame:
     """Elementwise sums of fixed-length array columns, combined map-side in the JVM."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
