@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import let
+
 
 def hash_uniform(ident: Column, salt) -> Column:
     """Uniform draw in [0, 1) from the first 32 bits of md5(ident ':' salt)."""
@@ -39,5 +41,4 @@ def hash_poisson(ident: Column, salt, lam: float) -> Column:
     if lam <= 0:
         return F.lit(0)
     table = F.array(*[F.lit(p) for p in poisson_cdf(lam, tail=1e-10)])
-    u = hash_uniform(ident, salt)
-    return F.size(F.filter(table, lambda p: p <= u)).cast("int")
+    return let(hash_uniform(ident, salt), lambda u: F.size(F.filter(table, lambda p: p <= u)).cast("int"))
