@@ -1,14 +1,18 @@
-"""Whole runs: test-then-train over chunks, with or without label selection, and experiment grids."""
+"""Whole runs: test-then-train over chunks, with label selection, and experiment grids."""
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics
-from tidemark.session import materialize
+from tidemark.operators import naive_bayes as nb
+from tidemark.operators.broad import BroadLearner
+from tidemark.plans.blocks import sum_arrays
+from tidemark.session import scratch_path
 
 
 def experiment_grid(df: DataFrame, cells: list[dict]) -> DataFrame:
@@ -19,3 +23,139 @@ def experiment_grid(df: DataFrame, cells: list[dict]) -> DataFrame:
     structs = [F.struct(*[F.lit(v).alias(k) for k, v in cell.items()]) for cell in cells]
     spread = df.withColumn("__cell", F.explode(F.array(*structs)))
     return spread.select(*df.columns, *[F.col(f"__cell.{k}").alias(k) for k in cells[0]])
+
+
+@dataclasses.dataclass
+class BayesModel:
+    """Naive Bayes kept as sums on the driver: classes x features numbers."""
+
+    features: list[str]
+    label: str
+    classes: list[int]
+    sums: dict | None = None
+
+    def score(self, df: DataFrame) -> DataFrame:
+        names = nb.stat_names(len(self.features), self.classes)
+        sums = self.sums or dict.fromkeys(names, 0.0)
+        spark = df.sparkSession
+        one = spark.createDataFrame([[float(sums[n]) for n in names]], ", ".join(f"{n} double" for n in names))
+        params = nb.parameters(one, len(self.features), self.classes).first().asDict()
+        return nb.predict_nb(df, params, self.features, self.classes, proba="proba")
+
+    def learn(self, rows: DataFrame) -> "BayesModel":
+        row = nb.nb_stats(rows, [], self.features, self.label, self.classes).first().asDict()
+        old = self.sums or dict.fromkeys(row, 0.0)
+        return dataclasses.replace(self, sums={k: old[k] + (v or 0.0) for k, v in row.items()})
+
+
+@dataclasses.dataclass
+class BroadModel:
+    """Random-feature ridge kept as its two sums on the driver (nodes x nodes numbers); rows that were
+    not asked still reach it, unlabelled."""
+
+    learner: BroadLearner
+    features: str
+    label: str
+    chunk: str
+    gram: np.ndarray | None = None
+    xty: np.ndarray | None = None
+    salts: int = 8
+
+    def score(self, df: DataFrame) -> DataFrame:
+        d, c = self.learner.nodes.width, self.learner.n_classes
+        w = np.zeros((d, c)) if self.gram is None else self.learner.solve(self.gram, self.xty)
+        from pyspark.sql import types as T
+
+        schema = T.StructType([*df.schema.fields, T.StructField("y_pred", T.IntegerType()), T.StructField("proba", T.ArrayType(T.DoubleType()))])
+        nodes, feat, chunk = self.learner.nodes, self.features, self.chunk
+
+        def run(frames):
+            for f in frames:
+                if len(f):
+                    logit = nodes(np.stack(f[feat].to_numpy()).astype(float), f[chunk].to_numpy()) @ w
+                    e = np.exp(logit - logit.max(axis=1, keepdims=True))
+                    yield f.assign(y_pred=logit.argmax(axis=1).astype(np.int32), proba=list(e / e.sum(axis=1, keepdims=True)))
+
+        return df.mapInPandas(run, schema)
+
+    def learn(self, rows: DataFrame) -> "BroadModel":
+        d, c = self.learner.nodes.width, self.learner.n_classes
+        stats = self.learner.stats(rows, [], self.chunk, self.features, self.label, self.salts).withColumn("__all", F.lit(0))
+        total = sum_arrays(stats, ["__all"], ["gram", "xty"], ["n"]).first()
+        if total is None:
+            return self
+        gram, xty = np.array(total["gram"]).reshape(d, d), np.array(total["xty"]).reshape(d, c)
+        old = (0.0, 0.0) if self.gram is None else (self.gram, self.xty)
+        return dataclasses.replace(self, gram=old[0] + gram, xty=old[1] + xty)
+
+
+def prequential_active(
+    df: DataFrame, model, chunk: str, label: str, selector: Callable[[DataFrame], DataFrame], *, warm_chunks: int = 1, semi: bool = False,
+    budget: float | None = None, order: str = "seq",
+) -> DataFrame:
+    """Score a chunk, choose the rows to label, learn from them, go on.
+
+    The choice depends on the model and the model on the choice, so chunks run one after the other; inside
+    a chunk everything is parallel.  Each scored chunk is a written table, and only the model's sums
+    pass through the driver.  ``selector`` adds ``is_queried``; with ``semi`` rows that were not asked
+    are learned without their label.  ``budget`` limits the share of labelled rows so far: a chunk
+    that would exceed it keeps its first wanted rows in ``order``.
+    """
+    spark = df.sparkSession
+    root = scratch_path(spark, "active-run")
+    chunks = [r[0] for r in df.select(chunk).distinct().orderBy(chunk).collect()]
+    seen = asked = 0
+    done = []
+    for i, c in enumerate(chunks):
+        now = df.filter(F.col(chunk) == F.lit(c))
+        if i < warm_chunks:
+            model = model.learn(now)
+            continue
+        chosen = selector(model.score(now))
+        path = f"{root}/chunk-{i}"
+        if budget is not None:
+            chosen.write.parquet(f"{path}-wanted")
+            wanted = spark.read.parquet(f"{path}-wanted")
+            total = wanted.agg(F.count("*")).first()[0]
+            allowed = max(int(budget * (seen + total)) - asked, 0)
+            kept = wanted.filter("is_queried").orderBy(order).limit(allowed).select(order)
+            chosen = wanted.drop("is_queried").join(kept.withColumn("is_queried", F.lit(True)), order, "left").withColumn(
+                "is_queried", F.coalesce("is_queried", F.lit(False)))
+        chosen.write.parquet(path)
+        done.append(path)
+        scored = spark.read.parquet(path)
+        if semi:
+            model = model.learn(scored.withColumn(label, F.when(F.col("is_queried"), F.col(label))))
+        else:
+            model = model.learn(scored.filter("is_queried"))
+        counts = scored.agg(F.count("*").alias("n"), F.count_if("is_queried").alias("q")).first()
+        seen, asked = seen + counts["n"], asked + counts["q"]
+    if not done:
+        raise ValueError("no chunk is left after the warm-up")
+    return spark.read.parquet(*done)
+
+
+def annotation_rate(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Share of rows whose label was asked."""
+    return scored.groupBy(*by).agg(F.avg(F.col("is_queried").cast("int")).alias("annotation_rate"))
+
+
+def replay_refit(
+    labelled: DataFrame, keys: list[str], order: str, features: list[str], label: str, classes: list[int], *, capacity: int = 100,
+    proba: str | None = None, residual: float = 0.3,
+) -> DataFrame:
+    """Naive Bayes sums over the newest ``capacity`` labelled rows per key.
+
+    With ``proba`` only keys whose newest row was predicted well - the distance between its normalised
+    probabilities and its one-hot label is at most ``residual`` - are refitted.
+    """
+    from tidemark.functions.arrays import minmax_sum_normalize, one_hot
+    from tidemark.operators.select import recent_per_class
+
+    newest = recent_per_class(labelled.withColumn("__all", F.lit(0)), keys, "__all", order, capacity)
+    if proba:
+        gap: Column = F.sqrt(F.aggregate(
+            F.zip_with(minmax_sum_normalize(F.col(proba)), one_hot(F.col(label), len(classes)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
+        good = newest.filter(F.col("age") == 1).withColumn("__gap", gap).filter(F.col("__gap") <= residual).select(*keys)
+        newest = newest.join(good, keys, "left_semi")
+    return nb.nb_stats(newest, keys, features, label, classes)
