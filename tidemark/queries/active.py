@@ -75,9 +75,15 @@ def _(spark, sf):
 AF = ["cents", "k"]
 
 
+def _in_chunks(e, n):
+    """``n`` chunks of equal length over the whole stream."""
+    size = -(-e.count() // n)
+    return e.withColumn("chunk_id", F.expr(f"(seq - 1) div {size}"))
+
+
 @query("prequential_active", "R2", "Q2")
 def _(spark, sf):
-    e = events(spark, sf).withColumn("chunk_id", F.expr("(seq - 1) div 1000"))
+    e = _in_chunks(events(spark, sf), 10)
     model = BayesModel(AF, "y_sudden", [0, 1])
     run = prequential_active(e, model, "chunk_id", "y_sudden", lambda d: Q.query_margin_fixed(d, "proba", 0.5))
     return run.groupBy("chunk_id").agg(F.count("*").alias("n"), F.count_if("is_queried").alias("asked"),
@@ -86,7 +92,7 @@ def _(spark, sf):
 
 @query("prequential_active_topk", "R2", "T1", "Q10")
 def _(spark, sf):
-    e = events(spark, sf).withColumn("chunk_id", F.expr("(seq - 1) div 2500"))
+    e = _in_chunks(events(spark, sf), 4)
 
     def least_sure(d):
         ranked = Q.query_topk_per_chunk(d.withColumn("m", range_margin(F.col("proba"))), ["chunk_id"], "m", "seq", 200).select("seq", F.lit(True).alias("is_queried"))

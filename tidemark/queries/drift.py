@@ -43,7 +43,7 @@ def inject_sql(config: IN.DriftConfig, chunk: int = 100, stats: str = "table") -
         out.append(
             f"round(CASE WHEN sev > 0 AND p{i} <= cut THEN CASE WHEN {b} < {st.noise_share} THEN {f} + {z} * sev * {st.noise} "
             f"WHEN {b} < {st.noise_share + st.offset_share} THEN CASE WHEN d{i} > 0 THEN {f} + sev * d{i} * {st.offset} ELSE {f} END "
-            f"ELSE CASE WHEN d{i} > 0 THEN ({f} - m{i}) * (1 + sev * {st.scale}) + m{i} ELSE {f} END END ELSE {f} END, 4) AS {f}")
+            f"ELSE CASE WHEN d{i} > 0 THEN ({f} - m{i}) * (1 + sev * {st.scale}) + m{i} ELSE {f} END END ELSE {f} END, 6) AS {f}")
     flip = f"sev * {st.flip}"
     return with_(EV, f"b AS (SELECT *, count(*) OVER () AS n_rows, {idx} // {chunk} AS chunk, {mom} FROM ev)",
                  f"c AS (SELECT *, {sev} AS sev, {picks}, {least} + CAST(floor({uniform_sql('chunk', repr('42:count'))} * {most - least + 1}) AS INT) AS cnt FROM b)",
@@ -54,7 +54,7 @@ def inject_sql(config: IN.DriftConfig, chunk: int = 100, stats: str = "table") -
 def injected(spark, sf, config, stats="table"):
     e = events(spark, sf)
     out = IN.inject_drift(e, config, features=DF, label="y", seq="seq", stats=stats)
-    return out.select("event_id", *[F.round(f, 4).alias(f) for f in DF], F.round("severity", 8).alias("severity"), "y")
+    return out.select("event_id", *[F.round(f, 6).alias(f) for f in DF], F.round("severity", 8).alias("severity"), "y")
 
 
 CONFIGS = {
@@ -122,7 +122,7 @@ def _(spark, sf):
 
 
 JUMPS = """ch AS (SELECT a.window_id, a.feature_mean - b.feature_mean AS mean_change, a.accuracy - b.accuracy AS accuracy_change FROM prof a JOIN prof b ON a.window_id = b.window_id + 1),
- j AS (SELECT *, abs(mean_change) > 2 * (SELECT stddev_pop(mean_change) FROM ch) AS mean_jump, accuracy_change < -0.1 AS accuracy_drop FROM ch)"""
+ j AS (SELECT *, (SELECT count(*) FROM ch) >= 2 AND abs(mean_change) > 2 * (SELECT stddev_pop(mean_change) FROM ch) AS mean_jump, (SELECT count(*) FROM ch) >= 2 AND accuracy_change < -0.1 AS accuracy_drop FROM ch)"""
 
 
 @query("window_jumps", "W5", sql=with_(EV, PROFILE, JUMPS) + "SELECT window_id, round(mean_change, 6) AS mean_change, mean_jump, round(accuracy_change, 6) AS accuracy_change, accuracy_drop FROM j")
