@@ -33,10 +33,10 @@ class BatchDensities:
         not of rows; it is checked before anything is brought to the driver."""
         models = mvn_oas(df, [batch], features)
         p = len(features)
-        n = models.count()
-        if n * (p * p + p) * 8 > MODEL_BYTES:
-            raise ValueError(f"{n} batches of {p} features are too many models; use coarser batches")
-        rows = models.orderBy(batch).collect()
+        most = MODEL_BYTES // ((p * p + p) * 8)
+        rows = sorted(models.limit(most + 1).collect(), key=lambda r: r[batch])
+        if len(rows) > most:
+            raise ValueError(f"more than {most} batches of {p} features; use coarser batches")
         means = np.array([r["mean"] for r in rows])
         covs = np.array([r["cov"] for r in rows]).reshape(-1, p, p) + ridge * np.eye(p)
         return cls(list(features), np.array([r[batch] for r in rows]), means, np.linalg.inv(covs), np.linalg.slogdet(covs)[1])

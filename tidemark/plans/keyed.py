@@ -42,13 +42,7 @@ class Machine:
 
 def _runner(machine: Machine, keys: list[str], order: str, keep: list[str], slice_rows: int | None):
     names = [n for n, _ in machine.outputs]
-
-    def same_key(frame: pd.DataFrame) -> np.ndarray:
-        change = np.zeros(len(frame), dtype=bool)
-        for k in keys:
-            col = frame[k]
-            change[1:] |= (col.values[1:] != col.values[:-1]) & ~(col.isna().values[1:] & col.isna().values[:-1])
-        return change
+    carried_over = [*keys, order, *keep]
 
     def run(batches):
         current, state, seen = None, None, 0
@@ -56,52 +50,63 @@ def _runner(machine: Machine, keys: list[str], order: str, keep: list[str], slic
         def closing():
             # a key can only continue in the next slice if this slice was full
             if slice_rows is None or current is None or seen < slice_rows:
-                return None
-            row = dict(zip(keys, current))
-            row["__state"] = pickle.dumps(state)
-            return row
+                return []
+            return [{**dict(zip(keys, current)), "__state": pickle.dumps(state)}]
 
         for frame in batches:
             if frame.empty:
                 continue
-            cuts = np.flatnonzero(same_key(frame))
-            edges = [0, *cuts.tolist(), len(frame)]
-            pieces, carried = [], []
+            cols = {c: frame[c].to_numpy() for c in dict.fromkeys([*keys, *machine.inputs])}
+            saved = frame["__state"].to_numpy() if slice_rows is not None else None
+            picked, outs, carried = [], {n: [] for n in names}, []
+            edges = _edges([cols[k] for k in keys], len(frame))
             for lo, hi in zip(edges[:-1], edges[1:]):
-                part = frame.iloc[lo:hi]
-                key = tuple(None if pd.isna(v) else v for v in part.iloc[0][keys].tolist()) if keys else ()
+                key = tuple(None if pd.isna(cols[k][lo]) else cols[k][lo] for k in keys)
                 if key != current:
-                    done = closing()
-                    if done is not None:
-                        carried.append(done)
+                    carried += closing()
                     current, state, seen = key, machine.start(), 0
-                if slice_rows is not None:
-                    saved = part["__state"].notna()
-                    if saved.any():
-                        state = pickle.loads(part.loc[saved, "__state"].iloc[0])
-                        part = part[~saved]
-                if part.empty:
-                    continue
-                seen += len(part)
-                state, out = machine.feed(state, {c: part[c].to_numpy() for c in machine.inputs})
+                if saved is not None and saved[lo] is not None:  # the state row sorts first
+                    state = pickle.loads(saved[lo])
+                    lo += 1
+                    if lo == hi:
+                        continue
+                seen += hi - lo
+                state, out = machine.feed(state, {c: cols[c][lo:hi] for c in machine.inputs})
                 rows = np.asarray(out["row"], dtype=np.int64)
-                if len(rows) == 0:
-                    continue
-                piece = part[[*keys, order, *keep]].iloc[rows].reset_index(drop=True)
+                if len(rows):
+                    picked.append(rows + lo)
+                    for n in names:
+                        outs[n].append(out[n])
+            if picked:
+                result = frame[carried_over].iloc[np.concatenate(picked)].reset_index(drop=True)
                 for n in names:
-                    piece[n] = out[n]
-                pieces.append(piece)
-            if pieces:
-                yield pd.concat(pieces, ignore_index=True) if len(pieces) > 1 else pieces[0]
+                    result[n] = _joined(outs[n])
+                yield result
             if carried:
                 yield pd.DataFrame(carried)
         done = closing()
-        if done is not None:
-            yield pd.DataFrame([done])
+        if done:
+            yield pd.DataFrame(done)
 
     return run
 
 
+def _edges(keys: list[np.ndarray], n: int) -> list[int]:
+    """Positions where any key column changes, with both ends."""
+    change = np.zeros(n, dtype=bool)
+    for v in keys:
+        both_missing = pd.isna(v[1:]) & pd.isna(v[:-1])
+        change[1:] |= (v[1:] != v[:-1]) & ~both_missing
+    return [0, *np.flatnonzero(change).tolist(), n]
+
+
+def _joined(parts: list):
+    """One column from the outputs of many keys; array-valued outputs stay lists."""
+    if all(isinstance(p, np.ndarray) for p in parts):
+        return np.concatenate(parts)
+    return [v for p in parts for v in p]
+
+
 def keyed_scan(
     df: DataFrame,
     keys: list[str],

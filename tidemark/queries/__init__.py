@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.session import ship
+
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 COVERS: dict[str, tuple[str, ...]] = {}
@@ -19,7 +22,13 @@ def query(name: str, *covers: str, sql: str | None = None):
     def add(fn):
         if name in SPARK:
             raise ValueError(f"query {name} registered twice")
-        SPARK[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf)
+
+        SPARK[name] = run
         COVERS[name] = covers
         if sql is not None:
             ORACLE[name] = sql

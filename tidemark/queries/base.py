@@ -12,11 +12,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def widen(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table of fewer files than cores over the cores; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """Keyed binary stream: y marks error events, y_sudden is a planted concept that flips mid-month."""
     high = F.col("value") > 40
     before = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
-    return table(spark, sf, "events").select(
+    return widen(table(spark, sf, "events"), "event_id").select(
         "user_id",
         "event_id",
         (F.col("event_id") + 1).alias("seq"),
@@ -77,7 +83,7 @@ def uniform_sql(ident: str, salt: str) -> str:
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Line items with a planted three-class concept, a planted regression target and ship month."""
-    li = table(spark, sf, "lineitem")
+    li = widen(table(spark, sf, "lineitem").drop("l_linestatus"), "l_orderkey")
     ident = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
     price = F.col("l_quantity") * (100 - F.round(F.col("l_discount") * 100))
     noisy = hash_uniform(F.col("rid"), "label")
