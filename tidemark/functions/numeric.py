@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
 
 
-@functools.lru_cache(maxsize=16)
 def ks_exact_pvalues(n: int, m: int) -> tuple[float, ...]:
     """P(D >= k / lcm(n, m)) for k = 0.. of the two-sample statistic, by counting lattice paths.
 

@@ -181,13 +181,13 @@ class Kswin(Machine):
         if window <= stat + 1:
             raise ValueError("window must exceed stat + 1")
         self.alpha, self.window, self.stat, self.seed = alpha, window, stat, seed
+        self.tail = ks_exact_pvalues(stat, stat)
 
     def start(self):
         return (0, [])  # rows seen, window values
 
     def feed(self, state, cols):
         seen, held = state[0], list(state[1])
-        tail = ks_exact_pvalues(self.stat, self.stat)
         draw_ids = np.arange(self.stat, dtype=np.int64)
         rows, values = [], []
         for i, x in enumerate(cols["x"].astype(float).tolist()):
@@ -197,7 +197,7 @@ class Kswin(Machine):
                 older, newer = np.array(held[: -self.stat]), np.array(held[-self.stat :])
                 u = splitmix_uniform(seen * self.stat + draw_ids, self.seed)
                 gap = ks_statistic(older[(u * len(older)).astype(int)], newer)
-                if gap > 0.1 and tail[int(round(gap * self.stat))] <= self.alpha:
+                if gap > 0.1 and self.tail[int(round(gap * self.stat))] <= self.alpha:
                     rows.append(i)
                     values.append(gap)
                     held = held[-self.stat :]

@@ -6,6 +6,8 @@ over members as well as keys; votes meet again in one aggregation.
 
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,9 +17,11 @@ from pyspark.sql import types as T
 from tidemark.functions.bayes import Sums
 from tidemark.functions.hashing import hash_poisson
 from tidemark.functions.numeric import splitmix_uniform
+from tidemark.operators import naive_bayes as nb
 from tidemark.operators.detect import Ddm
-from tidemark.operators.resample import underbag
-from tidemark.plans.blocks import fold_blocks, stream_past
+from tidemark.operators.resample import online_bagging_weights, underbag
+from tidemark.plans.blocks import fold_blocks, stream_past, sum_arrays
+from tidemark.plans.chunks import lagged_prefix, score_join
 from tidemark.plans.keyed import Machine, keyed_scan
 
 
@@ -97,18 +101,47 @@ def bagged_stream(
     return votes.select(*keys, order, "y_true", (F.array_position(v, F.array_max(v)) - 1).cast("int").alias("y_pred"), "swaps")
 
 
+def bagged_nb(
+    df: DataFrame, keys: list[str], chunk: str, ident: str, features: list[str], label: str, classes: list[int], *, members: int = 10,
+    scheme: str = "online", order: str | None = None, seed: int = 42,
+) -> DataFrame:
+    """Chunk t predicted by the majority of members trained on Poisson-weighted earlier chunks.
+
+    Everything is additive: member sums combine before the shuffle, and all members' models of a chunk
+    sit in one row, so rows are neither copied nor shuffled to be scored.
+    """
+    d = len(features)
+    weighted = online_bagging_weights(
+        df.select(*dict.fromkeys([*keys, chunk, ident, *([order] if order else []), *features, label])), ident, members, scheme,
+        label=label, keys=keys, order=order, seed=seed)
+    stats = nb.nb_stats(weighted.filter("weight > 0"), [*keys, chunk, "member"], features, label, classes, weight="weight")
+    sums = lagged_prefix(stats, [*keys, "member"], chunk, nb.stat_names(d, classes))
+    params = nb.parameters(sums, d, classes)
+    names = nb.parameter_names(d, classes)
+    wide = params.groupBy(*keys, chunk).agg(*[
+        F.expr(f"max(CASE WHEN member = {m} THEN `{n}` END) AS `m{m}_{n}`") for m in range(members) for n in names])
+    out = score_join(df, wide, [*keys, chunk])
+    for m in range(members):
+        out = nb.apply(out, features, classes, prefix=f"m{m}_", pred=f"__p{m}")
+    votes = ", ".join(" + ".join(f"int(__p{m} = {c})" for m in range(members)) for c in classes)
+    ids = ", ".join(str(c) for c in classes)
+    picked = out.selectExpr("*", f"array({votes}) AS __v").selectExpr("*", f"array({ids})[int(array_position(__v, array_max(__v))) - 1] AS y_pred")
+    return picked.drop("__v", *[f"__p{m}" for m in range(members)])
+
+
 # --- chunk-weighted ensemble ----------------------------------------------------------------------
 
 
 def chunk_weighted_ensemble(
-    df: DataFrame, chunk: str, ident: str, features: list[str], label: str, *, members: int = 10, theta: float = 0.1, bags: int = 11, seed: int = 42,
+    df: DataFrame, chunk: str, ident: str, features: list[str], label: str, *, members: int = 10, theta: float = 0.1, bags: int = 11, seed: int = 42, salts: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """(predictions, weights): each chunk adds an under-bagged naive Bayes member; later chunks weigh it.
 
     A member's weight starts at 1 and is multiplied by its G-mean on every chunk since its own; under
     ``theta`` it is out, as it is after ``members`` newer chunks.  A chunk is predicted by the sign of
     the weighted votes of the members before it.  Rows meet members by an equi-join on the member's
-    chunk, one copy per possible age, and pass by the packed member instead of carrying it.
+    chunk, one copy per possible age, and pass by the packed member instead of carrying it.  ``salts``
+    splits chunks that are not of fixed size.
     """
     d = len(features)
     rows = df.select(F.col(chunk).cast("bigint").alias("__chunk"), F.col(ident).alias("__id"), F.array(*[F.col(f).cast("double") for f in features]).alias("__x"),
@@ -120,7 +153,9 @@ def chunk_weighted_ensemble(
         return acc + Sums.of(np.stack(part["__x"].to_numpy()).astype(float), part["__y"].to_numpy(), 2)
 
     stats = fold_blocks(bagged.select("__chunk", "bag", "__x", "__y"), ["__chunk", "bag"], lambda: Sums.zeros(2, d), add,
-                        lambda a: {"sums": np.concatenate([a.n, a.s.ravel(), a.q.ravel()])}, schema)
+                        lambda a: {"sums": np.concatenate([a.n, a.s.ravel(), a.q.ravel()])}, schema, salts=salts)
+    if salts > 1:
+        stats = sum_arrays(stats, ["__chunk", "bag"], ["sums"], [])
     packed = stats.groupBy("__chunk").agg(F.array_sort(F.collect_list(F.struct("bag", "sums"))).alias("b")).select(
         F.col("__chunk").alias("__member"), F.flatten(F.transform("b", lambda e: e["sums"])).alias("sums"))
     aged = rows.withColumn("__member", F.explode(F.sequence(F.col("__chunk") - members, F.col("__chunk"))))
@@ -135,7 +170,7 @@ def chunk_weighted_ensemble(
         share = bags_.predict(np.stack(part["__x"].to_numpy()).astype(float)).mean(axis=0)
         return part[["__chunk", "__id", "__y", "__member"]].assign(__sign=np.sign(2 * share - 1).astype(np.int32))
 
-    scored = stream_past(aged, packed, ["__member"], ["sums"], votes, out)
+    scored = stream_past(aged, packed, ["__member"], ["sums"], votes, out, salts=salts)
     hit = lambda y: F.sum(((F.col("__y") == y) & (F.col("__sign") == (1 if y else -1))).cast("double"))
     all_ = lambda y: F.count_if(F.col("__y") == y)
     per = scored.groupBy("__chunk", "__member").agg(hit(1).alias("tp"), hit(0).alias("tn"), all_(1).alias("p"), all_(0).alias("q"))
@@ -458,12 +493,18 @@ def hoeffding_split_stats(df: DataFrame, leaf: str, features: list[str], label:
     beats the second by more than sqrt(R^2 ln(1 / delta) / 2n), R = log2 of the class count.  Rows are
     aggregated to (leaf, feature, bin) counts before any prefix.
     """
-    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
-    long = df.select(leaf, F.col(label).alias("__y"), cells.alias("c")).select(leaf, "__y", "c.feature", "c.v")
-    ends = long.groupBy(leaf, "feature").agg(F.min("v").alias("__lo"), F.max("v").alias("__hi"))
-    at = F.least(F.floor((F.col("v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins), F.lit(bins - 1)).cast("int")
-    binned = long.join(ends, [leaf, "feature"]).filter(F.col("__hi") > F.col("__lo")).withColumn("__bin", at)
-    counts = binned.groupBy(leaf, "feature", "__lo", "__hi", "__bin").agg(*[F.count_if(F.col("__y") == c).alias(f"__n{c}") for c in classes])
+    d = len(features)
+    ends = df.groupBy(leaf).agg(*[F.min(f).cast("double").alias(f"__lo{i}") for i, f in enumerate(features)], *[F.max(f).cast("double").alias(f"__hi{i}") for i, f in enumerate(features)])
+
+    def cell(i: int) -> Column:
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        at = F.when(hi > lo, F.least(F.floor((F.col(features[i]).cast("double") - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int"))
+        return F.struct(F.lit(features[i]).alias("feature"), lo.alias("__lo"), hi.alias("__hi"), at.alias("__bin"))
+
+    # rows meet one small row per leaf before they are split by feature
+    cells = df.select(leaf, F.col(label).alias("__y"), *features).join(ends, leaf).select(leaf, "__y", F.explode(F.array(*[cell(i) for i in range(d)])).alias("c"))
+    counts = cells.select(leaf, "__y", "c.*").filter(F.col("__bin").isNotNull()).groupBy(leaf, "feature", "__lo", "__hi", "__bin").agg(
+        *[F.count_if(F.col("__y") == c).alias(f"__n{c}") for c in classes])
     packed = counts.groupBy(leaf, "feature", "__lo", "__hi").agg(F.collect_list(F.struct("__bin", *[f"__n{c}" for c in classes])).alias("cells"))
     cut = packed.withColumn("__cut", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))))
     side = lambda c, low: F.aggregate(
@@ -489,3 +530,52 @@ def hoeffding_split_stats(df: DataFrame, leaf: str, features: list[str], label:
         leaf, "n", top["feature"].alias("feature"), top["cut"].alias("cut"), top["gain"].alias("gain"),
         F.coalesce(second["gain"], F.lit(0.0)).alias("second_gain"), eps.alias("epsilon"),
         ((top["gain"] - F.coalesce(second["gain"], F.lit(0.0))) > eps).alias("split"))
+
+
+@dataclasses.dataclass
+class _Leaf:
+    """A node of a split tree: a leaf until it has a feature."""
+
+    counts: list
+    feature: str | None = None
+    cut: float = 0.0
+    low: int = -1
+    high: int = -1
+
+
+def _leaf_expr(tree: list[_Leaf], at: int = 0) -> str:
+    node = tree[at]
+    if node.feature is None:
+        return str(at)
+    return f"CASE WHEN `{node.feature}` < {node.cut!r}D THEN {_leaf_expr(tree, node.low)} ELSE {_leaf_expr(tree, node.high)} END"
+
+
+def hoeffding_tree(
+    df: DataFrame, chunk: str, features: list[str], label: str, classes: list[int], *, bins: int = 10, delta: float = 1e-3, max_leaves: int = 64,
+) -> DataFrame:
+    """Prequential split tree that grows at most one level per chunk.
+
+    A chunk is routed to leaves by one expression and predicted by the leaf's majority class; then the
+    leaves where the best split is sure by the Hoeffding bound are split.  The driver keeps the tree
+    (at most ``max_leaves`` leaves); every chunk is one aggregation over its rows and one over the
+    rows seen so far.
+    """
+    tree = [_Leaf([0] * len(classes))]
+    parts = []
+    for c in [r[0] for r in df.select(chunk).distinct().orderBy(chunk).collect()]:
+        routed = lambda d: d.withColumn("leaf", F.expr(_leaf_expr(tree)))  # noqa: B023, E731
+        majority = " ".join(f"WHEN {i} THEN {classes[int(np.argmax(n.counts))]}" for i, n in enumerate(tree) if n.feature is None)
+        parts.append(routed(df.filter(F.col(chunk) == F.lit(c))).withColumn("y_pred", F.expr(f"CASE leaf {majority} END")))
+        seen = routed(df.filter(F.col(chunk) <= F.lit(c)))
+        for r in seen.groupBy("leaf").agg(*[F.count_if(F.col(label) == k).alias(f"n{i}") for i, k in enumerate(classes)]).collect():
+            tree[r["leaf"]].counts = [r[f"n{i}"] for i in range(len(classes))]
+        for r in hoeffding_split_stats(seen, "leaf", features, label, classes, bins=bins, delta=delta).filter("split").collect():
+            if sum(n.feature is None for n in tree) >= max_leaves:
+                break
+            node = tree[r["leaf"]]
+            node.feature, node.cut, node.low, node.high = r["feature"], float(r["cut"]), len(tree), len(tree) + 1
+            tree += [_Leaf(list(node.counts)), _Leaf(list(node.counts))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

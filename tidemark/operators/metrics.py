@@ -145,7 +145,7 @@ def prequential_accuracy(df: DataFrame, by: list[str], interval: int, seq: str =
     """Cumulative accuracy at each interval end; a last partial interval is kept."""
     hits = _sum_if(F.col("y_true") == F.col("y_pred"))
     per = df.groupBy(*by, _interval(seq, interval)).agg(hits.alias("__h"), F.count("*").alias("__n"), F.max(seq).alias("seq"))
-    run = running(per, by, "interval", {"__ch": ("sum", F.col("__h")), "__cn": ("sum", F.col("__n"))})
+    run = running(per, by, "interval", {"__ch": ("sum", "__h"), "__cn": ("sum", "__n")})
     return run.select(*by, "interval", "seq", (F.col("__ch") / F.col("__cn")).alias("accuracy"))
 
 
@@ -153,7 +153,7 @@ def prequential_macro_f1(df: DataFrame, by: list[str], interval: int, classes: l
     """Cumulative macro-F1 at each interval end."""
     per = df.groupBy(*by, _interval(seq, interval)).agg(*_class_counts(classes), F.max(seq).alias("seq"))
     names = [f"__{k}{c}" for c in classes for k in ("tp", "t", "p")]
-    run = running(per.withColumnsRenamed({n: f"x{n}" for n in names}), by, "interval", {n: ("sum", F.col(f"x{n}")) for n in names})
+    run = running(per.withColumnsRenamed({n: f"x{n}" for n in names}), by, "interval", {n: ("sum", f"x{n}") for n in names})
     return run.select(*by, "interval", "seq", _macro(classes).alias("macro_f1"))
 
 
@@ -182,7 +182,7 @@ def prequential_imbalance(
     }
     per = base.groupBy(*by, "segment", _interval(seq, interval)).agg(
         *[_sum_if(c).alias(f"x{n}") for n, c in parts.items()], F.max(seq).alias("seq"))
-    run = running(per, [*by, "segment"], "interval", {n: ("sum", F.col(f"x{n}")) for n in parts})
+    run = running(per, [*by, "segment"], "interval", {n: ("sum", f"x{n}") for n in parts})
     pos = F.array(*[F.col(f"__P{b}") for b in range(bins)])
     neg = F.array(*[F.col(f"__N{b}") for b in range(bins)])
     pairs = F.aggregate(

@@ -77,17 +77,19 @@ def parameter_names(n_features: int, classes: list[int]) -> list[str]:
     return [n for c in classes for n in [f"a{c}", *[f"{k}{c}_{j}" for j in range(n_features) for k in "mv"]]]
 
 
-def apply(df: DataFrame, features: list[str], classes: list[int], *, pred: str = "y_pred", proba: str | None = None) -> DataFrame:
-    """Predict from parameter columns of the same row, which are dropped.
+def apply(
+    df: DataFrame, features: list[str], classes: list[int], *, pred: str = "y_pred", proba: str | None = None, prefix: str = ""
+) -> DataFrame:
+    """Predict from parameter columns (named with ``prefix``) of the same row, which are dropped.
 
     Ties and an empty model give the lowest class id; a row with a missing feature stays unscored.
     """
-    params = set(parameter_names(len(features), classes))
+    params = {f"{prefix}{n}" for n in parameter_names(len(features), classes)}
     kept = [f"`{c}`" for c in df.columns if c not in params]
     lls = []
     for c in classes:
-        gaps = [f"pow(cast(`{f}` as double) - m{c}_{j}, 2) / v{c}_{j}" for j, f in enumerate(features)]
-        lls.append(f"coalesce(a{c}, double('-infinity')) - 0.5D * ({' + '.join(gaps)}) AS __ll{c}")
+        gaps = [f"pow(cast(`{f}` as double) - `{prefix}m{c}_{j}`, 2) / `{prefix}v{c}_{j}`" for j, f in enumerate(features)]
+        lls.append(f"coalesce(`{prefix}a{c}`, double('-infinity')) - 0.5D * ({' + '.join(gaps)}) AS __ll{c}")
     names = [f"__ll{c}" for c in classes]
     best = f"greatest({', '.join(names)})" if len(names) > 1 else names[0]
     choice = " ".join(f"WHEN __ll{c} = __best THEN {c}" for c in classes)

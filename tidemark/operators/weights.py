@@ -248,8 +248,9 @@ def importance_resample(df: DataFrame, weight: str, seq: str, *, size: int, repl
     starting at or before it.  Rows and draws meet in one two-level scan over the interval axis.
     """
     positive = df.filter(F.col(weight) > 0)
-    total = positive.agg(F.sum(weight)).first()[0]
-    ticks = 1 << 52
+    head = positive.agg(F.sum(weight).alias("w"), F.count("*").alias("n")).first()
+    total, ticks = head["w"], 1 << 52
+    blocks = max(512, head["n"] // 500_000)  # of equal weight mass, so their row count stays bounded on average
     cum = running(positive, [], seq, {"__before": ("sum", F.col(weight).cast("double"))}, exclusive=True)
     marks = cum.withColumn("__at", F.floor(F.col("__before") / F.lit(float(total)) * F.lit(float(ticks))).cast("bigint") * 2).select(
         "__at", F.struct(*[F.col(c) for c in df.columns]).alias("__row"))
@@ -258,7 +259,7 @@ def importance_resample(df: DataFrame, weight: str, seq: str, *, size: int, repl
         (F.floor(u * F.lit(float(ticks))).cast("bigint") * 2 + 1).alias("__at"),
         F.expr(f"cast(id div {size} as int)").alias("replica"), F.expr(f"cast(id % {size} as int)").alias("draw"))
     both = draws.unionByName(marks, allowMissingColumns=True)
-    run = running(both, [], "__at", {"__last": ("last", F.col("__row"))}, span=ticks // 512)
+    run = running(both, [], "__at", {"__last": ("last", F.col("__row"))}, span=ticks // blocks)
     return run.filter(F.col("draw").isNotNull()).select("replica", "draw", "__last.*")
 
 

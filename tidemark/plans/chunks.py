@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.scan import running
 
-# A model table is broadcast only below this many bytes, estimated from its counted rows and width.
-BROADCAST_BYTES = 64 << 20
-
-
 def lagged_prefix(stats: DataFrame, keys: list[str], chunk: str, names: list[str], *, span: int = 100_000) -> DataFrame:
     """Sums of all strictly earlier chunks for each chunk present in ``stats``."""
     return running(stats, keys, chunk, {n: ("sum", f"`{n}`") for n in names}, exclusive=True, span=span).select(*keys, chunk, *names)
@@ -32,13 +28,6 @@ def latest_before(rows: DataFrame, models: DataFrame, keys: list[str], at: str,
     return out.select(*rows.columns, *[F.col(f"__last.{n}").alias(n) for n in names])
 
 
-def is_small(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` is safe to copy to every executor, from an actual row count."""
-    width = max(8 * len(df.columns), 64)
-    most = limit_bytes // width
-    return df.limit(int(most) + 1).count() <= most
-
-
 def score_join(rows: DataFrame, models: DataFrame, on: list[str]) -> DataFrame:
     """Equi-join rows to one model row per chunk.
 

@@ -6,10 +6,12 @@ import pickle
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+import tidemark
 from tidemark.plans.keyed import Machine
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -49,7 +51,7 @@ class MachineProcessor(StatefulProcessor):
                 part[n] = list(out[n])
             part["late"] = False
             parts.append(part)
-            self.value.update((pickle.dumps(state), int(fresh[self.order].iloc[-1])))
+            self.value.update((cloudpickle.dumps(state), int(fresh[self.order].iloc[-1])))
         if late.any():
             parts.append(pd.DataFrame({self.order: at[late], "late": True}))
         for part in parts:
@@ -71,4 +73,10 @@ def keyed_stream(df: DataFrame, keys: list[str], order: str, machine: Machine) -
         [rows.schema[c] for c in [*keys, order]]
         + [T.StructField(n, T._parse_datatype_string(t)) for n, t in machine.outputs] + [T.StructField("late", T.BooleanType())])
     processor = MachineProcessor(machine, keys, order, schema, list(keys))
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    # Spark starts the query with a helper process that sees no shipped files, so the processor
+    # travels by value
+    cloudpickle.register_pickle_by_value(tidemark)
+    try:
+        return rows.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    finally:
+        cloudpickle.unregister_pickle_by_value(tidemark)
