@@ -12,7 +12,7 @@ from tidemark.operators import chunking as CK
 from tidemark.operators import explain as EX
 from tidemark.operators import select as Q
 from tidemark.queries import query
-from tidemark.queries.base import EV, SCORED, events, scored, vectors, with_
+from tidemark.queries.base import EV, SCORED, events, fold_sql, recursive, scored, vectors, with_
 from tidemark.queries.metrics import nb_stats_sql
 from tidemark.runner import BayesModel, BroadModel, annotation_rate, prequential_active, replay_refit
 
@@ -62,12 +62,37 @@ def _explained(spark, sf):
     return EX.query_explanation_chunk(s, [], "chunk_id", "seq", ["cents", "hr", "k"], W3, MEANS, "proba", query_size=10, gamma=0.3)
 
 
-@query("query_explanation_chunk", "Q9", "G15")
+def _rank_sql(cols):
+    return "list_transform(list_sort([" + ", ".join(f"{{'v': {c}, 'i': {j}}}" for j, c in enumerate(cols)) + "]), lambda e: CAST(e.i AS DOUBLE))"
+
+
+def _jeffreys_sql(a, b):
+    n = lambda x: f"list_transform({x}, lambda r: (r + 1) / 6)"
+    return f"list_sum(list_transform(list_zip({n(a)}, {n(b)}), lambda t: t[1] * ln(t[1] / t[2]) + t[2] * ln(t[2] / t[1])))"
+
+
+FEATS = ("cents", "hr", "k")
+EXPL = [
+    "ch AS (SELECT *, (seq - 1) // 100 AS chunk_id, list_position(proba, list_max(proba)) - 1 AS pred FROM scored)",
+    "sh AS (SELECT chunk_id + 1 AS chunk_id, avg(CAST(pred = 0 AS DOUBLE)) AS s0, avg(CAST(pred = 1 AS DOUBLE)) AS s1, avg(CAST(pred = 2 AS DOUBLE)) AS s2 FROM ch GROUP BY ALL)",
+    "cw AS (SELECT ch.*, coalesce(s0, 1.0 / 3) AS c0, coalesce(s1, 1.0 / 3) AS c1, coalesce(s2, 1.0 / 3) AS c2 FROM ch LEFT JOIN sh USING (chunk_id))",
+    "at AS (SELECT *, " + ", ".join("(" + " + ".join(f"c{c} * {W3[c][j]}" for c in range(3)) + f") * ({f} - {MEANS[j]}) AS a{j}" for j, f in enumerate(FEATS)) + " FROM cw)",
+    f"rk AS (SELECT chunk_id, {_rank_sql(['sum(a0)', 'sum(a1)', 'sum(a2)'])} AS r FROM at GROUP BY chunk_id)",
+    f"dv AS (SELECT 0 AS lane, rk.chunk_id, coalesce({_jeffreys_sql('rk.r', 'bf.r')}, 0) AS d, bf.r AS before FROM rk LEFT JOIN rk bf ON rk.chunk_id = bf.chunk_id + 1)",
+    fold_sql(source="SELECT lane, chunk_id, d FROM dv", key="lane", order="chunk_id", cols=["d"], state={"quiet": "0", "g": "0.0::DOUBLE", "op": "false"},
+             steps=[{"g": "0.3::DOUBLE * exp(-0.1::DOUBLE * quiet)"}, {"op": "d >= g"}, {"quiet": "CASE WHEN op THEN 0 ELSE quiet + 1 END"}]),
+]
+EXPL = [e.replace("at AS (", "att AS (").replace("FROM at GROUP", "FROM att GROUP") for e in EXPL]
+
+
+@query("query_explanation_chunk", "Q9", "G15", sql=recursive(EV, SCORED, *EXPL,
+       f"so AS (SELECT att.event_id, att.seq, att.chunk_id, {_jeffreys_sql(_rank_sql(['a0', 'a1', 'a2']), 'dv.before')} + CASE pred WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END * sqrt(list_sum(list_transform(proba, lambda p: p * p))) AS score FROM att JOIN dv USING (chunk_id) JOIN f ON f.rn > 0 AND f.chunk_id = att.chunk_id AND f.op WHERE dv.before IS NOT NULL)") +
+       "SELECT event_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY round(score, 9), seq) AS rank FROM so) WHERE rank <= 10")
 def _(spark, sf):
     return _explained(spark, sf)[0].select("event_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("explanation_gate", "Q9")
+@query("explanation_gate", "Q9", sql=recursive(EV, SCORED, *EXPL) + "SELECT chunk_id, round(d, 6) AS divergence, op AS is_open, round(g, 6) AS gamma FROM f WHERE rn > 0")
 def _(spark, sf):
     return _explained(spark, sf)[1].withColumn("divergence", F.round("divergence", 6)).withColumn("gamma", F.round("gamma", 6))
 

@@ -87,7 +87,33 @@ def _(spark, sf):
     return out.withColumn("threshold", F.round("threshold", 6))
 
 
-@query("query_submodular_dynamic", "Q8")
+def dynamic_fold() -> str:
+    """Counts, gamma, own thresholds and quiet length, one row at a time."""
+    q = ["a", "b", "c"]
+    pick = lambda names: "CASE label WHEN 0 THEN {} WHEN 1 THEN {} ELSE {} END".format(*names)
+    kl = lambda i: f"(CASE WHEN {q[i]} > 0 THEN {q[i]} * ln({q[i]} / (({q[i]} + CAST(label = {i} AS INT)) / 2)) ELSE 0 END)"
+    own = pick([f"ln(1 / ((1 + {x}) / 2))" for x in q])
+    return fold_sql(
+        source=f"SELECT user_id, seq, label, q[1] / (q[1] + q[2] + q[3]) AS a, q[2] / (q[1] + q[2] + q[3]) AS b, q[3] / (q[1] + q[2] + q[3]) AS c FROM (SELECT *, {MM} AS q FROM scored)",
+        key="user_id", order="seq", cols=["label", *q],
+        state={**{f"n{i}": "0" for i in range(3)}, **{f"o{i}": "0.3::DOUBLE" for i in range(3)}, "g": "0.3::DOUBLE", "skipped": "0", "used": "CAST(0 AS DOUBLE)", "ask": "false", "refit": "false"},
+        steps=[
+            {"used": "g", "forced": "skipped = 20", "gain": " + ".join(f"{q[i]} * (pow(n{i} + 1, 0.5) - pow(n{i}, 0.5))" for i in range(3))},
+            {"ask": "forced OR gain > g"},
+            {f"n{i}": f"n{i} + CAST(ask AND label = {i} AS INT)" for i in range(3)},
+            {"fall": f"0.1::DOUBLE / 2 * pow({pick(['n0', 'n1', 'n2'])} + 1, -0.5)", "apart": f"0.5 * ({own}) + 0.5 * ({kl(0)} + {kl(1)} + {kl(2)})"},
+            {"g": "CASE WHEN ask AND apart > 0.1 THEN greatest(g - fall, 0.15::DOUBLE) ELSE g END",
+             **{f"o{i}": f"CASE WHEN ask AND label = {i} THEN greatest(o{i} - fall, 0.15::DOUBLE) ELSE o{i} END" for i in range(3)}},
+            {"refit": "ask AND forced"},
+            {"g": f"CASE WHEN refit THEN (CASE WHEN g > 0.15::DOUBLE THEN (1 - apart / 2) * {pick(['o0', 'o1', 'o2'])} ELSE 0.15::DOUBLE END) ELSE g END",
+             **{f"n{i}": f"CASE WHEN refit THEN 0 ELSE n{i} END" for i in range(3)},
+             "skipped": "CASE WHEN ask THEN 0 ELSE skipped + 1 END"},
+            {f"o{i}": f"CASE WHEN refit THEN 0.4::DOUBLE ELSE o{i} END" for i in range(3)},
+        ])
+
+
+@query("query_submodular_dynamic", "Q8", sql=recursive(EV, SCORED, dynamic_fold()) +
+       "SELECT user_id, seq, ask AS is_queried, round(used, 6) AS threshold, refit AS is_refit FROM f WHERE rn > 0")
 def _(spark, sf):
     out = Q.query_keyed(scored(spark, sf), ["user_id"], "seq", Q.SubmodularDynamic(3, 2.0, 0.3), {"proba": F.col("proba")})
     return out.withColumn("threshold", F.round("threshold", 6))

@@ -12,6 +12,7 @@ from tidemark.operators import naive_bayes as NB
 from tidemark.operators import weights as W
 from tidemark.queries import query
 from tidemark.queries.base import EV, LI, SCORED, events, fold_sql, lines, recursive, scored, uniform_sql, with_
+from tidemark.queries.metrics import nb_score_sql, nb_stats_sql
 
 WF = ["qty", "tax"]
 MODEL = """yr AS (SELECT *, month // 12 AS batch FROM li),
@@ -139,7 +140,11 @@ def _(spark, sf):
     return out.select("event_id", F.round(F.get("proba", F.lit(1)), 4).alias("p1"))
 
 
-@query("weighted_refit", "M13", "L1")
+REFIT = "w AS (SELECT *, greatest(0.0, least(p_new / (p_own + 1e-16), 100.0)) AS raw FROM ps), w2 AS (SELECT *, raw / (SELECT sum(raw) FROM w) * (SELECT count(*) FROM w) AS wt FROM w)"
+
+
+@query("weighted_refit", "M13", "L1", sql=with_(LI, MODEL, REFIT, f"st AS (SELECT DISTINCT {nb_stats_sql(['qty', 'disc', 'tax'], [0, 1, 2], 'label', '()', 'wt')} FROM w2)",
+       f"sc AS ({nb_score_sql('(SELECT w2.*, st.* FROM w2, st)', ['qty', 'disc', 'tax'], [0, 1, 2])})") + "SELECT batch, avg(CAST(label = y_pred AS INT)) AS accuracy FROM sc GROUP BY batch")
 def _(spark, sf):
     w = W.weight_ratio(densities(spark, sf))
     model = W.weighted_refit(w, ["qty", "disc", "tax"], "label", [0, 1, 2], "weight")
