@@ -1,11 +1,14 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tidemark.session import build_session  # noqa: E402
+from tidemark.session import build_session, ship  # noqa: E402
+
+os.chdir(tempfile.mkdtemp())  # workers must find the package without the repository as working folder
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -14,6 +17,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     session = build_session("tests", cores="8", shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     yield session
     session.stop()
 
