@@ -35,26 +35,42 @@ class Sums:
     def stack(cls, many: list["Sums"]) -> "Sums":
         return cls(np.stack([m.n for m in many]), np.stack([m.s for m in many]), np.stack([m.q for m in many]))
 
-    def log_joint(self, x: np.ndarray) -> np.ndarray:
-        """(..., rows, classes) log prior plus log likelihood; -inf for a class without rows."""
+    def model(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(constant, mean, variance) per class; the constant is -inf for a class without rows."""
         n = self.n[..., None]
-        total = self.n.sum(axis=-1)[..., None, None]
+        total = self.n.sum(axis=-1)[..., None]
         with np.errstate(divide="ignore", invalid="ignore"):
             mean = np.where(n > 0, self.s / n, 0.0)
             var = np.where(n > 0, np.maximum(self.q / n - mean * mean, 0.0), 1.0)
-            whole = self.q.sum(axis=-2) / total[..., 0] - (self.s.sum(axis=-2) / total[..., 0]) ** 2
+            whole = self.q.sum(axis=-2) / total - (self.s.sum(axis=-2) / total) ** 2
             eps = np.maximum(np.nan_to_num(whole).max(axis=-1) * 1e-9, 1e-9)[..., None, None]
             var = var + eps
-            prior = np.log(self.n / total[..., 0])
+            const = np.log(self.n / total) - 0.5 * np.log(2 * np.pi * var).sum(axis=-1)
+        return np.where(self.n > 0, const, -np.inf), mean, var
+
+    def log_joint(self, x: np.ndarray) -> np.ndarray:
+        """(..., rows, classes) log prior plus log likelihood."""
+        const, mean, var = self.model()
         gap = x[:, None, :] - mean[..., None, :, :]
-        ll = -0.5 * (np.log(2 * np.pi * var).sum(axis=-1)[..., None, :] + (gap * gap / var[..., None, :, :]).sum(axis=-1))
-        return np.where(self.n[..., None, :] > 0, prior[..., None, :] + ll, -np.inf)
+        return const[..., None, :] - 0.5 * (gap * gap / var[..., None, :, :]).sum(axis=-1)
 
     def proba(self, x: np.ndarray) -> np.ndarray:
-        lj = self.log_joint(x)
-        top = lj.max(axis=-1, keepdims=True)
-        e = np.where(np.isfinite(top), np.exp(lj - np.where(np.isfinite(top), top, 0.0)), 1.0)
-        return e / e.sum(axis=-1, keepdims=True)
+        return shares(self.log_joint(x))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return self.log_joint(x).argmax(axis=-1)
+
+
+def joint_of_row(model: tuple, x: np.ndarray) -> np.ndarray:
+    """(..., classes) log joint of one row under stacked models from ``Sums.model``."""
+    const, mean, var = model
+    gap = x - mean
+    return const - 0.5 * (gap * gap / var).sum(axis=-1)
+
+
+def shares(log_joint: np.ndarray) -> np.ndarray:
+    """Probabilities along the last axis; equal when every class is impossible."""
+    top = log_joint.max(axis=-1, keepdims=True)
+    known = np.isfinite(top)
+    e = np.where(known, np.exp(log_joint - np.where(known, top, 0.0)), 1.0)
+    return e / e.sum(axis=-1, keepdims=True)

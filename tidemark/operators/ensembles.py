@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.bayes import Sums
+from tidemark.functions.bayes import Sums, joint_of_row, shares
 from tidemark.functions.hashing import hash_poisson
 from tidemark.functions.numeric import splitmix_uniform
 from tidemark.operators import naive_bayes as nb
@@ -215,7 +215,7 @@ class StableDynamic(Machine):
 
     def start(self):
         return dict(held=[], stable=None, members=[], w=[], seen_by=[], theta=self.first, recent=[], buffers=[[] for _ in range(self.n_classes)],
-                    share=[0.0] * self.n_classes, rate=[0.0] * self.n_classes, rows=0, born=0)
+                    share=[0.0] * self.n_classes, rate=[0.0] * self.n_classes, rows=0, born=0, model=None)
 
     def feed(self, state, cols):
         s = {k: (list(v) if isinstance(v, list) else v) for k, v in state.items()}
@@ -264,14 +264,18 @@ class StableDynamic(Machine):
         elif len(b) < self.seeds:
             b.append(x)
 
+    def _joint(self, s, x):
+        if s["model"] is None:  # parameters are kept until a model changes
+            s["model"] = Sums.stack([s["stable"], *s["members"]]).model()
+        return joint_of_row(s["model"], x)
+
     def _proba(self, s, x):
-        p = Sums.stack([s["stable"], *s["members"]]).proba(x[None])[:, 0]
+        p = shares(self._joint(s, x))
         return 0.5 * p[0] + np.asarray(s["w"]) @ p[1:]
 
     def _learn(self, s, x, y, sure):
         one = Sums.of(x[None], np.array([y]), self.n_classes)
-        s["stable"] = s["stable"] + one
-        s["members"] = [m + one for m in s["members"]]
+        s.update(stable=s["stable"] + one, members=[m + one for m in s["members"]], model=None)
         if not self.reinforced:
             return
         self._remember(s, x, y, newest=True)
@@ -283,7 +287,7 @@ class StableDynamic(Machine):
 
     def _reward(self, s, x, y):
         if s["share"][y] < 1 / self.n_classes:
-            hit = Sums.stack(s["members"]).predict(x[None])[:, 0] == y
+            hit = self._joint(s, x)[1:].argmax(axis=-1) == y
             s["w"] = [w * (1 + (1 if h else -1) / self.d_max) for w, h in zip(s["w"], hit)]
 
     def _grow(self, s):
@@ -308,6 +312,7 @@ class StableDynamic(Machine):
         if self.reinforced:
             for x, y, _ in sample:
                 self._remember(s, x, y, newest=True)
+        s["model"] = None
         weakest = int(np.argmin(s["w"]))
         s["w"] = [w * (1 - 1 / self.d_max) for w in s["w"]]
         if self.reinforced and s["born"] > self.d_max:

@@ -20,13 +20,13 @@ from tidemark.runner import BayesModel, BroadModel, annotation_rate, prequential
 @query("variance_chunks", "C3", "G16")
 def _(spark, sf):
     machine = CK.VarianceChunks(bags=200, team=50, draws=50, block=60)
-    return CK.growing_chunks(events(spark, sf), ["dow"], "seq", ["cents", "k"], "y_sudden", machine).withColumn("p_value", F.round("p_value", 6))
+    return CK.growing_chunks(events(spark, sf), ["hr"], "seq", ["cents", "k"], "y_sudden", machine).withColumn("p_value", F.round("p_value", 6))
 
 
 @query("permutation_chunks", "C4")
 def _(spark, sf):
     machine = CK.PermutationChunks(perms=20, bags=30, block=60)
-    return CK.growing_chunks(events(spark, sf), ["dow"], "seq", ["cents", "k"], "y_sudden", machine).withColumn("p_value", F.round("p_value", 6))
+    return CK.growing_chunks(events(spark, sf), ["hr"], "seq", ["cents", "k"], "y_sudden", machine).withColumn("p_value", F.round("p_value", 6))
 
 
 @query("variance_f_test", "G16")

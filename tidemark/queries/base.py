@@ -49,7 +49,7 @@ CLASSES = ["click", "error", "purchase", "signup", "view"]
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Long prediction table of two methods over three rounds, right for a hashed share of rows."""
-    e = table(spark, sf, "events")
+    e = widen(table(spark, sf, "events"), "event_id")
     truth = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("event_type")).cast("int") - 1
     runs = F.explode(
         F.array(*[F.struct(F.lit(m).alias("method"), F.lit(r).alias("round")) for m in ("nb", "ridge") for r in (0, 1, 2)])
@@ -141,7 +141,7 @@ VEC = """vec AS (
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Numeric document features over whole texts, an imbalanced planted label, and given labels where known."""
-    d = table(spark, sf, "documents")
+    d = widen(table(spark, sf, "documents"), "doc_id")
     lab = table(spark, sf, "labels")
     t = F.col("text")
     return d.select(

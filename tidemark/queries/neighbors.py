@@ -40,7 +40,7 @@ def _(spark, sf):
     from tidemark.plans.scan import with_seq
 
     u = with_seq(events(spark, sf).drop("seq"), ["user_id"], "event_id", name="pos")
-    out = N.window_knn_regress(u, ["user_id"], ["cents", "hr"], "k", k=3, window=20, agg="median", seq="pos", bucket=40)
+    out = N.window_knn_regress(u, ["user_id"], ["cents", "hr"], "k", k=3, window=20, agg="median", seq="pos")
     return out.withColumnRenamed("k", "y_true")
 
 

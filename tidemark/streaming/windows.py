@@ -12,9 +12,10 @@ def windowed_stream_metrics(
 ) -> DataFrame:
     """Count and accuracy per tumbling, sliding or session window of event time.
 
-    ``watermark`` bounds state and drops later rows on a stream; on a table it has no effect.
+    ``watermark`` bounds state and drops later rows on a stream; on a table it has no effect.  A stream's
+    time is cast to TIMESTAMP, which watermarks need; a table's zone-free time stays as it is.
     """
-    at = F.col(time).cast("timestamp")
+    at = F.col(time).cast("timestamp") if df.isStreaming else F.col(time)
     rows = df.withColumn(time, at).withColumn("__hit", hit.cast("int"))
     if watermark and rows.isStreaming:
         rows = rows.withWatermark(time, watermark)
