@@ -137,7 +137,7 @@ def gmm_logpdf(df: DataFrame, fit_on: DataFrame, features: list[str], *, k: int
     from pyspark.ml.feature import VectorAssembler
 
     make = VectorAssembler(inputCols=features, outputCol="__x")
-    model = GaussianMixture(featuresCol="__x", k=k, seed=seed).fit(make.transform(fit_on))
+    model = GaussianMixture(featuresCol="__x", k=k, seed=seed, maxIter=50, tol=1e-3).fit(make.transform(fit_on))
     weights = np.array(model.weights)
     parts = [(g.mean.toArray(), g.cov.toArray()) for g in model.gaussians]
     p = len(features)
