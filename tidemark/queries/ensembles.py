@@ -48,14 +48,14 @@ def _(spark, sf):
 
 @query("stable_dynamic", "L16", "Q4")
 def _(spark, sf):
-    out = E.stable_dynamic(events(spark, sf), ["dow"], "seq", ["cents", "k"], "y_sudden", E.StableDynamic(2), hash_uniform(F.col("seq"), "oale"))
+    out = E.stable_dynamic(events(spark, sf), ["dow"], "seq", ["cents", "k"], "y_sudden", E.StableDynamic(2), hash_uniform(F.col("seq"), "dynamic-draw"))
     return out.groupBy("dow").agg(F.count("*").alias("n"), F.count_if("is_queried").alias("asked"), F.round(F.avg((F.col("label") == F.col("y_pred")).cast("int")), 6).alias("accuracy"), F.max("n_members").alias("n_members"))
 
 
 @query("stable_dynamic_reinforced", "L17", "Q5")
 def _(spark, sf):
     machine = E.StableDynamic(2, reinforced=True, theta=0.5)
-    out = E.stable_dynamic(events(spark, sf), ["dow"], "seq", ["cents", "k"], "y_sudden", machine, hash_uniform(F.col("seq"), "roale"))
+    out = E.stable_dynamic(events(spark, sf), ["dow"], "seq", ["cents", "k"], "y_sudden", machine, hash_uniform(F.col("seq"), "reinforced-draw"))
     return out.groupBy("dow").agg(F.count("*").alias("n"), F.count_if("is_queried").alias("asked"), F.round(F.avg((F.col("label") == F.col("y_pred")).cast("int")), 6).alias("accuracy"), F.max("n_members").alias("n_members"))
 
 
