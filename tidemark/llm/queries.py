@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, packing
-from tidemark.session import ship
+from tidemark.llm import ann, bpe, langid, lm, packing, pii, simhash, substrings, toxicity, voronoi
+from tidemark.llm.common import bounded_sample, held_out
+from tidemark.session import materialize, ship
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,3 +66,105 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf, "documents"), vocabulary(), capacity=2048, end_id=0)
+
+
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of 4-word shingles and connected classes at 4 bits."""
+    found = simhash.near_duplicates(table(spark, sf, "documents"), radius=4, shingle=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def toxicity_model(documents: DataFrame, labels: DataFrame, most: int = 16_000) -> toxicity.Model:
+    """Trained on at most about ``most`` of the labelled rows outside the held-out fold."""
+    known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).select(F.col("doc_id").alias("key"), "toxic")
+    picked = F.broadcast(bounded_sample(known, F.col("key"), most))  # an id and a label for each of them
+    sample = materialize(documents.select(F.col("doc_id").alias("key"), "text").join(picked, "key"), "labelled-texts")
+    return toxicity.fit(sample, key=F.col("key"), most=most)
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = toxicity.score(docs, toxicity_model(docs, table(spark, sf, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op6_langid")
+def op6_langid(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    train = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    found = langid.predict(docs, langid.fit(train, key=F.col("doc_id")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("lang").alias("lang_pred"), "score", "accepted")
+
+
+@query("op3_ann")
+def op3_ann(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+OP4_SQL = """WITH v AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.e, d.e) AS BIGINT) AS score
+  FROM v q JOIN v d ON d.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+@query("op4_topk", OP4_SQL)
+def op4_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return voronoi.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP9_SQL = f"""WITH d AS (SELECT doc_id, {WORDS_SQL} AS words FROM documents),
+win AS (SELECT doc_id, words, unnest(generate_series(1, len(words) - 19)) AS i FROM d),
+seen AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(words[i:i + 19], ' ') ORDER BY doc_id, i) AS nth FROM win),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS j FROM seen WHERE nth > 1),
+word AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS j FROM d),
+kept AS (
+  SELECT word.doc_id, count(*) AS n_words, count(gone.j) AS n_removed, string_agg(w, ' ' ORDER BY word.j) FILTER (gone.j IS NULL) AS kept
+  FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.j = word.j GROUP BY word.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+
+@query("op9_substrings", OP9_SQL)
+def op9_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    """Words outside repeated 20-word windows."""
+    found = substrings.remove_repeats(table(spark, sf, "documents"), length=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Base entities and the spans that bootstrapped patterns add."""
+    found = pii.extract(table(spark, sf, "documents"))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
+OP8_SQL = f"""WITH d AS (SELECT doc_id, {WORDS_SQL} AS words FROM documents),
+t AS (SELECT doc_id, unnest(words) AS w, unnest([NULL] || words[:-2]) AS h FROM d),
+n AS (SELECT count(*) AS n FROM t),
+u AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+b AS (SELECT h, w, count(*) AS c FROM t WHERE h IS NOT NULL GROUP BY h, w),
+s AS (
+  SELECT t.doc_id, CASE WHEN b.c > 1 THEN round(log10((b.c - 1) / (uh.c - 1)) * 1e6)
+    ELSE CASE WHEN u.c > 1 THEN round(log10((u.c - 1) / (n.n - 1)) * 1e6) ELSE round(log10(1 / n.n) * 1e6) END
+      + CASE WHEN t.h IS NULL THEN 0 ELSE round(log10(0.4) * 1e6) END END AS x
+  FROM t CROSS JOIN n JOIN u ON u.w = t.w LEFT JOIN u uh ON uh.w = t.h LEFT JOIN b ON b.h = t.h AND b.w = t.w),
+g AS (SELECT doc_id, count(*) AS n_words, CAST(sum(CAST(x AS BIGINT)) AS BIGINT) AS x FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(g.n_words, 0) AS n_words, coalesce(g.x, 0) / 1e6 AS score, g.x / 1e6 / g.n_words AS mean
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
+
+
+@query("op8_lm", OP8_SQL)
+def op8_lm(spark: SparkSession, sf: str) -> DataFrame:
+    """Stupid-backoff bigram scores; the rows of one input split are one block."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("split"))
+    return lm.score(docs, order=2, block=F.col("split"))
