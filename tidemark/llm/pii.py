@@ -67,13 +67,13 @@ def _valid(kind: str, m: str) -> str:
     """SQL condition on the matched string ``m``."""
     if kind == "ip":
         return f"forall(split({m}, '[.]'), p -> char_length(ltrim('0', p)) <= 3 AND cast(concat('0', right(p, 3)) as int) <= 255)"
-    digits = f"regexp_replace({m}, '[^0-9]', '')"
+    digits = f"array(regexp_replace({m}, '[^0-9]', ''))"
     if kind == "phone":
-        return f"char_length({digits}) BETWEEN 9 AND 15"
+        return f"exists({digits}, d -> char_length(d) BETWEEN 9 AND 15)"
     if kind == "card":
-        digit = f"cast(substring({digits}, char_length({digits}) - i, 1) as int)"
-        luhn = f"aggregate(transform(sequence(0, char_length({digits}) - 1), i -> CASE WHEN i % 2 = 0 THEN {digit} ELSE ({digit} * 2) div 10 + ({digit} * 2) % 10 END), 0, (a, x) -> a + x) % 10 = 0"
-        return f"char_length({digits}) BETWEEN 12 AND 19 AND {luhn}"
+        digit = "cast(substring(d, char_length(d) - i, 1) as int)"
+        luhn = f"aggregate(sequence(0, char_length(d) - 1), 0, (a, i) -> a + CASE WHEN i % 2 = 0 THEN {digit} ELSE cast(substring('0246813579', {digit} + 1, 1) as int) END) % 10 = 0"
+        return f"exists({digits}, d -> CASE WHEN char_length(d) BETWEEN 12 AND 19 THEN {luhn} ELSE false END)"
     return "true"
 
 
