@@ -94,25 +94,54 @@ def links(distinct: DataFrame, *, radius: int = 4, large: int = LARGE) -> DataFr
         _variants(F.shiftrightunsigned("fp", 32), 32, half // 2),
         F.transform(_variants(F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)), 32, half // 2), lambda v: v.bitwiseOR(F.lit(1 << 32))))
     emitted = distinct.select("fp", F.explode(balls).alias("variant"))
-    shared = emitted.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
-    shared = materialize(shared, "shared-variants")
-    twos = shared.filter("n = 2").filter(_far(F.col("a"), F.col("b")) <= radius).select("a", "b")
-    groups = emitted.join(shared.filter((F.col("n") > 2) & (F.col("n") <= large)).select("variant"), "variant")
-    groups = groups.groupBy("variant").agg(F.collect_list("fp").alias("fps"))  # at most ``large`` numbers each
 
-    def local(batches):
-        for batch in batches:
-            found = [e for x in batch.column("fps") for e in _spanning(np.sort(x.values.to_numpy(zero_copy_only=False)).view(np.uint64), radius)]
-            ends = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+    def collide(batches):
+        """Spanning edges of each variant's fingerprints, one variant held at a time; the fingerprints of a crowded one."""
+        key, held, size = None, [], 0
+
+        def close():
+            if 1 < size <= large:
+                return _spanning(np.sort(np.concatenate(held).view(np.uint64)), radius)
+            return []
 
-    few = groups.select("fps").mapInArrow(local, "a bigint, b bigint")
-    crowded = emitted.join(shared.filter(F.col("n") > large).select("variant"), "variant").select("fp").distinct()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            variant, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("variant", "fp"))
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(variant)) + 1, [len(variant)]])
+            edges, crowded = [], []
+            # the first run may go on from the batch before, and the last into the next; of the others, pairs or more count
+            inner = np.flatnonzero(np.diff(cut[1:-1]) > 1) + 1
+            for i in sorted({0, len(cut) - 2, *inner.tolist()}):
+                run = fp[cut[i] : cut[i + 1]]
+                if key is None or variant[cut[i]] != key:
+                    edges += close()
+                    key, held, size = variant[cut[i]], [], 0
+                size += len(run)
+                if size > large:
+                    crowded += [*held, run]
+                    held = []
+                else:
+                    held.append(run)
+            both = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
+            many = np.concatenate(crowded) if crowded else np.zeros(0, np.int64)
+            yield table(both[:, 0], both[:, 1], False)
+            yield table(many, many, True)
+        rest = np.array(close(), np.uint64).reshape(-1, 2).view(np.int64)
+        yield table(rest[:, 0], rest[:, 1], False)
+
+    def table(a, b, crowded):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), crowded))], ["a", "b", "crowded"])
+
+    together = emitted.repartition("variant").sortWithinPartitions("variant")
+    found = materialize(together.mapInArrow(collide, "a bigint, b bigint, crowded boolean"), "collisions")
+    few = found.filter("NOT crowded").select("a", "b").distinct()
+    crowded = found.filter("crowded").select(F.col("a").alias("fp")).distinct()
     whole = crowded.select("fp", F.explode(_variants(F.col("fp"), BITS, half)).alias("centre"))
     least = whole.groupBy("centre").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     many = whole.join(least, "centre").filter(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b"))
     many = many.filter(_far(F.col("a"), F.col("b")) <= radius)
-    return twos.unionByName(few).unionByName(many).distinct()
+    return few.unionByName(many)
 
 
 def near_duplicates(
