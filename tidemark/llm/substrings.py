@@ -31,7 +31,7 @@ from tidemark.llm.fmindex import FMIndex
 from tidemark.session import materialize
 
 GRAM = 6
-CROWD = 20_000
+CROWD = 2_000
 SHARD_WORDS = 400_000
 _BASE, _WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
