@@ -116,7 +116,8 @@ def discover(rows: DataFrame, *, rounds: int = 3, confident: float = 0.6, suppor
     mentions = materialize(_mentions(rows), "mentions")
     edges = mentions.select("token", "seed", F.explode("patterns").alias("pattern"))
     edges = materialize(edges.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "pattern-instances")
-    seeds = edges.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("sure"))
+    # written, so that the join below can split an instance that occurs in very many contexts
+    seeds = materialize(edges.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("sure")), "instances")
     sure = seeds
     patterns = None
     for turn in range(rounds):
