@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,11 +34,19 @@ def test_against_brute_force(spark, order):
     frame = spark.createDataFrame([(k, t, 1, "x") for k, t in docs], "doc_id bigint, text string, block int, gram string").repartition(4)
     got = sorted(((r["doc_id"], r["n_words"], round(r["score"], 6)) for r in lm.score(frame, order=order, block=F.coalesce("doc_id", F.lit(0)) % 3).collect()), key=str)
     assert got == sorted(((k, n, round(s, 6)) for k, n, s in brute(docs, order)), key=str)
-    by_default = sorted(((r["doc_id"], r["n_words"], round(r["score"], 6)) for r in lm.score(frame, order=order).collect()), key=str)
+    by_default = sorted(((r["doc_id"], r["n_words"], round(r["score"], 6)) for r in lm.score(frame, order=order, bucket_chars=500).collect()), key=str)
     assert by_default == got
     assert lm.score(frame.limit(0), order=order).count() == 0
 
 
+def test_packed_tables():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        gram, count = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * 2), rng.integers(1, 1 << 40, n)
+        got = lm.unpack(*lm.pack(gram, count[: len(gram)]))
+        assert (got[0] == gram).all() and (got[1] == count[: len(gram)]).all()
+
+
 def test_partial_rows_of_a_block_add_up(spark, monkeypatch):
     docs = [(i, f"w{i % 5} w{i % 7} w{i % 3}") for i in range(50)]
     monkeypatch.setattr(lm, "FLUSH", 1)
