@@ -274,6 +274,7 @@ def _one_by_one(fetched: DataFrame, length: int, place: list[str]) -> DataFrame:
 
     windows = fetched.mapInArrow(explode, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in kind)}, h1 bigint, h2 bigint")
     least = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "span")).alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    least = materialize(least, "first-windows")  # so that the join below can split a frequent window
     return windows.join(least, ["h1", "h2"]).filter(~F.struct(*place).eqNullSafe(F.col("least"))).select(*place)
 
 
