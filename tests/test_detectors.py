@@ -130,14 +130,38 @@ def stream(spark):
     return pd.concat(frames).sample(frac=1.0, random_state=0)
 
 
-@pytest.mark.parametrize("name", ["ddm", "eddm", "page_hinkley", "kswin"])
-def test_slices_equal_one_pass(spark, stream, name):
+@pytest.mark.parametrize("pieces", [1, 17])
+def test_adwin_follows_a_shift(pieces):
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.random(2000) < 0.1, rng.random(1000) < 0.6]).astype(float)
+    out = run(D.Adwin(), values, pieces)
+    changes = [i for i, k in out if k == "change"]
+    assert changes and 2000 <= changes[0] < 2080
+    assert run(D.Adwin(), values[:2000], pieces) == []
+
+
+def test_adaptive_window_keeps_its_sums():
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=777)
+    window = D.AdaptiveWindow(1e-9)
+    for x in values:
+        window.add(x)
+    assert sum(window.n) == 777 and window.n == sorted(window.n, reverse=True)
+    assert max(window.n.count(n) for n in window.n) <= D.AdaptiveWindow.PER_SIZE + 1
+    assert len(window.n) < 60
+    at = np.cumsum([0, *window.n])
+    np.testing.assert_allclose(window.total, [values[a:b].sum() for a, b in zip(at, at[1:])])
+    np.testing.assert_allclose(window.dev, [((values[a:b] - values[a:b].mean()) ** 2).sum() for a, b in zip(at, at[1:])], atol=1e-9)
+
+
+@pytest.mark.parametrize("name", ["ddm", "eddm", "page_hinkley", "kswin", "adwin"])
+def test_partitions_do_not_matter(spark, stream, name):
     df = spark.createDataFrame(stream)
     options = {"threshold": 5.0} if name == "page_hinkley" else {}
     key = lambda d: sorted(map(tuple, d.select("key", "seq", "kind").collect()))
     whole = key(D.detect(df, ["key"], "seq", F.col("e"), D.detector(name, **options)))
-    sliced = key(D.detect(df, ["key"], "seq", F.col("e"), D.detector(name, **options), max_rows_per_key=333))
-    assert whole == sliced and whole
+    spread = key(D.detect(df.repartition(13, "seq"), ["key"], "seq", F.col("e"), D.detector(name, **options)))
+    assert whole == spread and whole
 
 
 def test_stream_equals_batch_and_reports_late_rows(spark, stream, tmp_path):

@@ -126,12 +126,12 @@ def test_bag_recovers_from_a_flipped_concept(spark):
     assert out["swaps"].max() >= 4
 
 
-def test_bag_in_slices_equals_one_pass(spark):
+def test_bag_does_not_depend_on_partitions(spark):
     x, y = concept(700, flip=350)
     df = frame(spark, x, y, key=np.where(np.arange(700) % 3 == 0, 1, 2))
     pick = lambda d: sorted(map(tuple, d.select("key", "seq", "y_pred").collect()))
-    run = lambda **scan: pick(E.bagged_stream(df, ["key"], "seq", ["x0", "x1"], "label", 2, members=3, **scan))
-    assert run() == run(max_rows_per_key=101)
+    run = lambda d: pick(E.bagged_stream(d, ["key"], "seq", ["x0", "x1"], "label", 2, members=3))
+    assert run(df) == run(df.repartition(7, "seq"))
 
 
 @pytest.mark.parametrize("reinforced", [False, True])

@@ -24,16 +24,22 @@ def hash_normal(ident: Column, salt: str) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
+def poisson_range(lam: float) -> tuple[int, int]:
+    """First and last count that a 32-bit uniform draw can meet: 12 deviations and 30 to either side of the rate."""
+    reach = 12 * math.sqrt(lam) + 30
+    return max(0, math.floor(lam - reach)), math.ceil(lam + reach)
+
+
 def poisson_cdf(lam: float, tail: float = 1e-12) -> list[float]:
-    """Cumulative probabilities P(X <= k), k = 0, 1, ... until the remaining tail is negligible."""
-    cdf, term, total, k = [], math.exp(-lam), 0.0, 0
-    while True:
-        total += term
+    """Cumulative probabilities P(X <= k) from the first count of ``poisson_range`` until the tail is negligible."""
+    cdf, total = [], 0.0
+    first, last = poisson_range(lam)
+    for k in range(first, last + 1):
+        total += math.exp(k * math.log(lam) - lam - math.lgamma(k + 1))
         cdf.append(total)
-        if 1.0 - total < tail or k > 20 * (lam + 2):
-            return cdf
-        k += 1
-        term *= lam / k
+        if 1.0 - total < tail:
+            break
+    return cdf
 
 
 def hash_poisson(ident: Column, salt, lam: float) -> Column:
@@ -41,4 +47,5 @@ def hash_poisson(ident: Column, salt, lam: float) -> Column:
     if lam <= 0:
         return F.lit(0)
     table = F.array(*[F.lit(p) for p in poisson_cdf(lam, tail=1e-10)])
-    return let(hash_uniform(ident, salt), lambda u: F.size(F.filter(table, lambda p: p <= u)).cast("int"))
+    first = poisson_range(lam)[0]
+    return let(hash_uniform(ident, salt), lambda u: (F.size(F.filter(table, lambda p: p <= u)) + F.lit(first)).cast("int"))

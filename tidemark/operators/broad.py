@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans.blocks import fold_blocks, stream_past, sum_arrays
+from tidemark.plans.blocks import fold_blocks, partial_blocks, stream_past, sum_arrays
 from tidemark.session import materialize
 
 _ACT = {
@@ -123,7 +123,6 @@ class BroadLearner:
     sigma: float = 5.0
     anchor_k: int = 5
     graph_k: int = 10
-    max_chunk_rows: int = 5000
 
     def __post_init__(self):
         if self.mode not in ("plain", "anchor", "graph"):
@@ -140,15 +139,19 @@ class BroadLearner:
         np.put_along_axis(s, near, np.exp(-np.take_along_axis(d, near, 1) / (2 * self.sigma**2)), axis=1)
         return s / (s.sum(axis=1, keepdims=True) + 1e-10)
 
-    def laplacian(self, x: np.ndarray) -> np.ndarray:
-        d = ((x[:, None, :] - x[None]) ** 2).sum(axis=2)
-        np.fill_diagonal(d, np.inf)
-        k = min(self.graph_k, len(x) - 1)
-        adj = np.zeros_like(d)
-        if k > 0:
-            np.put_along_axis(adj, np.argsort(d, axis=1, kind="stable")[:, :k], 1.0, axis=1)
-        adj = np.maximum(adj, adj.T)
-        return np.diag(adj.sum(axis=1)) - adj
+    def graph_edges(self, x: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """Ends (i < j) of the undirected nearest-neighbour graph; distances are held for ``block`` rows at a time."""
+        k, n = min(self.graph_k, len(x) - 1), len(x)
+        found = [np.zeros(0, np.int64)]
+        for at in range(0, n if k > 0 else 0, block):
+            rows = np.arange(at, min(n, at + block))
+            d = ((x[rows, None, :] - x[None]) ** 2).sum(axis=2)
+            d[np.arange(len(rows)), rows] = np.inf
+            near = np.argsort(d, axis=1, kind="stable")[:, :k].ravel()
+            own = np.repeat(rows, k)
+            found.append(np.minimum(own, near) * n + np.maximum(own, near))
+        both = np.unique(np.concatenate(found))
+        return both // n, both % n
 
     def add(self, gram: np.ndarray, xty: np.ndarray, x: np.ndarray, y: np.ndarray, chunk: np.ndarray | None) -> None:
         """Add rows to the sums in place; a negative label means unlabelled."""
@@ -162,7 +165,10 @@ class BroadLearner:
             gram += self.gamma * gap.T @ gap
         elif self.mode == "graph":
             scaled = (x - np.asarray(self.nodes.mean)) / (np.asarray(self.nodes.std) + 1e-6) if self.nodes.mean else x
-            gram += self.gamma * a.T @ self.laplacian(scaled) @ a
+            i, j = self.graph_edges(scaled)
+            for at in range(0, len(i), 1 << 14):  # At L A is the sum over edges of the outer products of differences
+                gap = a[i[at : at + (1 << 14)]] - a[j[at : at + (1 << 14)]]
+                gram += self.gamma * gap.T @ gap
 
     def solve(self, gram: np.ndarray, xty: np.ndarray) -> np.ndarray:
         return np.linalg.solve(gram + self.reg * np.eye(len(gram)), xty)
@@ -170,9 +176,10 @@ class BroadLearner:
     # distributed plan ---------------------------------------------------------------------------
 
     def stats(self, df: DataFrame, by: list[str], chunk: str, features: str, label: str, salts: int = 1) -> DataFrame:
-        """(by*, chunk, n, gram, xty) per chunk; ``salts`` splits large chunks (not for graphs)."""
-        if self.mode == "graph":
-            salts = 1  # a chunk's graph needs the whole (bounded) chunk
+        """(by*, chunk, n, gram, xty) per chunk, from partial sums of the partitions as they are: rows are not shuffled.
+
+        Only a chunk's graph needs its rows together; the chunk length, a parameter of the run, bounds them.
+        """
         d, c = self.nodes.width, self.n_classes
         keys = [*by, chunk]
         rows = df.select(*keys, F.col(features).alias("__x"), F.coalesce(F.col(label), F.lit(-1)).cast("int").alias("__y")).filter(
@@ -186,8 +193,6 @@ class BroadLearner:
         def add(acc, part: pd.DataFrame):
             acc[0] += len(part)
             if self.mode == "graph":
-                if acc[0] > self.max_chunk_rows:
-                    raise ValueError(f"graph chunks may hold at most {self.max_chunk_rows} rows")
                 acc[3].append(part)
             else:
                 self._add_frame(acc, part, chunk)
@@ -198,8 +203,9 @@ class BroadLearner:
                 self._add_frame(acc, pd.concat(acc[3], ignore_index=True), chunk)
             return {"n": acc[0], "gram": acc[1].ravel(), "xty": acc[2].ravel()}
 
-        parts = fold_blocks(rows, keys, start, add, finish, schema, salts=salts)
-        return sum_arrays(parts, keys, ["gram", "xty"], ["n"]) if salts > 1 else parts
+        if self.mode == "graph":
+            return fold_blocks(rows, keys, start, add, finish, schema)
+        return sum_arrays(partial_blocks(rows, keys, start, add, finish, schema), keys, ["gram", "xty"], ["n"])
 
     def _add_frame(self, acc, part: pd.DataFrame, chunk: str) -> None:
         x = np.stack(part["__x"].to_numpy()).astype(float)

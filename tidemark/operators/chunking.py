@@ -63,7 +63,7 @@ class _Growing(Machine):
 
     inputs = ("features", "label")
     outputs = (("chunk_id", "bigint"), ("n_rows", "bigint"), ("p_value", "double"))
-    block, least, first, max_rows = 100, 5, 100, 10_000
+    block, least, first = 100, 5, 100
 
     def start(self):
         return dict(store=[], block=[], counts=[0, 0], closed=0, extra=None)
@@ -101,12 +101,12 @@ class VarianceChunks(_Growing):
 
     ``bags`` stumps are trained on the chunk; ``draws`` averages of ``team`` of them predict ``probes`` test
     rows.  F-tests on the probe variances with and without the newest block are combined by Fisher's
-    method; a combined p-value of at least ``delta`` closes the chunk before that block.  A chunk also
-    closes at ``max_rows``.
+    method; a combined p-value of at least ``delta`` closes the chunk before that block. A chunk
+    also closes at ``max_rows`` where one is given.
     """
 
     def __init__(self, *, bags: int = 1000, team: int = 100, draws: int = 250, probes: int = 10, delta: float = 0.05, block: int = 100,
-                 max_rows: int = 10_000, seed: int = 42):
+                 max_rows: int | None = None, seed: int = 42):
         self.bags, self.team, self.draws, self.probes, self.delta, self.seed = bags, team, draws, probes, delta, seed
         self.block = self.first = block
         self.max_rows = max_rows
@@ -136,7 +136,7 @@ class VarianceChunks(_Growing):
         tests = [1 - f_cdf(a / b, 99, 99) for a, b in zip(e["var"], var) if b]
         tests = [t for t in tests if t > 0]
         p = fisher_combine(tests) if tests else 1.0
-        if p < self.delta and len(both) < self.max_rows:
+        if p < self.delta and (self.max_rows is None or len(both) < self.max_rows):
             e["var"], s["store"] = var, both
             return 0, None
         x, y = self.arrays(s["store"])
@@ -150,12 +150,13 @@ class PermutationChunks(_Growing):
     """Closes a chunk when its stumps lose more G-mean on the next block than on shuffled splits.
 
     The loss on the newest block is ranked among losses on ``perms`` class-stratified re-splits of chunk and
-    block; a share below ``delta`` is a change.  A chunk also closes at ``max_rows``.
+    block; a share below ``delta`` is a change.  A chunk also closes at ``max_rows`` where one
+    is given.
     """
 
     least = 2
 
-    def __init__(self, *, perms: int = 100, bags: int = 100, delta: float = 0.05, block: int = 100, max_rows: int = 1000, seed: int = 42):
+    def __init__(self, *, perms: int = 100, bags: int = 100, delta: float = 0.05, block: int = 100, max_rows: int | None = None, seed: int = 42):
         self.perms, self.bags, self.delta, self.max_rows, self.seed = perms, bags, delta, max_rows, seed
         self.block = self.first = block
 
@@ -184,7 +185,7 @@ class PermutationChunks(_Growing):
                 test[mine[np.argsort(u[mine], kind="stable")[:size]]] = True
             worse += seen < self.loss((x[~test], y[~test]), (x[test], y[test]), 1 + i)
         p = (1 + worse) / (self.perms + 1)
-        if p < self.delta or len(s["store"]) >= self.max_rows:
+        if p < self.delta or (self.max_rows is not None and len(s["store"]) >= self.max_rows):
             closed, s["store"] = len(s["store"]), block
             return closed, p
         s["store"] = s["store"] + block

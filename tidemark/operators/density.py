@@ -80,23 +80,33 @@ def mvn_logpdf(df: DataFrame, models: BatchDensities, model_of: str, name: str =
         name: models.logpdf(f[models.features].to_numpy(dtype=float), models.index(f[model_of].to_numpy()))})
 
 
-def batch_densities(df: DataFrame, models: BatchDensities, batch: str, window: int | None = None) -> DataFrame:
-    """Add p_new, p_own, p_mean and p_near: density under the newest batch, the row's own batch, the
-    mean over batches, and the mean over batches within ``window`` of the row's own."""
+def batch_densities(
+    df: DataFrame, models: BatchDensities, batch: str, window: int | None = None, *, need: tuple[str, ...] = ("new", "own", "mean", "near")
+) -> DataFrame:
+    """Add p_new, p_own, p_mean and p_near: density under the newest batch, the row's own batch, the mean over
+    batches, and the mean over the ``window`` batches before the row's own, its own, and the ``window`` - 1 after it
+    (the first batch: its own only).  ``need`` names those to add; models that none of them uses are not evaluated."""
     last = len(models.batches) - 1
+    names = [n for n in ("new", "own", "mean", "near") if n in need and (n != "near" or window is not None)]
 
     def fn(f: pd.DataFrame) -> dict:
-        p = np.exp(models.logpdf(f[models.features].to_numpy(dtype=float)))
-        own = models.index(f[batch].to_numpy())
-        out = {"p_new": p[:, last], "p_own": np.where(own >= 0, p[np.arange(len(p)), np.maximum(own, 0)], np.nan), "p_mean": p.mean(axis=1)}
-        if window is not None:
+        x, own = f[models.features].to_numpy(dtype=float), models.index(f[batch].to_numpy())
+        out = {}
+        if "new" in names:
+            out["p_new"] = np.exp(models.logpdf(x, np.full(len(x), last)))
+        if "own" in names:
+            out["p_own"] = np.exp(models.logpdf(x, own))
+        if "mean" in names or "near" in names:
+            p = np.exp(models.logpdf(x))
+            out |= {"p_mean": p.mean(axis=1)} if "mean" in names else {}
+        if "near" in names:
             total = np.concatenate([np.zeros((len(p), 1)), np.cumsum(p, axis=1)], axis=1)
-            lo, hi = np.maximum(own - window, 0), np.minimum(own + window, last) + 1
+            lo, hi = np.maximum(own - window, 0), np.where(own == 0, 1, np.minimum(own + window, last + 1))
             rows = np.arange(len(p))
             out["p_near"] = (total[rows, hi] - total[rows, lo]) / (hi - lo)
         return out
 
-    return _map(df, ["p_new", "p_own", "p_mean", *(["p_near"] if window is not None else [])], fn)
+    return _map(df, [f"p_{n}" for n in names], fn)
 
 
 def kde_logpdf(query: DataFrame, ref: DataFrame, by: list[str], features: list[str], ident: str, *, bandwidth: float = 1.0, tile: int = 2048) -> DataFrame:

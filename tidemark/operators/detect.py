@@ -205,7 +205,108 @@ class Kswin(Machine):
         return (seen, held), _alarms(rows, ["change"] * len(rows), values)
 
 
-DETECTORS = {"ddm": Ddm, "eddm": Eddm, "page_hinkley": PageHinkley, "kswin": Kswin}
+class AdaptiveWindow:
+    """A window of the newest values that shrinks while two of its parts differ in mean.
+
+    Values are held as buckets of 1, 2, 4, ... elements with their sum and squared deviations, at most
+    ``PER_SIZE`` + 1 of a size, so memory grows with the logarithm of the window.
+    """
+
+    PER_SIZE = 5
+
+    def __init__(self, delta: float, state: tuple | None = None):
+        self.delta = delta
+        self.n, self.total, self.dev = (list(x) for x in state) if state else ([], [], [])
+
+    def state(self) -> tuple:
+        return tuple(self.n), tuple(self.total), tuple(self.dev)
+
+    def _join(self, i: int) -> None:
+        """Merge bucket i with the one after it."""
+        a, b = self.n[i], self.n[i + 1]
+        gap = self.total[i] / a - self.total[i + 1] / b
+        self.dev[i] += self.dev[i + 1] + gap * gap * a * b / (a + b)
+        self.n[i] += b
+        self.total[i] += self.total[i + 1]
+        for part in (self.n, self.total, self.dev):
+            del part[i + 1]
+
+    def add(self, x: float) -> None:
+        self.n.append(1)
+        self.total.append(float(x))
+        self.dev.append(0.0)
+        size = 1
+        while True:
+            first = next(i for i, n in enumerate(self.n) if n <= size)
+            if self.n[first] != size or sum(n == size for n in self.n) <= self.PER_SIZE:
+                return
+            self._join(first)
+            size *= 2
+
+    def shrink(self) -> bool:
+        """Drop oldest buckets while some cut separates two different means; true if any went."""
+        cut = False
+        while len(self.n) > 1:
+            n, total = np.cumsum(self.n), np.cumsum(self.total)
+            size, mean = n[-1], total[-1] / n[-1]
+            spread = sum(self.dev) + float(((np.array(self.total) / self.n - mean) ** 2 * self.n).sum())
+            n0, n1 = n[:-1], size - n[:-1]
+            gap = np.abs(total[:-1] / n0 - (total[-1] - total[:-1]) / n1)
+            m = 1 / (1 / n0 + 1 / n1)
+            level = np.log(2 * np.log(max(size, 3)) / self.delta)
+            bound = np.sqrt(2 / m * spread / size * level) + 2 / (3 * m) * level
+            if not (gap > bound).any():
+                break
+            for part in (self.n, self.total, self.dev):
+                del part[0]
+            cut = True
+        return cut
+
+    @property
+    def mean(self) -> float:
+        return sum(self.total) / sum(self.n) if self.n else 0.0
+
+
+class Adwin(Machine):
+    """Adaptive windowing with one window for warnings and a stricter one for changes.
+
+    The windows are tested every ``clock`` values of a key.  A cut that raises the mean of the strict window signals a
+    change and restarts the other; a cut of the other that raises its mean warns.
+    """
+
+    inputs = ("x",)
+    outputs = ALARM
+
+    def __init__(self, change: float = 0.001, warning: float = 0.01, clock: int = 8):
+        self.change, self.warning, self.clock = change, warning, clock
+
+    def start(self):
+        return 0, None, None
+
+    def feed(self, state, cols):
+        seen, strict, loose = state
+        strict, loose = AdaptiveWindow(self.change, strict), AdaptiveWindow(self.warning, loose)
+        rows, kinds, values = [], [], []
+        for i, x in enumerate(cols["x"].tolist()):
+            strict.add(x)
+            loose.add(x)
+            seen += 1
+            if seen % self.clock:
+                continue
+            before, early = strict.mean, loose.mean
+            if strict.shrink() and strict.mean > before:
+                kind, loose = "change", AdaptiveWindow(self.warning)
+            elif loose.shrink() and loose.mean > early:
+                kind = "warning"
+            else:
+                continue
+            rows.append(i)
+            kinds.append(kind)
+            values.append(strict.mean)
+        return (seen, strict.state(), loose.state()), _alarms(rows, kinds, values)
+
+
+DETECTORS = {"ddm": Ddm, "eddm": Eddm, "page_hinkley": PageHinkley, "kswin": Kswin, "adwin": Adwin}
 
 
 def detector(name: str, **options) -> Machine:

@@ -556,14 +556,13 @@ def _leaf_expr(tree: list[_Leaf], at: int = 0) -> str:
 
 
 def hoeffding_tree(
-    df: DataFrame, chunk: str, features: list[str], label: str, classes: list[int], *, bins: int = 10, delta: float = 1e-3, max_leaves: int = 64,
+    df: DataFrame, chunk: str, features: list[str], label: str, classes: list[int], *, bins: int = 10, delta: float = 1e-3,
 ) -> DataFrame:
     """Prequential split tree that grows at most one level per chunk.
 
     A chunk is routed to leaves by one expression and predicted by the leaf's majority class; then the
-    leaves where the best split is sure by the Hoeffding bound are split.  The driver keeps the tree
-    (at most ``max_leaves`` leaves); every chunk is one aggregation over its rows and one over the
-    rows seen so far.
+    leaves where the best split is sure by the Hoeffding bound are split.  The driver keeps the tree, which
+    grows with the sure splits only; every chunk is one aggregation over its rows and one over the rows seen so far.
     """
     tree = [_Leaf([0] * len(classes))]
     parts = []
@@ -575,8 +574,6 @@ def hoeffding_tree(
         for r in seen.groupBy("leaf").agg(*[F.count_if(F.col(label) == k).alias(f"n{i}") for i, k in enumerate(classes)]).collect():
             tree[r["leaf"]].counts = [r[f"n{i}"] for i in range(len(classes))]
         for r in hoeffding_split_stats(seen, "leaf", features, label, classes, bins=bins, delta=delta).filter("split").collect():
-            if sum(n.feature is None for n in tree) >= max_leaves:
-                break
             node = tree[r["leaf"]]
             node.feature, node.cut, node.low, node.high = r["feature"], float(r["cut"]), len(tree), len(tree) + 1
             tree += [_Leaf(list(node.counts)), _Leaf(list(node.counts))]

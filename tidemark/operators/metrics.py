@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.scan import running, with_global_seq
+from tidemark.session import materialize
 
 
 def _sum_if(cond: Column) -> Column:
@@ -163,33 +164,50 @@ def metric_band(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return agg.withColumns({"lower": F.col("mean") - F.col("std"), "upper": F.col("mean") + F.col("std")})
 
 
+def won_pairs(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
+    """Per group and ``interval``: pairs of a positive and a negative row, the later of them in that interval, that the
+    positive wins (ties count half), as ``__won``.
+
+    Each pair of different intervals meets once, at the level where their halves of a binary tree of intervals part,
+    and pairs of one interval at level -1.  A level is one scan over the scores: no pair is built, and a row is copied
+    once per level, that is with the logarithm of the number of intervals.
+    """
+    y = F.col(label)
+    steps = df.groupBy(*by, "interval", F.col(score).alias("__s")).agg(_sum_if(y == 1).alias("__p"), _sum_if(y == 0).alias("__n"))
+    steps = materialize(steps, "score-steps")
+    last = steps.agg(F.max("interval")).first()[0] or 0
+    levels = F.explode(F.sequence(F.lit(-1), F.lit(int(last).bit_length() - 1)))
+    spread = steps.withColumn("__level", levels)
+    node = F.when(F.col("__level") < 0, F.col("interval")).otherwise(F.expr("shiftright(interval, __level + 1)"))
+    late = (F.col("__level") < 0) | (F.expr("shiftright(interval, greatest(__level, 0)) & 1") == 1)
+    early = (F.col("__level") < 0) | ~late
+    spread = materialize(spread.withColumns({"__node": node, "__late": late, "__early": early}), "score-levels")
+    key = [*by, "__level", "__node"]
+    first = spread.groupBy(*key, "__s").agg(*[F.sum(F.when(F.col("__early"), F.col(c)).otherwise(0)).alias(f"{c}0") for c in ("__p", "__n")])
+    ordered = with_global_seq(first, [*key, "__s"], name="__at")
+    below = running(ordered, key, "__at", {"__pb": ("sum", F.col("__p0")), "__nb": ("sum", F.col("__n0"))}, exclusive=True)
+    totals = first.groupBy(*key).agg(F.sum("__p0").alias("__pt"))
+    met = spread.filter("__late").join(below, [*key, "__s"]).join(totals, key)
+    wins = F.col("__p") * (F.col("__nb") + F.col("__n0") / 2.0)  # of its positives over earlier negatives
+    losses = F.col("__n") * (F.col("__pt") - F.col("__pb") - F.col("__p0") / 2.0)  # of earlier positives over its negatives
+    return met.groupBy(*by, "interval").agg(F.sum(wins + F.when(F.col("__level") < 0, 0.0).otherwise(losses)).alias("__won"))
+
+
 def prequential_imbalance(
-    df: DataFrame, by: list[str], interval: int, resets: list[int], bins: int = 20, score: str = "score", seq: str = "seq"
+    df: DataFrame, by: list[str], interval: int, resets: list[int], score: str = "score", seq: str = "seq"
 ) -> DataFrame:
     """G-mean, F1, minority recall and AUC since the last reset, at each interval end.
 
-    ``resets`` are positions starting a new segment.  Scores in [0, 1] are counted on a grid of
-    ``bins`` cells, so AUC is exact for scores on that grid.
+    ``resets`` are positions starting a new segment.  The area is exact for any scores.
     """
     t, p = F.col("y_true"), F.col("y_pred")
     segment = reduce(add, [(F.col(seq) >= r).cast("int") for r in resets], F.lit(0))
-    cell = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
-    base = df.withColumns({"segment": segment, "__cell": cell})
-    parts = {
-        "__tp": (t == 1) & (p == 1), "__tn": (t == 0) & (p == 0), "__fp": (t == 0) & (p == 1), "__fn": (t == 1) & (p == 0),
-        **{f"__P{b}": (t == 1) & (F.col("__cell") == b) for b in range(bins)},
-        **{f"__N{b}": (t == 0) & (F.col("__cell") == b) for b in range(bins)},
-    }
-    per = base.groupBy(*by, "segment", _interval(seq, interval)).agg(
-        *[_sum_if(c).alias(f"x{n}") for n, c in parts.items()], F.max(seq).alias("seq"))
-    run = running(per, [*by, "segment"], "interval", {n: ("sum", f"x{n}") for n in parts})
-    pos = F.array(*[F.col(f"__P{b}") for b in range(bins)])
-    neg = F.array(*[F.col(f"__N{b}") for b in range(bins)])
-    pairs = F.aggregate(
-        F.arrays_zip(pos.alias("a"), neg.alias("b")),
-        F.struct(F.lit(0.0).alias("won"), F.lit(0).cast("bigint").alias("below")),
-        lambda acc, z: F.struct(
-            (acc["won"] + z["a"] * (acc["below"] + z["b"] / 2.0)).alias("won"), (acc["below"] + z["b"]).cast("bigint").alias("below")))
+    base = df.withColumns({"segment": segment, "interval": _interval(seq, interval)})
+    parts = {"__tp": (t == 1) & (p == 1), "__tn": (t == 0) & (p == 0), "__fp": (t == 0) & (p == 1), "__fn": (t == 1) & (p == 0)}
+    per = base.groupBy(*by, "segment", "interval").agg(*[_sum_if(c).alias(f"x{n}") for n, c in parts.items()], F.max(seq).alias("seq"))
+    won = won_pairs(base, [*by, "segment"], score, "y_true").withColumnRenamed("__won", "x__won")
+    per = per.join(won, [*by, "segment", "interval"], "left").fillna(0.0, ["x__won"])
+    run = running(per, [*by, "segment"], "interval", {n: ("sum", f"x{n}") for n in [*parts, "__won"]})
     n_pos, n_neg = F.col("__tp") + F.col("__fn"), F.col("__tn") + F.col("__fp")
-    area = F.when((n_pos == 0) | (n_neg == 0), 0.0).otherwise(pairs["won"] / n_pos / n_neg)
+    area = F.when((n_pos == 0) | (n_neg == 0), 0.0).otherwise(F.col("__won") / n_pos / n_neg)
     return run.select(*by, "segment", "interval", "seq", *_imbalance_columns(), area.alias("auc"))

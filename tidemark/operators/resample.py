@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,18 +84,33 @@ def adaptive_smote(df: DataFrame, block: str, label: str, ident: str, features:
     return both.select(block, "draw", mixed.alias("features"), F.col("__minor").alias(label))
 
 
-def poisson_quantile(u: Column, lam: Column, most: int = 60) -> Column:
-    """Poisson draw for a rate that differs by row: count of cumulative probabilities reached."""
-    steps = F.sequence(F.lit(1), F.lit(most))
+def _log_factorial(k: Column) -> Column:
+    """ln k! by Stirling's series, exact to rounding from k = 10."""
+    return k * F.log(k) - k + 0.5 * F.log(2 * math.pi * k) + 1 / (12 * k) - 1 / (360 * k**3) + 1 / (1260 * k**5) - 1 / (1680 * k**7)
+
+
+def poisson_quantile(u: Column, lam: Column) -> Column:
+    """Poisson draw for a rate that differs by row: count of cumulative probabilities reached.
+
+    The terms run over the counts within 12 deviations and 30 of the rate, which is all that a 32-bit draw can
+    meet; the first is taken in logarithms, so a large rate does not underflow.
+    """
+
+    def bounded(p: Column) -> Column:
+        reach = 12 * F.sqrt(p["lam"]) + 30
+        low = F.floor(p["lam"] - reach)
+        return F.struct(p["u"].alias("u"), p["lam"].alias("lam"), F.when(low < 10, 0).otherwise(low).cast("bigint").alias("low"),
+                        F.ceil(p["lam"] + reach).cast("bigint").alias("high"))
 
     def draw(p: Column) -> Column:
-        first = F.exp(-p["lam"])
-        start = F.struct(first.alias("term"), first.alias("cdf"), F.lit(0).alias("k"))
-        return F.aggregate(steps, start, lambda a, i: F.struct(
+        low = p["low"].cast("double")
+        first = F.when(p["low"] == 0, F.exp(-p["lam"])).otherwise(F.exp(low * F.log(p["lam"]) - p["lam"] - _log_factorial(low)))
+        start = F.struct(first.alias("term"), first.alias("cdf"), p["low"].alias("k"))
+        return F.aggregate(F.sequence(p["low"] + 1, p["high"]), start, lambda a, i: F.struct(
             (a["term"] * p["lam"] / i).alias("term"), (a["cdf"] + a["term"] * p["lam"] / i).alias("cdf"),
-            (a["k"] + F.when(a["cdf"] <= p["u"], 1).otherwise(0)).alias("k")))["k"]
+            (a["k"] + F.when(a["cdf"] <= p["u"], 1).otherwise(0)).alias("k")))["k"].cast("int")
 
-    return let(F.struct(u.alias("u"), lam.alias("lam")), draw)
+    return let(F.struct(u.alias("u"), lam.alias("lam")), lambda p: let(bounded(p), draw))
 
 
 # fixed values: Poisson rate of each bagging scheme; None depends on the class balance so far

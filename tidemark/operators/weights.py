@@ -19,9 +19,10 @@ from tidemark.session import materialize
 def scale_weights(df: DataFrame, raw: Column, *, clip: float | None = 100.0, normalize: bool = True, unit_l2: bool = False, name: str = "weight") -> DataFrame:
     """Clip raw weights to [0, clip] and scale them to sum to the row count.
 
-    Sums are one small aggregate.  ``unit_l2`` first divides by the Euclidean norm.
+    The raw weights are written once, so what they are computed from runs once; their sums are small aggregates of
+    the written table.  ``unit_l2`` first divides by the Euclidean norm.
     """
-    out = df.withColumn(name, raw.cast("double"))
+    out = materialize(df.withColumn(name, raw.cast("double")), "raw-weights")
     if unit_l2:
         norm = out.agg(F.sqrt(F.sum(F.col(name) * F.col(name)))).first()[0] or 1.0
         out = out.withColumn(name, F.col(name) / F.lit(norm))
@@ -64,6 +65,7 @@ def weight_power_law(df: DataFrame, lam: float | None = 0.9, s: float = -1.0, *,
     w = F.greatest(ratio, F.lit(1e-300))
     mixed = lambda x: F.pow((1 - x) * F.pow(w, F.lit(s)) + x, F.lit(1.0 / s))
     if lam is None:
+        df = materialize(df, "densities")
         lo, hi = 0.0, 1.0
         for _ in range(5):
             grid = [lo + (hi - lo) * i / 16 for i in range(1, 17)]

@@ -133,6 +133,32 @@ def fold_blocks(
     return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
+def partial_blocks(
+    rows: DataFrame, by: list[str], start: Callable, add: Callable, finish: Callable, schema: T.StructType, *, hold: int = 64
+) -> DataFrame:
+    """Like ``fold_blocks``, over the partitions as they are: no shuffle, and several partial rows per block.
+
+    A task keeps ``hold`` accumulators and emits them all when it meets more blocks; add the rows up by block.
+    """
+
+    def run(frames):
+        held: dict = {}
+
+        def rows_of():
+            return pd.DataFrame([{**dict(zip(by, key)), **finish(acc)} for key, acc in held.items()])
+
+        for frame in frames:
+            for key, part in frame.groupby(by, sort=False, dropna=False):
+                if key not in held and len(held) >= hold:
+                    yield rows_of()
+                    held = {}
+                held[key] = add(held[key] if key in held else start(), part)
+        if held:
+            yield rows_of()
+
+    return rows.mapInPandas(run, schema)
+
+
 def tile_stream(
     query: DataFrame, ref: DataFrame, by: list[str], order: str, begin: Callable, update: Callable, finish: Callable, schema: T.StructType, *,
     tile: int = 2048,

@@ -1,25 +1,18 @@
 """Sequential state machines, one per key, without loading a key's history at once.
 
 Rows are shuffled by key, sorted by position, and fed to the machine in Arrow batches, with the
-state carried from batch to batch.  A key with more than ``max_rows_per_key`` rows is cut into
-slices that run one after the other; between slices its state is a row of a written table, so a
-hot key costs more rounds rather than more memory, and a lost executor repeats one slice only.
+state carried from batch to batch, so memory does not grow with a key's rows.  The order of a
+sequential rule cannot be parallelised inside one key: choose keys that grow with the data, or the
+chunked (additive) operators where one stream must be spread.
 """
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans.scan import with_seq
-from tidemark.session import scratch_path
-
-MAX_ROWS_PER_KEY = 2_000_000
 
 
 class Machine:
@@ -40,37 +33,22 @@ class Machine:
         raise NotImplementedError
 
 
-def _runner(machine: Machine, keys: list[str], order: str, keep: list[str], slice_rows: int | None):
+def _runner(machine: Machine, keys: list[str], order: str, keep: list[str]):
     names = [n for n, _ in machine.outputs]
     carried_over = [*keys, order, *keep]
 
     def run(batches):
-        current, state, seen = None, None, 0
-
-        def closing():
-            # a key can only continue in the next slice if this slice was full
-            if slice_rows is None or current is None or seen < slice_rows:
-                return []
-            return [{**dict(zip(keys, current)), "__state": pickle.dumps(state)}]
-
+        current, state = None, None
         for frame in batches:
             if frame.empty:
                 continue
             cols = {c: frame[c].to_numpy() for c in dict.fromkeys([*keys, *machine.inputs])}
-            saved = frame["__state"].to_numpy() if slice_rows is not None else None
-            picked, outs, carried = [], {n: [] for n in names}, []
+            picked, outs = [], {n: [] for n in names}
             edges = _edges([cols[k] for k in keys], len(frame))
             for lo, hi in zip(edges[:-1], edges[1:]):
                 key = tuple(None if pd.isna(cols[k][lo]) else cols[k][lo] for k in keys)
                 if key != current:
-                    carried += closing()
-                    current, state, seen = key, machine.start(), 0
-                if saved is not None and saved[lo] is not None:  # the state row sorts first
-                    state = pickle.loads(saved[lo])
-                    lo += 1
-                    if lo == hi:
-                        continue
-                seen += hi - lo
+                    current, state = key, machine.start()
                 state, out = machine.feed(state, {c: cols[c][lo:hi] for c in machine.inputs})
                 rows = np.asarray(out["row"], dtype=np.int64)
                 if len(rows):
@@ -82,11 +60,6 @@ def _runner(machine: Machine, keys: list[str], order: str, keep: list[str], slic
                 for n in names:
                     result[n] = _joined(outs[n])
                 yield result
-            if carried:
-                yield pd.DataFrame(carried)
-        done = closing()
-        if done:
-            yield pd.DataFrame(done)
 
     return run
 
@@ -114,7 +87,6 @@ def keyed_scan(
     machine: Machine,
     *,
     keep: tuple[str, ...] = (),
-    max_rows_per_key: int = MAX_ROWS_PER_KEY,
 ) -> DataFrame:
     """Run ``machine`` over each key in ``order`` and return the rows it emits."""
     if not keys:
@@ -126,41 +98,8 @@ def keyed_scan(
         [narrow.schema[c] for c in [*keys, order, *keep]]
         + [T.StructField(n, T._parse_datatype_string(t)) for n, t in machine.outputs]
     )
-    longest = narrow.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if longest <= max_rows_per_key:
-        ready = narrow.repartition(*keys).sortWithinPartitions(*keys, order)
-        return ready.mapInPandas(_conform(_runner(machine, keys, order, keep, None), out), out)
-
-    spark = df.sparkSession
-    root = scratch_path(spark, "keyed-scan")
-    numbered = with_seq(narrow, keys, order, name="__rn")
-    sliced = numbered.withColumn("__slice", F.expr(f"(__rn - 1) div {int(max_rows_per_key)}")).drop("__rn")
-    sliced.write.partitionBy("__slice").parquet(f"{root}/in")
-    source = spark.read.schema(sliced.schema).parquet(f"{root}/in")
-    full = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in out], T.StructField("__state", T.BinaryType())])
-    run = _conform(_runner(machine, keys, order, keep, max_rows_per_key), full)
-    carried = None
-    rounds = -(-longest // max_rows_per_key)
-    for i in range(rounds):
-        part = source.filter(F.col("__slice") == i).drop("__slice").withColumn("__state", F.lit(None).cast("binary"))
-        if carried is not None:
-            # state rows sort first and hold no nulls in numeric columns, so batches keep integer types
-            filler = {
-                f.name: (F.lit(-(1 << 62)) if f.name == order else F.lit(0)).cast(f.dataType)
-                for f in part.schema
-                if f.name not in (*keys, "__state") and isinstance(f.dataType, T.NumericType)
-            }
-            part = part.unionByName(carried.withColumns(filler), allowMissingColumns=True)
-        ready = part.repartition(*keys).sortWithinPartitions(*keys, order)
-        ready.mapInPandas(run, full).write.parquet(f"{root}/out/__round={i}")
-        carried = (
-            spark.read.schema(full).parquet(f"{root}/out/__round={i}")
-            .filter(F.col("__state").isNotNull()).select(*keys, "__state")
-        )
-    return (
-        spark.read.schema(full).parquet(*[f"{root}/out/__round={i}" for i in range(rounds)])
-        .filter(F.col("__state").isNull()).drop("__state")
-    )
+    ready = narrow.repartition(*keys).sortWithinPartitions(*keys, order)
+    return ready.mapInPandas(_conform(_runner(machine, keys, order, keep), out), out)
 
 
 def _conform(run, schema: T.StructType):

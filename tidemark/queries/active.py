@@ -14,19 +14,19 @@ from tidemark.operators import select as Q
 from tidemark.queries import query
 from tidemark.queries.base import EV, SCORED, events, fold_sql, recursive, scored, vectors, with_
 from tidemark.queries.metrics import nb_stats_sql
-from tidemark.runner import BayesModel, BroadModel, annotation_rate, prequential_active, replay_refit
+from tidemark.runner import BayesModel, BroadModel, active_by_name, annotation_rate, prequential_active, replay_refit
 
 
 @query("variance_chunks", "C3", "G16")
 def _(spark, sf):
-    machine = CK.VarianceChunks(bags=200, team=50, draws=50, block=60)
-    return CK.growing_chunks(events(spark, sf), ["hr"], "seq", ["cents", "k"], "y_sudden", machine).withColumn("p_value", F.round("p_value", 6))
+    machine = CK.VarianceChunks(block=15)
+    return CK.growing_chunks(events(spark, sf), ["user_id"], "seq", ["cents", "k"], "y_sudden", machine).withColumn("p_value", F.round("p_value", 6))
 
 
 @query("permutation_chunks", "C4")
 def _(spark, sf):
-    machine = CK.PermutationChunks(perms=20, bags=30, block=60)
-    return CK.growing_chunks(events(spark, sf), ["hr"], "seq", ["cents", "k"], "y_sudden", machine).withColumn("p_value", F.round("p_value", 6))
+    machine = CK.PermutationChunks(block=15)
+    return CK.growing_chunks(events(spark, sf), ["user_id"], "seq", ["cents", "k"], "y_sudden", machine).withColumn("p_value", F.round("p_value", 6))
 
 
 @query("variance_f_test", "G16")
@@ -100,24 +100,34 @@ def _(spark, sf):
 AF = ["cents", "k"]
 
 
-def _in_chunks(e, n):
-    """``n`` chunks of equal length over the whole stream."""
-    size = -(-e.count() // n)
+def _in_chunks(e, size):
     return e.withColumn("chunk_id", F.expr(f"(seq - 1) div {size}"))
 
 
 @query("prequential_active", "R2", "Q2")
 def _(spark, sf):
-    e = _in_chunks(events(spark, sf), 10)
+    e = _in_chunks(events(spark, sf), 1000)
     model = BayesModel(AF, "y_sudden", [0, 1])
     run = prequential_active(e, model, "chunk_id", "y_sudden", lambda d: Q.query_margin_fixed(d, "proba", 0.5))
     return run.groupBy("chunk_id").agg(F.count("*").alias("n"), F.count_if("is_queried").alias("asked"),
                                        F.round(F.avg((F.col("y_sudden") == F.col("y_pred")).cast("int")), 6).alias("accuracy"))
 
 
+@query("active_by_name", "R2", "Q3", "Q7")
+def _(spark, sf):
+    """Three selectors over naive Bayes, by their names: rows, questions and accuracy."""
+    e, out = _in_chunks(events(spark, sf), 2500), None
+    for name in ("margin_variable", "submodular", "random"):
+        run = active_by_name(e, "naive_bayes", name, chunk="chunk_id", order="seq", features=AF, label="y_sudden", n_classes=2, keys=["user_id"])
+        part = run.groupBy("chunk_id").agg(F.count("*").alias("n"), F.count_if("is_queried").alias("asked"),
+                                           F.round(F.avg((F.col("y_sudden") == F.col("y_pred")).cast("int")), 6).alias("accuracy")).withColumn("selector", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("prequential_active_topk", "R2", "T1", "Q10")
 def _(spark, sf):
-    e = _in_chunks(events(spark, sf), 4)
+    e = _in_chunks(events(spark, sf), 2500)
 
     def least_sure(d):
         ranked = Q.query_topk_per_chunk(d.withColumn("m", range_margin(F.col("proba"))), ["chunk_id"], "m", "seq", 200).select("seq", F.lit(True).alias("is_queried"))
@@ -129,9 +139,9 @@ def _(spark, sf):
 
 @query("prequential_active_semi", "R2", "L4", "Q1")
 def _(spark, sf):
-    v = vectors(spark, sf, 8).withColumn("chunk_id", F.expr("(seq - 1) div 100"))
+    v = vectors(spark, sf).withColumn("chunk_id", F.expr("(seq - 1) div 100"))
     warm = v.filter(F.col("seq") <= 100)
-    nodes = B.NodeMap.fitted(warm, "features", 8, nf=4, n1=5, ne=2, n2=10)
+    nodes = B.NodeMap.fitted(warm, "features", 64)
     anchors = np.array([r["features"] for r in warm.filter(F.col("seq") <= 20).orderBy("seq").select("features").collect()])
     model = BroadModel(B.BroadLearner(nodes, 3, mode="anchor", anchors=anchors), "features", "label", "chunk_id")
     run = prequential_active(v, model, "chunk_id", "label", lambda d: d.withColumn("is_queried", hash_uniform(F.col("vec_id"), "ask") < 0.4), semi=True)

@@ -12,17 +12,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def widen(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table of fewer files than cores over the cores; a table of many files stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
-
-
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """Keyed binary stream: y marks error events, y_sudden is a planted concept that flips mid-month."""
     high = F.col("value") > 40
     before = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
-    return widen(table(spark, sf, "events"), "event_id").select(
+    return table(spark, sf, "events").select(
         "user_id",
         "event_id",
         (F.col("event_id") + 1).alias("seq"),
@@ -49,7 +43,7 @@ CLASSES = ["click", "error", "purchase", "signup", "view"]
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Long prediction table of two methods over three rounds, right for a hashed share of rows."""
-    e = widen(table(spark, sf, "events"), "event_id")
+    e = table(spark, sf, "events")
     truth = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("event_type")).cast("int") - 1
     runs = F.explode(
         F.array(*[F.struct(F.lit(m).alias("method"), F.lit(r).alias("round")) for m in ("nb", "ridge") for r in (0, 1, 2)])
@@ -83,7 +77,7 @@ def uniform_sql(ident: str, salt: str) -> str:
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Line items with a planted three-class concept, a planted regression target and ship month."""
-    li = widen(table(spark, sf, "lineitem").drop("l_linestatus"), "l_orderkey")
+    li = table(spark, sf, "lineitem").drop("l_linestatus")
     ident = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
     price = F.col("l_quantity") * (100 - F.round(F.col("l_discount") * 100))
     noisy = hash_uniform(F.col("rid"), "label")
@@ -141,7 +135,7 @@ VEC = """vec AS (
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Numeric document features over whole texts, an imbalanced planted label, and given labels where known."""
-    d = widen(table(spark, sf, "documents"), "doc_id")
+    d = table(spark, sf, "documents")
     lab = table(spark, sf, "labels")
     t = F.col("text")
     return d.select(

@@ -61,7 +61,7 @@ def ph_fold(source: str, key: str, tag: str = "", threshold: float = 50.0) -> st
 
 
 ERR = "SELECT user_id, seq, y AS x FROM ev"
-DENSE = "SELECT hr, seq, CAST(k < 60 AS INT) AS x FROM ev"
+DENSE = "SELECT user_id, seq, CAST(k < 60 AS INT) AS x FROM ev"
 VALUE = "SELECT user_id, seq, CAST(k AS DOUBLE) AS x FROM ev"
 KIND = "CASE WHEN chg THEN 'change' ELSE 'warning' END AS kind"
 
@@ -78,8 +78,9 @@ def _(spark, sf):
 
 @query("detect_ddm_sliced", "D1", sql=recursive(EV, ddm_fold(ERR, "user_id")) + f"SELECT user_id, seq, {KIND}, round(p, 6) AS estimation FROM f WHERE rn > 0 AND (chg OR wrn)")
 def _(spark, sf):
-    """The same detector with a small bound on rows per key and round, as a hot key would run."""
-    out = D.detect(events(spark, sf), ["user_id"], "seq", F.col("y"), D.Ddm(), max_rows_per_key=40)
+    """The same detector over errors that arrive in other partitions: the shuffle alone decides the order."""
+    e = events(spark, sf).repartition(16, "seq")
+    out = D.detect(e, ["user_id"], "seq", F.col("y"), D.Ddm())
     return out.withColumn("estimation", F.round("estimation", 6))
 
 
@@ -91,9 +92,9 @@ def _(spark, sf):
     return D.ddm_first_alarm(events(spark, sf), ["user_id"], "seq", "y")
 
 
-@query("detect_eddm", "D2", sql=recursive(EV, eddm_fold(DENSE, "hr")) + f"SELECT hr, seq, {KIND}, round(mean, 6) AS estimation FROM f WHERE rn > 0 AND (chg OR wrn)")
+@query("detect_eddm", "D2", sql=recursive(EV, eddm_fold(DENSE, "user_id")) + f"SELECT user_id, seq, {KIND}, round(mean, 6) AS estimation FROM f WHERE rn > 0 AND (chg OR wrn)")
 def _(spark, sf):
-    return D.detect(events(spark, sf), ["hr"], "seq", (F.col("k") < 60).cast("int"), D.Eddm()).withColumn("estimation", F.round("estimation", 6))
+    return D.detect(events(spark, sf), ["user_id"], "seq", (F.col("k") < 60).cast("int"), D.Eddm()).withColumn("estimation", F.round("estimation", 6))
 
 
 @query("detect_page_hinkley", "D3", sql=recursive(EV, ph_fold(VALUE, "user_id")) + "SELECT user_id, seq, 'change' AS kind, round(mean, 6) AS estimation FROM f WHERE rn > 0 AND chg")
@@ -104,15 +105,20 @@ def _(spark, sf):
 @query("detect_kswin", "D4")
 def _(spark, sf):
     shifted = F.col("k") + F.when(F.col("dow") > 4, 40).otherwise(0)
-    return D.detect(events(spark, sf), ["hr"], "seq", shifted, D.Kswin())
+    return D.detect(events(spark, sf), ["user_id"], "seq", shifted, D.Kswin(window=40, stat=15))
 
 
-@query("detector_suite", "D5", sql=recursive(EV, ddm_fold(DENSE, "hr", tag="a"), eddm_fold(DENSE, "hr", tag="b"), ph_fold(DENSE.replace("CAST(k < 60 AS INT)", "CAST(k < 60 AS INT)::DOUBLE"), "hr", tag="c", threshold=5.0)) + """
+@query("detect_adwin", "D5", "L7")
+def _(spark, sf):
+    return D.detect(events(spark, sf), ["user_id"], "seq", F.col("y_sudden"), D.Adwin(change=0.05, warning=0.2, clock=4)).withColumn("estimation", F.round("estimation", 6))
+
+
+@query("detector_suite", "D5", sql=recursive(EV, ddm_fold(DENSE, "user_id", tag="a"), eddm_fold(DENSE, "user_id", tag="b"), ph_fold(DENSE.replace("CAST(k < 60 AS INT)", "CAST(k < 60 AS INT)::DOUBLE"), "user_id", tag="c", threshold=5.0)) + """
   SELECT detector, kind, count(*) AS n FROM (SELECT 'ddm' AS detector, CASE WHEN chg THEN 'change' ELSE 'warning' END AS kind FROM fa WHERE rn > 0 AND (chg OR wrn)
    UNION ALL SELECT 'eddm', CASE WHEN chg THEN 'change' ELSE 'warning' END FROM fb WHERE rn > 0 AND (chg OR wrn) UNION ALL SELECT 'page_hinkley', 'change' FROM fc WHERE rn > 0 AND chg) GROUP BY ALL""")
 def _(spark, sf):
     machines = {"ddm": D.Ddm(), "eddm": D.Eddm(), "page_hinkley": D.PageHinkley(threshold=5.0)}
-    alarms = D.detector_suite(events(spark, sf), ["hr"], "seq", (F.col("k") < 60).cast("int"), machines)
+    alarms = D.detector_suite(events(spark, sf), ["user_id"], "seq", (F.col("k") < 60).cast("int"), machines)
     return alarms.groupBy("detector", "kind").agg(F.count("*").alias("n"))
 
 

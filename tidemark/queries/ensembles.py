@@ -21,51 +21,51 @@ def _per_key(df, key):
 
 @query("bagged_stream", "L7")
 def _(spark, sf):
-    out = E.bagged_stream(events(spark, sf), ["hr"], "seq", ["cents", "k"], "y_sudden", 2, members=5)
-    return out.groupBy("hr").agg(F.count("*").alias("n"), F.round(F.avg((F.col("y_true") == F.col("y_pred")).cast("int")), 6).alias("accuracy"), F.max("swaps").alias("swaps"))
+    out = E.bagged_stream(events(spark, sf), ["user_id"], "seq", ["cents", "k"], "y_sudden", 2, chunk=10)
+    return out.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg((F.col("y_true") == F.col("y_pred")).cast("int")), 6).alias("accuracy"), F.max("swaps").alias("swaps"))
 
 
 @query("random_patches", "L8", "P12")
 def _(spark, sf):
     spaces = {r["member"]: list(r["features"]) for r in FT.subspaces(spark, 3, 3, "percentage", 60).collect()}
-    out = E.bagged_stream(events(spark, sf), ["dow"], "seq", EF, "y_sudden", 2, members=3, subspaces=spaces)
-    return _per_key(out, "dow")
+    out = E.bagged_stream(events(spark, sf), ["user_id"], "seq", EF, "y_sudden", 2, members=3, chunk=10, subspaces=spaces)
+    return _per_key(out, "user_id")
 
 
 @query("chunk_weighted_ensemble", "L13")
 def _(spark, sf):
     e = events(spark, sf).withColumn("chunk_id", F.expr("(seq - 1) div 500"))
-    pred, _w = E.chunk_weighted_ensemble(e, "chunk_id", "event_id", ["cents", "k"], "y_sudden", members=5, bags=5)
+    pred, _w = E.chunk_weighted_ensemble(e, "chunk_id", "event_id", ["cents", "k"], "y_sudden", members=10, bags=11)
     return _per_key(pred, "chunk_id")
 
 
 @query("chunk_member_weights", "L13")
 def _(spark, sf):
     e = events(spark, sf).withColumn("chunk_id", F.expr("(seq - 1) div 500"))
-    _p, weights = E.chunk_weighted_ensemble(e, "chunk_id", "event_id", ["cents", "k"], "y_sudden", members=5, bags=5)
+    _p, weights = E.chunk_weighted_ensemble(e, "chunk_id", "event_id", ["cents", "k"], "y_sudden", members=10, bags=11)
     return weights.withColumn("weight", F.round("weight", 6))
 
 
 @query("stable_dynamic", "L16", "Q4")
 def _(spark, sf):
-    out = E.stable_dynamic(events(spark, sf), ["dow"], "seq", ["cents", "k"], "y_sudden", E.StableDynamic(2), hash_uniform(F.col("seq"), "dynamic-draw"))
-    return out.groupBy("dow").agg(F.count("*").alias("n"), F.count_if("is_queried").alias("asked"), F.round(F.avg((F.col("label") == F.col("y_pred")).cast("int")), 6).alias("accuracy"), F.max("n_members").alias("n_members"))
+    out = E.stable_dynamic(events(spark, sf), ["user_id"], "seq", ["cents", "k"], "y_sudden", E.StableDynamic(2), hash_uniform(F.col("seq"), "dynamic-draw"))
+    return out.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("is_queried").alias("asked"), F.round(F.avg((F.col("label") == F.col("y_pred")).cast("int")), 6).alias("accuracy"), F.max("n_members").alias("n_members"))
 
 
 @query("stable_dynamic_reinforced", "L17", "Q5")
 def _(spark, sf):
     machine = E.StableDynamic(2, reinforced=True, theta=0.5)
-    out = E.stable_dynamic(events(spark, sf), ["dow"], "seq", ["cents", "k"], "y_sudden", machine, hash_uniform(F.col("seq"), "reinforced-draw"))
-    return out.groupBy("dow").agg(F.count("*").alias("n"), F.count_if("is_queried").alias("asked"), F.round(F.avg((F.col("label") == F.col("y_pred")).cast("int")), 6).alias("accuracy"), F.max("n_members").alias("n_members"))
+    out = E.stable_dynamic(events(spark, sf), ["user_id"], "seq", ["cents", "k"], "y_sudden", machine, hash_uniform(F.col("seq"), "reinforced-draw"))
+    return out.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("is_queried").alias("asked"), F.round(F.avg((F.col("label") == F.col("y_pred")).cast("int")), 6).alias("accuracy"), F.max("n_members").alias("n_members"))
 
 
 @query("expert_selection", "L11")
 def _(spark, sf):
     from tidemark.plans.keyed import keyed_scan
 
-    e = events(spark, sf).select("hr", "seq", F.array(F.col("cents").cast("double"), F.col("k").cast("double")).alias("features"), F.col("y_sudden").alias("label"))
-    out = keyed_scan(e, ["hr"], "seq", E.ExpertSelection(), keep=("label",))
-    return _per_key(out.withColumnRenamed("label", "y_true"), "hr")
+    e = events(spark, sf).select("user_id", "seq", F.array(F.col("cents").cast("double"), F.col("k").cast("double")).alias("features"), F.col("y_sudden").alias("label"))
+    out = keyed_scan(e, ["user_id"], "seq", E.ExpertSelection(), keep=("label",))
+    return _per_key(out.withColumnRenamed("label", "y_true"), "user_id")
 
 
 @query("varying_features", "L15", "P9")
@@ -75,9 +75,9 @@ def _(spark, sf):
     e = events(spark, sf)
     n = e.count()
     x = F.array((F.col("cents") - 5000) / 5000.0, F.col("hr") / 24.0, F.col("k") / 100.0, F.col("dow") / 7.0)
-    rows = e.select("hr", "seq", FT.drop_features(to_sparse_map(x), F.col("seq"), n, 4).alias("features"), F.col("y_sudden").alias("label"))
-    out = keyed_scan(rows, ["hr"], "seq", E.VaryingFeatures(), keep=("label",))
-    return _per_key(out.withColumnRenamed("label", "y_true"), "hr")
+    rows = e.select("user_id", "seq", FT.drop_features(to_sparse_map(x), F.col("seq"), n, 4).alias("features"), F.col("y_sudden").alias("label"))
+    out = keyed_scan(rows, ["user_id"], "seq", E.VaryingFeatures(), keep=("label",))
+    return _per_key(out.withColumnRenamed("label", "y_true"), "user_id")
 
 
 LOG = "(CASE WHEN {a} > 0 THEN -{a}::DOUBLE / ({t}) * log2({a}::DOUBLE / ({t})) ELSE 0 END)"

@@ -133,3 +133,19 @@ def _(spark, sf):
     e = events(spark, sf).select("event_id", "user_id", "seq", "y")
     out = RS.online_bagging_weights(e, "event_id", 1, "oversampling", label="y", keys=["user_id"], order="seq")
     return out.select("event_id", F.round("rate", 6).alias("rate"))
+
+
+RARE = """ra AS (SELECT event_id, seq, event_type, CAST(cents % 997 = 0 AS INT) AS y FROM ev),
+ rc AS (SELECT *, coalesce(sum(1 - y) OVER w, 0) AS a, coalesce(sum(y) OVER w, 0) AS b FROM ra WINDOW w AS (PARTITION BY event_type ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ rr AS (SELECT event_id, CASE WHEN (CASE WHEN y = 1 THEN b ELSE a END) = 0 THEN 1.0 ELSE greatest(a, b) / (CASE WHEN y = 1 THEN b ELSE a END) END AS rate FROM rc),
+ ru AS (SELECT event_id, rate, """ + uniform_sql("event_id", "'42:bag0'") + """ AS u, greatest(0, CAST(floor(rate - 12 * sqrt(rate) - 30) AS BIGINT)) AS lo, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) AS hi FROM rr),
+ rk AS (SELECT event_id, rate, u, lo, unnest(range(lo, hi + 1)) AS k FROM ru),
+ rp AS (SELECT *, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY event_id ORDER BY k) AS cdf FROM rk)"""
+
+
+@query("oversampling_weights", "L9", sql=with_(EV, RARE) + "SELECT event_id, round(rate, 6) AS rate, CAST(min(lo) + count(*) FILTER (cdf <= u) AS INT) AS weight FROM rp GROUP BY event_id, rate")
+def _(spark, sf):
+    """A class of about one row in a thousand, so that rates go beyond a hundred."""
+    e = events(spark, sf).select("event_id", "event_type", "seq", (F.col("cents") % 997 == 0).cast("int").alias("y"))
+    out = RS.online_bagging_weights(e, "event_id", 1, "oversampling", label="y", keys=["event_type"], order="seq")
+    return out.select("event_id", F.round("rate", 6).alias("rate"), "weight")

@@ -122,10 +122,10 @@ def _(spark, sf):
 
 
 def _broad(spark, sf, size=50, **options):
-    v = vectors(spark, sf, 8).withColumn("chunk_id", F.expr(f"(seq - 1) div {size}"))
+    v = vectors(spark, sf).withColumn("chunk_id", F.expr(f"(seq - 1) div {size}"))
     extra = options.pop("extra", ())
     mapping = options.pop("mapping", True)
-    nodes = B.NodeMap.fitted(v.filter(F.col("seq") <= 100), "features", 8, nf=4, n1=5, ne=2, n2=10, extra=extra, mapping=mapping, whiten=options.get("mode") != "graph")
+    nodes = B.NodeMap.fitted(v.filter(F.col("seq") <= 100), "features", 64, extra=extra, mapping=mapping, whiten=options.get("mode") != "graph")
     if options.get("mode") == "anchor":
         rows = v.filter(F.col("seq") <= 20).orderBy("seq").select("features").collect()
         options["anchors"] = np.array([r["features"] for r in rows])
@@ -149,7 +149,7 @@ def _(spark, sf):
 @query("broad_learner_volume", "L2")
 def _(spark, sf):
     li = lines(spark, sf).select("month", F.array(*LF).alias("features"), "label")
-    nodes = B.NodeMap.fitted(li.filter(F.col("month") == 0), "features", 3, nf=3, n1=4, ne=2, n2=8)
+    nodes = B.NodeMap.fitted(li.filter(F.col("month") == 0), "features", 3)
     scored = B.BroadLearner(nodes, 3).prequential(li, [], "month", "features", "label", salts=8)
     return scored.groupBy("month").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("y_pred")).cast("int")), 3).alias("accuracy"))
 
@@ -182,5 +182,5 @@ def _(spark, sf):
 def _(spark, sf):
     from tidemark.operators.validate import pca_2d
 
-    out, _ = pca_2d(vectors(spark, sf, 8), "features", 251)
+    out, _ = pca_2d(vectors(spark, sf), "features", 251)
     return out

@@ -204,12 +204,12 @@ BIN = uniform_sql("event_id", "'score'")
 
 def binary_scores(spark, sf):
     e = events(spark, sf)
-    s = F.floor(hash_uniform(F.col("event_id"), "score") * 10) / 10
+    s = hash_uniform(F.col("event_id"), "score")
     s = F.when(F.col("y") == 1, F.greatest(s, F.lit(0.3))).otherwise(s)
     return e.select("hr", "seq", F.col("y").alias("y_true"), s.alias("score"), (s >= 0.6).cast("int").alias("y_pred"))
 
 
-@query("prequential_imbalance", "W4", sql=with_(EV, f"""s0 AS (SELECT hr, seq, y AS y_true, CASE WHEN y = 1 THEN greatest(floor({BIN} * 10) / 10, 0.3) ELSE floor({BIN} * 10) / 10 END AS score FROM ev),
+@query("prequential_imbalance", "W4", sql=with_(EV, f"""s0 AS (SELECT hr, seq, y AS y_true, CASE WHEN y = 1 THEN greatest({BIN}, 0.3) ELSE {BIN} END AS score FROM ev),
   s AS (SELECT *, CAST(score >= 0.6 AS INT) AS y_pred, CAST(seq >= 4000 AS INT) + CAST(seq >= 8000 AS INT) AS segment, (seq - 1) // 1000 AS interval FROM s0),
   ends AS (SELECT segment, interval, max(seq) AS seq FROM s GROUP BY ALL),
   pre AS (SELECT ends.segment, ends.interval, ends.seq AS upto, s.score, s.y_true, s.y_pred FROM ends JOIN s ON s.segment = ends.segment AND s.seq <= ends.seq),
@@ -219,7 +219,7 @@ def binary_scores(spark, sf):
     sum(y_true) OVER (PARTITION BY segment, interval) AS np, sum(1 - y_true) OVER (PARTITION BY segment, interval) AS nn FROM pre) GROUP BY segment, interval, np, nn)""") +
     "SELECT m.segment, m.interval, m.upto AS seq, gm, f1, minority_recall, auc FROM m JOIN a ON a.segment = m.segment AND a.interval = m.interval")
 def _(spark, sf):
-    return M.prequential_imbalance(binary_scores(spark, sf), [], 1000, [4000, 8000], bins=10)
+    return M.prequential_imbalance(binary_scores(spark, sf), [], 1000, [4000, 8000])
 
 
 @query("label_budget_estimate", "W8", sql=with_(EV) + """SELECT user_id, seq, v * 199.0 / 200.0 + y AS v_hat, (v * 199.0 / 200.0 + y) / 200.0 AS spend FROM (

@@ -9,12 +9,12 @@ from tidemark.queries import query
 from tidemark.queries.base import EV, VEC, events, vectors, with_
 
 # integer features keep distances exact on both sides
-GRID = "g AS (SELECT vec_id AS id, vec_id // 100 AS block, label, list_transform(features[1:8], lambda x: round(x * 100)) AS x FROM vec)"
+GRID = "g AS (SELECT vec_id AS id, vec_id // 100 AS block, label, list_transform(features, lambda x: round(x * 100)) AS x FROM vec)"
 DIST = "list_sum(list_transform(list_zip(a.x, b.x), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
 
 
 def grid(spark, sf):
-    v = vectors(spark, sf, 8)
+    v = vectors(spark, sf)
     return v.select(F.col("vec_id").alias("id"), F.expr("vec_id div 100").alias("block"), "label", "seq",
                     F.transform("features", lambda x: F.round(x * 100)).alias("features"))
 

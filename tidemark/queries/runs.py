@@ -33,7 +33,7 @@ def _(spark, sf):
 
 @query("compare_keyed_learners", "R1", "L7", "L11", "L16")
 def _(spark, sf):
-    run = RG.prequential(events(spark, sf), "adaptive_bagging, expert_selection, stable_dynamic", order="seq", features=F2, label="y_sudden", n_classes=2, keys=["hr"])
+    run = RG.prequential(events(spark, sf), "adaptive_bagging, adwin_bagging, expert_selection, stable_dynamic", order="seq", features=F2, label="y_sudden", n_classes=2, keys=["user_id"])
     return M.accuracy(run, ["method"]).withColumn("accuracy", F.round("accuracy", 4))
 
 

@@ -18,15 +18,18 @@ from tidemark.streaming.sources import stream_source
 from tidemark.streaming.windows import windowed_stream_metrics
 
 
+FILES = 4
+
+
 def as_stream(df, order: str, parts: int = 3):
-    """The whole table as a stream of ``parts`` files in position order."""
+    """The whole table as a stream of ``parts`` batches in position order, each of ``FILES`` files."""
     spark = df.sparkSession
     path = scratch_path(spark, "stream-in")
     hi = df.agg(F.max(order)).first()[0]
     step = -(-hi // parts)
     for i in range(parts):
-        df.filter(F.expr(f"(`{order}` - 1) div {step} = {i}")).coalesce(1).write.mode("append").parquet(path)
-    return stream_source(spark, path, df.schema)
+        df.filter(F.expr(f"(`{order}` - 1) div {step} = {i}")).repartition(FILES).write.mode("append").parquet(path)
+    return stream_source(spark, path, df.schema, files_per_trigger=FILES)
 
 
 def _detect(spark, sf, x, machine, key):
@@ -40,9 +43,9 @@ def _(spark, sf):
     return _detect(spark, sf, F.col("y"), D.Ddm(), "user_id")
 
 
-@query("stream_eddm", "D2", sql=recursive(EV, eddm_fold(DENSE, "hr")) + f"SELECT hr, seq, {KIND}, round(mean, 6) AS estimation FROM f WHERE rn > 0 AND (chg OR wrn)")
+@query("stream_eddm", "D2", sql=recursive(EV, eddm_fold(DENSE, "user_id")) + f"SELECT user_id, seq, {KIND}, round(mean, 6) AS estimation FROM f WHERE rn > 0 AND (chg OR wrn)")
 def _(spark, sf):
-    return _detect(spark, sf, F.col("k") < 60, D.Eddm(), "hr")
+    return _detect(spark, sf, F.col("k") < 60, D.Eddm(), "user_id")
 
 
 @query("stream_page_hinkley", "D3", sql=recursive(EV, ph_fold(VALUE, "user_id")) + "SELECT user_id, seq, 'change' AS kind, round(mean, 6) AS estimation FROM f WHERE rn > 0 AND chg")
@@ -52,7 +55,7 @@ def _(spark, sf):
 
 @query("stream_kswin", "D4")
 def _(spark, sf):
-    return _detect(spark, sf, F.col("k") + F.when(F.col("dow") > 4, 40).otherwise(0), D.Kswin(), "hr")
+    return _detect(spark, sf, F.col("k") + F.when(F.col("dow") > 4, 40).otherwise(0), D.Kswin(window=40, stat=15), "user_id")
 
 
 @query("stream_margin_variable", "Q3", sql=recursive(EV, SCORED, fold_sql(

@@ -53,11 +53,11 @@ def _(spark, sf):
 
 
 @query("warmup_split", "S3", sql=with_(EV) + """SELECT 'warmup' AS part, count(*) AS n, sum(cents) AS cents FROM ev WHERE seq <= 2000
-  UNION ALL SELECT 'stream', count(*), sum(cents) FROM ev WHERE seq > 2000 AND seq <= 9000""")
+  UNION ALL SELECT 'stream', count(*), sum(cents) FROM ev WHERE seq > 2000""")
 def _(spark, sf):
     e = events(spark, sf)
     tag = lambda d, name: d.agg(F.count("*").alias("n"), F.sum("cents").alias("cents")).withColumn("part", F.lit(name))
-    return tag(S.warmup(e, 2000), "warmup").unionByName(tag(S.stream_part(e, 2000, 7000), "stream"))
+    return tag(S.warmup(e, 2000), "warmup").unionByName(tag(S.stream_part(e, 2000), "stream"))
 
 
 @query("write_predictions", "S5", sql=with_(PRED) + "SELECT method, round, seq, y_true, y_pred FROM pred")
@@ -67,15 +67,23 @@ def _(spark, sf):
     return P.read_predictions(spark, path).withColumn("method", F.col("method").cast("string"))
 
 
-@query("predictions_to_wide", "S6", sql=with_(PRED) + "SELECT method, round, (seq - 1) // 2500 AS part, string_agg(CAST(y_pred AS VARCHAR), ',' ORDER BY seq) AS line FROM pred GROUP BY ALL")
+@query("predictions_to_wide", "S6", sql=with_(PRED) + "SELECT method, round, string_agg(CAST(y_pred AS VARCHAR), ',' ORDER BY seq) AS line FROM pred GROUP BY ALL")
 def _(spark, sf):
-    return P.predictions_to_wide(predictions(spark, sf), "y_pred", ["method", "round"], width=2500)
+    return P.predictions_to_wide(predictions(spark, sf), "y_pred", ["method", "round"])
 
 
 @query("wide_to_long", "S6", sql=with_(PRED) + "SELECT method, round, seq, y_pred FROM pred")
 def _(spark, sf):
-    wide = P.predictions_to_wide(predictions(spark, sf), "y_pred", ["method", "round"], width=2500)
-    return P.wide_to_long(wide, ["method", "round"], "y_pred", width=2500)
+    wide = P.predictions_to_wide(predictions(spark, sf), "y_pred", ["method", "round"])
+    return P.wide_to_long(wide, ["method", "round"], "y_pred")
+
+
+@query("read_wide_predictions", "S6", sql=with_(PRED) + "SELECT method, CAST(round AS BIGINT) AS round, seq, y_pred FROM pred")
+def _(spark, sf):
+    """A text file per method with one line per round, written and read again."""
+    path = scratch_path(spark, "wide-predictions")
+    P.write_wide_predictions(P.predictions_to_wide(predictions(spark, sf), "y_pred", ["method", "round"]), path, ["method"], "round")
+    return P.read_wide_predictions(spark, path, "y_pred").withColumn("method", F.regexp_extract("file", "method=([^/]+)/", 1)).select("method", "round", "seq", "y_pred")
 
 
 @query("write_confusion", "S9", sql=with_(PRED) + "SELECT 'True_' || CAST(y_true AS VARCHAR) AS class, " + ", ".join(
@@ -154,65 +162,62 @@ def _(spark, sf):
     return v.select("vec_id", F.round(A.norm_l1(f), 6).alias("l1"), F.round(A.norm_l2(f), 6).alias("l2"), A.norm_max(f).alias("linf"), F.round(A.squared_distance(f, half), 6).alias("d2"))
 
 
-@query("divergences", "G15", sql=with_(VEC) + """, d AS (SELECT vec_id, list_transform(features[1:8], lambda x: abs(x) + 0.01) AS a, list_transform(features[9:16], lambda x: abs(x) + 0.01) AS b FROM vec),
+@query("divergences", "G15", sql=with_(VEC) + """, d AS (SELECT vec_id, list_transform(features[1:32], lambda x: abs(x) + 0.01) AS a, list_transform(features[33:64], lambda x: abs(x) + 0.01) AS b FROM vec),
   n AS (SELECT vec_id, list_transform(a, lambda x: x / list_sum(a)) AS p, list_transform(b, lambda x: x / list_sum(b)) AS q FROM d),
   z AS (SELECT vec_id, p, q, list_transform(list_zip(p, q), lambda t: (t[1] + t[2]) / 2) AS m FROM n)
   SELECT vec_id, round(list_sum(list_transform(list_zip(p, q), lambda t: t[1] * ln(t[1] / t[2]))), 6) AS kl,
     round((list_sum(list_transform(list_zip(p, m), lambda t: t[1] * ln(t[1] / t[2]))) + list_sum(list_transform(list_zip(q, m), lambda t: t[1] * ln(t[1] / t[2])))) / 2, 6) AS js FROM z""")
 def _(spark, sf):
     shift = lambda a: F.transform(a, lambda x: F.abs(x) + 0.01)
-    v = vectors(spark, sf).select("vec_id", shift(F.slice("features", 1, 8)).alias("a"), shift(F.slice("features", 9, 8)).alias("b"))
+    v = vectors(spark, sf).select("vec_id", shift(F.slice("features", 1, 32)).alias("a"), shift(F.slice("features", 33, 32)).alias("b"))
     return v.select("vec_id", F.round(A.kl_divergence(F.col("a"), F.col("b")), 6).alias("kl"), F.round(A.js_divergence(F.col("a"), F.col("b")), 6).alias("js"))
 
 
-@query("rank_divergence", "G15", sql=with_(VEC) + """, r AS (SELECT vec_id, list_transform(features[1:6], lambda x: CAST(len(list_filter(features[1:6], lambda y: y < x)) AS DOUBLE)) AS a,
-    list_transform(features[7:12], lambda x: CAST(len(list_filter(features[7:12], lambda y: y < x)) AS DOUBLE)) AS b FROM vec),
-  n AS (SELECT vec_id, list_transform(a, lambda x: (x + 1) / 21) AS p, list_transform(b, lambda x: (x + 1) / 21) AS q FROM r)
+@query("rank_divergence", "G15", sql=with_(VEC) + """, r AS (SELECT vec_id, list_transform(features[1:32], lambda x: CAST(len(list_filter(features[1:32], lambda y: y < x)) AS DOUBLE)) AS a,
+    list_transform(features[33:64], lambda x: CAST(len(list_filter(features[33:64], lambda y: y < x)) AS DOUBLE)) AS b FROM vec),
+  n AS (SELECT vec_id, list_transform(a, lambda x: (x + 1) / 528) AS p, list_transform(b, lambda x: (x + 1) / 528) AS q FROM r)
   SELECT vec_id, round(list_sum(list_transform(list_zip(p, q), lambda t: t[1] * ln(t[1] / t[2]) + t[2] * ln(t[2] / t[1]))), 6) AS jeffreys FROM n""")
 def _(spark, sf):
     rank = lambda a: F.transform(a, lambda x: F.size(F.filter(a, lambda y: y < x)).cast("double"))
     v = vectors(spark, sf)
-    return v.select("vec_id", F.round(A.jeffreys_rank_divergence(rank(F.slice("features", 1, 6)), rank(F.slice("features", 7, 6))), 6).alias("jeffreys"))
+    return v.select("vec_id", F.round(A.jeffreys_rank_divergence(rank(F.slice("features", 1, 32)), rank(F.slice("features", 33, 32))), 6).alias("jeffreys"))
 
 
-FIVE = "features[1:5]"
-
-
-@query("permute_features", "P8", sql=with_(VEC) + f""", b AS (SELECT vec_id, vec_id // 50 AS batch, features[1:5] AS f FROM vec),
- sw AS (SELECT *, CAST(floor({uniform_sql('batch', "'42:a'")} * 5) AS INT) AS sa, (CAST(floor({uniform_sql('batch', "'42:a'")} * 5) AS INT) + 1 + CAST(floor({uniform_sql('batch', "'42:b'")} * 4) AS INT)) % 5 AS sb,
-   list_sort([{', '.join(f"{{'u': {uniform_sql('batch', repr(f'42:perm{i}'))}, 'i': {i}}}" for i in range(5))}]) AS dr FROM b)
- SELECT vec_id, CASE WHEN batch = 0 THEN f ELSE list_transform(range(0, 5), lambda i: f[((i - batch) % 5 + 5) % 5 + 1]) END AS rotated,
+@query("permute_features", "P8", sql=with_(VEC) + f""", b AS (SELECT vec_id, vec_id // 50 AS batch, features AS f FROM vec),
+ sw AS (SELECT *, CAST(floor({uniform_sql('batch', "'42:a'")} * 64) AS INT) AS sa, (CAST(floor({uniform_sql('batch', "'42:a'")} * 64) AS INT) + 1 + CAST(floor({uniform_sql('batch', "'42:b'")} * 63) AS INT)) % 64 AS sb,
+   list_sort([{', '.join(f"{{'u': {uniform_sql('batch', repr(f'42:perm{i}'))}, 'i': {i}}}" for i in range(64))}]) AS dr FROM b)
+ SELECT vec_id, CASE WHEN batch = 0 THEN f ELSE list_transform(range(0, 64), lambda i: f[((i - batch) % 64 + 64) % 64 + 1]) END AS rotated,
    CASE WHEN batch = 0 THEN f ELSE list_transform(dr, lambda d: f[d.i + 1]) END AS permuted,
-   CASE WHEN batch = 0 THEN f ELSE list_transform(range(0, 5), lambda i: f[CASE WHEN i = sa THEN sb WHEN i = sb THEN sa ELSE i END + 1]) END AS swapped FROM sw""")
+   CASE WHEN batch = 0 THEN f ELSE list_transform(range(0, 64), lambda i: f[CASE WHEN i = sa THEN sb WHEN i = sb THEN sa ELSE i END + 1]) END AS swapped FROM sw""")
 def _(spark, sf):
-    v = vectors(spark, sf, 5).withColumn("batch", F.floor(F.col("vec_id") / 50))
+    v = vectors(spark, sf).withColumn("batch", F.floor(F.col("vec_id") / 50))
     f, b = F.col("features"), F.col("batch")
-    return v.select("vec_id", FT.permute_features(f, b, 5, "rotate").alias("rotated"), FT.permute_features(f, b, 5, "permute").alias("permuted"), FT.permute_features(f, b, 5, "swap").alias("swapped"))
+    return v.select("vec_id", FT.permute_features(f, b, 64, "rotate").alias("rotated"), FT.permute_features(f, b, 64, "permute").alias("permuted"), FT.permute_features(f, b, 64, "swap").alias("swapped"))
 
 
-@query("drop_features_trapezoidal", "P9", "P10", sql=with_(VEC) + """, n AS (SELECT count(*) AS n FROM vec), x AS (SELECT vec_id, features[1:20] AS f, n, CASE WHEN seq = n THEN 18 ELSE (CAST(floor((seq - 1) / (n / 10.0)) AS INT) + 1) * 2 END AS keep FROM vec, n)
-  SELECT vec_id, len(list_filter(range(0, 20), lambda i: i <= keep)) AS n_kept, round(list_sum(list_transform(list_filter(range(0, 20), lambda i: i <= keep), lambda i: f[i + 1])), 6) AS total FROM x""")
+@query("drop_features_trapezoidal", "P9", "P10", sql=with_(VEC) + """, n AS (SELECT count(*) AS n FROM vec), x AS (SELECT vec_id, features AS f, n, CASE WHEN seq = n THEN 62 ELSE (CAST(floor((seq - 1) / (n / 10.0)) AS INT) + 1) * 6 END AS keep FROM vec, n)
+  SELECT vec_id, len(list_filter(range(0, 64), lambda i: i <= keep)) AS n_kept, round(list_sum(list_transform(list_filter(range(0, 64), lambda i: i <= keep), lambda i: f[i + 1])), 6) AS total FROM x""")
 def _(spark, sf):
-    v = vectors(spark, sf, 20)
+    v = vectors(spark, sf)
     n = v.count()
-    x = v.withColumn("x", FT.drop_features(MP.to_sparse_map(F.col("features")), F.col("seq"), n, 20, "trapezoidal"))
+    x = v.withColumn("x", FT.drop_features(MP.to_sparse_map(F.col("features")), F.col("seq"), n, 64, "trapezoidal"))
     return x.select("vec_id", F.size(F.map_keys("x")).cast("bigint").alias("n_kept"), F.round(A.array_sum(MP.sorted_values(F.col("x"))), 6).alias("total"))
 
 
 @query("drop_features_capricious", "P9", sql=with_(VEC) + f""", n AS (SELECT count(*) AS n FROM vec),
-  x AS (SELECT vec_id, features[1:6] AS f, least(3 * (1 + seq // CAST(ceil(n * 0.5) AS BIGINT)), 6) AS keep, list_sort([{', '.join(f"{{'u': {uniform_sql('seq', repr(f'42:drop{i}'))}, 'i': {i}}}" for i in range(6))}]) AS dr FROM vec, n)
+  x AS (SELECT vec_id, features AS f, least(32 * (1 + seq // CAST(ceil(n * 0.5) AS BIGINT)), 64) AS keep, list_sort([{', '.join(f"{{'u': {uniform_sql('seq', repr(f'42:drop{i}'))}, 'i': {i}}}" for i in range(64))}]) AS dr FROM vec, n)
   SELECT vec_id, list_sort(list_transform(dr[1:keep], lambda d: d.i)) AS kept FROM x""")
 def _(spark, sf):
-    v = vectors(spark, sf, 6)
+    v = vectors(spark, sf)
     n = v.count()
-    x = v.withColumn("x", FT.drop_features(MP.to_sparse_map(F.col("features")), F.col("seq"), n, 6, "capricious"))
+    x = v.withColumn("x", FT.drop_features(MP.to_sparse_map(F.col("features")), F.col("seq"), n, 64, "capricious"))
     return x.select("vec_id", F.array_sort(F.map_keys("x")).alias("kept"))
 
 
-@query("to_sparse_map", "P10", sql=with_(VEC) + """SELECT vec_id, list_transform(list_filter(range(0, 8), lambda i: greatest(features[i + 1], 0) <> 0), lambda i: CAST(i AS INT)) AS keys,
-  list_transform(list_filter(range(0, 8), lambda i: greatest(features[i + 1], 0) <> 0), lambda i: features[i + 1]) AS vals FROM vec""")
+@query("to_sparse_map", "P10", sql=with_(VEC) + """SELECT vec_id, list_transform(list_filter(range(0, 64), lambda i: greatest(features[i + 1], 0) <> 0), lambda i: CAST(i AS INT)) AS keys,
+  list_transform(list_filter(range(0, 64), lambda i: greatest(features[i + 1], 0) <> 0), lambda i: features[i + 1]) AS vals FROM vec""")
 def _(spark, sf):
-    v = vectors(spark, sf, 8)
+    v = vectors(spark, sf)
     x = v.withColumn("x", MP.to_sparse_map(A.activate(F.col("features"), "relu"), drop_zeros=True))
     return x.select("vec_id", F.array_sort(F.map_keys("x")).alias("keys"), MP.sorted_values(F.col("x")).alias("vals"))
 
@@ -239,35 +244,35 @@ def _(spark, sf):
     return li.filter(F.col("y").isNotNull()).agg(F.count("*").alias("n"), F.sum("qty").alias("qty"))
 
 
-@query("sparsify", "P14", sql=with_(VEC) + """, w AS (SELECT vec_id, features[1:10] AS w, list_transform(features[11:20], lambda x: abs(x)) AS v FROM vec),
+@query("sparsify", "P14", sql=with_(VEC) + """, w AS (SELECT vec_id, features[1:32] AS w, list_transform(features[33:64], lambda x: abs(x)) AS v FROM vec),
   i AS (SELECT vec_id, w, list_transform(v, lambda x: x / list_sum(v)) AS info FROM w),
-  s AS (SELECT vec_id, w, least(1.0, 0.05 / list_sum(list_transform(list_zip(w, info), lambda t: abs(t[1]) * t[2]))) AS s, list_reverse_sort(w)[4] AS cut FROM i)
+  s AS (SELECT vec_id, w, least(1.0, 0.05 / list_sum(list_transform(list_zip(w, info), lambda t: abs(t[1]) * t[2]))) AS s, list_reverse_sort(w)[12] AS cut FROM i)
   SELECT vec_id, list_transform(w, lambda x: round(CASE WHEN x >= cut THEN x * s ELSE 0 END, 8)) AS w FROM s""")
 def _(spark, sf):
-    v = vectors(spark, sf, 20)
-    w = MP.to_sparse_map(F.slice("features", 1, 10))
-    var = MP.to_sparse_map(F.transform(F.slice("features", 11, 10), F.abs))
+    v = vectors(spark, sf)
+    w = MP.to_sparse_map(F.slice("features", 1, 32))
+    var = MP.to_sparse_map(F.transform(F.slice("features", 33, 32), F.abs))
     x = v.select("vec_id", MP.sparsify(w, MP.informativeness(var), keep_share=0.4, radius=0.05).alias("w"))
     return x.select("vec_id", F.transform(MP.sorted_values(F.col("w")), lambda z: F.round(z, 8)).alias("w"))
 
 
-@query("map_share_new", "J7", "U2", sql=with_(VEC) + """, m AS (SELECT vec_id, features[1:10] AS f, list_transform(list_filter(range(0, 10), lambda i: features[i + 1] > 0), lambda i: CAST(i AS INT)) AS a,
-   list_transform(list_filter(range(0, 10), lambda i: features[i + 11] > 0), lambda i: CAST(i AS INT)) AS b FROM vec)
+@query("map_share_new", "J7", "U2", sql=with_(VEC) + """, m AS (SELECT vec_id, features[1:32] AS f, list_transform(list_filter(range(0, 32), lambda i: features[i + 1] > 0), lambda i: CAST(i AS INT)) AS a,
+   list_transform(list_filter(range(0, 32), lambda i: features[i + 33] > 0), lambda i: CAST(i AS INT)) AS b FROM vec)
   SELECT vec_id, list_filter(a, lambda i: list_contains(b, i)) AS shared, list_filter(a, lambda i: NOT list_contains(b, i)) AS fresh,
    list_transform(list_filter(a, lambda i: list_contains(b, i)), lambda i: f[i + 1]) AS vals FROM m""")
 def _(spark, sf):
-    v = vectors(spark, sf, 20)
-    pos = lambda lo: F.map_filter(MP.to_sparse_map(F.slice("features", lo, 10)), lambda k, x: x > 0)
-    x = v.select("vec_id", pos(1).alias("a"), pos(11).alias("b"))
+    v = vectors(spark, sf)
+    pos = lambda lo: F.map_filter(MP.to_sparse_map(F.slice("features", lo, 32)), lambda k, x: x > 0)
+    x = v.select("vec_id", pos(1).alias("a"), pos(33).alias("b"))
     shared = MP.shared_keys(F.col("a"), F.col("b"))
     return x.select("vec_id", shared.alias("shared"), MP.new_keys(F.col("a"), F.col("b")).alias("fresh"), MP.sorted_values(MP.subset(F.col("a"), shared)).alias("vals"))
 
 
-@query("sparse_dot", "map functions", sql=with_(VEC) + "SELECT vec_id, round(coalesce(list_sum(list_transform(list_filter(range(1, 11), lambda i: features[i] > 0 AND features[i + 10] > 0), lambda i: features[i] * features[i + 10])), 0), 8) AS d FROM vec")
+@query("sparse_dot", "map functions", sql=with_(VEC) + "SELECT vec_id, round(coalesce(list_sum(list_transform(list_filter(range(1, 33), lambda i: features[i] > 0 AND features[i + 32] > 0), lambda i: features[i] * features[i + 32])), 0), 8) AS d FROM vec")
 def _(spark, sf):
-    v = vectors(spark, sf, 20)
-    pos = lambda lo: F.map_filter(MP.to_sparse_map(F.slice("features", lo, 10)), lambda k, x: x > 0)
-    return v.select("vec_id", F.round(MP.sparse_dot(pos(1), pos(11)), 8).alias("d"))
+    v = vectors(spark, sf)
+    pos = lambda lo: F.map_filter(MP.to_sparse_map(F.slice("features", lo, 32)), lambda k, x: x > 0)
+    return v.select("vec_id", F.round(MP.sparse_dot(pos(1), pos(33)), 8).alias("d"))
 
 
 @query("append_batches", "U1", sql="""SELECT batch, count(*) AS n, sum(CAST(round(v * 100) AS BIGINT)) AS cents FROM (

@@ -14,23 +14,45 @@ from tidemark.queries import query
 from tidemark.queries.base import EV, LI, SCORED, events, fold_sql, lines, recursive, scored, uniform_sql, with_
 from tidemark.queries.metrics import nb_score_sql, nb_stats_sql
 
-WF = ["qty", "tax"]
-MODEL = """yr AS (SELECT *, month // 12 AS batch FROM li),
-mo0 AS (SELECT batch, count(*) AS n, avg(qty) AS m0, avg(tax) AS m1, var_pop(qty) AS a, covar_pop(qty, tax) AS b, var_pop(tax) AS d FROM yr GROUP BY batch),
-mo1 AS (SELECT *, CASE WHEN (n + 1 - 1) * ((a * a + 2 * b * b + d * d) - (a + d) * (a + d) / 2) = 0 THEN 1.0 ELSE least(1.0, ((a + d) * (a + d)) / (n * ((a * a + 2 * b * b + d * d) - (a + d) * (a + d) / 2))) END AS r FROM mo0),
-mo AS (SELECT batch AS mb, m0, m1, (1 - r) * a + r * (a + d) / 2 + 1e-9 AS c00, (1 - r) * b AS c01, (1 - r) * d + r * (a + d) / 2 + 1e-9 AS c11 FROM mo1),
+KF = ["qty", "tax"]
+WF = [*KF, "label"]  # the density is that of features and label together
+
+
+def _cov(i: int, j: int) -> str:
+    return f"s{min(i, j)}{max(i, j)}"
+
+
+_PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
+_SQUARE = "(" + " + ".join(f"{_cov(i, j)} * {_cov(i, j)}" for i in range(3) for j in range(3)) + ")"
+_TRACE = "(s00 + s11 + s22)"
+_C = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+
+
+def _adjugate(i: int, j: int) -> str:
+    r, c = [x for x in range(3) if x != j], [x for x in range(3) if x != i]
+    sign = "" if (i + j) % 2 == 0 else "-"
+    return f"{sign}({_C(r[0], c[0])} * {_C(r[1], c[1])} - {_C(r[0], c[1])} * {_C(r[1], c[0])})"
+
+
+_DET = "(" + " + ".join(f"c0{j} * ({_adjugate(j, 0)})" for j in range(3)) + ")"
+_FORM = " + ".join(f"({WF[i]} - m{i}) * ({WF[j]} - m{j}) * ({_adjugate(i, j)})" for i in range(3) for j in range(3))
+MODEL = f"""yr AS (SELECT *, month // 12 AS batch FROM li),
+mo0 AS (SELECT batch, count(*) AS n, {", ".join(f"avg({f}) AS m{i}" for i, f in enumerate(WF))}, {", ".join(f"covar_pop({WF[i]}, {WF[j]}) AS s{i}{j}" for i, j in _PAIRS)} FROM yr GROUP BY batch),
+mo1 AS (SELECT *, CASE WHEN {_SQUARE} - {_TRACE} * {_TRACE} / 3 = 0 THEN 1.0 ELSE least(1.0, ((1 - 2 / 3.0) * {_SQUARE} + {_TRACE} * {_TRACE}) / ((n + 1 - 2 / 3.0) * ({_SQUARE} - {_TRACE} * {_TRACE} / 3))) END AS r FROM mo0),
+mo AS (SELECT batch AS mb, m0, m1, m2, {", ".join(f"(1 - r) * s{i}{j}" + (f" + r * {_TRACE} / 3 + 1e-9" if i == j else "") + f" AS c{i}{j}" for i, j in _PAIRS)} FROM mo1),
+md AS (SELECT *, {_DET} AS det FROM mo),
 newest AS (SELECT max(mb) AS nb FROM mo),
-dens AS (SELECT rid, batch, label, qty, disc, tax, mb, -0.5 * (2 * ln(2 * pi()) + ln(c00 * c11 - c01 * c01)) - 0.5 * ((c11 * (qty - m0) * (qty - m0) - 2 * c01 * (qty - m0) * (tax - m1) + c00 * (tax - m1) * (tax - m1)) / (c00 * c11 - c01 * c01)) AS lp FROM yr, mo),
-ps AS (SELECT rid, batch, any_value(label) AS label, any_value(qty) AS qty, any_value(disc) AS disc, any_value(tax) AS tax, sum(CASE WHEN mb = nb THEN exp(lp) END) AS p_new, sum(CASE WHEN mb = batch THEN exp(lp) END) AS p_own, avg(exp(lp)) AS p_mean, avg(CASE WHEN abs(mb - batch) <= 1 THEN exp(lp) END) AS p_near, count(*) FILTER (mb = batch) AS dup FROM dens, newest GROUP BY rid, batch)"""
+dens AS (SELECT rid, batch, label, qty, disc, tax, mb, -0.5 * (3 * ln(2 * pi()) + ln(det)) - 0.5 * ({_FORM}) / det AS lp FROM yr, md),
+ps AS (SELECT rid, batch, any_value(label) AS label, any_value(qty) AS qty, any_value(disc) AS disc, any_value(tax) AS tax, sum(CASE WHEN mb = nb THEN exp(lp) END) AS p_new, sum(CASE WHEN mb = batch THEN exp(lp) END) AS p_own, avg(exp(lp)) AS p_mean, avg(CASE WHEN mb = batch OR mb = batch - 1 THEN exp(lp) END) AS p_near, count(*) FILTER (mb = batch) AS dup FROM dens, newest GROUP BY rid, batch)"""
 
 
 def batches(spark, sf):
     return lines(spark, sf).withColumn("batch", F.expr("month div 12"))
 
 
-def densities(spark, sf, window=None):
+def densities(spark, sf, need, window=None):
     b = batches(spark, sf)
-    return DE.batch_densities(b, DE.BatchDensities.fit(b, "batch", WF), "batch", window)
+    return DE.batch_densities(b, DE.BatchDensities.fit(b, "batch", WF), "batch", window, need=need)
 
 
 @query("mvn_logpdf", "M1", sql=with_(LI, MODEL) + "SELECT rid, batch, round(lp, 5) AS logpdf FROM dens WHERE mb = batch")
@@ -44,7 +66,7 @@ def _(spark, sf):
   FROM li a JOIN li b ON a.month = b.month GROUP BY a.rid""")
 def _(spark, sf):
     li = lines(spark, sf)
-    return DE.kde_logpdf(li, li, ["month"], WF, "rid", bandwidth=2.0).select("rid", F.round("logpdf", 5).alias("logpdf"))
+    return DE.kde_logpdf(li, li, ["month"], KF, "rid", bandwidth=2.0).select("rid", F.round("logpdf", 5).alias("logpdf"))
 
 
 @query("gmm_logpdf", "M3")
@@ -66,32 +88,32 @@ def _out(df):
 
 @query("weight_direct", "M4", sql=scaled_sql("p_new / (SELECT sqrt(sum(p_new * p_new)) FROM ps)"))
 def _(spark, sf):
-    return _out(W.weight_direct(densities(spark, sf)))
+    return _out(W.weight_direct(densities(spark, sf, ("new",))))
 
 
 @query("weight_ratio", "M5", sql=scaled_sql("p_new / (p_own + 1e-16)"))
 def _(spark, sf):
-    return _out(W.weight_ratio(densities(spark, sf)))
+    return _out(W.weight_ratio(densities(spark, sf, ("new", "own"))))
 
 
 @query("weight_balance", "M6", sql=scaled_sql("p_new / p_mean"))
 def _(spark, sf):
-    return _out(W.weight_balance(densities(spark, sf)))
+    return _out(W.weight_balance(densities(spark, sf, ("new", "mean"))))
 
 
 @query("weight_balance_window", "M7", sql=scaled_sql("p_new / (p_near + 0.01)"))
 def _(spark, sf):
-    return _out(W.weight_balance_window(densities(spark, sf, window=1)))
+    return _out(W.weight_balance_window(densities(spark, sf, ("new", "near"), window=1)))
 
 
 @query("weight_power_law", "M8", sql=with_(LI, MODEL) + "SELECT rid, round(1 / (0.1 / greatest(p_new / (p_own + 1e-16), 1e-300) + 0.9), 5) AS weight FROM ps")
 def _(spark, sf):
-    return _out(W.weight_power_law(densities(spark, sf), 0.9, -1.0))
+    return _out(W.weight_power_law(densities(spark, sf, ("new", "own")), 0.9, -1.0))
 
 
 @query("weight_power_law_tuned", "M8")
 def _(spark, sf):
-    return W.weight_power_law(densities(spark, sf), None, -1.0).groupBy("batch").agg(F.round(F.avg("weight"), 4).alias("weight"), F.round(F.max("lam"), 4).alias("lam"))
+    return W.weight_power_law(densities(spark, sf, ("new", "own")), None, -1.0).groupBy("batch").agg(F.round(F.avg("weight"), 4).alias("weight"), F.round(F.max("lam"), 4).alias("lam"))
 
 
 @query("weight_recent", "M9", sql=with_(LI) + """, b AS (SELECT rid, CAST(month // 12 > (SELECT max(month // 12) FROM li) - 2 AS INT) AS w FROM li) SELECT rid, round(w / (SELECT sum(w) FROM b) * (SELECT count(*) FROM b), 5) AS weight FROM b""")
@@ -146,7 +168,7 @@ REFIT = "w AS (SELECT *, greatest(0.0, least(p_new / (p_own + 1e-16), 100.0)) AS
 @query("weighted_refit", "M13", "L1", sql=with_(LI, MODEL, REFIT, f"st AS (SELECT DISTINCT {nb_stats_sql(['qty', 'disc', 'tax'], [0, 1, 2], 'label', '()', 'wt')} FROM w2)",
        f"sc AS ({nb_score_sql('(SELECT w2.*, st.* FROM w2, st)', ['qty', 'disc', 'tax'], [0, 1, 2])})") + "SELECT batch, avg(CAST(label = y_pred AS INT)) AS accuracy FROM sc GROUP BY batch")
 def _(spark, sf):
-    w = W.weight_ratio(densities(spark, sf))
+    w = W.weight_ratio(densities(spark, sf, ("new", "own")))
     model = W.weighted_refit(w, ["qty", "disc", "tax"], "label", [0, 1, 2], "weight")
     scored_ = NB.predict_nb(w, model, ["qty", "disc", "tax"], [0, 1, 2])
     return M.accuracy(scored_.withColumn("y_true", F.col("label")), ["batch"])
@@ -157,7 +179,7 @@ def _(spark, sf):
     from tidemark.operators.stream_models import density_drift
 
     e = events(spark, sf).withColumn("x0", F.col("cents") / 100.0).withColumn("x1", F.col("k").cast("double"))
-    return density_drift(e, ["hr"], "seq", ["x0", "x1"], chunk=50, machine=D.PageHinkley(threshold=10.0, delta=0.05))
+    return density_drift(e, ["user_id"], "seq", ["x0", "x1"], chunk=20, machine=D.PageHinkley(threshold=10.0, delta=0.05))
 
 
 RMSE = """rm AS (SELECT model, month, sqrt(avg((target - p) * (target - p))) AS e FROM (SELECT 'slope2' AS model, month, target, 2 * qty AS p FROM li UNION ALL SELECT 'slope3', month, target, 3 * qty FROM li UNION ALL SELECT 'flat', month, target, 70 FROM li) GROUP BY ALL)"""
@@ -199,10 +221,10 @@ def _(spark, sf):
     return iwda_stream(batches(spark, sf), "batch", ["qty", "disc", "tax"], "label", [0, 1, 2])
 
 
-@query("prequential_auc", "L21", sql=with_(EV, """s AS (SELECT (seq - 1) // 1000 AS interval, y AS y_true, floor(k / 5) / 20 AS score FROM ev)""",
+@query("prequential_auc", "L21", sql=with_(EV, """s AS (SELECT (seq - 1) // 1000 AS interval, y AS y_true, (k * 7 + hr) / 723.0 AS score FROM ev)""",
   """c AS (SELECT e.interval, score, sum(y_true) AS p, sum(1 - y_true) AS n FROM (SELECT DISTINCT interval FROM s) e JOIN s ON s.interval <= e.interval GROUP BY ALL)""",
   """r AS (SELECT interval, p, n, coalesce(sum(n) OVER (PARTITION BY interval ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)""") +
   "SELECT interval, round(sum(p * (below + n / 2.0)) / sum(p) / sum(n), 6) AS auc FROM r GROUP BY interval")
 def _(spark, sf):
-    e = events(spark, sf).select("seq", F.col("y").alias("y_true"), (F.floor(F.col("k") / 5) / 20).alias("score"), F.lit(0).alias("y_pred"))
-    return M.prequential_imbalance(e, [], 1000, [], bins=20).select("interval", F.round("auc", 6).alias("auc"))
+    e = events(spark, sf).select("seq", F.col("y").alias("y_true"), ((F.col("k") * 7 + F.col("hr")) / 723.0).alias("score"), F.lit(0).alias("y_pred"))
+    return M.prequential_imbalance(e, [], 1000, []).select("interval", F.round("auc", 6).alias("auc"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import range_margin, top2_margin
 from tidemark.functions.hashing import hash_uniform
 from tidemark.operators import broad as br
 from tidemark.operators import detect, ensembles, naive_bayes, regress
@@ -43,14 +44,14 @@ def _bag(scheme: str) -> Callable:
     return run
 
 
-def _adaptive_bag(members: int, patches: bool) -> Callable:
+def _adaptive_bag(members: int, patches: bool, detector: str | None = None) -> Callable:
     def run(df, keys, order, chunk, features, label, n_classes):
         spaces = None
         if patches:
             from tidemark.operators.features import subspaces
 
             spaces = {r["member"]: list(r["features"]) for r in subspaces(df.sparkSession, len(features), members).collect()}
-        out = ensembles.bagged_stream(df, keys, order, features, label, n_classes, members=members, subspaces=spaces)
+        out = ensembles.bagged_stream(df, keys, order, features, label, n_classes, members=members, subspaces=spaces, detector=detect.detector(detector) if detector else None)
         return out.withColumnRenamed("y_true", label)
 
     return run
@@ -89,6 +90,7 @@ CLASSIFIERS: dict[str, Callable] = {
     "oversampling_bagging": _bag("oversampling"),
     "adaptive_bagging": _adaptive_bag(10, patches=False),
     "random_patches": _adaptive_bag(3, patches=True),
+    "adwin_bagging": _adaptive_bag(10, patches=False, detector="adwin"),
     "chunk_ensemble": _chunk_ensemble,
     "expert_selection": _machine(lambda n: ensembles.ExpertSelection()),
     "stable_dynamic": _machine(lambda n: ensembles.StableDynamic(n)),
@@ -97,21 +99,47 @@ CLASSIFIERS: dict[str, Callable] = {
     "hoeffding_tree": _tree,
 }
 
-NEED_KEYS = {"adaptive_bagging", "random_patches", "expert_selection", "stable_dynamic", "stable_dynamic_reinforced", "varying_features"}
+NEED_KEYS = {"adwin_bagging", "adaptive_bagging", "random_patches", "expert_selection", "stable_dynamic", "stable_dynamic_reinforced", "varying_features"}
 BINARY = {"oversampling_bagging", "chunk_ensemble", "expert_selection", "varying_features"}
 
+def _remembering(make: Callable, inputs: Callable) -> Callable:
+    """A rule with memory as a selector: it runs per key in ``order``, from its start in every call."""
+
+    def select(scored, keys, order, features, label, n_classes):
+        if not keys:
+            raise ValueError("a rule that remembers earlier answers needs key columns")
+        rows = scored.select(*keys, order, *[c for c in ("proba", label, *features) if c in scored.columns])
+        asked = sel.query_keyed(rows, keys, order, make(n_classes), inputs(order, features, label)).select(*keys, order, "is_queried")
+        return scored.join(asked, [*keys, order])
+
+    return select
+
+
+def _plain(fn: Callable) -> Callable:
+    return lambda scored, keys, order, features, label, n_classes: fn(scored, order)
+
+
+def _least_sure(scored, order, size: int = 100):
+    """The ``size`` rows of a chunk with the smallest margin."""
+    best = sel.query_topk_per_chunk(scored.withColumn("__margin", range_margin(F.col("proba"))).withColumn("__one", F.lit(0)), ["__one"], "__margin", order, size)
+    return scored.join(best.select(order, F.lit(True).alias("is_queried")), order, "left").withColumn("is_queried", F.coalesce("is_queried", F.lit(False)))
+
+
+_PROBA = lambda order, features, label: {"proba": F.col("proba"), "label": F.col(label)}
+_VECTOR = lambda order, features, label: {"features": F.array(*[F.col(f).cast("double") for f in features]), "top": F.array_max("proba")}
+
+# every selector is select(scored, keys, order, features, label, n_classes) -> scored rows with ``is_queried``
 SELECTORS: dict[str, Callable] = {
-    "all": sel.query_all,
-    "random": sel.query_random,
-    "margin_fixed": sel.query_margin_fixed,
-    "margin_variable": sel.MarginVariable,
-    "margin_or_random": sel.MarginOrRandom,
-    "imbalance": sel.query_imbalance,
-    "cognitive": sel.Cognitive,
-    "submodular": sel.Submodular,
-    "submodular_dynamic": sel.SubmodularDynamic,
-    "budget": sel.Budget,
-    "top_per_chunk": sel.query_topk_per_chunk,
+    "all": _plain(lambda d, order: sel.query_all(d)),
+    "random": _plain(lambda d, order: sel.query_random(d, order, 0.2)),
+    "margin_fixed": _plain(lambda d, order: sel.query_margin_fixed(d, "proba", 0.5)),
+    "top_per_chunk": _plain(_least_sure),
+    "margin_variable": _remembering(lambda n: sel.MarginVariable(), lambda order, features, label: {"margin": range_margin(F.col("proba"))}),
+    "margin_or_random": _remembering(lambda n: sel.MarginOrRandom(n_classes=n), lambda order, features, label: {
+        "margin": top2_margin(F.col("proba")), "draw": hash_uniform(F.col(order), "margin-or-random")}),
+    "submodular": _remembering(lambda n: sel.Submodular(n), _PROBA),
+    "submodular_dynamic": _remembering(lambda n: sel.SubmodularDynamic(n), _PROBA),
+    "cognitive": _remembering(lambda n: sel.Cognitive(n_classes=n), _VECTOR),
 }
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import naive_bayes as nb
-from tidemark.operators.broad import BroadLearner
+from tidemark.operators.broad import BroadLearner, NodeMap
 from tidemark.plans.blocks import sum_arrays
 from tidemark.session import scratch_path
 
@@ -135,6 +135,30 @@ def prequential_active(
     return spark.read.parquet(*done)
 
 
+def active_by_name(
+    df: DataFrame, learner: str, selector: str, *, chunk: str, order: str, features: list[str], label: str, n_classes: int,
+    keys: list[str] | None = None, warm_chunks: int = 1, budget: float | None = None,
+) -> DataFrame:
+    """An active run of a learner (``naive_bayes`` or ``broad``) and a selector of the registry, by their names.
+
+    Selectors that remember earlier answers see one chunk at a time and start anew in each.
+    """
+    from tidemark.registry import SELECTORS, names_of
+
+    choose = SELECTORS[names_of(selector, SELECTORS)[0]]
+    ask = lambda scored: choose(scored, keys or [], order, features, label, n_classes)
+    if learner == "naive_bayes":
+        model, rows = BayesModel(features, label, list(range(n_classes))), df
+    elif learner == "broad":
+        rows = df.withColumn("__x", F.array(*[F.col(f).cast("double") for f in features]))
+        first = rows.agg(F.min(chunk)).first()[0]
+        nodes = NodeMap.fitted(rows.filter(F.col(chunk) == F.lit(first)), "__x", len(features))
+        model = BroadModel(BroadLearner(nodes, n_classes), "__x", label, chunk)
+    else:
+        raise ValueError("an active run learns by sums: choose 'naive_bayes' or 'broad'")
+    return prequential_active(rows, model, chunk, label, ask, warm_chunks=warm_chunks, budget=budget, order=order)
+
+
 def annotation_rate(scored: DataFrame, by: list[str]) -> DataFrame:
     """Share of rows whose label was asked."""
     return scored.groupBy(*by).agg(F.avg(F.col("is_queried").cast("int")).alias("annotation_rate"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -39,6 +41,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
     fresh = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, fresh, ignore_errors=True)  # ours alone, and only on a local master
     sc.setCheckpointDir(fresh)
     return sc.getCheckpointDir() or fresh
 

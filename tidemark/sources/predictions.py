@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,34 +16,36 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def predictions_to_wide(df: DataFrame, value: str, by: list[str], width: int = 10_000, seq: str = "seq") -> DataFrame:
-    """Line-per-round form, cut into parts of ``width`` samples so no line grows with the stream.
-
-    Joining the parts of a round in order gives the full line.
-    """
-    part = F.expr(f"(cast(`{seq}` as bigint) - 1) div {int(width)}")
+def predictions_to_wide(df: DataFrame, value: str, by: list[str], seq: str = "seq") -> DataFrame:
+    """Line-per-round form: the values of each group in the order of ``seq``, joined by commas."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(value).alias("v"))))
-    return (
-        df.groupBy(*by, part.alias("part"))
-        .agg(pairs.alias("pairs"))
-        .select(*by, "part", F.array_join(F.transform("pairs", lambda p: p["v"].cast("string")), ",").alias("line"))
-    )
+    line = F.array_join(F.transform("pairs", lambda p: p["v"].cast("string")), ",")
+    return df.groupBy(*by).agg(pairs.alias("pairs")).select(*by, line.alias("line"))
 
 
-def wide_to_long(lines: DataFrame, by: list[str], value: str = "y_pred", width: int = 10_000) -> DataFrame:
-    """Back from lines to (by*, seq, value)."""
-    exploded = lines.select(*by, "part", F.posexplode(F.split("line", ",")).alias("pos", "text"))
-    return exploded.select(
-        *by, (F.col("part") * width + F.col("pos") + 1).alias("seq"), F.trim("text").cast("double").cast("int").alias(value)
-    )
+def wide_to_long(lines: DataFrame, by: list[str], value: str = "y_pred") -> DataFrame:
+    """Back from lines to (by*, seq, value); positions count from 1."""
+    exploded = lines.select(*by, F.posexplode(F.split("line", ",")).alias("pos", "text"))
+    return exploded.select(*by, (F.col("pos") + 1).cast("bigint").alias("seq"), F.trim("text").cast("double").cast("int").alias(value))
+
+
+def write_wide_predictions(lines: DataFrame, path: str, by: list[str], round_col: str) -> None:
+    """One text file per group of ``by``, a line per round in the order of rounds."""
+    ordered = lines.repartition(*by).sortWithinPartitions(*by, round_col)
+    ordered.select(*by, "line").write.partitionBy(*by).text(path)
 
 
 def read_wide_predictions(spark: SparkSession, path: str, value: str = "y_pred") -> DataFrame:
-    """Text file of one comma-separated line per round; the round is the line's order in its file."""
-    numbered = spark.read.text(path).select(
-        F.col("value").alias("line"), F.monotonically_increasing_id().alias("round"), F.lit(0).alias("part")
-    )
-    return wide_to_long(numbered, ["round"], value)
+    """Text files of one comma-separated line per round, as (file, round, seq, value).
+
+    Rounds count from 0 in the order of the lines of a file; its splits are ordered by where they start.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__start"),
+        F.monotonically_increasing_id().alias("__at"), F.col("value").alias("line"))
+    order = Window.partitionBy("file").orderBy("__start", "__at")
+    numbered = lines.withColumn("round", (F.row_number().over(order) - 1).cast("bigint"))
+    return wide_to_long(numbered, ["file", "round"], value)
 
 
 def write_confusion(matrix: DataFrame, path: str, classes: list[int]) -> None:
