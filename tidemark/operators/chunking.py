@@ -198,16 +198,22 @@ def growing_chunks(df: DataFrame, keys: list[str], order: str, features: list[st
     return keyed_scan(rows, keys, order, machine, **scan)
 
 
+def f_ratios(pairs: DataFrame) -> DataFrame:
+    """The usable pairs with their F statistic and degrees of freedom."""
+    usable = pairs.filter((F.col("n") > 1) & (F.col("n2") > 1) & (F.col("v2") > 0))
+    return usable.withColumns({"f": F.col("v") / F.col("v2"), "df1": F.col("n") - 1, "df2": F.col("n2") - 1})
+
+
 def combine_f_tests(pairs: DataFrame, by: list[str], order: str, *, max_rows: int) -> DataFrame:
     """Fisher-combined p-value per group of one-sided F-tests n, v (variance) against n2, v2.
 
     Groups hold one small row per test point, at most ``max_rows``.
     """
-    usable = pairs.filter((F.col("n") > 1) & (F.col("n2") > 1) & (F.col("v2") > 0))
+    usable = f_ratios(pairs).select(*by, order, "n", "v", "n2", "v2")
     schema = T.StructType([*[pairs.schema[c] for c in by], T.StructField("n_tests", T.LongType()), T.StructField("p_value", T.DoubleType())])
 
     def combine(block: pd.DataFrame) -> pd.DataFrame:
         p = [1 - f_cdf(v / w, n - 1, m - 1) for v, w, n, m in zip(block["v"], block["v2"], block["n"], block["n2"])]
         return block[by].head(1).assign(n_tests=len(p), p_value=fisher_combine([x for x in p if x > 0]))
 
-    return map_blocks(usable.select(*by, order, "n", "v", "n2", "v2"), by, [order], combine, schema, max_rows=max_rows)
+    return map_blocks(usable, by, [order], combine, schema, max_rows=max_rows)

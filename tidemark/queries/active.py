@@ -29,13 +29,24 @@ def _(spark, sf):
     return CK.growing_chunks(events(spark, sf), ["user_id"], "seq", ["cents", "k"], "y_sudden", machine).withColumn("p_value", F.round("p_value", 6))
 
 
-@query("variance_f_test", "G16")
-def _(spark, sf):
-    """Value variance of each hour against the same hour one block of rows later, combined per block."""
+def _variance_pairs(spark, sf):
+    """Value variance of each hour, and of the same hour one block of rows later."""
     e = events(spark, sf).withColumn("block", F.expr("seq div 1000"))
     g = e.groupBy("block", "hr").agg(F.count("*").alias("n"), F.var_samp("cents").alias("v"))
     later = g.select((F.col("block") - 1).alias("block"), "hr", F.col("n").alias("n2"), F.col("v").alias("v2"))
-    out = CK.combine_f_tests(g.join(later, ["block", "hr"]), ["block"], "hr", max_rows=24)
+    return g.join(later, ["block", "hr"])
+
+
+@query("variance_f_ratios", "G16", sql=with_(EV, "g AS (SELECT seq // 1000 AS block, hr, count(*) AS n, var_samp(cents) AS v FROM ev GROUP BY ALL)") +
+  """SELECT a.block, a.hr, round(a.v / b.v, 6) AS f, a.n - 1 AS df1, b.n - 1 AS df2 FROM g a JOIN g b ON b.block = a.block + 1 AND b.hr = a.hr WHERE a.n > 1 AND b.n > 1 AND b.v > 0""")
+def _(spark, sf):
+    return CK.f_ratios(_variance_pairs(spark, sf)).select("block", "hr", F.round("f", 6).alias("f"), "df1", "df2")
+
+
+@query("variance_f_test", "G16")
+def _(spark, sf):
+    """The tests of each block combined."""
+    out = CK.combine_f_tests(_variance_pairs(spark, sf), ["block"], "hr", max_rows=24)
     return out.withColumn("p_value", F.round("p_value", 6))
 
 

@@ -111,7 +111,19 @@ def _(spark, sf):
     return _out(W.weight_power_law(densities(spark, sf, ("new", "own")), 0.9, -1.0))
 
 
-@query("weight_power_law_tuned", "M8")
+def _tuning_sql(rounds: int = 5, cells: int = 16, delta: float = 0.1) -> list[str]:
+    """The grid narrowed round by round: the first point whose criterion is not negative, and the one before it."""
+    parts = ["rw AS (SELECT batch, greatest(p_new / (p_own + 1e-16), 1e-300) AS w FROM ps)", "z0 AS (SELECT 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi)"]
+    for i in range(1, rounds + 1):
+        x = f"lo + (hi - lo) * i / {cells}::DOUBLE"
+        parts.append(f"y{i} AS (SELECT i, lo, hi, {x} AS x, ({x}) * ({x}) / count(*) * sum(pow(1 / ((1 - ({x})) / w + ({x})), 2)) - 2 * log10(1 / {delta}::DOUBLE) / (3 * count(*)) AS v "
+                     f"FROM rw, z{i - 1}, range(1, {cells + 1}) t(i) GROUP BY i, lo, hi)")
+        parts.append(f"z{i} AS (SELECT CASE WHEN a IS NULL THEN hi ELSE lo + (hi - lo) * (a - 1) / {cells}::DOUBLE END AS lo, CASE WHEN a IS NULL THEN hi ELSE lo + (hi - lo) * a / {cells}::DOUBLE END AS hi "
+                     f"FROM (SELECT min(i) FILTER (v >= 0) AS a, any_value(lo) AS lo, any_value(hi) AS hi FROM y{i}))")
+    return [*parts, f"lm AS (SELECT hi AS lam FROM z{rounds})"]
+
+
+@query("weight_power_law_tuned", "M8", sql=with_(LI, MODEL, *_tuning_sql()) + "SELECT batch, round(avg(1 / ((1 - lam) / w + lam)), 4) AS weight, round(any_value(lam), 4) AS lam FROM rw, lm GROUP BY batch")
 def _(spark, sf):
     return W.weight_power_law(densities(spark, sf, ("new", "own")), None, -1.0).groupBy("batch").agg(F.round(F.avg("weight"), 4).alias("weight"), F.round(F.max("lam"), 4).alias("lam"))
 
