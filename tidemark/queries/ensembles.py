@@ -10,7 +10,8 @@ from tidemark.operators import ensembles as E
 from tidemark.operators import experts as X
 from tidemark.operators import features as FT
 from tidemark.queries import query
-from tidemark.queries.base import EV, LI, PRED, events, fold_sql, lines, predictions, recursive, with_
+from tidemark.queries.base import EV, LI, PRED, events, fold_sql, lines, predictions, recursive, uniform_sql, with_
+from tidemark.queries.metrics import nb_score_sql, nb_stats_sql
 
 EF = ["cents", "hr", "k"]
 
@@ -32,14 +33,31 @@ def _(spark, sf):
     return _per_key(out, "user_id")
 
 
-@query("chunk_weighted_ensemble", "L13")
+_BAG = uniform_sql("(CAST(event_id AS VARCHAR) || '-' || CAST(bag AS VARCHAR))", "'42:bag'")
+CHUNK_ENSEMBLE = [
+    EV, "ch AS (SELECT event_id, (seq - 1) // 500 AS chunk, cents, k, y_sudden AS y FROM ev)",
+    "ct AS (SELECT chunk, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS q FROM ch GROUP BY chunk)",
+    "tk AS (SELECT chunk, CASE WHEN q > p THEN 0 ELSE 1 END AS cut, least(p, q) AS keep, greatest(CAST(ceil(greatest(p, q) / least(p, q)::DOUBLE) AS INT), 11) AS nb FROM ct WHERE p > 0 AND q > 0)",
+    "sp AS (SELECT ch.*, cut, keep, CAST(unnest(range(0, nb + CASE WHEN nb % 2 = 0 THEN 1 ELSE 0 END)) AS INT) AS bag FROM ch JOIN tk USING (chunk))",
+    f"rk AS (SELECT *, row_number() OVER (PARTITION BY chunk, bag, y ORDER BY {_BAG}, event_id) AS r FROM sp)",
+    f"st AS (SELECT chunk AS member, bag, {nb_stats_sql(['cents', 'k'], [0, 1], 'y', '()').replace(' OVER ()', '')} FROM rk WHERE y <> cut OR r <= keep GROUP BY chunk, bag)",
+    f"sc AS ({nb_score_sql('(SELECT ch.*, st.* FROM ch JOIN st ON st.member BETWEEN ch.chunk - 10 AND ch.chunk)', ['cents', 'k'], [0, 1])})",
+    "sg AS (SELECT event_id, chunk, member, y, sign(2 * avg(y_pred) - 1) AS s FROM sc GROUP BY ALL)",
+    "gm AS (SELECT chunk, member, CASE WHEN count(*) FILTER (y = 1) = 0 OR count(*) FILTER (y = 0) = 0 THEN 0.0 ELSE sqrt(avg(CAST(s > 0 AS INT)) FILTER (y = 1) * avg(CAST(s < 0 AS INT)) FILTER (y = 0)) END AS g FROM sg GROUP BY ALL)",
+    "tm AS (SELECT DISTINCT member, member + a AS t FROM gm, range(1, 11) x(a))",
+    "wt AS (SELECT tm.member, t, product(g) AS w FROM tm JOIN gm ON gm.member = tm.member AND gm.chunk < t GROUP BY tm.member, t HAVING product(g) >= 0.1)",
+    "pr AS (SELECT ch.event_id, ch.chunk, ch.y, coalesce(sum(s * w), 0) AS v FROM ch LEFT JOIN (SELECT sg.event_id, s, w FROM sg JOIN wt ON wt.member = sg.member AND wt.t = sg.chunk WHERE sg.member < sg.chunk) z ON z.event_id = ch.event_id GROUP BY ALL)",
+]
+
+
+@query("chunk_weighted_ensemble", "L13", sql=with_(*CHUNK_ENSEMBLE) + "SELECT chunk AS chunk_id, count(*) AS n, round(avg(CAST(y = CAST(v > 0 AS INT) AS INT)), 6) AS accuracy FROM pr GROUP BY chunk")
 def _(spark, sf):
     e = events(spark, sf).withColumn("chunk_id", F.expr("(seq - 1) div 500"))
     pred, _w = E.chunk_weighted_ensemble(e, "chunk_id", "event_id", ["cents", "k"], "y_sudden", members=10, bags=11)
     return _per_key(pred, "chunk_id")
 
 
-@query("chunk_member_weights", "L13")
+@query("chunk_member_weights", "L13", sql=with_(*CHUNK_ENSEMBLE) + "SELECT t AS chunk_id, member, round(w, 6) AS weight FROM wt")
 def _(spark, sf):
     e = events(spark, sf).withColumn("chunk_id", F.expr("(seq - 1) div 500"))
     _p, weights = E.chunk_weighted_ensemble(e, "chunk_id", "event_id", ["cents", "k"], "y_sudden", members=10, bags=11)

@@ -167,10 +167,14 @@ def _(spark, sf):
     return out.select("replica", "draw", "event_id")
 
 
-@query("resampled_bag", "M12")
+@query("resampled_bag", "M12", sql=with_(EV, f"d AS (SELECT CAST(id // 200 AS INT) AS replica, CAST(id % 200 AS INT) AS draw, {DRAW} AS u FROM range(0, 2000) t(id))",
+  "c AS (SELECT event_id, sum(k) OVER (ORDER BY seq) - k AS lo, sum(k) OVER (ORDER BY seq) AS hi, sum(k) OVER () AS total FROM ev WHERE k > 0)",
+  "sm AS (SELECT replica, ev.cents, ev.hr, ev.y_sudden FROM d JOIN c ON u * total >= lo AND u * total < hi JOIN ev ON ev.event_id = c.event_id)",
+  f"st AS (SELECT replica, {nb_stats_sql(['cents', 'hr'], [0, 1], 'y_sudden', '()').replace(' OVER ()', '')} FROM sm GROUP BY replica)",
+  f"sc AS ({nb_score_sql('(SELECT ev.*, st.* FROM ev, st)', ['cents', 'hr'], [0, 1], proba=True)})") + "SELECT event_id, round(avg(p1), 4) AS p1 FROM sc GROUP BY event_id")
 def _(spark, sf):
     e = events(spark, sf).select("event_id", "seq", "k", "hr", "cents", "y_sudden")
-    out = W.resampled_bag(e, e, "k", "seq", ["cents", "hr"], "y_sudden", [0, 1], size=200, replicas=5)
+    out = W.resampled_bag(e, e, "k", "seq", ["cents", "hr"], "y_sudden", [0, 1], size=200, replicas=10)
     return out.select("event_id", F.round(F.get("proba", F.lit(1)), 4).alias("p1"))
 
 
