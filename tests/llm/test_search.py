@@ -70,7 +70,7 @@ ODD = [(900, None), (901, [1.0, None, 0.0, 0.0]), (902, [float("nan"), 0.0, 0.0,
 def test_odd_rows(spark, operator):
     rows = odd_rows()
     frame = spark.createDataFrame([(i, x, "c", 1) for i, x in [*rows, *ODD, rows[0], rows[70]]], "vec_id bigint, embedding array<double>, score string, g int")
-    more = {"visit": 1.0} if operator is ann else {"pivots": 5}
+    more = {"visit": 10**6} if operator is ann else {"pivots": 5}
     got = collected(operator.search(frame, F.col("vec_id") % 20 == 0, k=5, **more))
     as_ints = operator is voronoi
     plain = [(i, integers(x) if as_ints else np.array(x)) for i, x in rows]

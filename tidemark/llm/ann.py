@@ -3,8 +3,8 @@
 A tree splits at the median of a random projection, one direction per tree and level, until leaves hold about ``leaf``
 vectors; medians come from a bounded sample of the vectors, and below the depth at which a sample node holds ``LEAST``
 of them all its descendants of a level share one median.  Every vector is indexed, in one leaf of each tree.  A query
-pops nodes of all trees from one queue, ordered by the squared distance to the planes crossed, until it has a share
-``visit`` of the forest's leaves; the vectors of these leaves are reranked by their exact inner products.
+pops nodes of all trees from one queue, ordered by the squared distance to the planes crossed, until it has ``visit``
+leaves; the vectors of these leaves are reranked by their exact inner products.
 """
 
 from __future__ import annotations
@@ -85,14 +85,14 @@ def grow(sample: np.ndarray, total: int, *, trees: int, leaf: int, seed: int) ->
 
 
 def search(
-    df: DataFrame, queries: Column, *, k: int = 20, trees: int = 16, leaf: int = 800, visit: float = 0.06, sample: int = 20_000, seed: int = 11,
+    df: DataFrame, queries: Column, *, k: int = 20, trees: int = 16, leaf: int = 800, visit: int = 128, sample: int = 20_000, seed: int = 11,
     id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """Columns query_id, rank, vec_id, score: about the k largest inner products of each query row with other rows.
 
     ``queries`` is a condition on ``vec_id``.  Rows as ``vectors.usable`` says take part (zero vectors do not); equal
     rows count once, equal vectors of different rows are found together, ties go to the smaller id.  ``visit`` is the
-    share of all leaves that a query opens; ``sample`` bounds the vectors that the medians are taken from.
+    number of leaves that a query opens, at any size of the table; ``sample`` bounds the vectors that the medians are taken from.
     """
     rows = V.usable(df, id_col, vector_col, zeros=False)
     unique = V.distinct(rows, k)
@@ -103,7 +103,7 @@ def search(
     picked = bounded_sample(unique.select("g", "vector"), F.col("g"), sample, total).orderBy("g").toArrow()
     points = V.matrix(picked.column("vector")) if len(picked) else np.zeros((1, len(unique.first()["vector"])))
     forest = grow(points, total, trees=trees, leaf=leaf, seed=seed)
-    most = max(trees, math.ceil(visit * trees * 2**forest.depth))
+    most = max(trees, visit)
 
     def index(batches):
         for batch in batches:
