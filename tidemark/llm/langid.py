@@ -110,9 +110,15 @@ def fit(
     labels = sorted(set(rows.column("label").to_pylist()))
     if not labels:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    data = list(zip(rows.column("bucket").to_pylist(), rows.column("share").to_pylist(), rows.column("label").to_pylist()))
-    data = [(np.array(b, np.int64), np.array(s, np.float64), labels.index(y)) for b, s, y in data]
-    data.sort(key=lambda r: (r[2], len(r[0]), r[0].tolist()[:64], r[1].tolist()[:64]))
+    # views of the collected buffers, in an order that does not depend on the partitions
+    data = []
+    for batch in rows.combine_chunks().to_batches():
+        buckets, shares = batch.column("bucket"), batch.column("share")
+        bucket, share = buckets.flatten().to_numpy(), shares.flatten().to_numpy()
+        ends = np.cumsum(buckets.value_lengths().to_numpy(zero_copy_only=False))
+        for a, b, y in zip(np.concatenate([[0], ends[:-1]]), ends, batch.column("label").to_pylist()):
+            data.append((bucket[a:b], share[a:b], labels.index(y)))
+    data.sort(key=lambda r: (r[2], len(r[0]), r[0][:64].tolist(), r[1][:64].tolist()))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(data))
     kept_back, train = order[: len(data) // 5], order[len(data) // 5 :]
