@@ -117,7 +117,7 @@ def _in_chunks(e, size):
 
 @query("prequential_active", "R2", "Q2")
 def _(spark, sf):
-    e = _in_chunks(events(spark, sf), 1000)
+    e = _in_chunks(events(spark, sf), 500)
     model = BayesModel(AF, "y_sudden", [0, 1])
     run = prequential_active(e, model, "chunk_id", "y_sudden", lambda d: Q.query_margin_fixed(d, "proba", 0.5))
     return run.groupBy("chunk_id").agg(F.count("*").alias("n"), F.count_if("is_queried").alias("asked"),

@@ -130,8 +130,8 @@ def prequential_active(
             model = model.learn(scored.filter("is_queried"))
         counts = scored.agg(F.count("*").alias("n"), F.count_if("is_queried").alias("q")).first()
         seen, asked = seen + counts["n"], asked + counts["q"]
-    if not done:
-        raise ValueError("no chunk is left after the warm-up")
+    if not done:  # no chunk is left after the warm-up
+        return selector(model.score(df.limit(0)))
     return spark.read.parquet(*done)
 
 
