@@ -205,7 +205,8 @@ class BroadLearner:
 
         if self.mode == "graph":
             return fold_blocks(rows, keys, start, add, finish, schema)
-        return sum_arrays(partial_blocks(rows, keys, start, add, finish, schema), keys, ["gram", "xty"], ["n"])
+        hold = max(1, (256 << 20) // (8 * d * (d + c)))  # a quarter of a GB of sums in a task
+        return sum_arrays(partial_blocks(rows, keys, start, add, finish, schema, hold=hold), keys, ["gram", "xty"], ["n"])
 
     def _add_frame(self, acc, part: pd.DataFrame, chunk: str) -> None:
         x = np.stack(part["__x"].to_numpy()).astype(float)

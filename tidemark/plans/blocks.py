@@ -134,7 +134,7 @@ def fold_blocks(
 
 
 def partial_blocks(
-    rows: DataFrame, by: list[str], start: Callable, add: Callable, finish: Callable, schema: T.StructType, *, hold: int = 64
+    rows: DataFrame, by: list[str], start: Callable, add: Callable, finish: Callable, schema: T.StructType, *, hold: int
 ) -> DataFrame:
     """Like ``fold_blocks``, over the partitions as they are: no shuffle, and several partial rows per block.
 
