@@ -165,7 +165,7 @@ FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
 
 @query("op8_lm", OP8_SQL)
 def op8_lm(spark: SparkSession, sf: str) -> DataFrame:
-    """Stupid-backoff bigram scores; the rows of a quarter of an input split are one block."""
-    split = F.xxhash64("_metadata.file_path", "_metadata.file_block_start", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    """Stupid-backoff bigram scores; the rows of half an input split are one block."""
+    split = F.xxhash64("_metadata.file_path", "_metadata.file_block_start", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
     docs = table(spark, sf, "documents").select("doc_id", "text", split.alias("split"))
     return lm.score(docs, order=2, block=F.col("split"))
