@@ -98,3 +98,27 @@ def test_deeper_levels_share_medians():
     x = rng.normal(size=8)
     assert forest.search(x, 1)[0] in {(t, int(forest.leaves(x[None])[0, t])) for t in (0, 1)}
     assert sorted(forest.search(x, 10**6)) == [(t, n) for t in (0, 1) for n in range(512)]
+
+
+def test_leaves_follow_the_recall(spark):
+    """Vectors without neighbourhood structure: a fixed number of leaves meets few of the nearest."""
+    x = np.random.default_rng(8).normal(size=(4000, 24))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(5)
+    got = collected(ann.search(frame, F.col("vec_id") % 20 == 0, k=10, trees=4, leaf=16, visit=16))
+    hits = 0
+    for q in range(0, 4000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len({i for i, _ in got[q]} & set(np.argsort(-s)[:10].tolist()))
+    assert hits >= 0.9 * 10 * 200
+
+
+def test_opened_counts_the_leaves_of_the_search():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(500, 8))
+    forest = ann.grow(x, len(x), trees=3, leaf=16, seed=1)
+    for q in x[:5]:
+        order = forest.search(q, 10**6)
+        for count, leaves in zip(forest.opened(q, x[5:50]), forest.leaves(x[5:50])):
+            assert count >= min(order.index((t, n)) for t, n in enumerate(leaves.tolist())) + 1
+            assert {(t, n) for t, n in enumerate(leaves.tolist())} & set(order[:count])
