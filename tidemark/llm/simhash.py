@@ -165,7 +165,11 @@ def near_duplicates(
 
 def one_of_each(df: DataFrame, *, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the row of the smallest id of each class; rows without an id stay, repeated ids leave one row."""
-    found = near_duplicates(df, radius=radius, shingle=shingle, id_col=id_col, text_col=text_col)
+    return first_of_each(df, near_duplicates(df, radius=radius, shingle=shingle, id_col=id_col, text_col=text_col), id_col)
+
+
+def first_of_each(df: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``df`` whose id names its class in ``found`` (id_col, component), and those without an id."""
     stay = found.filter(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("__stay"))
     stay = materialize(stay.groupBy("__stay").agg(F.count(F.lit(1)).alias("__n")), "representatives")
     kept = df.join(stay, F.col(id_col) == F.col("__stay"), "left").filter(F.col("__stay").isNotNull() | F.col(id_col).isNull())
