@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, langid, lm, packing, pii, simhash, substrings, toxicity, voronoi
+from tidemark.llm import ann, bpe, langid, lm, merkle, packing, pii, simhash, substrings, toxicity, voronoi
 from tidemark.llm.common import bounded_sample, held_out
 from tidemark.session import materialize, ship
 
@@ -169,3 +169,57 @@ def op8_lm(spark: SparkSession, sf: str) -> DataFrame:
     split = F.xxhash64("_metadata.file_path", "_metadata.file_block_start", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
     docs = table(spark, sf, "documents").select("doc_id", "text", split.alias("split"))
     return lm.score(docs, order=2, block=F.col("split"))
+
+
+def _level(tree: str, name: str, source: str) -> str:
+    """SQL text: nodes (tree, level, pos, h, n) of every tree over ``source`` (tree, pos, h), level by level."""
+    return f"""{name} AS (
+  SELECT {tree} AS tree, 0 AS level, pos, h, count(*) OVER (PARTITION BY {tree}) AS n FROM {source}
+  UNION ALL SELECT tree, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 2) // 3 FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 3)"""
+
+
+def _steps(name: str, node: str) -> str:
+    """SQL text: siblings (doc, level, before, after) at the levels of ``name`` above the nodes ``node`` (doc, tree, pos)."""
+    return f"""SELECT x.r, b.level, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < x.pos // 3 ** b.level), '') AS before,
+    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > x.pos // 3 ** b.level), '') AS after
+  FROM {node} x JOIN {name} b ON b.tree = x.tree AND b.n > 1 AND b.pos // 3 = x.pos // CAST(3 ** (b.level + 1) AS BIGINT) GROUP BY x.r, b.level""".replace(
+        "3 ** b.level", "CAST(3 ** b.level AS BIGINT)")
+
+
+def _coded(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || {column}, '-')"
+
+
+OP13_SQL = f"""WITH RECURSIVE c AS (
+  SELECT doc_id, source, text, {" || ".join(map(_coded, ("doc_id", "source", "lang", "n_chars")))} AS head,
+    list_reduce(list_prepend(4294967295, flatten([[ascii(x), -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(CAST(doc_id AS VARCHAR), '')])),
+      lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) % 2 = 1 AS even
+  FROM documents),
+l AS (SELECT doc_id, source, sha256(head || {_coded("text")}) AS h,
+    sha256(head || {_coded("CASE WHEN even THEN replace(text, chr(10), '') ELSE text END")}) AS seen FROM c),
+g AS (SELECT source, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM documents) z),
+p AS (SELECT doc_id, h, seen, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos,
+    row_number() OVER (ORDER BY tree, doc_id NULLS FIRST, h) AS r FROM l JOIN g ON g.source IS NOT DISTINCT FROM l.source),
+{_level("tree", "low", "p")},
+sub AS (SELECT tree AS pos, h FROM low WHERE n = 1),
+{_level("0", "high", "sub")},
+steps AS (SELECT * FROM ({_steps("low", "p")}) a
+  UNION ALL SELECT r, 1000 + level, before, after FROM ({_steps("high", "(SELECT r, 0 AS tree, tree AS pos FROM p)")}) b),
+path AS (SELECT r, list([before, after] ORDER BY level) AS w, sha256(string_agg(before || after, '' ORDER BY level)) AS proof FROM steps GROUP BY r),
+f AS (SELECT p.doc_id, p.h AS leaf, s.h AS subroot, t.h AS root, coalesce(proof, sha256('')) AS proof_sha256,
+    CASE WHEN w IS NULL THEN seen ELSE list_reduce(list_prepend([seen, ''], w), lambda a, x: [sha256(x[1] || a[1] || x[2]), ''])[1] END AS folded_root
+  FROM p JOIN sub s ON s.pos = p.tree CROSS JOIN (SELECT h FROM high WHERE n = 1) t LEFT JOIN path ON path.r = p.r)
+SELECT *, folded_root = root AS verified FROM f"""
+
+
+@query("op13_merkle", OP13_SQL)
+def op13_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaves, roots and witnesses of all documents, and what the witnesses make of tampered texts."""
+    head, text = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.col("text")
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    other = merkle.leaf_digest([*head, F.when(even, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)])
+    found = merkle.manifest(table(spark, sf, "documents"), key=F.col("doc_id"), group=F.col("source"), fields=[*head, text], others={"other": other})
+    out = found.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("witness")).cast("binary"), 256).alias("proof_sha256"),
+        merkle.folded(F.col("other"), F.col("witness")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
