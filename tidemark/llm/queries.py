@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, langid, lm, merkle, packing, pii, simhash, substrings, toxicity, voronoi
+from tidemark.llm import ann, bpe, langid, lm, merkle, packing, pii, simhash, substrings, toxicity, voronoi, whitening
 from tidemark.llm.common import bounded_sample, held_out
 from tidemark.session import materialize, ship
 
@@ -171,6 +171,12 @@ def op8_lm(spark: SparkSession, sf: str) -> DataFrame:
     return lm.score(docs, order=2, block=F.col("split"))
 
 
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """The 32 leading whitened coordinates of every vector."""
+    return whitening.whiten(table(spark, sf, "embeddings"), components=32, scale=64, shift=1_000_000)
+
+
 def _level(tree: str, name: str, source: str) -> str:
     """SQL text: nodes (tree, level, pos, h, n) of every tree over ``source`` (tree, pos, h), level by level."""
     return f"""{name} AS (
