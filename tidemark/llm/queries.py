@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, langid, lm, merkle, packing, pii, simhash, substrings, toxicity, voronoi, whitening
+from tidemark.llm import ann, bpe, langid, lm, merkle, packing, pii, quality, simhash, substrings, toxicity, voronoi, whitening
 from tidemark.llm.common import bounded_sample, held_out
 from tidemark.session import materialize, ship
 
@@ -171,6 +171,17 @@ def op8_lm(spark: SparkSession, sf: str) -> DataFrame:
     return lm.score(docs, order=2, block=F.col("split"))
 
 
+@query("op11_quality")
+def op11_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of every text, trained on at most about 4000 labelled rows outside the held-out fold."""
+    docs, most = table(spark, sf, "documents"), 4000
+    known = table(spark, sf, "labels").filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
+    picked = F.broadcast(bounded_sample(known, F.col("doc_id"), most))  # an id and a label for each of them
+    model = quality.fit(docs.select("doc_id", "text").join(picked, "doc_id"), key=F.col("doc_id"), most=most)
+    found = quality.score(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op12_whitening")
 def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
     """The 32 leading whitened coordinates of every vector."""
