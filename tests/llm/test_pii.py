@@ -1,6 +1,8 @@
 import hashlib
+import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -92,3 +94,52 @@ def test_query(spark, sf):
 def test_no_python_in_the_plan(spark, sf):
     plan = SPARK["op7_pii"](spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_very_long_texts_take_linear_time(spark):
+    """100,000 matches in one text: positions, seeds and masks without a step that grows with the square."""
+    n = 100_000
+    frame = spark.createDataFrame([(1, "; ".join(["u@v.w"] * n)), (2, "a " + "12 " * n + "x@y.z")], "doc_id bigint, text string")
+    began = time.time()
+    out = {r["doc_id"]: r for r in pii.extract(frame).selectExpr("doc_id", "size(base) AS n", "element_at(base, -1) AS last").collect()}
+    assert out[1]["n"] == n and out[1]["last"]["start"] == 7 * (n - 1) and out[1]["last"]["end"] == 7 * n - 2
+    assert out[2]["n"] == 1 and out[2]["last"]["start"] == 3 * n + 2
+    text = {r["doc_id"]: r["text"] for r in pii.redact(frame).collect()}
+    assert text[1] == "; ".join(["<EMAIL>"] * n) and text[2] == "a " + "12 " * n + "<EMAIL>"
+    assert time.time() - began < 120
+
+
+def test_masks_of_any_spans(spark):
+    """Against cutting a list of characters: overlapping spans, ends on block edges, characters beyond 16 bits."""
+    rng, rows = random.Random(4), []
+    for i in range(60):
+        text = "".join(rng.choice("ab😀é ") for _ in range(rng.choice([0, 5, 255, 256, 257, 700, 1500])))
+        spans = sorted((a, rng.randint(0, 4), min(len(text), a + rng.choice([1, 3, 256, 300])), "k") for a in (rng.randrange(len(text)) for _ in range(rng.randint(0, 6)))) if text else []
+        rows.append((i, text, spans))
+    frame = spark.createDataFrame(rows, "i int, t string, s array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
+    for r, (_, text, spans) in zip(pii.masked(frame, "t", "s").orderBy("i").collect(), rows):
+        want, at = "", 0
+        for a, _, b, _ in spans:
+            want, at = (want + text[at:a] + "<K>" if a >= at else want), max(at, b)
+        assert r["t"] == want + text[at:]
+
+
+def test_running_values(spark):
+    rows = [([],), ([5],), (list(range(700)),), ([3, -1, 9] * 30_000,)]
+    frame = spark.createDataFrame(rows, "v array<bigint>")
+    for r in pii.running(pii.running(frame, "v", "s"), "v", "m", "greatest(a, x)").collect():
+        assert r["s"] == [0, *itertools.accumulate(r["v"])][: len(r["v"])]
+        assert r["m"] == [0, *itertools.accumulate(r["v"], max, initial=0)][1 : len(r["v"]) + 1]
+
+
+def test_discovery_goes_on_until_nothing_changes(spark):
+    """A chain: each kind of identifier is introduced by words that the kind before it made confident."""
+    sizes, rows = [1600, 400, 100, 25, 6, 1], []
+    for step in range(5):
+        for i in range(sizes[step]):
+            rows.append((step, f"words word{chr(97 + step)} " + (f"10.0.{i // 250}.{i % 250}" if step == 0 else f"K{step}{i:04d}77") + " end"))
+        rows += [(100 + step, f"words word{chr(97 + step)} K{step + 1}{i:04d}77 end") for i in range(sizes[step + 1])]
+    out = pii.extract(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    for step in range(5):
+        new = [r for r in out if r["doc_id"] == 100 + step]
+        assert len(new) == sizes[step + 1] and all(any(x["kind"] == "id" for x in r["spans"]) for r in new), step

@@ -9,7 +9,7 @@ that patterns of high confidence introduce are further spans, of kind ``id``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize
@@ -34,14 +34,33 @@ MENTION = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 CONTEXT = 48  # characters of context kept on the left of a mention
 
 
-def _running(lengths: str) -> str:
-    """SQL: sums before each element of an array of longs; blocks keep the work linear for long arrays."""
-    step = "(a, x) -> concat(a, array(element_at(a, -1) + x))"
-    zero = "array(0L)"
-    blocks = f"transform(sequence(0, (size({lengths}) - 1) div 256), b -> aggregate(slice({lengths}, b * 256 + 1, 256), {zero}, {step}))"
-    return (
-        f"CASE WHEN size({lengths}) = 0 THEN array() ELSE flatten(transform({blocks}, (p, i) -> transform(slice(p, 1, size(p) - 1), "
-        f"v -> v + aggregate(slice({lengths}, 1, i * 256), 0L, (a, x) -> a + x)))) END")
+STEP = 256  # elements that one block of a running value holds
+
+
+def running(df: DataFrame, column: str, out: str, op: str = "a + x", zero: str = "0L") -> DataFrame:
+    """Add ``out``: for each element of an array of longs, ``op`` over the elements before it, from ``zero``.
+
+    Blocks, blocks of their totals, and the totals of those: an array that grows by one element is copied within a block
+    only, so the work is linear.  The blocks are columns used twice, which the optimizer leaves as they are;
+    what a block starts from reaches it as the other array of a zip, evaluated once.
+    """
+    held = [f"__{out}_{i}" for i in range(4)]
+
+    def grown(part: str) -> str:
+        return f"aggregate({part}, array({zero}), (acc, x) -> concat(acc, array({op.replace('a ', 'element_at(acc, -1) ').replace('(a,', '(element_at(acc, -1),')})))"
+
+    def blocks(whole: str) -> str:
+        return f"CASE WHEN size({whole}) = 0 THEN array() ELSE transform(sequence(0, (size({whole}) - 1) div {STEP}), b -> {grown(f'slice({whole}, b * {STEP} + 1, {STEP})')}) END"
+
+    def shifted(parts: str, starts: str) -> str:
+        return f"flatten(zip_with({parts}, {starts}, (p, a) -> transform(slice(p, 1, size(p) - 1), x -> {op})))"
+
+    totals = "transform({}, p -> element_at(p, -1))"
+    nested = "array<array<bigint>>"
+    df = df.withColumn(held[0], F.expr(f"cast({blocks(column)} as {nested})")).withColumn(held[1], F.expr(totals.format(held[0])))
+    df = df.withColumn(held[2], F.expr(f"cast({blocks(held[1])} as {nested})")).withColumn(held[3], F.expr(grown(totals.format(held[2]))))
+    df = df.withColumn(held[3], F.expr(shifted(held[2], f"slice({held[3]}, 1, size({held[2]}))")))
+    return df.withColumn(out, F.expr(shifted(held[0], held[3]))).drop(*held)
 
 
 def _places(df: DataFrame, text: str, pattern: str, hint: str, out: str, context: bool = False) -> DataFrame:
@@ -55,7 +74,7 @@ def _places(df: DataFrame, text: str, pattern: str, hint: str, out: str, context
     df = df.withColumn(found, F.when(has, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).otherwise(none))
     df = df.withColumn(gaps, F.when(F.size(found) > 0, F.split(F.col(text), pattern, -1)).otherwise(none))
     df = df.withColumn(lens, F.expr(f"transform({found}, (m, i) -> cast(char_length({gaps}[i]) + char_length(m) as bigint))"))
-    df = df.withColumn(starts, F.expr(f"cast({_running(lens)} as array<bigint>)"))
+    df = running(df, lens, starts)
     left = f", 'left', right({gaps}[i], {CONTEXT})" if context else ""
     places = (
         f"transform({found}, (m, i) -> named_struct('start', {starts}[i] + char_length({gaps}[i]), "
@@ -92,26 +111,37 @@ def joined(spans: str) -> Column:
 
 
 def _mentions(rows: DataFrame) -> DataFrame:
-    """Rows (row, start, end, token, seed, patterns) of the identifier-like tokens; edges of punctuation are cut off."""
-    m = rows.select("row", "base", F.explode("mentions").alias("m"))
+    """Rows (row, start, end, token, seed, patterns) of the identifier-like tokens; edges of punctuation are cut off.
+
+    A mention is a seed where a base span overlaps it: along the text, the largest end of the spans that start before its end.
+    """
+    m = rows.select("row", (F.size("base") > 0).alias("some"), F.explode("mentions").alias("m"))
     edge = r"[\"'(),;:!?.<>\[\]{}|=]"
     m = m.withColumn("lead", F.char_length(F.regexp_extract("m.found", rf"^({edge}*+)", 1)))
     m = m.withColumn("token", F.regexp_replace(F.substr("m.found", F.col("lead") + 1), rf"(?<!{edge}){edge}++$", ""))
     m = m.withColumn("start", F.col("m.start") + F.col("lead")).withColumn("end", F.col("start") + F.char_length("token"))
-    m = m.withColumn("seed", F.expr("exists(base, x -> x.start < end AND start < x.end)"))
     words = F.filter(F.split(F.lower(F.regexp_replace("m.left", "[0-9]", "0")), r"\s+"), lambda w: w != "")
     m = m.withColumn("words", words).withColumn("own", F.lower(F.regexp_extract("token", "^([A-Za-z_]+[=:])", 1)))
     one, two = F.element_at("words", -1), F.element_at("words", -2)
     patterns = F.when(F.col("own") != "", F.array(F.col("own"))).when(F.size("words") >= 2, F.array(one, F.concat_ws(" ", two, one)))
     patterns = patterns.when(F.size("words") == 1, F.array(one)).otherwise(F.array().cast("array<string>"))
-    return m.select("row", "start", "end", "token", "seed", patterns.alias("patterns"))
+    m = m.select("row", "start", "end", "token", "some", patterns.alias("patterns"))
+    alone = m.filter(~F.col("some")).select("row", "start", "end", "token", F.lit(False).alias("seed"), "patterns")
+    spans = rows.filter(F.size("base") > 0).select("row", F.explode("base").alias("x")).select(
+        "row", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.start").alias("at"), F.col("x.end").alias("reach"))
+    both = m.filter("some").drop("some").withColumn("at", F.col("end") - 1).unionByName(spans, allowMissingColumns=True)
+    along = Window.partitionBy("row").orderBy("at", F.col("reach").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("seed", F.coalesce(F.max("reach").over(along) > F.col("start"), F.lit(False))).filter("reach IS NULL")
+    return alone.unionByName(near.select(*alone.columns))
 
 
-def discover(rows: DataFrame, *, rounds: int = 3, confident: float = 0.6, support: int = 3, prior: float = 2.0) -> DataFrame:
+def discover(rows: DataFrame, *, rounds: int = 20, confident: float = 0.6, support: int = 3, prior: float = 2.0) -> DataFrame:
     """Columns row, start, end of mentions that patterns of high confidence introduce and no seed covers.
 
     ``rows`` has row, base and mentions.  A pattern needs ``support`` distinct sure instances; its score is the sum of
     its instances' confidences over their number plus ``prior``.  Instances need six characters, four of them digits.
+    Scores only rise from round to round; the rounds end when the confident patterns and, within 0.001, the sum of
+    their scores stay as they were, ``rounds`` at most.
     """
     mentions = materialize(_mentions(rows), "mentions")
     edges = mentions.select("token", "seed", F.explode("patterns").alias("pattern"))
@@ -119,11 +149,15 @@ def discover(rows: DataFrame, *, rounds: int = 3, confident: float = 0.6, suppor
     # written, so that the join below can split an instance that occurs in very many contexts
     seeds = materialize(edges.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("sure")), "instances")
     sure = seeds
-    patterns = None
+    patterns, before = None, (0, 0.0)
     for turn in range(rounds):
         scored = edges.select("pattern", "token").join(sure, "token").groupBy("pattern").agg(
             (F.sum("sure") / (F.count(F.lit(1)) + prior)).alias("score"), F.sum((F.col("sure") >= confident).cast("int")).alias("support"))
         patterns = materialize(scored.filter((F.col("support") >= support) & (F.col("score") >= confident)).select("pattern", "score"), f"patterns-{turn}")
+        now = tuple(patterns.agg(F.count(F.lit(1)), F.coalesce(F.sum("score"), F.lit(0.0))).first())
+        if now[0] == before[0] and now[1] - before[1] < 0.001:
+            break
+        before = now
         if turn < rounds - 1:
             reached = edges.join(patterns, "pattern").groupBy("token").agg((1 - F.exp(F.sum(F.log1p(-0.99 * F.col("score"))))).alias("again"))
             sure = seeds.join(reached, "token", "left").select("token", F.greatest("sure", F.coalesce("again", F.lit(0.0))).alias("sure"))
@@ -133,7 +167,7 @@ def discover(rows: DataFrame, *, rounds: int = 3, confident: float = 0.6, suppor
     return new.join(patterns.select("pattern"), "pattern").select("row", "start", "end").distinct()
 
 
-def extract(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, confident: float = 0.6, support: int = 3) -> DataFrame:
+def extract(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 20, confident: float = 0.6, support: int = 3) -> DataFrame:
     """Columns id_col, base and spans: arrays of struct(start, rank, end, kind), positions in code points.
 
     A null text counts as empty and has no spans.  Rows are told apart by a number of their own, so repeated rows and
@@ -152,20 +186,30 @@ def extract(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ro
     return out.select(F.col("id").alias(id_col), "base", spans.alias("spans"))
 
 
-def masked(text: str, spans: str) -> Column:
-    """The text with each span replaced by its kind in angle brackets; overlapping spans become one of the first kind."""
-    merged = (
-        f"aggregate({spans}, cast(array() as array<struct<start:bigint,end:bigint,kind:string>>), (a, x) -> CASE "
-        "WHEN size(a) > 0 AND x.start < element_at(a, -1).end THEN concat(slice(a, 1, size(a) - 1), array(named_struct("
-        "'start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end), 'kind', element_at(a, -1).kind))) "
-        "ELSE concat(a, array(named_struct('start', x.start, 'end', x.end, 'kind', x.kind))) END, "
-        f"m -> concat(array_join(transform(m, (x, i) -> concat(substring({text}, cast(CASE WHEN i = 0 THEN 1 ELSE m[i - 1].end + 1 END as int), "
-        "cast(x.start - CASE WHEN i = 0 THEN 0 ELSE m[i - 1].end END as int)), '<', upper(x.kind), '>')), ''), "
-        f"substring({text}, cast(element_at(m, -1).end + 1 as int))))")
-    return F.when(F.expr(f"{spans} IS NULL OR size({spans}) = 0"), F.col(text)).otherwise(F.expr(merged))
+def masked(df: DataFrame, text: str, spans: str) -> DataFrame:
+    """``text`` with each of ``spans`` replaced by its kind in angle brackets; overlapping ones become one of the first kind.
+
+    The text is cut into blocks of ``STEP`` characters, so the pieces between spans are read without counting
+    characters from its start again.
+    """
+    some = f"{spans} IS NOT NULL AND size({spans}) > 0"
+    df = df.withColumn("__ends", F.expr(f"CASE WHEN {some} THEN transform({spans}, x -> cast(x.end as bigint)) ELSE cast(array() as array<bigint>) END"))
+    df = running(df, "__ends", "__from", "greatest(a, x)")
+    df = df.withColumn("__cut", F.expr(f"CASE WHEN {some} THEN regexp_extract_all({text}, '(?s).{{1,{STEP}}}', 0) ELSE cast(array() as array<string>) END"))
+
+    def piece(a: str, b: str) -> str:
+        i, j = f"cast({a} div {STEP} as int)", f"cast(({b} - 1) div {STEP} as int)"
+        whole = f"array_join(slice(__cut, {i} + 2, {j} - {i} - 1), '')"
+        first = f"substring(__cut[{i}], cast({a} % {STEP} as int) + 1, CASE WHEN {i} = {j} THEN cast({b} - {a} as int) ELSE {STEP} END)"
+        return f"CASE WHEN {a} >= {b} THEN '' WHEN {i} = {j} THEN {first} ELSE concat({first}, {whole}, substring(__cut[{j}], 1, cast(({b} - 1) % {STEP} as int) + 1)) END"
+
+    parts = f"zip_with({spans}, __from, (x, a) -> CASE WHEN x.start >= a THEN concat({piece('a', 'x.start')}, '<', upper(x.kind), '>') ELSE '' END)"
+    tail = f"array_join(transform(array(array_max(__ends)), a -> {piece('a', '__length')}), '')"
+    df = df.withColumn("__length", F.expr(f"cast(char_length({text}) as bigint)"))
+    return df.withColumn(text, F.expr(f"CASE WHEN {some} THEN concat(array_join({parts}, ''), {tail}) ELSE {text} END")).drop("__ends", "__from", "__cut", "__length")
 
 
-def redact(df: DataFrame, *, text_col: str = "text", rounds: int = 3, confident: float = 0.6, support: int = 3) -> DataFrame:
+def redact(df: DataFrame, *, text_col: str = "text", rounds: int = 20, confident: float = 0.6, support: int = 3) -> DataFrame:
     """``df`` with the personal data of ``text_col`` masked; all other columns and all rows stay, null texts too."""
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__whole")
     docs = df.select(whole, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -175,5 +219,5 @@ def redact(df: DataFrame, *, text_col: str = "text", rounds: int = 3, confident:
     span = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(FOUND).alias("kind"))
     out = rows.select("row", "__whole", "base").join(new.groupBy("row").agg(F.collect_list(span).alias("more")), "row", "left")
     spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
-    out = out.select("__whole", F.col(f"__whole.`{text_col}`").alias("__text"), spans.alias("__spans")).withColumn("__text", masked("__text", "__spans"))
+    out = masked(out.select("__whole", F.col(f"__whole.`{text_col}`").alias("__text"), spans.alias("__spans")), "__text", "__spans")
     return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"__whole.`{c}`").alias(c) for c in df.columns])
