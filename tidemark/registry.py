@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrays import range_margin, top2_margin
 from tidemark.functions.hashing import hash_uniform
 from tidemark.operators import broad as br
-from tidemark.operators import detect, ensembles, naive_bayes, regress
+from tidemark.operators import boosting, detect, ensembles, naive_bayes, regress
 from tidemark.operators import select as sel
 from tidemark.operators.neighbors import window_knn_regress
 from tidemark.plans.keyed import keyed_scan
@@ -73,6 +73,14 @@ def _chunk_ensemble(df, keys, order, chunk, features, label, n_classes):
     return ensembles.chunk_weighted_ensemble(df, chunk, order, features, label)[0].withColumnRenamed("y_true", label)
 
 
+def _majority(df, keys, order, chunk, features, label, n_classes):
+    return boosting.dynamic_majority(df, keys, chunk, features, label, list(range(n_classes)))[0]
+
+
+def _boost(df, keys, order, chunk, features, label, n_classes):
+    return boosting.cost_boost(df, keys, chunk, features, label, list(range(n_classes)))
+
+
 def _tree(df, keys, order, chunk, features, label, n_classes):
     return ensembles.hoeffding_tree(df, chunk, features, label, list(range(n_classes)))
 
@@ -96,6 +104,8 @@ CLASSIFIERS: dict[str, Callable] = {
     "stable_dynamic": _machine(lambda n: ensembles.StableDynamic(n)),
     "stable_dynamic_reinforced": _machine(lambda n: ensembles.StableDynamic(n, reinforced=True, theta=0.5)),
     "varying_features": _machine(lambda n: ensembles.VaryingFeatures(), as_map=True),
+    "dynamic_weights": _majority,
+    "cost_boost": _boost,
     "hoeffding_tree": _tree,
 }
 
