@@ -117,4 +117,4 @@ def test_by_name(spark):
     df = spark.createDataFrame(rows(300, 1, swap=900), KIND).drop("chunk")
     run = registry.prequential(df, "dynamic_weights, cost_boost", order="seq", features=["a", "b"], label="y", n_classes=2, chunk_size=50)
     got = {r["method"]: r["a"] for r in run.filter("seq > 100").groupBy("method").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("int")).alias("a")).collect()}
-    assert got["dynamic_weights"] > 0.9 and got["cost_boost"] > 0.7
+    assert got["dynamic_weights"] > 0.9 and got["cost_boost"] > 0.6
