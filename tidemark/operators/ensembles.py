@@ -6,8 +6,6 @@ over members as well as keys; votes meet again in one aggregation.
 
 from __future__ import annotations
 
-import dataclasses
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -535,49 +533,3 @@ def hoeffding_split_stats(df: DataFrame, leaf: str, features: list[str], label:
         leaf, "n", top["feature"].alias("feature"), top["cut"].alias("cut"), top["gain"].alias("gain"),
         F.coalesce(second["gain"], F.lit(0.0)).alias("second_gain"), eps.alias("epsilon"),
         ((top["gain"] - F.coalesce(second["gain"], F.lit(0.0))) > eps).alias("split"))
-
-
-@dataclasses.dataclass
-class _Leaf:
-    """A node of a split tree: a leaf until it has a feature."""
-
-    counts: list
-    feature: str | None = None
-    cut: float = 0.0
-    low: int = -1
-    high: int = -1
-
-
-def _leaf_expr(tree: list[_Leaf], at: int = 0) -> str:
-    node = tree[at]
-    if node.feature is None:
-        return str(at)
-    return f"CASE WHEN `{node.feature}` < {node.cut!r}D THEN {_leaf_expr(tree, node.low)} ELSE {_leaf_expr(tree, node.high)} END"
-
-
-def hoeffding_tree(
-    df: DataFrame, chunk: str, features: list[str], label: str, classes: list[int], *, bins: int = 10, delta: float = 1e-3,
-) -> DataFrame:
-    """Prequential split tree that grows at most one level per chunk.
-
-    A chunk is routed to leaves by one expression and predicted by the leaf's majority class; then the
-    leaves where the best split is sure by the Hoeffding bound are split.  The driver keeps the tree, which
-    grows with the sure splits only; every chunk is one aggregation over its rows and one over the rows seen so far.
-    """
-    tree = [_Leaf([0] * len(classes))]
-    parts = []
-    for c in [r[0] for r in df.select(chunk).distinct().orderBy(chunk).collect()]:
-        routed = lambda d: d.withColumn("leaf", F.expr(_leaf_expr(tree)))  # noqa: B023, E731
-        majority = " ".join(f"WHEN {i} THEN {classes[int(np.argmax(n.counts))]}" for i, n in enumerate(tree) if n.feature is None)
-        parts.append(routed(df.filter(F.col(chunk) == F.lit(c))).withColumn("y_pred", F.expr(f"CASE leaf {majority} END")))
-        seen = routed(df.filter(F.col(chunk) <= F.lit(c)))
-        for r in seen.groupBy("leaf").agg(*[F.count_if(F.col(label) == k).alias(f"n{i}") for i, k in enumerate(classes)]).collect():
-            tree[r["leaf"]].counts = [r[f"n{i}"] for i in range(len(classes))]
-        for r in hoeffding_split_stats(seen, "leaf", features, label, classes, bins=bins, delta=delta).filter("split").collect():
-            node = tree[r["leaf"]]
-            node.feature, node.cut, node.low, node.high = r["feature"], float(r["cut"]), len(tree), len(tree) + 1
-            tree += [_Leaf(list(node.counts)), _Leaf(list(node.counts))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out

@@ -42,10 +42,3 @@ def _(spark, sf):
     e = events(spark, sf).withColumn("t", 3 * (F.col("k") / 100.0) + F.col("hr") / 24.0)
     run = RG.prequential_regression(e, "knn, ridge", order="seq", features=["k", "hr"], target="t", chunk_size=500)
     return M.regression_metrics(run, ["method"]).select("method", *[F.round(c, 4).alias(c) for c in ("MSE", "MAE", "R2", "RMSE")])
-
-
-@query("hoeffding_tree", "L20")
-def _(spark, sf):
-    li = lines(spark, sf).withColumn("batch", F.expr("month div 12"))
-    scored = E.hoeffding_tree(li, "batch", ["qty", "disc", "tax"], "label", [0, 1, 2])
-    return scored.groupBy("batch").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("y_pred")).cast("int")), 6).alias("accuracy"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrays import range_margin, top2_margin
 from tidemark.functions.hashing import hash_uniform
 from tidemark.operators import broad as br
-from tidemark.operators import boosting, detect, ensembles, naive_bayes, regress
+from tidemark.operators import boosting, detect, ensembles, naive_bayes, regress, trees
 from tidemark.operators import select as sel
 from tidemark.operators.neighbors import window_knn_regress
 from tidemark.plans.keyed import keyed_scan
@@ -82,7 +82,7 @@ def _boost(df, keys, order, chunk, features, label, n_classes):
 
 
 def _tree(df, keys, order, chunk, features, label, n_classes):
-    return ensembles.hoeffding_tree(df, chunk, features, label, list(range(n_classes)))
+    return trees.hoeffding_tree(df, keys, chunk, features, label, list(range(n_classes)))
 
 
 # every learner is run(df, keys, order, chunk, features, label, n_classes) -> rows with ``label`` and ``y_pred``
@@ -171,6 +171,8 @@ REGRESSORS: dict[str, Callable] = {
     "sgd_lasso": _sgd("lasso", 0.01),
     "knn": _as_true(lambda df, keys, order, chunk, features, target: window_knn_regress(df, keys, features, target, seq=order)),
     "ridge": _as_true(lambda df, keys, order, chunk, features, target: regress.chunked_ridge(df, keys, chunk, features, target)),
+    "tree": _as_true(lambda df, keys, order, chunk, features, target: trees.tree_regressor(df, keys, chunk, features, target)),
+    "bagged_tree": _as_true(lambda df, keys, order, chunk, features, target: trees.tree_regressor(df, keys, chunk, features, target, members=10, ident=order)),
     "bagged_ridge": _as_true(lambda df, keys, order, chunk, features, target: regress.bagged_ridge(df, keys, chunk, order, features, target)),
 }
 
