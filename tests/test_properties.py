@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import registry as RG
 from tidemark.functions import maps as MP
+from tidemark.functions.hashing import hash_uniform
 from tidemark.operators import audit as AU
 from tidemark.operators import chunking as CK
 from tidemark.operators import density as DE
@@ -117,8 +118,10 @@ def test_weights_sum_to_the_row_count_and_favour_the_newest_batch(spark):
         old = pdf[pdf["batch"] == 0]
         near, far = old[old["x"] > 1.5]["weight"].mean(), old[old["x"] < -1]["weight"].mean()
         assert far <= near or name == "recent", name
-    kliep = W.weight_kliep(df, "batch", ["x", "y"], "rid", sigma=1.0, centres=20, step=1e-3, iterations=5).toPandas()
+    kliep = W.weight_kliep(df, "batch", ["x", "y"], "rid").toPandas()
     assert kliep[kliep["batch"] == 2]["weight"].mean() == pytest.approx(1.0, abs=1e-6)
+    old = kliep[kliep["batch"] == 2]
+    assert old[old["x"] < 2.5]["weight"].mean() > 2 * old[old["x"] > 5]["weight"].mean()  # the ratio is that of the older batches
 
 
 def test_kernel_and_mixture_densities_against_numpy(spark):
@@ -301,3 +304,48 @@ def test_a_repeated_batch_is_not_counted_twice(spark, tmp_path):
         write_batches(stream_source(spark, src, schema), out, str(tmp_path / attempt)).awaitTermination(120)
     assert spark.read.parquet(out).count() == 100
     assert run_to_table(stream_source(spark, src, schema), "again").count() == 100
+
+
+def slow_mixture(phi, steps=40_000):
+    """Shares of least negative mean log by the plain multiplicative rule."""
+    share = np.full(phi.shape[1], 1 / phi.shape[1])
+    for _ in range(steps):
+        share = share * (phi / (phi @ share)[:, None]).mean(axis=0)
+    return share
+
+
+def test_kernel_ratio_is_the_largest_mean_log_ratio(spark):
+    """Width and number of centres by held-out score, weights of the best fit, both against a slow plain fit."""
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"rid": [f"r{i}" for i in range(300)], "batch": np.repeat([0, 1, 2], 100)})
+    pdf["x"] = rng.uniform(-1, 1, 300) + 0.15 * pdf["batch"]
+    df = spark.createDataFrame(pdf)
+    sigmas, centres, folds = (0.4, 0.8), (5, 12), 3
+    got = W.weight_kliep(df, "batch", ["x"], "rid", sigmas=sigmas, centres=centres, folds=folds, tolerance=1e-7).toPandas().set_index("rid")["weight"]
+    draws = df.select("rid", hash_uniform(F.col("rid"), "42:fold").alias("f"), hash_uniform(F.col("rid"), "42:centre").alias("u")).toPandas()
+    pdf = pdf.merge(draws, on="rid")
+    rest, new = pdf[pdf["batch"] < 2], pdf[pdf["batch"] == 2]
+    std = rest["x"].std(ddof=0)
+    fold = np.floor(rest["f"] * folds).to_numpy()
+    points = rest.sort_values(["u", "rid"])["x"].to_numpy()
+    best = None
+    for sigma in sigmas:
+        for n in centres:
+            kernel = lambda x: np.exp(-((x.to_numpy()[:, None] - points[None, :n]) / std) ** 2 / (2 * sigma**2))  # noqa: B023, E731
+            mean = kernel(new["x"]).mean(axis=0)
+            phi = kernel(rest["x"]) / mean
+            held = sum(np.log(np.maximum(phi[fold == f] @ slow_mixture(phi[fold != f], 4000), 1e-300)).sum() for f in range(folds))
+            if best is None or held > best[0]:
+                best = (held, kernel(pdf["x"]) / mean @ slow_mixture(phi))
+    assert np.allclose(got.loc[pdf["rid"]].to_numpy(), best[1], rtol=0.02, atol=0.02)
+    assert np.log(got.loc[rest["rid"]]).mean() == pytest.approx(np.log(best[1][: len(rest)]).mean(), abs=1e-5)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_nonnegative_minimum(seed):
+    rng = np.random.default_rng(seed)
+    a = rng.normal(size=(12, 8))
+    h, c = a.T @ a, rng.normal(size=8) * 3
+    x = W.nonnegative_minimum(h, c)
+    slope = h @ x + c
+    assert (x >= 0).all() and (slope >= -1e-9).all() and abs(slope @ x) < 1e-9

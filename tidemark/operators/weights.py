@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.hashing import hash_uniform
 from tidemark.operators import naive_bayes as nb
+from tidemark.plans.blocks import sum_arrays
 from tidemark.plans.scan import running
 from tidemark.session import materialize
 
@@ -123,22 +124,18 @@ def _kernel(x: np.ndarray, centres: np.ndarray, sigma: float) -> np.ndarray:
 def _sum_over_rows(df: DataFrame, features: list[str], extra: list[str], size: int, fn) -> np.ndarray:
     """Sum of ``fn(x, extra columns)`` (a flat array of ``size`` numbers) over all rows.
 
-    Each task adds up its own rows; the partial sums are added by the JVM, so the driver gets one array.
+    Each task adds up its own rows; the partial sums are added by the JVM in two rounds, so the driver gets one array.
     """
-    schema = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("v", T.DoubleType())])
-
     def run(frames):
         total = np.zeros(size)
         for f in frames:
             if len(f):
                 total += fn(f[features].to_numpy(dtype=float), f[extra])
-        yield pd.DataFrame({"i": np.arange(size, dtype=np.int32), "v": total})
+        yield pd.DataFrame({"all": [0], "v": [total]})
 
-    rows = df.select(*features, *extra).mapInPandas(run, schema).groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(size)
-    for r in rows:
-        out[r["i"]] = r["v"]
-    return out
+    parts = df.select(*features, *extra).mapInPandas(run, "all int, v array<double>")
+    row = sum_arrays(parts, ["all"], ["v"], [], salts=32).first()
+    return np.zeros(size) if row is None else np.array(row["v"])
 
 
 def _centres(df: DataFrame, features: list[str], ident: str, n: int, seed: int) -> np.ndarray:
@@ -200,42 +197,144 @@ def weight_rulsif(
     return _kernel_weight(df, features, c, sigma, np.maximum(theta, 0.0))
 
 
+def nonnegative_minimum(h: np.ndarray, c: np.ndarray, tolerance: float = 1e-12) -> np.ndarray:
+    """The x >= 0 of least x'hx / 2 + c'x, by active sets (h positive definite)."""
+    x, free = np.zeros(len(c)), np.zeros(len(c), bool)
+    for _ in range(3 * len(c)):
+        slope = np.where(free, -np.inf, -(h @ x + c))
+        k = int(slope.argmax())
+        if slope[k] <= tolerance:
+            break
+        free[k] = True
+        while True:
+            on = np.flatnonzero(free)
+            goal = np.linalg.solve(h[np.ix_(on, on)], -c[on])
+            if (goal > 0).all():
+                x[on] = goal
+                break
+            down = goal <= 0
+            step = (x[on][down] / np.maximum(x[on][down] - goal[down], 1e-300)).min()
+            x[on] += step * (goal - x[on])
+            free[on[x[on] <= 1e-15]] = False
+            x[~free] = 0.0
+    return x
+
+
+class _Mixture:
+    """One KLIEP fit: shares of kernels on the simplex, advanced by quadratic steps, or a multiplicative one where such a step fails.
+
+    ``told`` takes what a pass found at ``share``: the number of rows, the sum of log ratios, the sums of
+    kernel / ratio and of their products.  ``done`` once no share can gain more than ``tolerance``.
+    """
+
+    def __init__(self, usable: np.ndarray, tolerance: float):
+        self.usable, self.tolerance, self.done = usable, tolerance, not usable.any()
+        self.share = usable / max(usable.sum(), 1)
+        self.at, self.best, self.gap, self.plain = None, np.inf, np.inf, False
+
+    def told(self, n: float, logs: float, first: np.ndarray, second: np.ndarray) -> None:
+        if self.done or not n:
+            self.done = True
+            return
+        value = -logs / n
+        if self.at is not None and value > self.best + 1e-12 and not self.plain:
+            self.share, self.plain = self._normal(self.at * self.rise), True  # too far: the plain step never loses
+            return
+        self.at, self.best = self.share, value
+        self.rise = np.where(self.usable, first / n, 0.0)
+        self.gap = float(np.where(self.usable, self.rise - 1, -np.inf).max())
+        if self.gap <= self.tolerance:
+            self.done = True
+            return
+        on = np.flatnonzero(self.usable)
+        h = second[np.ix_(on, on)] / n
+        h = h + np.eye(len(on)) * 1e-8 * max(np.trace(h) / len(on), 1e-300)
+        goal = np.zeros(len(self.share))
+        goal[on] = nonnegative_minimum(h, 1 - self.rise[on] - h @ self.share[on])
+        self.share, self.plain = self._normal(np.maximum(goal, 0.02 * self.at)), False  # no share vanishes at once
+
+    @staticmethod
+    def _normal(share: np.ndarray) -> np.ndarray:
+        return share / share.sum()
+
+
 def weight_kliep(
-    df: DataFrame, batch: str, features: list[str], ident: str, *, sigma: float = 0.5, centres: int = 100, step: float = 1e-4,
-    iterations: int = 100, seed: int = 42,
+    df: DataFrame, batch: str, features: list[str], ident: str, *, sigmas: tuple = (0.01, 0.1, 0.25, 0.5, 0.75, 1.0), centres: tuple = (50, 100),
+    folds: int = 3, tolerance: float = 1e-4, iterations: int = 200, seed: int = 42,
 ) -> DataFrame:
     """Ratio rest / newest as a non-negative kernel mixture maximising the mean log ratio (KLIEP).
 
-    Each ascent step is one aggregate over the numerator rows, followed by the projection onto
-    mean ratio 1 over the newest batch.
+    Kernel width (in standard deviations of each feature over the rows before the newest batch) and number of
+    centres are those of the best mean log ratio on held-out hash folds.  The fits of all widths, numbers and
+    folds, and those on all rows, advance together: one aggregate over the numerator rows per step.  A fit ends
+    when its mean log ratio is provably within ``tolerance`` of the largest; ``iterations`` guards against
+    more steps and raises.  Kernels are scaled to mean 1 over the newest batch, where the ratio then has mean 1.
     """
     newest = df.agg(F.max(batch)).first()[0]
     is_new = F.col(batch) == F.lit(newest)
-    rest = materialize(df.filter(~is_new).select(ident, *features), "kliep")
-    c = _centres(rest, features, ident, centres, seed)
-    b = len(c)
-    mean = _sum_over_rows(df.filter(is_new), features, [], b + 1, lambda x, _: np.append(_kernel(x, c, sigma).sum(axis=0), len(x)))
-    mean = mean[:-1] / max(mean[-1], 1)
-    a = np.ones(b) / b
+    fold = F.floor(hash_uniform(F.col(ident), f"{seed}:fold") * folds).cast("int").alias("__fold")
+    rest = materialize(df.filter(~is_new).select(ident, *features, fold), "kliep")
+    c = _centres(rest, features, ident, max(centres), seed)
+    if not len(c):
+        return df.withColumn("weight", F.lit(1.0))
+    spread = rest.agg(*[F.stddev_pop(F.col(f).cast("double")) for f in features]).first()
+    scale = np.array([s if s else 1.0 for s in spread])
+    c, b, widths = c / scale, len(c), list(sigmas)
+
+    def kernels(x):
+        gap = ((x / scale)[:, None, :] - c[None]) ** 2
+        return [np.exp(-gap.sum(axis=2) / (2 * s * s)) for s in widths]
+
+    blocks = lambda x: [x[i : i + 4096] for i in range(0, len(x), 4096)]
+    mean = _sum_over_rows(df.filter(is_new), features, [], len(widths) * b + 1, lambda x, _: np.append(
+        sum(np.concatenate([k.sum(axis=0) for k in kernels(part)]) for part in blocks(x)), len(x)))
+    mean = mean[:-1].reshape(-1, b) / max(mean[-1], 1)
+    counts = sorted({min(n, b) for n in centres})
+    fits = {(w, n, f): _Mixture((mean[w] > 1e-12) & (np.arange(b) < n), tolerance) for w in range(len(widths)) for n in counts for f in [*range(folds), None]}
+    kept: dict[tuple, float] = {}
     for _ in range(iterations):
-        def gradient(x, _, a=a):
-            k = _kernel(x, c, sigma)
-            return (k / np.maximum(k @ a, 1e-300)[:, None]).sum(axis=0)
-
-        a = a + step * _sum_over_rows(rest, features, [], b, gradient)
-        a = a + mean * (1 - mean @ a) / (mean @ mean)
-        a = np.maximum(a, 0.0)
-        a = a / (mean @ a)
-    return _kernel_weight(df, features, c, sigma, a)
-
-
-def _kernel_weight(df: DataFrame, features: list[str], centres: np.ndarray, sigma: float, theta: np.ndarray) -> DataFrame:
+        active = [key for key, fit in fits.items() if not fit.done]
+        if not active:
+            break
+        shares = {key: fits[key].share for key in active}
+        size = 3 + b + b * b  # rows, logs, logs held out, first and second sums
+
+        def collect(x, extra, active=active, shares=shares, size=size):
+            out = np.zeros((len(active), size))
+            which = extra["__fold"].to_numpy()
+            for at, part in zip(range(0, len(x), 4096), blocks(x)):
+                k = [g / np.where(m > 1e-12, m, np.inf) for g, m in zip(kernels(part), mean)]
+                inside = which[at : at + 4096]
+                for i, key in enumerate(active):
+                    phi = k[key[0]]
+                    ratio = np.maximum(phi @ shares[key], 1e-300)
+                    mine = np.ones(len(part), bool) if key[2] is None else inside != key[2]
+                    scaled = phi[mine] / ratio[mine, None]
+                    logs = np.log(ratio)
+                    out[i] += np.concatenate([[mine.sum(), logs[mine].sum(), logs[~mine].sum()], scaled.sum(axis=0), (scaled.T @ scaled).ravel()])
+            return out.ravel()
+
+        found = _sum_over_rows(rest, features, ["__fold"], len(active) * size, collect).reshape(len(active), size)
+        for key, row in zip(active, found):
+            before = fits[key].at
+            fits[key].told(row[0], row[1], row[3 : 3 + b], row[3 + b :].reshape(b, b))
+            if fits[key].at is not before:
+                kept[key] = row[2]  # held-out score of the accepted shares
+    if any(not fit.done for fit in fits.values()):
+        raise ArithmeticError(f"no convergence in {iterations} steps")
+    score = {(w, n): sum(kept.get((w, n, f), -np.inf) for f in range(folds)) if fits[w, n, None].usable.any() else -np.inf for w in range(len(widths)) for n in counts}
+    w, n = max(score, key=lambda key: (score[key], -key[0], -key[1]))
+    theta = np.where(mean[w] > 1e-12, fits[w, n, None].share / np.where(mean[w] > 1e-12, mean[w], 1.0), 0.0)
+    return _kernel_weight(df, features, c * scale, widths[w], theta, scale)
+
+
+def _kernel_weight(df: DataFrame, features: list[str], centres: np.ndarray, sigma: float, theta: np.ndarray, scale: np.ndarray | float = 1.0) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField("weight", T.DoubleType())])
 
     def run(frames):
         for f in frames:
             if len(f):
-                yield f.assign(weight=_kernel(f[features].to_numpy(dtype=float), centres, sigma) @ theta)
+                yield f.assign(weight=_kernel(f[features].to_numpy(dtype=float) / scale, centres / scale, sigma) @ theta)
 
     return df.mapInPandas(run, schema)
 

@@ -140,19 +140,19 @@ def _(spark, sf):
 
 @query("weight_classifier", "M10")
 def _(spark, sf):
-    out = W.weight_classifier(batches(spark, sf), "batch", WF, trees=5)
+    out = W.weight_classifier(batches(spark, sf), "batch", WF)
     return out.groupBy("batch").agg(F.count("*").alias("n"), F.round(F.avg("weight"), 2).alias("weight"))
 
 
 @query("weight_rulsif", "M11")
 def _(spark, sf):
-    out = W.weight_rulsif(batches(spark, sf), "batch", WF, "rid", centres=30)
+    out = W.weight_rulsif(batches(spark, sf), "batch", WF, "rid")
     return out.groupBy("batch").agg(F.count("*").alias("n"), F.round(F.avg("weight"), 3).alias("weight"))
 
 
 @query("weight_kliep", "M11")
 def _(spark, sf):
-    out = W.weight_kliep(batches(spark, sf), "batch", WF, "rid", sigma=5.0, centres=20, iterations=5)
+    out = W.weight_kliep(batches(spark, sf), "batch", WF, "rid")
     return out.groupBy("batch").agg(F.count("*").alias("n"), F.round(F.avg("weight"), 3).alias("weight"))
 
 
