@@ -10,10 +10,10 @@ from pyspark.sql import types as T
 
 from tidemark.operators import detect as dt
 from tidemark.operators import naive_bayes as nb
-from tidemark.operators import weights as wt
 from tidemark.operators.broad import mvn_oas
-from tidemark.operators.density import BatchDensities, batch_densities
+from tidemark.operators.density import BatchDensities, mvn_logpdf
 from tidemark.plans.blocks import stream_past
+from tidemark.plans.chunks import score_join
 from tidemark.plans.keyed import Machine
 from tidemark.plans.scan import with_seq
 
@@ -48,28 +48,56 @@ def density_drift(df: DataFrame, keys: list[str], order: str, features: list[str
     return dt.detect(lagged, keys, order, standard, machine or dt.PageHinkley(), **scan)
 
 
-def iwda_stream(df: DataFrame, batch: str, features: list[str], label: str, classes: list[int], *, machine: Machine | None = None) -> DataFrame:
-    """Per batch: accuracy before training, whether its error drifted, and accuracy after the refit.
+def reweighted_stream(
+    df: DataFrame, batch: str, features: list[str], label: str, classes: list[int], *, density: list[str] | None = None, machine: Machine | None = None, clip: float = 100.0,
+) -> tuple[DataFrame, DataFrame]:
+    """(predictions, versions): naive Bayes that is refitted on re-weighted history when its error drifts.
 
-    Each batch is scored by the current model.  Its error rate feeds the detector; on drift, and after
-    the first batch, all history is re-weighted to the newest batch and the model is refitted.  The loop
-    runs over batches (periods); every step is a distributed aggregate.
+    The first model is fitted on the first batch.  A version scores every later batch in one pass, which gives one
+    error rate per batch; these go through the detector in order up to the first alarm.  There the next version
+    is fitted: all rows up to that batch, weighted by the density of its model over that of their own batch
+    (over ``density``: the features and the label by default), at most ``clip``.  Two passes per version, none per
+    batch; the versions' validity intervals then meet the rows, each of which has one prediction (none in the
+    first batch, nor with a missing feature).  ``versions`` has a row per batch: the version's batch, accuracy, and
+    whether the batch raised an alarm.
     """
+    density = density or [*features, label]
     detector = machine or dt.PageHinkley(min_n=2, delta=0.005, threshold=0.02)
     spark = df.sparkSession
-    names = [r[0] for r in df.select(batch).distinct().orderBy(batch).collect()]
-    state, model, out = detector.start(), None, []
-    for b in names:
-        now = df.filter(F.col(batch) == F.lit(b))
-        before, drifted = None, False
-        if model is not None:
-            hits = nb.predict_nb(now, model, features, classes).agg(F.avg((F.col(label) == F.col("y_pred")).cast("double"))).first()[0]
-            before = float(hits)
-            state, alarm = detector.feed(state, {"x": np.array([1.0 - before])})
-            drifted = len(alarm["row"]) > 0
-        if model is None or drifted:
-            past = df.filter(F.col(batch) <= F.lit(b))
-            weighted = wt.weight_ratio(batch_densities(past, BatchDensities.fit(past, batch, features), batch))
-            model = wt.weighted_refit(weighted, features, label, classes, "weight")
-        out.append((int(b), None if before is None else round(before, 6), bool(drifted)))
-    return spark.createDataFrame(out, f"{batch} bigint, accuracy double, drifted boolean")
+    complete = df.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in dict.fromkeys([*density, *features, label])))
+    models = BatchDensities.fit(complete, batch, density)
+    names = [int(b) for b in models.batches]
+    kind = ", ".join(["version bigint", *[f"`{n}` double" for n in nb.parameter_names(len(features), classes)]])
+
+    def fitted(b: int) -> dict[str, float]:
+        past = mvn_ratio(complete.filter(F.col(batch) <= F.lit(b)), models, batch, b, clip)
+        return nb.fit_nb(past, features, label, classes, "__weight")
+
+    versions, valid, told, state = {}, {}, {}, detector.start()
+    at = 0
+    while at < len(names):
+        b = names[at]
+        versions[b] = fitted(b)
+        scored = nb.predict_nb(complete.filter(F.col(batch) > F.lit(b)), versions[b], features, classes)
+        rates = {int(r[batch]): r["e"] for r in scored.groupBy(batch).agg(F.avg((F.col(label) != F.col("y_pred")).cast("double")).alias("e")).collect()}
+        for at in range(at + 1, len(names) + 1):
+            if at == len(names):
+                break
+            now = names[at]
+            state, alarm = detector.feed(state, {"x": np.array([rates[now]])})
+            valid[now], told[now] = b, (1 - rates[now], len(alarm["row"]) > 0)
+            if told[now][1]:
+                break
+    table = spark.createDataFrame([[b, *[float(m[n]) for n in nb.parameter_names(len(features), classes)]] for b, m in versions.items()], kind)
+    spans = spark.createDataFrame([(t, b) for t, b in valid.items()], f"`{batch}` bigint, version bigint")  # one row per batch
+    joined = score_join(df, spans.join(table, "version"), [batch])
+    rows = nb.apply(joined, features, classes).withColumn("y_pred", F.when(F.col("version").isNotNull(), F.col("y_pred")))
+    first = [(names[0], None, None, False)] if names else []
+    summary = spark.createDataFrame([*first, *[(t, valid[t], told[t][0], told[t][1]) for t in sorted(told)]], f"`{batch}` bigint, version bigint, accuracy double, drifted boolean")
+    return rows.select(*df.columns, "y_pred", "version"), summary
+
+
+def mvn_ratio(df: DataFrame, models: BatchDensities, batch: str, newest: int, clip: float) -> DataFrame:
+    """Add ``__weight``: density under the model of batch ``newest`` over that of the row's own, at most ``clip``."""
+    both = mvn_logpdf(mvn_logpdf(df.withColumn("__newest", F.lit(newest)), models, "__newest", "__lp_new"), models, batch, "__lp_own")
+    return both.withColumn("__weight", F.least(F.exp("__lp_new") / (F.exp("__lp_own") + F.lit(1e-16)), F.lit(float(clip)))).drop("__newest", "__lp_new", "__lp_own")

@@ -230,11 +230,34 @@ def _(spark, sf):
     return out.withColumn("prior", F.transform("prior", lambda p: F.round(p, 6)))
 
 
-@query("iwda_stream", "L21")
+# every batch's candidate refit, its error on every later batch, and the fold that picks the version in force
+REWEIGHTED = [
+    LI, MODEL, "ow AS (SELECT *, max(CASE WHEN mb = batch THEN lp END) OVER (PARTITION BY rid, batch) AS own FROM dens)",
+    "rw AS (SELECT mb AS s, label, qty, tax, least(exp(lp) / (exp(own) + 1e-16), 100.0) AS w FROM ow WHERE batch <= mb)",
+    f"st AS (SELECT s, {nb_stats_sql(KF, [0, 1, 2], 'label', '()', 'w').replace(' OVER ()', '')} FROM rw GROUP BY s)",
+    f"sc AS ({nb_score_sql('(SELECT yr.rid, yr.batch, yr.label, yr.qty, yr.tax, st.* FROM yr JOIN st ON st.s < yr.batch)', KF, [0, 1, 2])})",
+    "er AS (SELECT s, batch AS t, avg(CAST(y_pred <> label AS INT)) AS e FROM sc GROUP BY ALL)",
+    """ph AS (SELECT min(batch) AS t, min(batch) AS s, CAST(NULL AS BIGINT) AS used, 0::BIGINT AS n, 0::DOUBLE AS total, 0::DOUBLE AS up, CAST(NULL AS DOUBLE) AS e, false AS drifted FROM yr
+  UNION ALL SELECT t, CASE WHEN u > 0.02 THEN t ELSE s END, s, CASE WHEN u > 0.02 THEN 0 ELSE n END, CASE WHEN u > 0.02 THEN 0 ELSE total END, CASE WHEN u > 0.02 THEN 0 ELSE u END, e, u > 0.02
+  FROM (SELECT er.t, ph.s, ph.n + 1 AS n, ph.total + er.e AS total, er.e, greatest(0, 0.9999 * ph.up + er.e - (ph.total + er.e) / (ph.n + 1) - 0.005) AS u
+    FROM ph JOIN er ON er.s = ph.s AND er.t = ph.t + 1) z)""",
+]
+
+
+@query("iwda_stream", "L21", sql=recursive(*REWEIGHTED) + "SELECT t AS batch, used AS version, round(1 - e, 6) AS accuracy, drifted FROM ph")
 def _(spark, sf):
-    from tidemark.operators.stream_models import iwda_stream
+    from tidemark.operators.stream_models import reweighted_stream
 
-    return iwda_stream(batches(spark, sf), "batch", ["qty", "disc", "tax"], "label", [0, 1, 2])
+    _rows, versions = reweighted_stream(batches(spark, sf), "batch", KF, "label", [0, 1, 2])
+    return versions.withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("iwda_predictions", "L21", sql=recursive(*REWEIGHTED) + "SELECT yr.rid, yr.batch, used AS version, sc.y_pred FROM yr JOIN ph ON ph.t = yr.batch LEFT JOIN sc ON sc.rid = yr.rid AND sc.batch = yr.batch AND sc.s = ph.used")
+def _(spark, sf):
+    from tidemark.operators.stream_models import reweighted_stream
+
+    rows, _versions = reweighted_stream(batches(spark, sf), "batch", KF, "label", [0, 1, 2])
+    return rows.select("rid", "batch", "version", "y_pred")
 
 
 @query("prequential_auc", "L21", sql=with_(EV, """s AS (SELECT (seq - 1) // 1000 AS interval, y AS y_true, (k * 7 + hr) / 723.0 AS score FROM ev)""",
