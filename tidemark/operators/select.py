@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import argmax_first, range_margin
 from tidemark.functions.hashing import hash_uniform
-from tidemark.plans.keyed import Machine, keyed_scan
+from tidemark.plans.keyed import Machine, keyed_resume, keyed_scan
 from tidemark.plans.scan import over_last, running, with_seq
 
 
@@ -78,7 +78,9 @@ def query_topk_per_chunk(df: DataFrame, keys: list[str], score: str, order: str,
     return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= size)
 
 
-def _local_rank(df: DataFrame, keys: list[str], score: str, order: str, size: int, slots: int = 64) -> DataFrame:
+def _local_rank(df: DataFrame, keys: list[str], score: str, order: str, size: int) -> DataFrame:
+    """The rows of lowest score in each of as many slots as the session has shuffle partitions."""
+    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slot = F.pmod(F.xxhash64(order), F.lit(slots))
     w = Window.partitionBy(*keys, "__slot").orderBy(score, order)
     return df.withColumn("__slot", slot).withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= size).drop("__slot", "__r")
@@ -334,3 +336,10 @@ class Cognitive(Machine):
 def query_keyed(df: DataFrame, keys: list[str], order: str, rule: Machine, inputs: dict[str, Column], keep: tuple[str, ...] = (), **scan) -> DataFrame:
     """Run a remembering rule per key; ``inputs`` names the columns the rule reads."""
     return keyed_scan(df.withColumns(inputs), keys, order, rule, keep=keep, **scan)
+
+
+def query_resumed(
+    df: DataFrame, keys: list[str], order: str, rule: Machine, inputs: dict[str, Column], states: DataFrame | None, keep: tuple[str, ...] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """``query_keyed`` over the next part of a stream: (rows, what the rule remembers of each key)."""
+    return keyed_resume(df.withColumns(inputs), keys, order, rule, states, keep=keep)

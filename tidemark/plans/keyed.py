@@ -8,11 +8,15 @@ chunked (additive) operators where one stream must be spread.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import materialize
 
 
 class Machine:
@@ -102,6 +106,63 @@ def keyed_scan(
     return ready.mapInPandas(_conform(_runner(machine, keys, order, keep), out), out)
 
 
+def keyed_resume(
+    df: DataFrame, keys: list[str], order: str, machine: Machine, states: DataFrame | None, *, keep: tuple[str, ...] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """(rows that the machine emits, states after them): a scan that goes on where an earlier one ended.
+
+    ``states`` is what the earlier call returned (None for the start).  A key's state meets its rows as one more
+    row sorted first, and leaves as one more row after them; keys without new rows keep theirs.
+    """
+    if not keys:
+        raise ValueError("a sequential operator needs key columns; aggregate to chunks for a single stream")
+    keep = [c for c in keep if c not in keys and c != order]
+    narrow = df.select(*dict.fromkeys([*keys, order, *machine.inputs, *keep]), F.lit(None).cast("binary").alias("__state"))
+    if states is not None:
+        narrow = narrow.unionByName(states.select(*keys, "__state"), allowMissingColumns=True)
+    out = T.StructType(
+        [narrow.schema[c] for c in [*keys, order, *keep]]
+        + [T.StructField(n, T._parse_datatype_string(t)) for n, t in machine.outputs] + [T.StructField("__state", T.BinaryType())])
+    out = T.StructType([T.StructField(f.name, f.dataType, True) for f in out])
+    names = [n for n, _ in machine.outputs]
+
+    def run(batches):
+        current, state = None, None
+
+        def left():
+            return pd.DataFrame({**{k: [v] for k, v in zip(keys, current)}, "__state": [pickle.dumps(state)]})
+
+        for frame in batches:
+            if frame.empty:
+                continue
+            cols = {c: frame[c].to_numpy() for c in dict.fromkeys([*keys, *machine.inputs])}
+            saved = frame["__state"].to_numpy()
+            edges = _edges([cols[k] for k in keys], len(frame))
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                key = tuple(None if pd.isna(cols[k][lo]) else cols[k][lo] for k in keys)
+                if key != current:
+                    if current is not None:
+                        yield left()
+                    current, state = key, machine.start()
+                if saved[lo] is not None:  # written by this function in an earlier call
+                    state, lo = pickle.loads(saved[lo]), lo + 1
+                if lo == hi:
+                    continue
+                state, found = machine.feed(state, {c: cols[c][lo:hi] for c in machine.inputs})
+                rows = np.asarray(found["row"], dtype=np.int64)
+                if len(rows):
+                    part = frame[[*keys, order, *keep]].iloc[rows + lo].reset_index(drop=True)
+                    for n in names:
+                        part[n] = found[n]
+                    yield part
+        if current is not None:
+            yield left()
+
+    ready = narrow.repartition(*keys).sortWithinPartitions(*keys, F.col("__state").isNull(), order)
+    both = materialize(ready.mapInPandas(_conform(run, out), out), "resumed")
+    return both.filter("__state IS NULL").drop("__state"), both.filter("__state IS NOT NULL").select(*keys, "__state")
+
+
 def _conform(run, schema: T.StructType):
     names = [f.name for f in schema]
 

@@ -12,8 +12,8 @@ from tidemark.operators import chunking as CK
 from tidemark.operators import explain as EX
 from tidemark.operators import select as Q
 from tidemark.queries import query
-from tidemark.queries.base import EV, SCORED, events, fold_sql, recursive, scored, vectors, with_
-from tidemark.queries.metrics import nb_stats_sql
+from tidemark.queries.base import EV, SCORED, events, fold_sql, recursive, scored, uniform_sql, vectors, with_
+from tidemark.queries.metrics import nb_score_sql, nb_stats_sql
 from tidemark.runner import BayesModel, BroadModel, active_by_name, annotation_rate, prequential_active, replay_refit
 
 
@@ -115,33 +115,90 @@ def _in_chunks(e, size):
     return e.withColumn("chunk_id", F.expr(f"(seq - 1) div {size}"))
 
 
-@query("prequential_active", "R2", "Q2")
-def _(spark, sf):
-    e = _in_chunks(events(spark, sf), 500)
-    model = BayesModel(AF, "y_sudden", [0, 1])
-    run = prequential_active(e, model, "chunk_id", "y_sudden", lambda d: Q.query_margin_fixed(d, "proba", 0.5))
+_SUMS = [n for c in (0, 1) for n in [f"n{c}", *[f"{k}{c}_{j}" for j in range(2) for k in "sq"]]]
+
+
+def _added(where: str) -> dict[str, str]:
+    """SQL sums of the rows that meet ``where``, by statistic."""
+    out = {}
+    for c in (0, 1):
+        own = f"({where}) AND y = {c}"
+        out[f"n{c}"] = f"sum(CASE WHEN {own} THEN 1.0::DOUBLE ELSE 0 END)"
+        for j, f in enumerate(AF):
+            out[f"s{c}_{j}"] = f"sum(CASE WHEN {own} THEN CAST({f} AS DOUBLE) ELSE 0 END)"
+            out[f"q{c}_{j}"] = f"sum(CASE WHEN {own} THEN CAST({f} AS DOUBLE) * {f} ELSE 0 END)"
+    return out
+
+
+def active_sql(size: int, ask: str, budget: float | None = None) -> list[str]:
+    """A run over two classes as one recursion over chunks: ``aw`` has t, n_rows, asked and right of each chunk.
+
+    ``ask`` decides from p0, p1, seq and u (a draw); a row of rank one is the first in its order.
+    """
+    learned, first = _added("asked_now"), _added("true")
+    scored = nb_score_sql(f"(SELECT aw.t + 1 AS t, {', '.join('aw.' + n for n in _SUMS)}, aw.seen, aw.spent, ch.seq, ch.cents, ch.k, ch.y, ch.u FROM aw JOIN ch ON ch.t = aw.t + 1)", AF, [0, 1], proba=True)
+    wanted = f"SELECT *, {ask} AS wanted, count(*) OVER () AS here FROM ({scored}) s0"
+    limit = "true" if budget is None else f"sum(CAST(wanted AS INT)) OVER (ORDER BY seq) <= greatest(CAST(floor({budget}::DOUBLE * (seen + here)) AS BIGINT) - spent, 0)"
+    cut = f"SELECT *, wanted AND {limit} AS asked_now FROM ({wanted}) s1"
+    keep = ", ".join(f"any_value({n}) + {learned[n]} AS {n}" for n in _SUMS)
+    return [
+        EV, f"ch AS (SELECT (seq - 1) // {size} AS t, seq, cents, k, y_sudden AS y, {uniform_sql('seq', chr(39) + '42:query' + chr(39))} AS u FROM ev)",
+        f"aw AS (SELECT 0::BIGINT AS t, {', '.join(f'{x} AS {n}' for n, x in first.items())}, 0::BIGINT AS seen, 0::BIGINT AS spent, 0::BIGINT AS n_rows, 0::BIGINT AS asked, 0::DOUBLE AS accuracy FROM ch WHERE t = 0\n"
+        f"UNION ALL SELECT t, {keep}, any_value(seen) + count(*), any_value(spent) + sum(CAST(asked_now AS INT)), count(*), sum(CAST(asked_now AS INT)), avg(CAST(y = y_pred AS INT)) FROM ({cut}) s2 GROUP BY t)"]
+
+
+def _per_chunk(run):
     return run.groupBy("chunk_id").agg(F.count("*").alias("n"), F.count_if("is_queried").alias("asked"),
                                        F.round(F.avg((F.col("y_sudden") == F.col("y_pred")).cast("int")), 6).alias("accuracy"))
 
 
-@query("active_by_name", "R2", "Q3", "Q7")
+CHUNK_OUT = "SELECT t AS chunk_id, n_rows AS n, CAST(asked AS BIGINT) AS asked, round(accuracy, 6) AS accuracy FROM aw WHERE t > 0"
+MARGIN = "abs(p1 - p0) < 0.5"
+
+
+@query("prequential_active", "R2", "Q2", sql=recursive(*active_sql(500, MARGIN)) + CHUNK_OUT)
 def _(spark, sf):
-    """Three selectors over naive Bayes, by their names: rows, questions and accuracy."""
-    e, out = _in_chunks(events(spark, sf), 2500), None
-    for name in ("margin_variable", "submodular", "random"):
-        run = active_by_name(e, "naive_bayes", name, chunk="chunk_id", order="seq", features=AF, label="y_sudden", n_classes=2, keys=["user_id"])
-        part = run.groupBy("chunk_id").agg(F.count("*").alias("n"), F.count_if("is_queried").alias("asked"),
-                                           F.round(F.avg((F.col("y_sudden") == F.col("y_pred")).cast("int")), 6).alias("accuracy")).withColumn("selector", F.lit(name))
+    e = _in_chunks(events(spark, sf), 500)
+    model = BayesModel(AF, "y_sudden", [0, 1])
+    return _per_chunk(prequential_active(e, model, "chunk_id", "y_sudden", lambda d: Q.query_margin_fixed(d, "proba", 0.5)))
+
+
+def by_name(spark, sf, selectors, size, budget=None):
+    e, out = _in_chunks(events(spark, sf), size), None
+    for name in selectors:
+        run = active_by_name(e, "naive_bayes", name, chunk="chunk_id", order="seq", features=AF, label="y_sudden", n_classes=2, keys=["user_id"], budget=budget)
+        part = _per_chunk(run).withColumn("selector", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("prequential_active_topk", "R2", "T1", "Q10")
+@query("active_by_name", "R2", "Q1", "Q2", sql="SELECT 'random' AS selector, * FROM (" + recursive(*active_sql(2500, "u < 0.2")) + CHUNK_OUT + ") x UNION ALL SELECT 'margin_fixed', * FROM ("
+       + recursive(*active_sql(2500, MARGIN)) + CHUNK_OUT + ") y")
+def _(spark, sf):
+    """Two selectors over naive Bayes, by their names: rows, questions and accuracy."""
+    return by_name(spark, sf, ("random", "margin_fixed"), 2500)
+
+
+@query("active_remembering", "R2", "Q3", "Q7")
+def _(spark, sf):
+    """Rules that remember earlier answers, one stream per user across all chunks."""
+    return by_name(spark, sf, ("margin_variable", "submodular"), 2500)
+
+
+@query("prequential_active_budget", "R2", "Q10", sql=recursive(*active_sql(1000, MARGIN, 0.1)) + CHUNK_OUT)
+def _(spark, sf):
+    return by_name(spark, sf, ("margin_fixed",), 1000, 0.1).drop("selector")
+
+
+LEAST = "row_number() OVER (ORDER BY round(abs(p1 - p0), 12), seq) <= 200"
+
+
+@query("prequential_active_topk", "R2", "T1", "Q10", sql=recursive(*active_sql(2500, LEAST, 0.05)) + "SELECT t AS chunk_id, round(asked / n_rows, 6) AS annotation_rate FROM aw WHERE t > 0")
 def _(spark, sf):
     e = _in_chunks(events(spark, sf), 2500)
 
     def least_sure(d):
-        ranked = Q.query_topk_per_chunk(d.withColumn("m", range_margin(F.col("proba"))), ["chunk_id"], "m", "seq", 200).select("seq", F.lit(True).alias("is_queried"))
+        ranked = Q.query_topk_per_chunk(d.withColumn("m", F.round(range_margin(F.col("proba")), 12)), ["chunk_id"], "m", "seq", 200).select("seq", F.lit(True).alias("is_queried"))
         return d.join(ranked, "seq", "left").withColumn("is_queried", F.coalesce("is_queried", F.lit(False)))
 
     run = prequential_active(e, BayesModel(AF, "y_sudden", [0, 1]), "chunk_id", "y_sudden", least_sure, budget=0.05)

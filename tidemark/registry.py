@@ -113,20 +113,28 @@ NEED_KEYS = {"adwin_bagging", "adaptive_bagging", "random_patches", "expert_sele
 BINARY = {"oversampling_bagging", "chunk_ensemble", "expert_selection", "varying_features"}
 
 def _remembering(make: Callable, inputs: Callable) -> Callable:
-    """A rule with memory as a selector: it runs per key in ``order``, from its start in every call."""
+    """A rule with memory as a selector, per key in ``order``.
 
-    def select(scored, keys, order, features, label, n_classes):
+    With ``memory`` (a dict that the caller keeps) it goes on where its last call ended, else it starts anew.
+    """
+
+    def select(scored, keys, order, features, label, n_classes, memory=None):
         if not keys:
             raise ValueError("a rule that remembers earlier answers needs key columns")
         rows = scored.select(*keys, order, *[c for c in ("proba", label, *features) if c in scored.columns])
-        asked = sel.query_keyed(rows, keys, order, make(n_classes), inputs(order, features, label)).select(*keys, order, "is_queried")
-        return scored.join(asked, [*keys, order])
+        held = {} if memory is None else memory
+        asked, held["states"] = sel.query_resumed(rows, keys, order, make(n_classes), inputs(order, features, label), held.get("states"))
+        answers = asked.select(*[F.col(c).alias(f"__{c}") for c in [*keys, order]], "is_queried")
+        same = F.lit(True)
+        for c in [*keys, order]:  # a null key is a key
+            same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        return scored.join(answers, same).drop(*[f"__{c}" for c in [*keys, order]])
 
     return select
 
 
 def _plain(fn: Callable) -> Callable:
-    return lambda scored, keys, order, features, label, n_classes: fn(scored, order)
+    return lambda scored, keys, order, features, label, n_classes, memory=None: fn(scored, order)
 
 
 def _least_sure(scored, order, size: int = 100):
@@ -138,7 +146,7 @@ def _least_sure(scored, order, size: int = 100):
 _PROBA = lambda order, features, label: {"proba": F.col("proba"), "label": F.col(label)}
 _VECTOR = lambda order, features, label: {"features": F.array(*[F.col(f).cast("double") for f in features]), "top": F.array_max("proba")}
 
-# every selector is select(scored, keys, order, features, label, n_classes) -> scored rows with ``is_queried``
+# every selector is select(scored, keys, order, features, label, n_classes, memory=None) -> scored rows with ``is_queried``
 SELECTORS: dict[str, Callable] = {
     "all": _plain(lambda d, order: sel.query_all(d)),
     "random": _plain(lambda d, order: sel.query_random(d, order, 0.2)),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import naive_bayes as nb
 from tidemark.operators.broad import BroadLearner, NodeMap
 from tidemark.plans.blocks import sum_arrays
+from tidemark.plans.scan import running
 from tidemark.session import scratch_path
 
 
@@ -96,18 +97,22 @@ def prequential_active(
     """Score a chunk, choose the rows to label, learn from them, go on.
 
     The choice depends on the model and the model on the choice, so chunks run one after the other; inside
-    a chunk everything is parallel.  Each scored chunk is a written table, and only the model's sums
-    pass through the driver.  ``selector`` adds ``is_queried``; with ``semi`` rows that were not asked
-    are learned without their label.  ``budget`` limits the share of labelled rows so far: a chunk
-    that would exceed it keeps its first wanted rows in ``order``.
+    a chunk everything is parallel.  The source is written once by chunk, so a step reads its own chunk only; each
+    scored chunk is a written table, and only the model's sums pass through the driver.  ``selector`` adds
+    ``is_queried``; with ``semi`` rows that were not asked are learned without their label.  ``budget`` limits the
+    share of labelled rows so far: a chunk that would exceed it keeps its first wanted rows in ``order``, found
+    by a prefix count.  Rows without a chunk take no part.
     """
     spark = df.sparkSession
     root = scratch_path(spark, "active-run")
-    chunks = [r[0] for r in df.select(chunk).distinct().orderBy(chunk).collect()]
+    parted = df.filter(F.col(chunk).isNotNull()).withColumn("__part", F.col(chunk))
+    parted.write.partitionBy("__part").parquet(f"{root}/source")
+    source = spark.read.schema(parted.schema).parquet(f"{root}/source")
+    chunks = [r[0] for r in source.select("__part").distinct().orderBy("__part").collect()]  # from the names of the folders
     seen = asked = 0
     done = []
     for i, c in enumerate(chunks):
-        now = df.filter(F.col(chunk) == F.lit(c))
+        now = source.filter(F.col("__part") == F.lit(c)).select(*df.columns)  # reads one folder
         if i < warm_chunks:
             model = model.learn(now)
             continue
@@ -116,11 +121,9 @@ def prequential_active(
         if budget is not None:
             chosen.write.parquet(f"{path}-wanted")
             wanted = spark.read.parquet(f"{path}-wanted")
-            total = wanted.agg(F.count("*")).first()[0]
-            allowed = max(int(budget * (seen + total)) - asked, 0)
-            kept = wanted.filter("is_queried").orderBy(order).limit(allowed).select(order)
-            chosen = wanted.drop("is_queried").join(kept.withColumn("is_queried", F.lit(True)), order, "left").withColumn(
-                "is_queried", F.coalesce("is_queried", F.lit(False)))
+            allowed = max(int(budget * (seen + wanted.count())) - asked, 0)
+            counted = running(wanted, [], order, {"__wanted": ("sum", "cast(is_queried as bigint)")})
+            chosen = counted.withColumn("is_queried", F.col("is_queried") & (F.col("__wanted") <= F.lit(allowed))).select(*wanted.columns)
         chosen.write.parquet(path)
         done.append(path)
         scored = spark.read.parquet(path)
@@ -141,12 +144,13 @@ def active_by_name(
 ) -> DataFrame:
     """An active run of a learner (``naive_bayes`` or ``broad``) and a selector of the registry, by their names.
 
-    Selectors that remember earlier answers see one chunk at a time and start anew in each.
+    Selectors that remember earlier answers go on from chunk to chunk: they see one stream per key.
     """
     from tidemark.registry import SELECTORS, names_of
 
     choose = SELECTORS[names_of(selector, SELECTORS)[0]]
-    ask = lambda scored: choose(scored, keys or [], order, features, label, n_classes)
+    memory: dict = {}
+    ask = lambda scored: choose(scored, keys or [], order, features, label, n_classes, memory)
     if learner == "naive_bayes":
         model, rows = BayesModel(features, label, list(range(n_classes))), df
     elif learner == "broad":
