@@ -222,3 +222,45 @@ def test_neighbours_do_not_depend_on_tiles(spark, tile):
     np.fill_diagonal(d, np.inf)
     want = np.argsort(d, axis=1)[:, :3] + 1
     np.testing.assert_array_equal(got["neighbor"].to_numpy().reshape(-1, 3), want)
+
+
+@pytest.mark.parametrize("spaces", [None, {0: [0], 1: [0, 1], 2: [1]}])
+def test_bag_is_its_members_one_by_one(spark, spaces):
+    """Members, detectors and models one after the other, row by row where a row decides."""
+    from tidemark.functions.bayes import Sums
+    from tidemark.functions.hashing import hash_poisson
+    from tidemark.operators.detect import Ddm
+
+    x, y = concept(600, flip=300)
+    key, members, chunk = np.where(np.arange(600) % 4 == 0, 1, 2), 3, 20
+    df = frame(spark, x, y, key=key)
+    detector = Ddm(min_n=10, warning=1.5, out=2.0)
+    got = E.bagged_stream(df, ["key"], "seq", ["x0", "x1"], "label", 2, members=members, chunk=chunk, subspaces=spaces, detector=detector)
+    got = {(r["key"], r["seq"]): (r["y_pred"], r["swaps"]) for r in got.collect()}
+    draws = df.select("key", "seq", "x0", "x1", "label", *[hash_poisson(F.concat_ws("-", "key", "seq"), F.lit(f"42:bag{m}"), 6.0).alias(f"w{m}") for m in range(members)])
+    swapped = 0
+    for k, part in draws.toPandas().sort_values("seq").groupby("key"):
+        states = [dict(live=Sums.zeros(2, len(spaces[m]) if spaces else 2), back=None, hits=0, seen=0, swaps=0, watch=detector.start()) for m in range(members)]
+        for lo in range(0, len(part), chunk):
+            rows = part.iloc[lo : lo + chunk]
+            label, votes, swaps = rows["label"].to_numpy(), np.zeros((len(rows), 2)), sum(s["swaps"] for s in states)
+            for m, s in enumerate(states):
+                v = rows[["x0", "x1"]].to_numpy()[:, spaces[m] if spaces else [0, 1]]
+                guess = s["live"].predict(v)
+                votes[np.arange(len(rows)), guess] += s["hits"] / s["seen"] if s["seen"] else 1.0
+                kinds = []
+                for wrong in guess != label:
+                    s["watch"], alarm = detector.feed(s["watch"], {"x": np.array([float(wrong)])})
+                    kinds += list(alarm["kind"])
+                s["hits"], s["seen"] = s["hits"] + int((guess == label).sum()), s["seen"] + len(rows)
+                new = Sums.of(v, label, 2, rows[f"w{m}"].to_numpy().astype(float))
+                if len(rows) == chunk:
+                    s["live"], s["back"] = s["live"] + new, s["back"] + new if s["back"] is not None else None
+                    if "change" in kinds:
+                        s.update(live=s["back"] or Sums.zeros(2, v.shape[1]), back=None, hits=0, seen=0, swaps=s["swaps"] + 1)
+                    elif "warning" in kinds and s["back"] is None:
+                        s["back"] = new
+            for i, seq in enumerate(rows["seq"]):
+                assert got[k, seq] == (votes[i].argmax(), swaps), (k, seq)
+        swapped += sum(s["swaps"] for s in states)
+    assert swapped

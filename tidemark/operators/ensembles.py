@@ -1,7 +1,6 @@
 """Ensembles whose members are keys (bagging) or chunks (weighted ensembles).
 
-Bagged members are independent state machines, one per (key, member), so a stream's work is spread
-over members as well as keys; votes meet again in one aggregation.
+All bagged members of a key are one state of stacked arrays, so a key's rows are read once for all of them.
 """
 
 from __future__ import annotations
@@ -23,80 +22,143 @@ from tidemark.plans.chunks import lagged_prefix, score_join
 from tidemark.plans.keyed import Machine, keyed_scan
 
 
-class BaggedMember(Machine):
-    """One naive Bayes member: predicts, learns at chunk ends, and swaps models on drift.
+class DdmBank:
+    """The error-rate detector of many members at once; a run of rows costs a few array operations."""
 
-    A warning starts a background model; a change replaces the live model by the background one (or
-    an empty one) at the chunk end.  Votes weigh the accuracy since the last swap.
+    def __init__(self, ddm: Ddm, members: int):
+        self.ddm, self.members = ddm, members
+
+    def start(self) -> np.ndarray:
+        return np.tile(np.array(self.ddm.start(), float)[:, None], self.members)  # n, errors, lowest p + s, its p, its s
+
+    def feed(self, state: np.ndarray, wrong: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(state, changed, warned) after the errors (members x rows)."""
+        n0, err0, low, low_p, low_s = state
+        n = n0[:, None] + np.arange(1, wrong.shape[1] + 1)
+        p = (err0[:, None] + np.cumsum(wrong, axis=1)) / n
+        s = np.sqrt(p * (1 - p) / n)
+        level, ready = p + s, n + 1 >= self.ddm.min_n
+        lowest = np.minimum(np.minimum.accumulate(np.where(ready, level, np.inf), axis=1), low[:, None])
+        where = np.maximum.accumulate(np.where(ready & (level <= lowest), np.arange(wrong.shape[1]), -1), axis=1)
+        at = np.maximum(where, 0)
+        best_p = np.where(where >= 0, np.take_along_axis(p, at, axis=1), low_p[:, None])
+        best_s = np.where(where >= 0, np.take_along_axis(s, at, axis=1), low_s[:, None])
+        with np.errstate(invalid="ignore"):
+            change = ready & (level > best_p + self.ddm.out * best_s)
+            warn = ready & ~change & (level > best_p + self.ddm.warning * best_s)
+        stop = (change if self.ddm.reset_on == "change" else warn).any(axis=1)
+        state = np.stack([n[:, -1], err0 + wrong.sum(axis=1), lowest[:, -1], best_p[:, -1], best_s[:, -1]])
+        changed, warned = change.any(axis=1), warn.any(axis=1)
+        for m in np.flatnonzero(stop):  # a restart inside the run: this member goes row by row
+            own, alarms = self.ddm.feed((int(n0[m]), *map(float, (err0[m], low[m], low_p[m], low_s[m]))), {"x": wrong[m]})
+            state[:, m], changed[m], warned[m] = own, "change" in alarms["kind"], "warning" in alarms["kind"]
+        return state, changed, warned
+
+
+class MachineBank:
+    """Any detector, one after the other."""
+
+    def __init__(self, detector: Machine, members: int):
+        self.detector, self.members = detector, members
+
+    def start(self) -> list:
+        return [self.detector.start() for _ in range(self.members)]
+
+    def feed(self, state: list, wrong: np.ndarray):
+        out = [self.detector.feed(s, {"x": w}) for s, w in zip(state, wrong)]
+        kinds = [a["kind"] for _, a in out]
+        return [s for s, _ in out], np.array(["change" in k for k in kinds]), np.array(["warning" in k for k in kinds])
+
+
+class Bag(Machine):
+    """All naive Bayes members of one key: they predict, learn at chunk ends, and swap models on drift.
+
+    A warning starts a background model; a change replaces the live model by the background one (or an empty one)
+    at the chunk end.  Votes weigh the accuracy since the last swap.  Members are the leading axis of every array.
     """
 
-    inputs = ("features", "label", "weight", "member")
-    outputs = (("y_pred", "int"), ("vote", "double"), ("swaps", "int"))
+    inputs = ("features", "label", "weights")
+    outputs = (("y_pred", "int"), ("swaps", "int"))
 
-    def __init__(self, n_classes: int, chunk: int = 50, subspaces: dict[int, list[int]] | None = None, detector: Machine | None = None):
-        self.n_classes, self.chunk, self.subspaces, self.detector = n_classes, chunk, subspaces, detector or Ddm()
+    def __init__(self, n_classes: int, members: int, chunk: int = 50, subspaces: dict[int, list[int]] | None = None, detector: Machine | None = None):
+        self.n_classes, self.members, self.chunk, self.subspaces = n_classes, members, chunk, subspaces
+        detector = detector or Ddm()
+        self.bank = DdmBank(detector, members) if type(detector) is Ddm else MachineBank(detector, members)
 
     def start(self):
-        return dict(live=None, pending=None, background=None, rows=0, hits=0, seen=0, watch=self.detector.start(), swaps=0, changed=False, warned=False)
+        none = np.zeros(self.members)
+        return dict(live=None, model=None, watch=self.bank.start(), rows=0, hits=none, seen=none, swaps=none.astype(int), changed=none > 0, warned=none > 0, old=none > 0)
+
+    def _model(self, live: np.ndarray, mask: np.ndarray):
+        """Constants, means and variances (members x classes [x features]) of sums (3 x members x classes x features)."""
+        count, total, square = live
+        n, all_ = count[..., :1], count[..., 0].sum(axis=1)[:, None, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = np.where(n > 0, total / n, 0.0)
+            var = np.where(n > 0, np.maximum(square / n - mean * mean, 0.0), 1.0)
+            whole = square.sum(axis=1) / all_[:, 0] - (total.sum(axis=1) / all_[:, 0]) ** 2
+            eps = np.maximum(np.nan_to_num(np.where(mask, whole, -np.inf), nan=0.0).max(axis=1) * 1e-9, 1e-9)
+            var = var + eps[:, None, None]
+            const = np.log(n[..., 0] / all_[..., 0]) - 0.5 * (np.log(2 * np.pi * var) * mask[:, None]).sum(axis=2)
+        return np.where(n[..., 0] > 0, const, -np.inf), mean, mask[:, None] / var
 
     def feed(self, state, cols):
         s = dict(state)
-        x_all = np.stack(cols["features"]).astype(float)
+        x_all, y_all, w_all = np.stack(cols["features"]).astype(float), cols["label"].astype(int), np.stack(cols["weights"]).astype(float)
+        n, d = len(y_all), x_all.shape[1]
+        mask = np.ones((self.members, d))
         if self.subspaces:
-            x_all = x_all[:, self.subspaces[int(cols["member"][0])]]
-        y_all, w_all = cols["label"].astype(int), cols["weight"].astype(float)
-        n = len(y_all)
-        pred, vote, swaps = np.zeros(n, np.int32), np.zeros(n), np.zeros(n, np.int32)
+            mask = np.array([np.isin(np.arange(d), self.subspaces[m]) for m in range(self.members)]).astype(float)
         if s["live"] is None:
-            empty = Sums.zeros(self.n_classes, x_all.shape[1])
-            s.update(live=empty, pending=empty)
-        at = 0
+            empty = np.zeros((3, self.members, self.n_classes, d))
+            s.update(live=empty, pending=empty, background=empty, model=self._model(empty, mask))
+        pred, swaps, at = np.zeros(n, np.int32), np.zeros(n, np.int32), 0
         while at < n:
             hi = min(n, at + self.chunk - s["rows"])
-            x, y, w = x_all[at:hi], y_all[at:hi], w_all[at:hi]
-            p = s["live"].predict(x)
-            pred[at:hi], vote[at:hi], swaps[at:hi] = p, s["hits"] / s["seen"] if s["seen"] else 1.0, s["swaps"]
-            right = p == y
-            s["watch"], alarms = self.detector.feed(s["watch"], {"x": (~right).astype(float)})
-            s["changed"] |= "change" in alarms["kind"]
-            s["warned"] |= "warning" in alarms["kind"]
-            s["hits"] += int(right.sum())
-            s["seen"] += len(y)
-            s["pending"] = s["pending"] + Sums.of(x, y, self.n_classes, w)
+            x, y, w = x_all[at:hi], y_all[at:hi], w_all[at:hi].T
+            const, mean, weight = s["model"]
+            gap = x[None, :, None] - mean[:, None]
+            guess = (const[:, None] - 0.5 * (gap * gap * weight[:, None]).sum(axis=3)).argmax(axis=2)
+            vote = np.divide(s["hits"], s["seen"], out=np.ones(self.members), where=s["seen"] > 0)
+            score = np.stack([vote @ (guess == c) for c in range(self.n_classes)])
+            pred[at:hi], swaps[at:hi] = score.argmax(axis=0), s["swaps"].sum()
+            wrong = guess != y
+            s["watch"], changed, warned = self.bank.feed(s["watch"], wrong.astype(float))
+            s["changed"], s["warned"] = s["changed"] | changed, s["warned"] | warned
+            s["hits"], s["seen"] = s["hits"] + (~wrong).sum(axis=1), s["seen"] + len(y)
+            hot = np.stack([w * (y == c) for c in range(self.n_classes)], axis=1)  # members x classes x rows
+            s["pending"] = s["pending"] + np.stack([np.broadcast_to(hot.sum(axis=2)[..., None], (*hot.shape[:2], d)), hot @ x, hot @ (x * x)])
             s["rows"] += hi - at
             if s["rows"] == self.chunk:
-                self._close(s, x_all.shape[1])
+                self._close(s, mask)
             at = hi
-        return s, {"row": np.arange(n), "y_pred": pred, "vote": vote, "swaps": swaps}
+        return s, {"row": np.arange(n), "y_pred": pred, "swaps": swaps}
 
-    def _close(self, s, d):
-        empty = Sums.zeros(self.n_classes, d)
-        s["live"] = s["live"] + s["pending"]
-        if s["background"] is not None:
-            s["background"] = s["background"] + s["pending"]
-        if s["changed"]:
-            s.update(live=s["background"] if s["background"] is not None else empty, background=None, hits=0, seen=0, swaps=s["swaps"] + 1)
-        elif s["warned"] and s["background"] is None:
-            s["background"] = s["pending"]
-        s.update(pending=empty, rows=0, changed=False, warned=False)
+    def _close(self, s, mask):
+        pick = lambda flag: flag[None, :, None, None]
+        live, behind = s["live"] + s["pending"], s["background"] + s["pending"] * pick(s["old"])
+        changed = s["changed"]
+        begins = s["warned"] & ~changed & ~s["old"]
+        live = np.where(pick(changed), behind * pick(s["old"]), live)
+        behind = np.where(pick(begins), s["pending"], behind * pick(~changed))
+        none = np.zeros(self.members)
+        s.update(live=live, background=behind, old=(s["old"] & ~changed) | begins, hits=np.where(changed, 0, s["hits"]), seen=np.where(changed, 0, s["seen"]),
+                 swaps=s["swaps"] + changed, pending=np.zeros_like(live), rows=0, changed=none > 0, warned=none > 0, model=self._model(live, mask))
 
 
 def bagged_stream(
     df: DataFrame, keys: list[str], order: str, features: list[str], label: str, n_classes: int, *, members: int = 10, lam: float = 6.0,
     chunk: int = 50, subspaces: dict[int, list[int]] | None = None, detector: Machine | None = None, seed: int = 42, **scan,
 ) -> DataFrame:
-    """Test-then-train predictions of a drift-aware bag; with ``subspaces`` each member sees its own features."""
+    """Test-then-train predictions of a drift-aware bag; with ``subspaces`` each member sees its own features.
+
+    Rows are shuffled once by key, with one short array of Poisson weights; the members vote where they predict.
+    """
     ident = F.concat_ws("-", *[F.col(c).cast("string") for c in [*keys, order]])
-    rows = df.select(*keys, order, F.array(*[F.col(f).cast("double") for f in features]).alias("features"), F.col(label).alias("label"), ident.alias("__id"))
-    spread = rows.withColumn("member", F.explode(F.array(*[F.lit(m) for m in range(members)])))
-    spread = spread.withColumn("weight", hash_poisson(F.col("__id"), F.concat(F.lit(f"{seed}:bag"), F.col("member").cast("string")), lam)).drop("__id")
-    machine = BaggedMember(n_classes, chunk, subspaces, detector)
-    scored = keyed_scan(spread, [*keys, "member"], order, machine, keep=("label",), **scan)
-    votes = scored.groupBy(*keys, order).agg(
-        F.first("label").alias("y_true"), F.sum("swaps").alias("swaps"),
-        *[F.sum(F.when(F.col("y_pred") == c, F.col("vote")).otherwise(0.0)).alias(f"__v{c}") for c in range(n_classes)])
-    v = F.array(*[F.col(f"__v{c}") for c in range(n_classes)])
-    return votes.select(*keys, order, "y_true", (F.array_position(v, F.array_max(v)) - 1).cast("int").alias("y_pred"), "swaps")
+    weights = F.array(*[hash_poisson(ident, F.lit(f"{seed}:bag{m}"), lam).cast("double") for m in range(members)])
+    rows = df.select(*keys, order, F.array(*[F.col(f).cast("double") for f in features]).alias("features"), F.col(label).alias("label"), weights.alias("weights"))
+    scored = keyed_scan(rows, keys, order, Bag(n_classes, members, chunk, subspaces, detector), keep=("label",), **scan)
+    return scored.select(*keys, order, F.col("label").alias("y_true"), "y_pred", "swaps")
 
 
 def bagged_nb(
