@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import langid, toxicity
 from tidemark.llm.common import crc_fold, held_out
-from tidemark.llm.queries import SPARK
+from tidemark.llm.queries import SPARK, toxicity_model
 from tidemark.llm.toxicity import Model, Tokens
 
 LARGER = "/root/testdata/sf0.1"
@@ -89,3 +89,72 @@ def test_score_does_not_depend_on_neighbours(spark):
     model = langid.Model(["a", "b"], __import__("numpy").random.default_rng(0).normal(size=(langid.BUCKETS, 2)), 0.0)
     alone = model.logits(["über den Fluss"])
     assert (alone == model.logits(["x" * 99, "über den Fluss", ""])[1]).all()
+
+
+def plain_clauses(model, text):
+    """Weights of the matched clauses by the rules in words: who was addressed, denied or quoted before an insult or threat."""
+    lists = {name: set(getattr(toxicity, name).split()) for name in ("TARGETS", "NEGATIONS", "REPORTS", "THREATS")}
+    out, addressed, quoted, denied, weight = [], False, False, 0, 0.0
+    tokens = (text or "").lower().split()
+    for i, token in enumerate(tokens):
+        word = token.strip(toxicity.EDGE)
+        own = max([model.words.get(word, 0.0)] + [model.stems.get(word[:n], 0.0) for n in toxicity.STEMS if len(word) >= n])
+        threat = not own and word in lists["THREATS"] and not any(word in lists[k] for k in ("TARGETS", "NEGATIONS", "REPORTS"))
+        if own or threat:
+            gain = own or 1.0
+            gain *= 1.5 if addressed else 0.4 if threat else 1.0
+            gain *= 0.5 if denied else 1.0
+            gain *= 0.6 if quoted else 1.0
+            weight += gain
+        if not own and word in lists["NEGATIONS"]:
+            denied = 3
+        else:
+            denied = max(0, denied - 1)
+        addressed |= not own and word in lists["TARGETS"]
+        quoted |= not own and word in lists["REPORTS"]
+        tail = token[len(token.rstrip(toxicity.EDGE)) :]
+        if any(c in ".!?;:|" for c in tail) or i == len(tokens) - 1:
+            out += [weight] if weight else []
+            addressed, quoted, denied, weight = False, False, 0, 0.0
+    return out
+
+
+def test_toxicity_is_the_rules_in_words(spark, sf):
+    """Every document of the small tables, scored by the plain rules over the lexicon that the query learns."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity_model(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in SPARK["op1_toxicity"](spark, sf).collect()}
+    matched = 0
+    for r in docs.collect():
+        weights = plain_clauses(model, r["text"])
+        matched += bool(weights)
+        evidence = math.log1p(sum(weights))
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-(model.slope * evidence + model.offset))), rel=1e-9)
+    assert matched > 10
+
+
+def test_language_is_a_plain_softmax_over_subwords(spark, sf):
+    """Every document of the small tables, by counting its byte n-grams one by one."""
+    import numpy as np
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), key=F.col("doc_id"))
+    got = {r["doc_id"]: r for r in SPARK["op6_langid"](spark, sf).collect()}
+    mask = (1 << 64) - 1
+
+    def bucket(gram):
+        x = (int.from_bytes(gram, "big") + (len(gram) << 40)) & mask
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+        return (x ^ x >> 31) % langid.BUCKETS
+
+    for r in docs.collect():
+        text = (r["text"] or "").lower().encode().replace(b"\0", b" ")
+        if not any(c.isalpha() for c in (r["text"] or "")):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        rows = [model.table[bucket(text[i : i + n])] for n in langid.LENGTHS for i in range(len(text) - n + 1)]
+        z = (np.mean(rows, axis=0) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[r["doc_id"]]["lang_pred"] == model.labels[int(p.argmax())]
+        assert got[r["doc_id"]]["score"] == pytest.approx(p.max(), abs=1e-9)

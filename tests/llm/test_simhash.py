@@ -1,8 +1,10 @@
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from tidemark.llm import simhash
 from tidemark.llm.components import connected
@@ -84,3 +86,18 @@ def test_query(spark, sf):
     want = {docs[i]["doc_id"]: (f"{fps[i]:016x}", docs[label]["doc_id"]) for i, label in enumerate(brute(fps))}
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in SPARK["op5_simhash"](spark, sf).collect()}
     assert got == want
+
+
+def plain_fingerprint(text):
+    """Shingle by shingle and bit by bit, with words found by the contract's expression."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] if len(words) >= 4 else [" ".join(words)] * bool(words)
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def test_fingerprints_bit_by_bit(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r["fingerprint"] for r in SPARK["op5_simhash"](spark, sf).collect()}
+    assert {r["doc_id"]: f"{plain_fingerprint(r['text']):016x}" for r in rows if len(r["text"] or "") < 20_000} == {
+        r["doc_id"]: got[r["doc_id"]] for r in rows if len(r["text"] or "") < 20_000}
