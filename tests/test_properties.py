@@ -146,6 +146,10 @@ def test_mixture_density_of_two_clusters(spark):
     dens = DE.gmm_logpdf(grid, df, ["x", "y"], k=2).toPandas()
     assert np.exp(dens["logpdf"]).sum() * step**2 == pytest.approx(1.0, abs=0.03)  # a density
     fit = DE.gmm_logpdf(df, df, ["x", "y"], k=2).toPandas()["logpdf"].mean()
+    mix = DE.fit_mixture(df, ["x", "y"], k=2)
+    assert np.allclose(np.sort(mix.means[:, 0]), [0, 12], atol=0.3) and np.allclose(mix.weights, 0.5, atol=0.01) and mix.steps < 30
+    gaps = DE.gmm_logpdf(spark.createDataFrame([(1.0, None), (0.0, 0.0)], "x double, y double"), df, ["x", "y"]).toPandas()["logpdf"]
+    assert np.isnan(gaps).sum() == 1
     one = -0.5 * (2 * np.log(2 * np.pi) + np.log(np.linalg.det(np.cov(x.T, bias=True))) + 2)
     assert fit >= one - 0.05  # no worse than one Gaussian
 

@@ -139,9 +139,10 @@ class BroadLearner:
         np.put_along_axis(s, near, np.exp(-np.take_along_axis(d, near, 1) / (2 * self.sigma**2)), axis=1)
         return s / (s.sum(axis=1, keepdims=True) + 1e-10)
 
-    def graph_edges(self, x: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-        """Ends (i < j) of the undirected nearest-neighbour graph; distances are held for ``block`` rows at a time."""
+    def graph_edges(self, x: np.ndarray, held: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+        """Ends (i < j) of the undirected nearest-neighbour graph; at most about ``held`` differences are in memory."""
         k, n = min(self.graph_k, len(x) - 1), len(x)
+        block = max(1, held // max(1, x.size))
         found = [np.zeros(0, np.int64)]
         for at in range(0, n if k > 0 else 0, block):
             rows = np.arange(at, min(n, at + block))
@@ -245,19 +246,40 @@ class BroadLearner:
 
         return stream_past(rows, offsets, [*by, "__block"], ["both"], scan, schema, order=[chunk])
 
-    def score(self, df: DataFrame, models: DataFrame, on: list[str], chunk: str, features: str, *, salts: int = 1) -> DataFrame:
-        """Add ``y_pred`` and ``proba`` (softmax); a chunk without a model gets class 0."""
+    def score(self, df: DataFrame, models: DataFrame, on: list[str], chunk: str, features: str, *, salts: int = 1, small: int = 64 << 20) -> DataFrame:
+        """Add ``y_pred`` and ``proba`` (softmax); a chunk without a model gets class 0.
+
+        The models are written and their size is taken: up to ``small`` bytes go to every task, and rows are scored
+        where they are read; beyond that, rows and models meet by a shuffle on ``on``.
+        """
         d, c = self.nodes.width, self.n_classes
         schema = T.StructType([*df.schema.fields, T.StructField("y_pred", T.IntegerType()), T.StructField("proba", T.ArrayType(T.DoubleType()))])
+        models = materialize(models, "broad-models")
 
-        def run(part: pd.DataFrame, side: dict | None):
+        def scored(part: pd.DataFrame, w: np.ndarray) -> pd.DataFrame:
             x = np.stack(part[features].to_numpy()).astype(float)
-            w = np.asarray(side["w"]).reshape(d, c) if side else np.zeros((d, c))
             logit = self.nodes(x, part[chunk].to_numpy()) @ w
             e = np.exp(logit - logit.max(axis=1, keepdims=True))
             return part.assign(y_pred=logit.argmax(axis=1).astype(np.int32), proba=list(e / e.sum(axis=1, keepdims=True)))
 
-        return stream_past(df.filter(F.col(features).isNotNull()), models, on, ["w"], run, schema, salts=salts)
+        usable = df.filter(F.col(features).isNotNull())
+        if models.count() * d * c * 8 <= small:
+            key = lambda values: tuple(None if pd.isna(v) else v for v in values)
+            known = {key(r[k] for k in on): np.asarray(r["w"]).reshape(d, c) for r in models.select(*on, "w").collect()}
+            sent, none = df.sparkSession.sparkContext.broadcast(known), np.zeros((d, c))
+
+            def local(frames):
+                for f in frames:
+                    if len(f):
+                        for values, part in f.groupby(on, sort=False, dropna=False):
+                            yield scored(part.reset_index(drop=True), sent.value.get(key(values), none))
+
+            return usable.mapInPandas(local, schema)
+
+        def run(part: pd.DataFrame, side: dict | None):
+            return scored(part, np.asarray(side["w"]).reshape(d, c) if side else np.zeros((d, c)))
+
+        return stream_past(usable, models, on, ["w"], run, schema, salts=salts)
 
     def prequential(self, df: DataFrame, by: list[str], chunk: str, features: str, label: str, *, train_label: Column | None = None, salts: int = 1) -> DataFrame:
         """Chunk t scored by the model of the chunks before it.  ``train_label`` (null = unlabelled) may

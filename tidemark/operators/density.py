@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.broad import mvn_oas
-from tidemark.plans.blocks import tile_stream
+from tidemark.plans.blocks import sum_arrays, tile_stream
 
 MODEL_BYTES = 256 << 20
 
@@ -141,22 +141,79 @@ def kde_logpdf(query: DataFrame, ref: DataFrame, by: list[str], features: list[s
     return tile_stream(side(query), side(ref), by, "__id", begin, update, finish, schema, tile=tile)
 
 
-def gmm_logpdf(df: DataFrame, fit_on: DataFrame, features: list[str], *, k: int = 2, seed: int = 42, name: str = "logpdf") -> DataFrame:
-    """Log density under a Gaussian mixture fitted by Spark ML on ``fit_on``."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
+@dataclasses.dataclass
+class Mixture:
+    """Weights, means and covariances of a Gaussian mixture."""
+
+    features: list[str]
+    weights: np.ndarray
+    means: np.ndarray
+    covs: np.ndarray
+    steps: int = 0
+
+    def log_parts(self, x: np.ndarray) -> np.ndarray:
+        """Log of weight times density, rows x components."""
+        parts = BatchDensities(self.features, np.arange(len(self.weights)), self.means, np.linalg.inv(self.covs), np.linalg.slogdet(self.covs)[1])
+        return parts.logpdf(x) + np.log(self.weights)
 
-    make = VectorAssembler(inputCols=features, outputCol="__x")
-    model = GaussianMixture(featuresCol="__x", k=k, seed=seed, maxIter=50, tol=1e-3).fit(make.transform(fit_on))
-    weights = np.array(model.weights)
-    parts = [(g.mean.toArray(), g.cov.toArray()) for g in model.gaussians]
+
+def _logsum(logs: np.ndarray) -> np.ndarray:
+    top = logs.max(axis=1)
+    return top + np.log(np.exp(logs - top[:, None]).sum(axis=1))
+
+
+def fit_mixture(df: DataFrame, features: list[str], *, k: int = 2, steps: int = 100, tolerance: float = 1e-6, ridge: float = 1e-6) -> Mixture:
+    """Expectation maximisation, one aggregate of responsibilities per step.
+
+    Component j starts with an equal weight, the diagonal of the overall covariance, and a mean that lies
+    (2 j + 1 - k) / k standard deviations from the overall one in every feature, so the fit does not depend on
+    draws or partitions.  ``ridge`` is added to each variance.  It ends when the mean log density gains less than
+    ``tolerance``, or after ``steps``.  Rows with a missing feature are left out.
+    """
     p = len(features)
-    covs = np.array([c for _, c in parts]).reshape(-1, p, p) + 1e-9 * np.eye(p)
-    mix = BatchDensities(list(features), np.arange(len(parts)), np.array([m for m, _ in parts]), np.linalg.inv(covs), np.linalg.slogdet(covs)[1])
+    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features]).filter(" AND ".join(f"`{f}` IS NOT NULL" for f in features))
+    first = rows.agg(*[g(f) for f in features for g in (F.avg, F.var_pop)]).first()
+    if first[0] is None:
+        raise ValueError("a mixture needs rows")
+    mean, var = np.array(first[0::2], float), np.array(first[1::2], float)
+    offsets = (2 * np.arange(k) + 1 - k) / k
+    mix = Mixture(list(features), np.full(k, 1 / k), mean + offsets[:, None] * np.sqrt(var), np.tile(np.diag(var + ridge), (k, 1, 1)))
+    size, before = k * (1 + p + p * p) + 2, -np.inf
+    while mix.steps < steps:
+        def sums(frames, mix=mix):
+            total = np.zeros(size)
+            for f in frames:
+                for at in range(0, len(f), 1 << 14):
+                    x = f[features].to_numpy(dtype=float)[at : at + (1 << 14)]
+                    logs = mix.log_parts(x)
+                    all_ = _logsum(logs)
+                    r = np.exp(logs - all_[:, None])
+                    second = np.einsum("nk,ni,nj->kij", r, x - mean, x - mean)
+                    total += np.concatenate([r.sum(axis=0), (r.T @ (x - mean)).ravel(), second.ravel(), [all_.sum(), len(x)]])
+            yield pd.DataFrame({"all": [0], "v": [total]})
+
+        got = np.array(sum_arrays(rows.mapInPandas(sums, "all int, v array<double>"), ["all"], ["v"], [], salts=32).first()["v"])
+        n, s, q = np.maximum(got[:k], 1e-300), got[k : k + k * p].reshape(k, p), got[k + k * p : -2].reshape(k, p, p)
+        centre = s / n[:, None]
+        covs = q / n[:, None, None] - centre[:, :, None] * centre[:, None] + ridge * np.eye(p)
+        level = got[-2] / got[-1]
+        mix = Mixture(list(features), n / got[-1], mean + centre, covs, mix.steps + 1)
+        if level - before < tolerance:
+            break
+        before = level
+    return mix
+
+
+def gmm_logpdf(df: DataFrame, fit_on: DataFrame, features: list[str], *, k: int = 2, name: str = "logpdf", **fit) -> DataFrame:
+    """Log density under a Gaussian mixture fitted on ``fit_on`` (see ``fit_mixture``); null where a feature is missing."""
+    mix = fit_mixture(fit_on, features, k=k, **fit)
 
     def fn(f):
-        logs = mix.logpdf(f[features].to_numpy(dtype=float)) + np.log(weights)
-        top = logs.max(axis=1)
-        return {name: top + np.log(np.exp(logs - top[:, None]).sum(axis=1))}
+        x = f[features].to_numpy(dtype=float)
+        out = np.full(len(x), np.nan)
+        whole = ~np.isnan(x).any(axis=1)
+        if whole.any():
+            out[whole] = _logsum(mix.log_parts(x[whole]))
+        return {name: out}
 
     return _map(df, [name], fn)

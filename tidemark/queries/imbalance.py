@@ -46,34 +46,50 @@ def _(spark, sf):
     return M.regression_metrics(out, []).select(*[F.round(c, 4).alias(c) for c in ("MSE", "MAE", "R2", "RMSE")])
 
 
-RIDGE = """pm AS (SELECT month, count(*) AS n, sum(qty) AS sx, sum(qty * qty) AS sxx, sum(target) AS sy, sum(qty * target) AS sxy FROM li GROUP BY month),
-pp AS (SELECT month, sum(n) OVER w AS n, sum(sx) OVER w AS sx, sum(sxx) OVER w AS sxx, sum(sy) OVER w AS sy, sum(sxy) OVER w AS sxy FROM pm WINDOW w AS (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-co AS (SELECT month, coalesce((sy * (sxx + 1) - sx * sxy) / (n * (sxx + 1) - sx * sx), 0) AS b0, coalesce((n * sxy - sx * sy) / (n * (sxx + 1) - sx * sx), 0) AS b1 FROM pp)"""
-
-
-@query("chunked_ridge", "L18", "R3", sql=with_(LI, RIDGE) + "SELECT rid, round(b0 + b1 * qty, 4) AS y_pred FROM li JOIN co USING (month)")
+RF = ["qty", "disc", "tax"]
+_X = ["1", *RF]
+_N = len(_X)
+_FIT = "b0 + " + " + ".join(f"b{i + 1} * {f}" for i, f in enumerate(RF))
+
+
+def ridge_sql(source: str, key: str = "", weight: str = "1") -> list[str]:
+    """Coefficients b0.. of every month (and ``key``) from the months before it: sums of products, then elimination."""
+    by = f"month, {key}" if key else "month"
+    names = {f"g{i}_{j}": f"{weight} * {_X[i]} * {_X[j]}" for i in range(_N) for j in range(i, _N)} | {f"t{i}": f"{weight} * {_X[i]} * target" for i in range(_N)}
+    cell = lambda i, j: f"t{i}" if j == _N else f"g{min(i, j)}_{max(i, j)}"
+    parts = [
+        f"pm AS (SELECT {by}, " + ", ".join(f"sum(CAST({x} AS DOUBLE)) AS {n}" for n, x in names.items()) + f" FROM {source} GROUP BY {by})",
+        f"pp AS (SELECT {by}, " + ", ".join(f"coalesce(sum({n}) OVER w, 0) AS {n}" for n in names)
+        + f" FROM pm WINDOW w AS ({f'PARTITION BY {key} ' if key else ''}ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
+        f"e0 AS (SELECT {by}, " + ", ".join(f"{cell(i, j)}{(' + 1e-12' if i == 0 else ' + 1') if i == j else ''} AS a{i}_{j}" for i in range(_N) for j in range(_N + 1)) + " FROM pp)"]
+    for k in range(_N):
+        parts.append(f"e{k + 1} AS (SELECT {by}, " + ", ".join(
+            f"a{k}_{j} / a{k}_{k} AS a{i}_{j}" if i == k else f"a{i}_{j} - a{i}_{k} / a{k}_{k} * a{k}_{j} AS a{i}_{j}" for i in range(_N) for j in range(_N + 1)) + f" FROM e{k})")
+    mean = (lambda x: f"avg({x})") if key else (lambda x: x)
+    parts.append("co AS (SELECT month, " + ", ".join(f"{mean(f'a{i}_{_N}')} AS b{i}" for i in range(_N)) + f" FROM e{_N}{' GROUP BY month' if key else ''})")
+    return parts
+
+
+@query("chunked_ridge", "L18", "R3", sql=with_(LI, *ridge_sql("li")) + f"SELECT rid, round({_FIT}, 4) AS y_pred FROM li JOIN co USING (month)")
 def _(spark, sf):
-    out = R.chunked_ridge(lines(spark, sf), [], "month", ["qty"], "target", reg=1.0)
+    out = R.chunked_ridge(lines(spark, sf), [], "month", RF, "target", reg=1.0)
     return out.select("rid", F.round("y_pred", 4).alias("y_pred"))
 
 
-@query("prequential_regression", "R3", "G5", sql=with_(LI, RIDGE) + """SELECT round(avg(e * e), 4) AS MSE, round(avg(abs(e)), 4) AS MAE, round(1 - avg(e * e) / var_pop(target), 4) AS R2, round(sqrt(avg(e * e)), 4) AS RMSE
-  FROM (SELECT target, target - (b0 + b1 * qty) AS e FROM li JOIN co USING (month))""")
+@query("prequential_regression", "R3", "G5", sql=with_(LI, *ridge_sql("li")) + f"""SELECT round(avg(e * e), 4) AS MSE, round(avg(abs(e)), 4) AS MAE, round(1 - avg(e * e) / var_pop(target), 4) AS R2, round(sqrt(avg(e * e)), 4) AS RMSE
+  FROM (SELECT target, target - ({_FIT}) AS e FROM li JOIN co USING (month))""")
 def _(spark, sf):
-    out = R.chunked_ridge(lines(spark, sf), [], "month", ["qty"], "target", reg=1.0)
+    out = R.chunked_ridge(lines(spark, sf), [], "month", RF, "target", reg=1.0)
     return M.regression_metrics(out.withColumn("y_true", F.col("target")), []).select(*[F.round(c, 4).alias(c) for c in ("MSE", "MAE", "R2", "RMSE")])
 
 
 BAGW = "CAST(len(list_filter([" + ", ".join(repr(p) for p in poisson_cdf(6.0, 1e-10)) + "], lambda p: p <= " + uniform_sql("rid", "'bag' || CAST(m AS VARCHAR)") + ")) AS DOUBLE)"
-BAG = f"""bw AS (SELECT li.*, m, {BAGW} AS w FROM li, range(0, 5) t(m)),
-pm AS (SELECT month, m, sum(w) AS n, sum(w * qty) AS sx, sum(w * qty * qty) AS sxx, sum(w * target) AS sy, sum(w * qty * target) AS sxy FROM bw GROUP BY month, m),
-pp AS (SELECT month, m, sum(n) OVER w AS n, sum(sx) OVER w AS sx, sum(sxx) OVER w AS sxx, sum(sy) OVER w AS sy, sum(sxy) OVER w AS sxy FROM pm WINDOW w AS (PARTITION BY m ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-co AS (SELECT month, avg(coalesce((sy * (sxx + 1) - sx * sxy) / (n * (sxx + 1) - sx * sx), 0)) AS b0, avg(coalesce((n * sxy - sx * sy) / (n * (sxx + 1) - sx * sx), 0)) AS b1 FROM pp GROUP BY month)"""
+BAG = [f"bw AS (SELECT li.*, m, {BAGW} AS w FROM li, range(0, 10) t(m))", *ridge_sql("bw", "m", "w")]
 
 
-@query("bagged_ridge", "L18b", sql=with_(LI, BAG) + "SELECT rid, round(b0 + b1 * qty, 4) AS y_pred FROM li JOIN co USING (month)")
+@query("bagged_ridge", "L18b", sql=with_(LI, *BAG) + f"SELECT rid, round({_FIT}, 4) AS y_pred FROM li JOIN co USING (month)")
 def _(spark, sf):
-    out = R.bagged_ridge(lines(spark, sf), [], "month", "rid", ["qty"], "target", members=5, reg=1.0)
+    out = R.bagged_ridge(lines(spark, sf), [], "month", "rid", RF, "target", reg=1.0)
     return out.select("rid", F.round("y_pred", 4).alias("y_pred"))
 
 

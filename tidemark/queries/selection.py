@@ -43,13 +43,13 @@ def _(spark, sf):
     return out.withColumn("threshold", F.round("threshold", 6))
 
 
-MEM = "m AS (SELECT CAST(k % 10 AS INT) AS member, CAST(k % 3 AS INT) AS class, count(*) AS h, 1.0 / (1 + k % 10) AS w FROM ev WHERE k % 3 <> 2 OR k % 10 = 0 GROUP BY ALL)"
+MEM = "m AS (SELECT CAST(k % 10 AS INT) AS member, CAST(k % 3 AS INT) AS class, count(*) AS h, 1.0 / (1 + k % 10) AS w FROM ev GROUP BY ALL)"
 SHARE = "d AS (SELECT class, sum(h * w) / (SELECT sum(h * w) FROM m) AS share FROM m GROUP BY class)"
 RATE = "r AS (SELECT class, share, CASE WHEN share = 0 THEN 1.0 ELSE greatest(0.05 / (share * 3), 0.05) END AS rate FROM d)"
 
 
 def member_counts(spark, sf):
-    e = events(spark, sf).filter((F.col("k") % 3 != 2) | (F.col("k") % 10 == 0))
+    e = events(spark, sf)
     g = e.groupBy((F.col("k") % 10).cast("int").alias("member"), (F.col("k") % 3).cast("int").alias("class")).agg(F.count("*").alias("h"))
     return g.withColumn("w", 1.0 / (1 + F.col("member")))
 

@@ -18,18 +18,19 @@ from tidemark.streaming.sources import stream_source
 from tidemark.streaming.windows import windowed_stream_metrics
 
 
-FILES = 4
+ROWS_PER_FILE = 250_000
 
 
 def as_stream(df, order: str, parts: int = 3):
-    """The whole table as a stream of ``parts`` batches in position order, each of ``FILES`` files."""
+    """The whole table as a stream of ``parts`` batches in position order, in files of about ``ROWS_PER_FILE`` rows (four at least)."""
     spark = df.sparkSession
     path = scratch_path(spark, "stream-in")
     hi = df.agg(F.max(order)).first()[0]
     step = -(-hi // parts)
+    files = max(4, -(-step // ROWS_PER_FILE))
     for i in range(parts):
-        df.filter(F.expr(f"(`{order}` - 1) div {step} = {i}")).repartition(FILES).write.mode("append").parquet(path)
-    return stream_source(spark, path, df.schema, files_per_trigger=FILES)
+        df.filter(F.expr(f"(`{order}` - 1) div {step} = {i}")).repartition(files).write.mode("append").parquet(path)
+    return stream_source(spark, path, df.schema, files_per_trigger=files)
 
 
 def _detect(spark, sf, x, machine, key):

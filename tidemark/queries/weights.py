@@ -12,6 +12,7 @@ from tidemark.operators import naive_bayes as NB
 from tidemark.operators import weights as W
 from tidemark.queries import query
 from tidemark.queries.base import EV, LI, SCORED, events, fold_sql, lines, recursive, scored, uniform_sql, with_
+from tidemark.queries.detectors import ph_fold
 from tidemark.queries.metrics import nb_score_sql, nb_stats_sql
 
 KF = ["qty", "tax"]
@@ -69,12 +70,44 @@ def _(spark, sf):
     return DE.kde_logpdf(li, li, ["month"], KF, "rid", bandwidth=2.0).select("rid", F.round("logpdf", 5).alias("logpdf"))
 
 
-@query("gmm_logpdf", "M3")
+GMM_STEPS = 12
+
+
+def gmm_sql() -> list[str]:
+    """Two components over qty and tax of the newest batch, as one recursion over steps of sums around the overall mean."""
+    x = ["qty", "tax"]
+    comp = range(2)
+    state = [f"{n}{j}" for j in comp for n in ("w", "a", "b", "v", "c", "u")]  # weight, means, covariance (v c; c u)
+
+    def log_part(j: int) -> str:
+        det = f"(v{j} * u{j} - c{j} * c{j})"
+        form = f"((x - a{j}) * (x - a{j}) * u{j} - 2 * (x - a{j}) * (y - b{j}) * c{j} + (y - b{j}) * (y - b{j}) * v{j}) / {det}"
+        return f"ln(w{j}) - ln(2 * pi()) - 0.5 * ln({det}) - 0.5 * {form}"
+
+    parts = ", ".join(f"{log_part(j)} AS l{j}" for j in comp)
+    new = []
+    for j in comp:
+        r = f"exp(l{j} - t)"
+        n = f"sum({r})"
+        new += [f"{n} / count(*) AS w{j}", f"any_value(mx) + sum({r} * (x - mx)) / {n} AS a{j}", f"any_value(my) + sum({r} * (y - my)) / {n} AS b{j}",
+                f"sum({r} * (x - mx) * (x - mx)) / {n} - pow(sum({r} * (x - mx)) / {n}, 2) + 1e-6 AS v{j}",
+                f"sum({r} * (x - mx) * (y - my)) / {n} - sum({r} * (x - mx)) / {n} * sum({r} * (y - my)) / {n} AS c{j}",
+                f"sum({r} * (y - my) * (y - my)) / {n} - pow(sum({r} * (y - my)) / {n}, 2) + 1e-6 AS u{j}"]
+    total = "greatest(l0, l1) + ln(exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1)))"
+    start = ", ".join(f"0.5::DOUBLE AS w{j}, mx + {2 * j - 1} / 2.0::DOUBLE * sqrt(sx) AS a{j}, my + {2 * j - 1} / 2.0::DOUBLE * sqrt(sy) AS b{j}, sx + 1e-6 AS v{j}, 0::DOUBLE AS c{j}, sy + 1e-6 AS u{j}" for j in comp)
+    return [
+        LI, f"pt AS (SELECT CAST({x[0]} AS DOUBLE) AS x, CAST({x[1]} AS DOUBLE) AS y FROM li WHERE month // 12 = (SELECT max(month // 12) FROM li))",
+        "mo AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS sx, var_pop(y) AS sy FROM pt)",
+        f"em AS (SELECT 0 AS i, {start} FROM mo UNION ALL SELECT i + 1, {', '.join(new)} FROM (SELECT *, {total} AS t FROM (SELECT em.*, x, y, mx, my, {parts} FROM em, pt, mo WHERE i < {GMM_STEPS}) z0) z1 GROUP BY i)",
+        f"lp AS (SELECT batch, rid, {total} AS lp FROM (SELECT batch, rid, {parts} FROM (SELECT month // 12 AS batch, rid, qty AS x, tax AS y, {', '.join(state)} FROM li, em WHERE i = {GMM_STEPS}) z2) z3)"]
+
+
+@query("gmm_logpdf", "M3", sql=recursive(*gmm_sql()) + "SELECT rid, batch, round(lp, 5) AS logpdf FROM lp")
 def _(spark, sf):
     b = batches(spark, sf)
     newest = b.agg(F.max("batch")).first()[0]
-    out = DE.gmm_logpdf(b, b.filter(F.col("batch") == newest), WF)
-    return out.groupBy("batch").agg(F.count("*").alias("n"), F.round(F.avg("logpdf"), 3).alias("mean_logpdf"))
+    out = DE.gmm_logpdf(b, b.filter(F.col("batch") == newest), KF, k=2, steps=GMM_STEPS, tolerance=-1.0)
+    return out.select("rid", "batch", F.round("logpdf", 5).alias("logpdf"))
 
 
 def scaled_sql(raw: str, clip: bool = True) -> str:
@@ -190,12 +223,27 @@ def _(spark, sf):
     return M.accuracy(scored_.withColumn("y_true", F.col("label")), ["batch"])
 
 
-@query("density_drift", "D7")
+_OAS2 = "least(1.0, (TR * TR) / (n * (SQ - TR * TR / 2)))".replace("SQ", "(s00 * s00 + 2 * s01 * s01 + s11 * s11)").replace("TR", "(s00 + s11)")
+_SPREAD2 = "(s00 * s00 + 2 * s01 * s01 + s11 * s11) - (s00 + s11) * (s00 + s11) / 2"
+_LOG2 = "-0.5 * (2 * ln(2 * pi()) + ln(c00 * c11 - c01 * c01) + ((x0 - m0) * (x0 - m0) * c11 - 2 * (x0 - m0) * (x1 - m1) * c01 + (x1 - m1) * (x1 - m1) * c00) / (c00 * c11 - c01 * c01))"
+DENSITY_DRIFT = [
+    EV, "rw AS (SELECT user_id, seq, cents / 100.0::DOUBLE AS x0, CAST(k AS DOUBLE) AS x1, (row_number() OVER (PARTITION BY user_id ORDER BY seq) - 1) // 20 AS ch FROM ev)",
+    "m0 AS (SELECT user_id, ch, count(*) AS n, avg(x0) AS m0, avg(x1) AS m1, var_pop(x0) AS s00, var_pop(x1) AS s11, covar_pop(x0, x1) AS s01 FROM rw GROUP BY ALL)",
+    f"m1 AS (SELECT *, CASE WHEN n * ({_SPREAD2}) = 0 THEN 1.0 ELSE {_OAS2} END AS r FROM m0)",
+    "m2 AS (SELECT user_id, ch, m0, m1, (1 - r) * s00 + r * (s00 + s11) / 2 + 1e-9 AS c00, (1 - r) * s11 + r * (s00 + s11) / 2 + 1e-9 AS c11, (1 - r) * s01 AS c01 FROM m1)",
+    f"ow AS (SELECT rw.user_id, rw.ch, avg({_LOG2}) AS mu, stddev_pop({_LOG2}) AS sd FROM rw JOIN m2 ON m2.user_id = rw.user_id AND m2.ch = rw.ch GROUP BY ALL)",
+    f"st AS (SELECT rw.user_id, rw.seq, (mu - ({_LOG2})) / CASE WHEN sd > 0 THEN sd ELSE 1 END AS x FROM rw JOIN m2 ON m2.user_id = rw.user_id AND m2.ch = rw.ch - 1 JOIN ow ON ow.user_id = rw.user_id AND ow.ch = rw.ch - 1)",
+    ph_fold("SELECT * FROM st", "user_id", threshold=10.0).replace("0.005::DOUBLE", "0.05::DOUBLE"),
+]
+
+
+@query("density_drift", "D7", sql=recursive(*DENSITY_DRIFT) + "SELECT user_id, seq, 'change' AS kind, round(mean, 6) AS estimation FROM f WHERE rn > 0 AND chg")
 def _(spark, sf):
     from tidemark.operators.stream_models import density_drift
 
     e = events(spark, sf).withColumn("x0", F.col("cents") / 100.0).withColumn("x1", F.col("k").cast("double"))
-    return density_drift(e, ["user_id"], "seq", ["x0", "x1"], chunk=20, machine=D.PageHinkley(threshold=10.0, delta=0.05))
+    out = density_drift(e, ["user_id"], "seq", ["x0", "x1"], chunk=20, machine=D.PageHinkley(threshold=10.0, delta=0.05))
+    return out.withColumn("estimation", F.round("estimation", 6))
 
 
 RMSE = """rm AS (SELECT model, month, sqrt(avg((target - p) * (target - p))) AS e FROM (SELECT 'slope2' AS model, month, target, 2 * qty AS p FROM li UNION ALL SELECT 'slope3', month, target, 3 * qty FROM li UNION ALL SELECT 'flat', month, target, 70 FROM li) GROUP BY ALL)"""
