@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +40,18 @@ def validate_drift(
 
 
 def pca_2d(df: DataFrame, features: str, split: int, *, seq: str = "seq") -> tuple[DataFrame, list[float]]:
-    """Two principal components of an array column, tagged before/after, with explained variance."""
+    """Two principal components of an array column, tagged before/after, with explained variance.
+
+    A component's entry of largest magnitude is positive.
+    """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     x = df.withColumn("__x", array_to_vector(features))
     fitted = PCA(k=2, inputCol="__x", outputCol="__pc").fit(x)
+    directions = fitted.pc.toArray()
+    signs = np.where(directions[np.abs(directions).argmax(axis=0), [0, 1]] < 0, -1.0, 1.0)
     pc = vector_to_array(F.col("__pc"))
     out = fitted.transform(x).select(
-        seq, F.get(pc, F.lit(0)).alias("pc1"), F.get(pc, F.lit(1)).alias("pc2"), (F.col(seq) < split).alias("before"))
+        seq, *[(F.get(pc, F.lit(i)) * F.lit(float(signs[i]))).alias(f"pc{i + 1}") for i in (0, 1)], (F.col(seq) < split).alias("before"))
     return out, [float(v) for v in fitted.explainedVariance]

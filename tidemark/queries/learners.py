@@ -11,7 +11,7 @@ from tidemark.operators import metrics as M
 from tidemark.operators import naive_bayes as NB
 from tidemark.plans import chunks as CH
 from tidemark.queries import query
-from tidemark.queries.base import EV, LI, events, lines, uniform_sql, vectors, with_
+from tidemark.queries.base import EV, LI, VEC, events, lines, recursive, uniform_sql, vectors, with_
 from tidemark.queries.metrics import nb_score_sql, nb_stats_sql
 
 LF = ["qty", "disc", "tax"]
@@ -178,9 +178,34 @@ def _(spark, sf):
     return _summary(learner.prequential(v, [], "chunk_id", "features", "label", train_label=_hidden()))
 
 
-@query("pca_2d", "V2")
+POWERS = 24
+
+
+def power_sql(name: str, source: str) -> str:
+    """The matrix of ``source`` (m, symmetric) squared ``POWERS`` times, with trace 1."""
+    return f"""{name} AS (SELECT 0 AS k, m FROM {source}
+  UNION ALL SELECT k + 1, list_transform(q, lambda r: list_transform(r, lambda x: x / t)) FROM (
+    SELECT k, q, list_sum(list_transform(range(1, len(q) + 1), lambda i: q[i][i])) AS t FROM (
+      SELECT k, list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b))) AS q FROM {name} WHERE k < {POWERS}) z0) z1)"""
+
+
+def leading_sql(name: str, power: str) -> str:
+    """The unit vector of a matrix of rank one, its entry of largest magnitude positive."""
+    return f"""{name} AS (SELECT list_transform(r, lambda x: x / s * sg) AS v FROM (
+  SELECT r, sqrt(list_dot_product(r, r)) AS s, sign(r[list_position(list_transform(r, lambda x: abs(x)), list_max(list_transform(r, lambda x: abs(x))))]) AS sg FROM (
+    SELECT m[list_position(d, list_max(d))] AS r FROM (SELECT m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS d FROM {power} WHERE k = {POWERS}) z0) z1) z2)"""
+
+
+PCA = [
+    VEC, "cv AS (SELECT i, j, covar_samp(features[i], features[j]) AS c FROM vec, range(1, 65) a(i), range(1, 65) b(j) GROUP BY i, j)",
+    "cm AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM cv GROUP BY i) z)", power_sql("pw", "cm"), leading_sql("v1", "pw"),
+    """df AS (SELECT list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM (
+  SELECT m, v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM cm, v1) z)""", power_sql("pu", "df"), leading_sql("v2", "pu")]
+
+
+@query("pca_2d", "V2", sql=recursive(*PCA) + "SELECT seq, round(list_dot_product(features, v1.v), 5) AS pc1, round(list_dot_product(features, v2.v), 5) AS pc2, seq < 251 AS before FROM vec, v1, v2")
 def _(spark, sf):
     from tidemark.operators.validate import pca_2d
 
     out, _ = pca_2d(vectors(spark, sf), "features", 251)
-    return out
+    return out.withColumn("pc1", F.round("pc1", 5)).withColumn("pc2", F.round("pc2", 5))

@@ -177,6 +177,34 @@ def _(spark, sf):
     return out.groupBy("batch").agg(F.count("*").alias("n"), F.round(F.avg("weight"), 2).alias("weight"))
 
 
+NEWTON = 12
+
+
+def logistic_sql() -> list[str]:
+    """The maximum of the likelihood that a row is of the newest batch, by Newton steps; each step solves by elimination."""
+    x, n = ["1", *WF], 4
+    cell = lambda i, j: f"t{i}" if j == n else f"g{min(i, j)}_{max(i, j)}"
+    grid = [(i, j) for i in range(n) for j in range(n + 1)]
+    line = " + ".join(f"b{i} * {x[i]}" for i in range(n))
+    held = ", ".join(f"b{i}" for i in range(n))
+    sums = ", ".join([f"sum(p * (1 - p) * {x[i]} * {x[j]}) AS g{i}_{j}" for i in range(n) for j in range(i, n)] + [f"sum((y - p) * {x[i]}) AS t{i}" for i in range(n)]
+                     + [f"any_value(b{i}) AS b{i}" for i in range(n)])
+    step = f"SELECT i, {sums} FROM (SELECT *, 1 / (1 + exp(-({line}))) AS p FROM nr, ys WHERE i < {NEWTON}) z GROUP BY i"
+    step = f"SELECT i, {held}, {', '.join(f'{cell(i, j)} AS a{i}_{j}' for i, j in grid)} FROM ({step}) z0"
+    for k in range(n):
+        step = f"SELECT i, {held}, " + ", ".join(f"a{k}_{j} / a{k}_{k} AS a{i}_{j}" if i == k else f"a{i}_{j} - a{i}_{k} / a{k}_{k} * a{k}_{j} AS a{i}_{j}" for i, j in grid) + f" FROM ({step}) z{k + 1}"
+    return [
+        LI, "ys AS (SELECT month // 12 AS batch, qty, tax, CAST(label AS DOUBLE) AS label, CAST(month // 12 = (SELECT max(month // 12) FROM li) AS INT) AS y FROM li)",
+        f"nr AS (SELECT 0 AS i, {', '.join(f'0::DOUBLE AS b{i}' for i in range(n))} UNION ALL SELECT i + 1, {', '.join(f'b{i} + a{i}_{n}' for i in range(n))} FROM ({step}) z9)",
+        f"pr AS (SELECT batch, 1 / (1 + exp(-({line}))) AS w FROM ys, nr WHERE i = {NEWTON})"]
+
+
+@query("weight_logistic", "M10", sql=recursive(*logistic_sql()) + "SELECT batch, round(avg(w) / (SELECT avg(w) FROM pr), 4) AS weight, round(max(w) / (SELECT avg(w) FROM pr), 4) AS most FROM pr GROUP BY batch")
+def _(spark, sf):
+    out = W.weight_classifier(batches(spark, sf), "batch", WF, model="logistic")
+    return out.groupBy("batch").agg(F.round(F.avg("weight"), 4).alias("weight"), F.round(F.max("weight"), 4).alias("most"))
+
+
 @query("weight_rulsif", "M11")
 def _(spark, sf):
     out = W.weight_rulsif(batches(spark, sf), "batch", WF, "rid")

@@ -44,14 +44,14 @@ def _bag(scheme: str) -> Callable:
     return run
 
 
-def _adaptive_bag(members: int, patches: bool, detector: str | None = None) -> Callable:
+def _adaptive_bag(members: int, patches: bool, detector: detect.Machine | None = None) -> Callable:
     def run(df, keys, order, chunk, features, label, n_classes):
         spaces = None
         if patches:
             from tidemark.operators.features import subspaces
 
             spaces = {r["member"]: list(r["features"]) for r in subspaces(df.sparkSession, len(features), members).collect()}
-        out = ensembles.bagged_stream(df, keys, order, features, label, n_classes, members=members, subspaces=spaces, detector=detect.detector(detector) if detector else None)
+        out = ensembles.bagged_stream(df, keys, order, features, label, n_classes, members=members, subspaces=spaces, detector=detector)
         return out.withColumnRenamed("y_true", label)
 
     return run
@@ -98,7 +98,8 @@ CLASSIFIERS: dict[str, Callable] = {
     "oversampling_bagging": _bag("oversampling"),
     "adaptive_bagging": _adaptive_bag(10, patches=False),
     "random_patches": _adaptive_bag(3, patches=True),
-    "adwin_bagging": _adaptive_bag(10, patches=False, detector="adwin"),
+    "adwin_bagging": _adaptive_bag(10, patches=False, detector=detect.Adwin(change=1e-3, warning=1e-2)),
+    "adwin_random_patches": _adaptive_bag(3, patches=True, detector=detect.Adwin(change=1e-5, warning=1e-4)),
     "chunk_ensemble": _chunk_ensemble,
     "expert_selection": _machine(lambda n: ensembles.ExpertSelection()),
     "stable_dynamic": _machine(lambda n: ensembles.StableDynamic(n)),
@@ -109,7 +110,7 @@ CLASSIFIERS: dict[str, Callable] = {
     "hoeffding_tree": _tree,
 }
 
-NEED_KEYS = {"adwin_bagging", "adaptive_bagging", "random_patches", "expert_selection", "stable_dynamic", "stable_dynamic_reinforced", "varying_features"}
+NEED_KEYS = {"adwin_bagging", "adwin_random_patches", "adaptive_bagging", "random_patches", "expert_selection", "stable_dynamic", "stable_dynamic_reinforced", "varying_features"}
 BINARY = {"oversampling_bagging", "chunk_ensemble", "expert_selection", "varying_features"}
 
 def _remembering(make: Callable, inputs: Callable) -> Callable:
