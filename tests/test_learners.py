@@ -264,3 +264,12 @@ def test_bag_is_its_members_one_by_one(spark, spaces):
                 assert got[k, seq] == (votes[i].argmax(), swaps), (k, seq)
         swapped += sum(s["swaps"] for s in states)
     assert swapped
+
+
+def test_bags_by_name(spark):
+    from tidemark import registry
+
+    x, y = concept(400, flip=200)
+    df = frame(spark, x, y, key=np.where(np.arange(400) % 2 == 0, 1, 2))
+    run = registry.prequential(df, "adaptive_bagging, random_patches, adwin_random_patches", order="seq", features=["x0", "x1"], label="label", n_classes=2, keys=["key"])
+    assert {r["method"]: r["count"] for r in run.groupBy("method").count().collect()} == {"adaptive_bagging": 400, "random_patches": 400, "adwin_random_patches": 400}
