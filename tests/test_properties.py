@@ -353,3 +353,36 @@ def test_nonnegative_minimum(seed):
     x = W.nonnegative_minimum(h, c)
     slope = h @ x + c
     assert (x >= 0).all() and (slope >= -1e-9).all() and abs(slope @ x) < 1e-9
+
+
+def test_relative_ratio_is_the_ridge_fit(spark):
+    """Width and penalty by held-out score over hash folds, and the weights, against plain matrices."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"rid": [f"r{i}" for i in range(300)], "batch": np.repeat([0, 1, 2], 100)})
+    pdf["x"], pdf["y"] = rng.normal(0.5 * pdf["batch"], 1.0), rng.normal(size=300)
+    df = spark.createDataFrame(pdf)
+    sigmas, lambdas, folds, alpha = (0.5, 2.0), (0.01, 1.0), 3, 0.2
+    got = W.weight_rulsif(df, "batch", ["x", "y"], "rid", alpha=alpha, centres=40, sigmas=sigmas, lambdas=lambdas, folds=folds).toPandas().set_index("rid")["weight"]
+    draws = df.select("rid", hash_uniform(F.col("rid"), "42:fold").alias("f"), hash_uniform(F.col("rid"), "42:centre").alias("u")).toPandas()
+    pdf = pdf.merge(draws, on="rid")
+    new, old, fold = pdf["batch"] == 2, pdf["batch"] < 2, np.floor(pdf["f"] * folds)
+    points = pdf[new].sort_values(["u", "rid"])[["x", "y"]].to_numpy()[:40]
+    x, best = pdf[["x", "y"]].to_numpy(), None
+    for sigma in sigmas:
+        k = np.exp(-((x[:, None] - points[None]) ** 2).sum(axis=2) / (2 * sigma**2))
+
+        def sums(rows):
+            a, b = k[rows & new], k[rows & old]
+            return alpha * a.T @ a / len(a) + (1 - alpha) * b.T @ b / len(b), a.mean(axis=0)
+
+        for lam in lambdas:
+            score = 0.0
+            for f in range(folds):
+                h2, h1 = sums(fold != f)
+                theta = np.linalg.solve(h2 + lam * np.eye(40), h1)
+                t2, t1 = sums(fold == f)
+                score += 0.5 * theta @ t2 @ theta - t1 @ theta
+            if best is None or score < best[0]:
+                h2, h1 = sums(fold >= 0)
+                best = (score, k @ np.maximum(np.linalg.solve(h2 + lam * np.eye(40), h1), 0.0))
+    np.testing.assert_allclose(got.loc[pdf["rid"]].to_numpy(), best[1], rtol=1e-8)

@@ -37,7 +37,7 @@ def underbag(df: DataFrame, by: list[str], label: str, ident: str, *, bags: int
     whole = spread.filter(F.col(label) != F.col("__cut"))
     cut = spread.filter(F.col(label) == F.col("__cut")).withColumn(
         "__u", hash_uniform(F.concat_ws("-", F.col(ident).cast("string"), F.col("bag").cast("string")), f"{seed}:bag"))
-    slot = F.pmod(F.xxhash64(ident), F.lit(32))
+    slot = F.pmod(F.xxhash64(ident), F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     for extra in (["__slot"], []):  # a local cut per slot first, then the exact one
         w = Window.partitionBy(*by, "bag", *extra).orderBy("__u", ident)
         cut = cut.withColumn("__slot", slot).withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= F.col("__keep"))
