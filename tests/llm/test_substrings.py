@@ -88,3 +88,13 @@ def test_query(spark, sf):
     want = {k: (len(w), len(w) - len(x), hashlib.sha256(" ".join(x).encode()).hexdigest()) for k, (w, x) in brute(docs, 20).items()}
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in SPARK["op9_substrings"](spark, sf).collect()}
     assert got == want
+
+
+def test_very_long_texts(spark):
+    """Half a million equal words keep one; as many different ones stay; a copy of the latter goes."""
+    many = " ".join(f"w{i}" for i in range(500_000))
+    rows = [(1, "same " * 500_000), (2, many), (3, "begin " + many)]
+    out = {r["doc_id"]: r for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), length=20).collect()}
+    assert [out[i]["n_words"] for i in (1, 2, 3)] == [500_000, 500_000, 500_001]
+    assert [out[i]["n_removed"] for i in (1, 2, 3)] == [499_999, 0, 500_000]
+    assert out[1]["kept"] == "same" and out[2]["kept"] == many and out[3]["kept"] == "begin"

@@ -11,6 +11,9 @@ An occurrence is scored by the rest of the corpus: counts are taken without the
 N words and the order-n gram h+w, S(w|h) = c(hw)/c(h) if hw occurs elsewhere, else ``backoff`` * S(w|shorter h); a word
 that occurs nowhere else has 1/N.  The empty gram's count is N.  Logarithms are whole millionths of log10, so sums do
 not depend on their order.
+
+n-grams are told apart by 64-bit hashes only: two different ones with one hash would share their counts.  With g distinct
+n-grams that is expected for about g * g / 2**65 pairs, and it is not verified.
 """
 
 from __future__ import annotations

@@ -281,7 +281,8 @@ def _one_by_one(fetched: DataFrame, length: int, place: list[str]) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int, *, crowd: int = CROWD, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Columns id, th, span: runs of windows (first word << 32 | windows) whose word sequence starts earlier too.
 
-    ``docs`` has the columns id, th and text.
+    ``docs`` has the columns id, th and text.  Segments of one key with equal 64-bit hashes count as equal without a look at
+    their words, as do windows of crowded keys with equal 128-bit hashes; all other windows are compared in an index.
     """
     keys = _occurrences(docs, length, True).groupBy("key").agg(F.sum("weight").alias("weight")).filter("weight > 1").select("key")
     place = ["id", "th", "span"]
@@ -320,7 +321,7 @@ def remove_repeats(
 
     A word goes if a window over it also starts earlier: at a smaller id, or earlier in the same document.  Null ids
     come before all others, texts of one id in the order of their hash.  Null and empty texts have no words; texts
-    of fewer words than a window lose none.  Further columns are not read; an empty table gives an empty table.
+    of fewer words than a window lose none.  A very long text is held whole in a task, in time and memory linear in it.  Further columns are not read; an empty table gives an empty table.
     """
     docs = documents_of(df, id_col, text_col, list(carry))
     spans = repeated_spans(docs.select("id", "th", "text"), length, crowd=crowd, shard_words=shard_words)
