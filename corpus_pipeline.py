@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import minhash, packing, pii, substrings, toxicity
+from tidemark.llm import packing, pii, similar, substrings, toxicity
 from tidemark.llm.queries import toxicity_model
 from tidemark.session import scratch_path, ship
 
@@ -31,9 +31,12 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each class of texts linked by a similarity of 0.8 over 5-word shingles."""
+    """One document, that with the smallest id, of each class of texts linked by a similarity of 0.8 over 5-word shingles.
+
+    Ball hashing of their SimHash fingerprints proposes the classes, the shingle sets decide.
+    """
     ship(spark)
-    return minhash.one_of_each(docs, shingle=5, similarity=0.8)
+    return similar.one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, texts
@@ -76,13 +76,21 @@ def spanning(members: list[tuple[int, np.ndarray]], similarity: float) -> list[t
     return edges
 
 
-def links(distinct: DataFrame, wanted, *, shingle: int, similarity: float) -> DataFrame:
-    """Edges (a, b) among texts ``g`` with ``bands``; ``wanted(gs)`` gives g and text for a table of numbers."""
-    emitted = distinct.select("g", F.explode("bands").alias("band"))
+def buckets(distinct: DataFrame) -> DataFrame:
+    """The texts ``g`` of each ``band`` that is read, and its number of ``parts``; ``marks`` are a text's bands."""
+    emitted = distinct.select("g", F.explode("marks").alias("band"))
     marks = [F.bit_xor(F.xxhash64("g", F.lit(i))).alias(f"m{i}") for i in range(2)]
     shared = emitted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *marks).filter("n > 1")
-    once = shared.groupBy("n", "m0", "m1").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
-    members = materialize(emitted.join(once, "band"), "buckets")
+    once = shared.groupBy("n", "m0", "m1").agg(F.min("band").alias("band")).select("band", parts_of(F.col("n")).alias("parts"))
+    return materialize(emitted.join(once, "band"), "buckets")
+
+
+def parts_of(n: Column) -> Column:
+    return F.ceil(n / TILE).cast("int")
+
+
+def links(members: DataFrame, wanted, *, shingle: int, similarity: float) -> DataFrame:
+    """Edges (a, b) among the texts of each band of ``members``; ``wanted(gs)`` gives g and text for a table of numbers."""
 
     def collide(batches):
         band, held = None, []
@@ -107,12 +115,10 @@ def links(distinct: DataFrame, wanted, *, shingle: int, similarity: float) -> Da
     return together.repartition("band", "tile").sortWithinPartitions("band", "tile").mapInArrow(collide, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns id_col and ``component`` (smallest id in the row's connected class), one row per row of ``df``.
+def classes(df: DataFrame, mark, propose, *, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Columns id_col and ``component``: classes of the texts that meet in a bucket and whose shingle sets are similar.
 
-    Texts are linked when the Jaccard similarity of their sets of ``shingle`` lower-case words is ``similarity`` or more.
-    Null texts and texts without words are equal.  Rows without an id are classed but never name a class (a class of
-    such rows only has a null component).  Repeated rows stay repeated; an empty table gives an empty table.
+    ``mark`` gives some longs for a text's shingle hashes; ``propose`` gives band, g and parts for a table of g and ``marks``.
     """
     plain = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
@@ -121,17 +127,17 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8,
         for part in slices(batches, "text"):
             words = [_words(t) for t in texts(part.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(map(_key, words), pa.binary()), pa.array([bands(shingles(w, shingle)) for w in words], pa.list_(pa.int64()))],
-                ["id", "key", "bands"])
+                [part.column("id"), pa.array(map(_key, words), pa.binary()), pa.array([mark(shingles(w, shingle)) for w in words], pa.list_(pa.int64()))],
+                ["id", "key", "marks"])
 
     def label(batches):
         for part in slices(batches, "text"):
             found = texts(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([_key(_words(t)) for t in found], pa.binary()), pa.array(found, pa.string())], ["id", "key", "text"])
 
-    prints = materialize(plain.mapInArrow(sign, f"id {kind}, key binary, bands array<bigint>"), "signatures")
-    distinct = prints.groupBy("key").agg(F.min("id").alias("first"), F.first("bands").alias("bands"))
-    distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("g"), "key", "first", "bands"), "distinct-signatures")
+    prints = materialize(plain.mapInArrow(sign, f"id {kind}, key binary, marks array<bigint>"), "signatures")
+    distinct = prints.groupBy("key").agg(F.min("id").alias("first"), F.first("marks").alias("marks"))
+    distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("g"), "key", "first", "marks"), "distinct-signatures")
 
     def wanted(numbers: DataFrame) -> DataFrame:
         chosen = distinct.select("g", F.col("key").alias("k"), "first").join(numbers, "g")
@@ -139,12 +145,22 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8,
         same = rows.join(chosen, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("first")))
         return same.select("g", "text").dropDuplicates(["g"])
 
-    roots = connected(links(distinct.select("g", "bands"), wanted, shingle=shingle, similarity=similarity))
+    roots = connected(links(propose(distinct.select("g", "marks")), wanted, shingle=shingle, similarity=similarity))
     classed = distinct.select("g", "key", "first").join(roots.withColumnRenamed("node", "g"), "g", "left").withColumn("root", F.coalesce("root", "g"))
     least = classed.groupBy("root").agg(F.min("first").alias("component"))
     return prints.join(classed.select("key", "root").join(least, "root").select("key", "component"), "key").select(F.col("id").alias(id_col), "component")
 
 
+def near_duplicates(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Columns id_col and ``component`` (smallest id in the row's connected class), one row per row of ``df``.
+
+    Texts are linked when the Jaccard similarity of their sets of ``shingle`` lower-case words is ``similarity`` or more.
+    Null texts and texts without words are equal.  Rows without an id are classed but never name a class (a class of
+    such rows only has a null component).  Repeated rows stay repeated; an empty table gives an empty table.
+    """
+    return classes(df, bands, buckets, shingle=shingle, similarity=similarity, id_col=id_col, text_col=text_col)
+
+
 def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the row of the smallest id of each class; rows without an id stay, repeated ids leave one row."""
     return first_of_each(df, near_duplicates(df, shingle=shingle, similarity=similarity, id_col=id_col, text_col=text_col), id_col)

@@ -36,7 +36,11 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     starts = [0, *(e + 1 for e in ends[:-1])]
     digest = xxhash.xxh64_intdigest
     spans = zip(starts, ends[shingle - 1 :]) if len(words) >= shingle else [(0, len(joined))]
-    hashes = np.array([digest(joined[a:b], 42) for a, b in spans], np.uint64)
+    return majority(np.array([digest(joined[a:b], 42) for a, b in spans], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of ``hashes``, as an unsigned number."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)]
@@ -64,7 +68,7 @@ def masks(width: int, radius: int) -> list[int]:
     return sorted(m - (1 << BITS) if m >> (BITS - 1) else m for m in found)
 
 
-def _variants(of: Column, width: int, radius: int) -> Column:
+def variants(of: Column, width: int, radius: int) -> Column:
     return F.transform(F.array(*[F.lit(m) for m in masks(width, radius)]), lambda m: of.bitwiseXOR(m))
 
 
@@ -91,8 +95,8 @@ def links(distinct: DataFrame, *, radius: int = 4, large: int = LARGE) -> DataFr
     """Edges (a, b) among distinct fingerprints ``fp``: no link between different components is lost."""
     half = radius // 2
     balls = F.concat(
-        _variants(F.shiftrightunsigned("fp", 32), 32, half // 2),
-        F.transform(_variants(F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)), 32, half // 2), lambda v: v.bitwiseOR(F.lit(1 << 32))))
+        variants(F.shiftrightunsigned("fp", 32), 32, half // 2),
+        F.transform(variants(F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)), 32, half // 2), lambda v: v.bitwiseOR(F.lit(1 << 32))))
     emitted = distinct.select("fp", F.explode(balls).alias("variant"))
 
     def collide(batches):
@@ -137,7 +141,7 @@ def links(distinct: DataFrame, *, radius: int = 4, large: int = LARGE) -> DataFr
     found = materialize(together.mapInArrow(collide, "a bigint, b bigint, crowded boolean"), "collisions")
     few = found.filter("NOT crowded").select("a", "b").distinct()
     crowded = found.filter("crowded").select(F.col("a").alias("fp")).distinct()
-    whole = crowded.select("fp", F.explode(_variants(F.col("fp"), BITS, half)).alias("centre"))
+    whole = crowded.select("fp", F.explode(variants(F.col("fp"), BITS, half)).alias("centre"))
     least = whole.groupBy("centre").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     many = whole.join(least, "centre").filter(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b"))
     many = many.filter(_far(F.col("a"), F.col("b")) <= radius)
