@@ -82,6 +82,41 @@ def test_a_group_of_copies_needs_few_edges(spark):
     assert similar.neighbours(rows.drop("root")).select("root").distinct().count() == 1
 
 
+def shared(x, y):
+    """At most 56 of 192 bits apart, and a block with the same mark and at most two of its lower 12 bits apart."""
+    bits = list(zip(blocks(x[:3]), blocks(y[:3])))
+    near = sum(bin(a ^ b).count("1") for a, b in bits) <= 56
+    return near and any(m == n and bin((a ^ b) & 0xFFF).count("1") <= 2 for (a, b), m, n in zip(bits, x[3:], y[3:]))
+
+
+MARKED = ", ".join(["f0 bigint", "f1 bigint", "f2 bigint", *[f"m{i} bigint" for i in range(12)]])
+
+
+@pytest.mark.parametrize("large, few", [(8192, 256), (8192, 1), (3, 256), (3, 1)])
+def test_links_of_marked_blocks_against_all_pairs(spark, large, few):
+    rng = random.Random(8)
+    prints = [(*p, *[rng.randrange(-4, 4) << 20 for _ in range(12)]) for p in edited(rng, 260)]
+    firsts = {p[0] for p in prints}
+    found = similar.links(spark.createDataFrame([(p[0], *p) for p in prints], f"root bigint, {MARKED}").repartition(3), large=large, few=few)
+    pairs = [(r["a"], r["b"]) for r in found.collect()]
+    want = [(x[0], y[0]) for i, x in enumerate(prints) for y in prints[:i] if shared(x, y)]
+    assert classes(firsts, pairs) == classes(firsts, want)
+    assert 10 < len(classes(firsts, want)) < len(firsts)
+    got = similar.neighbours(spark.createDataFrame(prints, MARKED)).collect()
+    assert len(got) == len(prints) and classes(firsts, [(r["root"], r["f0"]) for r in got]) == classes(firsts, want)
+
+
+def test_unlike_texts_share_no_variant():
+    """The rows that meet in a variant do not grow with the square of the table: texts of other words never meet."""
+    words = [[f"a{i}w{j}" for j in range(30)] for i in range(400)]
+    words += [[*w[:10], "x", *w[11:]] for w in words[:3]]
+    marks = [similar.signature(minhash.shingles([w.encode() for w in t], 5)) for t in words]
+    meeting = [(i, j) for i in range(len(marks)) for j in range(i) if any(a == b for a, b in zip(marks[i][3:], marks[j][3:]))]
+    assert 0 < len(meeting) and set(meeting) <= {(400 + i, i) for i in range(3)}
+    assert all(m % (1 << 20) == 0 for row in marks for m in row[3:]) and len(set(marks[0][3:])) == 12
+    assert similar.signature(minhash.shingles([], 5)) == []
+
+
 def test_fingerprints_of_a_set():
     words = [f"w{i}".encode() for i in range(40)]
     hashes = minhash.shingles(words, 5)
@@ -122,6 +157,24 @@ def test_similar_pairs_meet(words):
     assert sum(met) >= 0.98 * len(met)
 
 
+@pytest.mark.parametrize("words", [9, 20, 80, 400])
+def test_similar_pairs_meet_by_their_marks(words):
+    rng = random.Random(words)
+    met = []
+    while len(met) < 300:
+        a = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        b = a[:]
+        if words < 20:
+            b = b[:-1]
+        else:
+            at, n = rng.randrange(words), max(1, words // 50)
+            for i in range(at, min(words, at + n * 2)):
+                b[i] = f"x{rng.randrange(10**6)}"
+        if 0.8 <= jaccard(" ".join(a), " ".join(b)):
+            met.append(shared(*(similar.signature(minhash.shingles([w.encode() for w in t], 5)) for t in (a, b))))
+    assert sum(met) >= 0.99 * len(met)
+
+
 def test_classes_of_near_misses_whatever_the_tile(spark, monkeypatch):
     """Near misses that share most of a template, some linked: the classes of all pairs, whatever the tile's size."""
     rng = random.Random(9)
