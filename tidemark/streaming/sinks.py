@@ -25,15 +25,17 @@ def latest_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(values).alias("v")).select(*keys, "v.*").drop("batch_id")
 
 
-def run_to_table(df: DataFrame, name: str = "stream", *, mode: str = "append", timeout: int = 600) -> DataFrame:
-    """Process everything available and return the written table.
+def run_to_table(df: DataFrame, name: str = "stream", *, mode: str = "append", timeout: int | None = None) -> DataFrame:
+    """Process everything available and return the written table, however long that takes.
 
-    A query that does not end within ``timeout`` seconds is stopped and reported.
+    With ``timeout`` a query that does not end within so many seconds is stopped and reported.
     """
     spark = df.sparkSession
     root = scratch_path(spark, name)
     query = write_batches(df, f"{root}/data", f"{root}/checkpoint", mode=mode)
-    if not query.awaitTermination(timeout):
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream {name} did not finish within {timeout} s")
     return spark.read.option("basePath", f"{root}/data").parquet(f"{root}/data")
