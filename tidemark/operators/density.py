@@ -112,33 +112,47 @@ def batch_densities(
 def kde_logpdf(query: DataFrame, ref: DataFrame, by: list[str], features: list[str], ident: str, *, bandwidth: float = 1.0, tile: int = 2048) -> DataFrame:
     """Log of the Gaussian kernel density of each query row over all reference rows of its block.
 
-    References stream past tiles of queries; only a running log-sum-exp per query is kept.
+    Equal points are compared once: references count as often as they come, and a point's density goes to all its
+    query rows.  Points stream past tiles of query points; only a running log-sum-exp per point is kept.  The work
+    grows with the square of a block's distinct points.
     """
     d = len(features)
-    side = lambda df: df.select(*by, F.col(ident).alias("__id"), F.array(*[F.col(f).cast("double") for f in features]).alias("__x"))
-    schema = T.StructType([query.schema[c] for c in by] + [T.StructField(ident, query.schema[ident].dataType), T.StructField("logpdf", T.DoubleType())])
+    parts = [f"__x{j}" for j in range(d)]
+    plain = lambda df: df.select(*by, *[F.col(f).cast("double").alias(x) for f, x in zip(features, parts)])
+    side = lambda df: plain(df).groupBy(*by, *parts).agg(F.count(F.lit(1)).cast("double").alias("__n")).withColumn("__id", F.xxhash64(*parts))
+    schema = T.StructType([query.schema[c] for c in by] + [T.StructField(c, T.DoubleType()) for c in [*parts, "logpdf"]])
 
     def begin(q):
-        return np.full(len(q), -np.inf), np.zeros(len(q)), 0
+        return np.full(len(q), -np.inf), np.zeros(len(q)), 0.0
 
     def update(acc, q, r):
         top, total, n = acc
-        a, b = np.stack(q["__x"].to_numpy()), np.stack(r["__x"].to_numpy())
-        e = -((a[:, None, :] - b[None]) ** 2).sum(axis=2) / (2 * bandwidth**2)
+        e = np.zeros((len(q), len(r)))
+        for x in parts:
+            e -= (q[x].to_numpy(dtype=float)[:, None] - r[x].to_numpy(dtype=float)[None]) ** 2
+        e /= 2 * bandwidth**2
+        times = r["__n"].to_numpy()
         new = np.maximum(top, e.max(axis=1))
         with np.errstate(invalid="ignore"):
-            total = np.where(np.isfinite(top), total * np.exp(top - new), 0.0) + np.exp(e - new[:, None]).sum(axis=1)
-        return new, total, n + len(r)
+            total = np.where(np.isfinite(top), total * np.exp(top - new), 0.0) + (np.exp(e - new[:, None]) * times).sum(axis=1)
+        return new, total, n + times.sum()
 
     def finish(acc, q):
         top, total, n = acc
-        out = q[by].reset_index(drop=True) if by else pd.DataFrame(index=range(len(q)))
-        out[ident] = q["__id"].to_numpy()
+        out = q[[*by, *parts]].reset_index(drop=True)
         with np.errstate(divide="ignore"):
             out["logpdf"] = top + np.log(total) - math.log(max(n, 1)) - d / 2 * math.log(2 * math.pi * bandwidth**2)
         return out
 
-    return tile_stream(side(query), side(ref), by, "__id", begin, update, finish, schema, tile=tile)
+    found = tile_stream(side(query), side(ref), by, "__id", begin, update, finish, schema, tile=tile)
+    rows = query.select(*by, ident, *[F.col(f).cast("double").alias(f"__q{j}") for j, f in enumerate(features)])
+    known = found.select(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)], *parts, "logpdf")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & (F.col(c) == F.col(f"__b{i}"))
+    for j, x in enumerate(parts):  # a missing number is a point's too
+        same = same & F.col(f"__q{j}").eqNullSafe(F.col(x))
+    return rows.join(known, same).select(*by, ident, "logpdf")
 
 
 @dataclasses.dataclass
