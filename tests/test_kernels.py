@@ -25,3 +25,18 @@ def test_equal_points_are_compared_once(spark, monkeypatch):
         own = [(p - x) ** 2 + (q - y) ** 2 for _, c, p, q in rows if c == b]
         want = math.log(np.mean(np.exp(-np.array(own) / 4.5))) - math.log(2 * math.pi * 2.25)
         assert abs(got[name] - want) < 1e-9
+
+
+def test_equal_points_of_a_fold_are_evaluated_once(spark, monkeypatch):
+    rows = [(f"r{n}", n % 4, float(n % 5), float(n % 2)) for n in range(400)]
+    df = spark.createDataFrame(rows, "id string, batch int, x double, y double")
+    seen, plain = [], W._sum_over_rows
+
+    def spy(rows, *args):
+        seen.append(rows.count())
+        return plain(rows, *args)
+
+    monkeypatch.setattr(W, "_sum_over_rows", spy)
+    out = W.weight_kliep(df, "batch", ["x", "y"], "id", sigmas=(0.5, 1.0), centres=(10,)).collect()
+    assert len(seen) > 1 and max(seen) <= 30  # ten points in three folds
+    assert len(out) == 400 and abs(np.mean([r["weight"] for r in out if r["batch"] == 3]) - 1) < 1e-6

@@ -268,7 +268,7 @@ def weight_kliep(
     centres are those of the best mean log ratio on held-out hash folds.  The fits of all widths, numbers and
     folds, and those on all rows, advance together: one aggregate over the numerator rows per step.  A fit ends
     when its mean log ratio is provably within ``tolerance`` of the largest; ``iterations`` guards against
-    more steps and raises.  Kernels are scaled to mean 1 over the newest batch, where the ratio then has mean 1.
+    more steps and raises.  Equal points of a fold are evaluated once, with their number.  Kernels are scaled to mean 1 over the newest batch, where the ratio then has mean 1.
     """
     newest = df.agg(F.max(batch)).first()[0]
     is_new = F.col(batch) == F.lit(newest)
@@ -286,8 +286,14 @@ def weight_kliep(
         return [np.exp(-gap.sum(axis=2) / (2 * s * s)) for s in widths]
 
     blocks = lambda x: [x[i : i + 4096] for i in range(0, len(x), 4096)]
-    mean = _sum_over_rows(df.filter(is_new), features, [], len(widths) * b + 1, lambda x, _: np.append(
-        sum(np.concatenate([k.sum(axis=0) for k in kernels(part)]) for part in blocks(x)), len(x)))
+    times = F.count(F.lit(1)).cast("double").alias("__times")
+    points = materialize(rest.groupBy(*features, "__fold").agg(times), "kliep-points")
+
+    def totals(x, extra):
+        n = extra["__times"].to_numpy()
+        return np.append(sum(np.concatenate([w @ k for k in kernels(part)]) for part, w in zip(blocks(x), blocks(n))), n.sum())
+
+    mean = _sum_over_rows(df.filter(is_new).groupBy(*features).agg(times), features, ["__times"], len(widths) * b + 1, totals)
     mean = mean[:-1].reshape(-1, b) / max(mean[-1], 1)
     counts = sorted({min(n, b) for n in centres})
     fits = {(w, n, f): _Mixture((mean[w] > 1e-12) & (np.arange(b) < n), tolerance) for w in range(len(widths)) for n in counts for f in [*range(folds), None]}
@@ -301,20 +307,20 @@ def weight_kliep(
 
         def collect(x, extra, active=active, shares=shares, size=size):
             out = np.zeros((len(active), size))
-            which = extra["__fold"].to_numpy()
+            which, n = extra["__fold"].to_numpy(), extra["__times"].to_numpy()
             for at, part in zip(range(0, len(x), 4096), blocks(x)):
                 k = [g / np.where(m > 1e-12, m, np.inf) for g, m in zip(kernels(part), mean)]
-                inside = which[at : at + 4096]
+                inside, w = which[at : at + 4096], n[at : at + 4096]
                 for i, key in enumerate(active):
                     phi = k[key[0]]
                     ratio = np.maximum(phi @ shares[key], 1e-300)
                     mine = np.ones(len(part), bool) if key[2] is None else inside != key[2]
-                    scaled = phi[mine] / ratio[mine, None]
-                    logs = np.log(ratio)
-                    out[i] += np.concatenate([[mine.sum(), logs[mine].sum(), logs[~mine].sum()], scaled.sum(axis=0), (scaled.T @ scaled).ravel()])
+                    scaled, many = phi[mine] / ratio[mine, None], w[mine]
+                    logs = np.log(ratio) * w
+                    out[i] += np.concatenate([[many.sum(), logs[mine].sum(), logs[~mine].sum()], many @ scaled, (scaled.T @ (scaled * many[:, None])).ravel()])
             return out.ravel()
 
-        found = _sum_over_rows(rest, features, ["__fold"], len(active) * size, collect).reshape(len(active), size)
+        found = _sum_over_rows(points, features, ["__fold", "__times"], len(active) * size, collect).reshape(len(active), size)
         for key, row in zip(active, found):
             before = fits[key].at
             fits[key].told(row[0], row[1], row[3 : 3 + b], row[3 + b :].reshape(b, b))
