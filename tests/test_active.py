@@ -68,3 +68,23 @@ def test_rows_without_a_chunk_and_no_rows(spark):
     assert runner.prequential_active(df.limit(0), model, "chunk", "y", Q.query_all).count() == 0
     with pytest.raises(ValueError, match="key"):
         keyed_resume(df, [], "seq", D.PageHinkley(), None)
+
+
+@pytest.mark.parametrize("name, budget", [("margin_fixed", None), ("top_per_chunk", 0.05), ("submodular", 0.3)])
+def test_chunks_in_a_task_and_chunk_by_chunk_agree(spark, monkeypatch, name, budget):
+    """Rows with gaps, null keys and classes: the same questions and answers in three segments and in one step per chunk."""
+    data = [(u, s, c, None if s % 50 == 7 and name != "cognitive" else a, b, None if s % 41 == 3 and name == "margin_fixed" else y) for u, s, c, a, b, y in rows(400)]
+    df = spark.createDataFrame([*data, ("u0", 900, None, 0.0, 0.0, 1)], KIND).repartition(3)
+    run = lambda: sorted((r["seq"], r["y_pred"], r["is_queried"]) for r in runner.active_by_name(
+        df, "naive_bayes", name, chunk="chunk", order="seq", features=["a", "b"], label="y", n_classes=2, keys=["user"], budget=budget).collect())
+    monkeypatch.setattr(runner, "SEGMENT_ROWS", 120)
+    held = run()
+    monkeypatch.setattr(runner, "HELD_ROWS", 0)
+    assert held == run() and len(held) == 300
+
+
+def test_many_chunks_are_few_jobs(spark):
+    """The number of jobs follows the rows, not the chunks."""
+    df = spark.createDataFrame(rows(600, size=2), KIND)
+    out = runner.active_by_name(df, "broad", "all", chunk="chunk", order="seq", features=["a", "b"], label="y", n_classes=2)
+    assert out.count() == 598 and len(out.inputFiles()) <= 2

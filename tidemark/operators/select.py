@@ -1,10 +1,16 @@
-"""Label-query rules over a scored table: which rows are worth asking a label for."""
+"""Label-query rules over a scored table: which rows are worth asking a label for.
+
+Rules of one row or chunk also take a chunk that a task holds (a pandas frame whose ``proba`` are arrays) and then
+give the frame with ``is_queried``, as they do for a table.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,21 +38,66 @@ def running_class_counts(df: DataFrame, keys: list[str], order: str, label: str,
 # --- rules that look at one row -------------------------------------------------------------------
 
 
-def query_random(df: DataFrame, ident: str, ratio: float, seed: int = 42) -> DataFrame:
+def query_hashed(df: DataFrame | pd.DataFrame, ident: str, salt: str, ratio: float) -> DataFrame | pd.DataFrame:
+    """Ask for the rows whose hashed draw is under ``ratio``."""
+    if isinstance(df, pd.DataFrame):
+        return df.assign(is_queried=_asked(draws(df[ident], salt), ratio))
+    return df.withColumn("is_queried", hash_uniform(F.col(ident), salt) < ratio)
+
+
+def query_random(df: DataFrame | pd.DataFrame, ident: str, ratio: float, seed: int = 42) -> DataFrame | pd.DataFrame:
     """Ask for a hashed share of rows."""
-    return df.withColumn("is_queried", hash_uniform(F.col(ident), f"{seed}:query") < ratio)
+    return query_hashed(df, ident, f"{seed}:query", ratio)
 
 
-def query_all(df: DataFrame) -> DataFrame:
+def query_all(df: DataFrame | pd.DataFrame) -> DataFrame | pd.DataFrame:
     """Ask for every label: plain supervised learning."""
+    if isinstance(df, pd.DataFrame):
+        return df.assign(is_queried=pd.array([True] * len(df), dtype="boolean"))
     return df.withColumn("is_queried", F.lit(True))
 
 
-def query_margin_fixed(df: DataFrame, proba: str, theta: float = 0.5) -> DataFrame:
+def query_margin_fixed(df: DataFrame | pd.DataFrame, proba: str, theta: float = 0.5) -> DataFrame | pd.DataFrame:
     """Ask when the largest and smallest class probability are closer than ``theta``."""
+    if isinstance(df, pd.DataFrame):
+        return df.assign(is_queried=_asked(margins(df[proba]), theta))
     return df.withColumn("is_queried", range_margin(F.col(proba)) < theta)
 
 
+def query_least_sure(
+    df: DataFrame | pd.DataFrame, keys: list[str], proba: str, order: str, size: int, digits: int | None = None
+) -> DataFrame | pd.DataFrame:
+    """Ask for the ``size`` rows of each chunk with the smallest margin (to ``digits`` places); a task holds one chunk."""
+    if isinstance(df, pd.DataFrame):
+        margin = margins(df[proba])
+        ranked = df.assign(__m=margin if digits is None else np.round(margin, digits)).sort_values(["__m", order], na_position="first", kind="stable")
+        best = ranked[[order]].head(size).dropna().assign(is_queried=True)
+        out = df.reset_index().merge(best, on=order, how="left").set_index("index")
+        return out.assign(is_queried=out["is_queried"].astype("boolean").fillna(False))
+    margin = range_margin(F.col(proba))
+    ranked = query_topk_per_chunk(df.withColumn("__m", margin if digits is None else F.round(margin, digits)), keys, "__m", order, size)
+    return df.join(ranked.select(order, F.lit(True).alias("is_queried")), order, "left").withColumn("is_queried", F.coalesce("is_queried", F.lit(False)))
+
+
+def margins(proba: pd.Series) -> np.ndarray:
+    """Largest minus smallest probability of each row of a frame; nan where one is missing."""
+    p = np.stack(proba.to_numpy()) if len(proba) else np.zeros((0, 1))
+    return p.max(axis=1) - p.min(axis=1)
+
+
+def draws(ident: pd.Series, salt: str) -> np.ndarray:
+    """``hash_uniform`` of a frame's column of strings or whole numbers; nan where there is none."""
+    text = lambda v: v if isinstance(v, str) else str(int(v))
+    return np.array([np.nan if pd.isna(v) else int(hashlib.md5(f"{text(v)}:{salt}".encode()).hexdigest()[:8], 16) / 4294967296.0 for v in ident], float)
+
+
+def _asked(value: np.ndarray, limit: float) -> pd.api.extensions.ExtensionArray:
+    """value < limit, missing where the value is."""
+    out = pd.array(value < limit, dtype="boolean")
+    out[np.isnan(value)] = pd.NA
+    return out
+
+
 def class_shares(members: DataFrame, sigma: float, n_classes: int) -> DataFrame:
     """Weighted class share over ensemble members and the query rate it implies per class.
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import range_margin
-from tidemark.functions.hashing import hash_uniform
 from tidemark.operators import broad as B
 from tidemark.operators import chunking as CK
 from tidemark.operators import explain as EX
@@ -160,7 +158,8 @@ MARGIN = "abs(p1 - p0) < 0.5"
 def _(spark, sf):
     e = _in_chunks(events(spark, sf), 500)
     model = BayesModel(AF, "y_sudden", [0, 1])
-    return _per_chunk(prequential_active(e, model, "chunk_id", "y_sudden", lambda d: Q.query_margin_fixed(d, "proba", 0.5)))
+    ask = lambda d, memory=None: Q.query_margin_fixed(d, "proba", 0.5)
+    return _per_chunk(prequential_active(e, model, "chunk_id", "y_sudden", ask, held=ask))
 
 
 def by_name(spark, sf, selectors, size, budget=None):
@@ -197,11 +196,8 @@ LEAST = "row_number() OVER (ORDER BY round(abs(p1 - p0), 12), seq) <= 200"
 def _(spark, sf):
     e = _in_chunks(events(spark, sf), 2500)
 
-    def least_sure(d):
-        ranked = Q.query_topk_per_chunk(d.withColumn("m", F.round(range_margin(F.col("proba")), 12)), ["chunk_id"], "m", "seq", 200).select("seq", F.lit(True).alias("is_queried"))
-        return d.join(ranked, "seq", "left").withColumn("is_queried", F.coalesce("is_queried", F.lit(False)))
-
-    run = prequential_active(e, BayesModel(AF, "y_sudden", [0, 1]), "chunk_id", "y_sudden", least_sure, budget=0.05)
+    least_sure = lambda d, memory=None: Q.query_least_sure(d, ["chunk_id"], "proba", "seq", 200, digits=12)
+    run = prequential_active(e, BayesModel(AF, "y_sudden", [0, 1]), "chunk_id", "y_sudden", least_sure, budget=0.05, held=least_sure)
     return annotation_rate(run, ["chunk_id"]).withColumn("annotation_rate", F.round("annotation_rate", 6))
 
 
@@ -212,7 +208,8 @@ def _(spark, sf):
     nodes = B.NodeMap.fitted(warm, "features", 64)
     anchors = np.array([r["features"] for r in warm.filter(F.col("seq") <= 20).orderBy("seq").select("features").collect()])
     model = BroadModel(B.BroadLearner(nodes, 3, mode="anchor", anchors=anchors), "features", "label", "chunk_id")
-    run = prequential_active(v, model, "chunk_id", "label", lambda d: d.withColumn("is_queried", hash_uniform(F.col("vec_id"), "ask") < 0.4), semi=True)
+    ask = lambda d, memory=None: Q.query_hashed(d, "vec_id", "ask", 0.4)
+    run = prequential_active(v, model, "chunk_id", "label", ask, semi=True, held=ask)
     return run.select("vec_id", "chunk_id", F.col("label").alias("y_true"), "y_pred", "is_queried")
 
 

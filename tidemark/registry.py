@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,17 +115,20 @@ CLASSIFIERS: dict[str, Callable] = {
 NEED_KEYS = {"adwin_bagging", "adwin_random_patches", "adaptive_bagging", "random_patches", "expert_selection", "stable_dynamic", "stable_dynamic_reinforced", "varying_features"}
 BINARY = {"oversampling_bagging", "chunk_ensemble", "expert_selection", "varying_features"}
 
-def _remembering(make: Callable, inputs: Callable) -> Callable:
+def _remembering(make: Callable, inputs: Callable, held_inputs: Callable) -> Callable:
     """A rule with memory as a selector, per key in ``order``.
 
-    With ``memory`` (a dict that the caller keeps) it goes on where its last call ended, else it starts anew.
+    With ``memory`` (a dict that the caller keeps) it goes on where its last call ended, else it starts anew.  Of a chunk
+    that a task holds (a pandas frame), ``held_inputs`` gives the rule's columns, and ``memory`` has a state per key.
     """
 
     def select(scored, keys, order, features, label, n_classes, memory=None):
         if not keys:
             raise ValueError("a rule that remembers earlier answers needs key columns")
-        rows = scored.select(*keys, order, *[c for c in ("proba", label, *features) if c in scored.columns])
         held = {} if memory is None else memory
+        if isinstance(scored, pd.DataFrame):
+            return _remembered(scored, keys, order, make(n_classes), held_inputs(scored, order, features, label), held)
+        rows = scored.select(*keys, order, *[c for c in ("proba", label, *features) if c in scored.columns])
         asked, held["states"] = sel.query_resumed(rows, keys, order, make(n_classes), inputs(order, features, label), held.get("states"))
         answers = asked.select(*[F.col(c).alias(f"__{c}") for c in [*keys, order]], "is_queried")
         same = F.lit(True)
@@ -134,31 +139,74 @@ def _remembering(make: Callable, inputs: Callable) -> Callable:
     return select
 
 
+def _remembered(frame: pd.DataFrame, keys: list[str], order: str, machine, inputs: dict, states: dict) -> pd.DataFrame:
+    """The rows of ``frame`` with ``is_queried``; ``states`` (per key) goes on."""
+    at = frame[order].reset_index(drop=True).sort_values(kind="stable", na_position="first").index.to_numpy()
+    code = frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()[at]
+    at = at[np.argsort(code, kind="stable")]
+    edges = [0, *(np.flatnonzero(np.diff(np.sort(code, kind="stable"))) + 1).tolist(), len(at)]
+    values = [frame[k].to_numpy() for k in keys]
+    rows, asked = [], []
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        if lo == hi:
+            continue
+        mine = at[lo:hi]
+        key = tuple(None if pd.isna(v[mine[0]]) else v[mine[0]] for v in values)
+        state = states[key] if key in states else machine.start()
+        states[key], out = machine.feed(state, {c: inputs[c][mine] for c in machine.inputs})
+        rows.append(mine[np.asarray(out["row"], dtype=np.int64)])
+        asked.append(out["is_queried"])
+    if not rows:
+        return frame.assign(is_queried=pd.array([], dtype="boolean"))
+    answers = frame[[*keys, order]].iloc[np.concatenate(rows)].assign(is_queried=np.concatenate(asked))
+    return frame.reset_index().merge(answers, on=[*keys, order], how="inner").set_index("index")
+
+
 def _plain(fn: Callable) -> Callable:
     return lambda scored, keys, order, features, label, n_classes, memory=None: fn(scored, order)
 
 
 def _least_sure(scored, order, size: int = 100):
     """The ``size`` rows of a chunk with the smallest margin."""
-    best = sel.query_topk_per_chunk(scored.withColumn("__margin", range_margin(F.col("proba"))).withColumn("__one", F.lit(0)), ["__one"], "__margin", order, size)
-    return scored.join(best.select(order, F.lit(True).alias("is_queried")), order, "left").withColumn("is_queried", F.coalesce("is_queried", F.lit(False)))
+    if isinstance(scored, pd.DataFrame):
+        return sel.query_least_sure(scored, [], "proba", order, size)
+    return sel.query_least_sure(scored.withColumn("__one", F.lit(0)), ["__one"], "proba", order, size).drop("__one")
+
+
+def _arrays(series: pd.Series) -> np.ndarray:
+    """A column of arrays as a column of arrays, however its frame holds them."""
+    out = np.empty(len(series), dtype=object)
+    out[:] = [np.asarray(v, dtype=float) for v in series]
+    return out
+
+
+def _top2(series: pd.Series) -> np.ndarray:
+    down = -np.sort(-np.stack(series.to_numpy()), axis=1)
+    return down[:, 0] - down[:, 1]
 
 
 _PROBA = lambda order, features, label: {"proba": F.col("proba"), "label": F.col(label)}
 _VECTOR = lambda order, features, label: {"features": F.array(*[F.col(f).cast("double") for f in features]), "top": F.array_max("proba")}
+_PROBA_HELD = lambda f, order, features, label: {"proba": _arrays(f["proba"]), "label": f[label].to_numpy()}
+_VECTOR_HELD = lambda f, order, features, label: {
+    "features": _arrays(pd.Series(list(f[features].to_numpy(dtype=float)))), "top": np.array([max(p) for p in f["proba"]], float)}
 
-# every selector is select(scored, keys, order, features, label, n_classes, memory=None) -> scored rows with ``is_queried``
+# every selector is select(scored, keys, order, features, label, n_classes, memory=None) -> scored rows with ``is_queried``;
+# ``scored`` is a table or the pandas frame of a chunk
 SELECTORS: dict[str, Callable] = {
     "all": _plain(lambda d, order: sel.query_all(d)),
     "random": _plain(lambda d, order: sel.query_random(d, order, 0.2)),
     "margin_fixed": _plain(lambda d, order: sel.query_margin_fixed(d, "proba", 0.5)),
     "top_per_chunk": _plain(_least_sure),
-    "margin_variable": _remembering(lambda n: sel.MarginVariable(), lambda order, features, label: {"margin": range_margin(F.col("proba"))}),
+    "margin_variable": _remembering(
+        lambda n: sel.MarginVariable(), lambda order, features, label: {"margin": range_margin(F.col("proba"))},
+        lambda f, order, features, label: {"margin": sel.margins(f["proba"])}),
     "margin_or_random": _remembering(lambda n: sel.MarginOrRandom(n_classes=n), lambda order, features, label: {
-        "margin": top2_margin(F.col("proba")), "draw": hash_uniform(F.col(order), "margin-or-random")}),
-    "submodular": _remembering(lambda n: sel.Submodular(n), _PROBA),
-    "submodular_dynamic": _remembering(lambda n: sel.SubmodularDynamic(n), _PROBA),
-    "cognitive": _remembering(lambda n: sel.Cognitive(n_classes=n), _VECTOR),
+        "margin": top2_margin(F.col("proba")), "draw": hash_uniform(F.col(order), "margin-or-random")},
+        lambda f, order, features, label: {"margin": _top2(f["proba"]), "draw": sel.draws(f[order], "margin-or-random")}),
+    "submodular": _remembering(lambda n: sel.Submodular(n), _PROBA, _PROBA_HELD),
+    "submodular_dynamic": _remembering(lambda n: sel.SubmodularDynamic(n), _PROBA, _PROBA_HELD),
+    "cognitive": _remembering(lambda n: sel.Cognitive(n_classes=n), _VECTOR, _VECTOR_HELD),
 }
 
 
