@@ -6,6 +6,8 @@ operation.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +19,36 @@ from tidemark.plans.blocks import map_blocks
 from tidemark.plans.keyed import Machine, keyed_scan
 
 
+def _picks(bags: int, size: int, k: int, seed: int) -> np.ndarray:
+    """bags x k positions among ``size`` by hashed draw; those of short chunks, which come again, are kept."""
+    return _few_picks(bags, size, k, seed) if size <= 400 else _drawn(bags, size, k, seed)
+
+
+def _drawn(bags: int, size: int, k: int, seed: int) -> np.ndarray:
+    u = splitmix_uniform(np.arange(bags * size), seed).reshape(bags, size)
+    return np.argsort(u, axis=1, kind="stable")[:, :k]
+
+
+@lru_cache(maxsize=4096)
+def _few_picks(bags: int, size: int, k: int, seed: int) -> np.ndarray:
+    return _drawn(bags, size, k, seed).astype(np.int16)
+
+
+@lru_cache(maxsize=2)
+def _teams(draws: int, bags: int, team: int, seed: int) -> np.ndarray:
+    u = splitmix_uniform(np.arange(draws * bags), seed).reshape(draws, bags)
+    return np.argpartition(u, team - 1, axis=1)[:, :team] if team < bags else np.tile(np.arange(bags), (draws, 1))
+
+
+@lru_cache(maxsize=4096)
+def _few_uniforms(n: int, seed: int) -> np.ndarray:
+    return splitmix_uniform(np.arange(n), seed)
+
+
+def _uniforms(n: int, seed: int) -> np.ndarray:
+    return _few_uniforms(n, seed) if n <= 400 else splitmix_uniform(np.arange(n), seed)
+
+
 class Stumps:
     """Depth-one trees, one per bag: every minority row and sqrt(n) majority rows by hashed draw."""
 
@@ -24,9 +56,55 @@ class Stumps:
         minor = 1 if 2 * y.sum() < len(y) else 0
         few, many = np.flatnonzero(y == minor), np.flatnonzero(y != minor)
         k = min(int(np.sqrt(len(y))), len(many))
-        u = splitmix_uniform(np.arange(bags * len(many)), seed).reshape(bags, len(many))
-        rows = np.hstack([np.tile(few, (bags, 1)), many[np.argsort(u, axis=1, kind="stable")[:, :k]]])
-        bx, by = x[rows], y[rows]  # bags x rows x features
+        self._ranked(x, y, np.hstack([np.tile(few, (bags, 1)), many[_picks(bags, len(many), k, seed)]]))
+
+    @classmethod
+    def of_bags(cls, x: np.ndarray, y: np.ndarray, rows: np.ndarray) -> "Stumps":
+        """One for each line of ``rows`` (positions), with as many rows of each class in every line."""
+        out = cls.__new__(cls)
+        out._ranked(x, y, rows)
+        return out
+
+    def _ranked(self, x: np.ndarray, y: np.ndarray, rows: np.ndarray) -> None:
+        """``_grow`` where every line has as many rows of each class.
+
+        Values are replaced by their ranks, whose small numbers sort fast, and the impurity of a cut is looked up by
+        its rows and ones on the left: the same cuts.
+        """
+        if len(x) > 1 << 13 or np.isnan(x).any():  # ranks must fit, and a missing value has none
+            self._grow(x, y, rows)
+            return
+        bags, n = rows.shape
+        total = int(y[rows[0]].sum()) if bags else 0
+        left, ones = np.arange(1, n)[:, None], np.arange(total + 1)[None]
+        pl, pr = ones / left, (total - ones) / (n - left)
+        gini = left * pl * (1 - pl) + (n - left) * pr * (1 - pr)
+        line = np.arange(bags)
+        best = at = feature = low = high = gap = None
+        for j in range(x.shape[1]):
+            values, rank = np.unique(x[:, j], return_inverse=True)
+            key = np.sort((rank * 2 + y).astype(np.int8 if len(values) < 64 else np.int16)[rows], axis=1)
+            sum_ = np.cumsum(key & 1, axis=1, dtype=np.int16)[:, :-1]
+            rank = key >> 1
+            score = np.where(rank[:, 1:] > rank[:, :-1], gini[np.arange(n - 1)[None], sum_], np.inf)
+            where = score.argmin(axis=1) if n > 1 else np.zeros(bags, int)
+            if n < 2:
+                score = np.full((bags, 1), np.inf)
+            value = score[line, where]
+            here = np.isfinite(value)
+            one = sum_[line, where] if n > 1 else np.zeros(bags, int)
+            cut = (values[rank[line, where]] + values[rank[line, np.minimum(where + 1, n - 1)]]) / 2
+            found = [value, where, np.full(bags, j), pl[where, one] if n > 1 else value, pr[where, one] if n > 1 else value, np.where(here, cut, np.inf)]
+            if best is None:
+                best, at, feature, low, high, gap = found
+                continue
+            won = (found[0] < best) | ((found[0] == best) & (found[1] < at))
+            best, at, feature, low, high, gap = (np.where(won, f, o) for f, o in zip(found, (best, at, feature, low, high, gap)))
+        ok, base = np.isfinite(best), np.full(bags, total) / n
+        self.feature, self.cut, self.low, self.high = feature, gap, np.where(ok, low, base), np.where(ok, high, base)
+
+    def _grow(self, x: np.ndarray, y: np.ndarray, rows: np.ndarray) -> None:
+        bx, by, bags = x[rows], y[rows], len(rows)  # bags x rows x features
         order = np.argsort(bx, axis=1, kind="stable")
         sx = np.take_along_axis(bx, order, 1)
         sy = np.take_along_axis(np.broadcast_to(by[:, :, None], bx.shape), order, 1)
@@ -114,9 +192,7 @@ class VarianceChunks(_Growing):
     def spread(self, pairs, probes):
         x, y = self.arrays(pairs)
         p = Stumps(x, y, self.bags, self.seed).proba(np.array(probes))
-        u = splitmix_uniform(np.arange(self.draws * self.bags), self.seed + 1).reshape(self.draws, self.bags)
-        teams = np.argpartition(u, self.team - 1, axis=1)[:, : self.team] if self.team < self.bags else np.tile(np.arange(self.bags), (self.draws, 1))
-        return p[teams].mean(axis=1).var(axis=0)
+        return p[_teams(self.draws, self.bags, self.team, self.seed + 1)].mean(axis=1).var(axis=0)
 
     def decide(self, s):
         block, s["block"] = s["block"], []
@@ -164,6 +240,35 @@ class PermutationChunks(_Growing):
         p = Stumps(*train, self.bags, self.seed + salt).proba(test[0]).mean(axis=0)
         return 1 - _g_mean((p > 0.5).astype(float), test[1])
 
+    def shuffled(self, x: np.ndarray, y: np.ndarray, length: int, held: int = 1 << 19) -> np.ndarray:
+        """The loss on each re-split of the rows, ``length`` of them for testing; the stumps of many splits are grown at once."""
+        parts = []
+        for c in (0, 1):  # keep class shares in both parts
+            mine = np.flatnonzero(y == c)
+            size = min(max(round(len(mine) * length / len(y)), 1), len(mine) - 1)
+            parts.append((mine, max(size, 0) if size >= 0 else max(len(mine) + size, 0)))
+        kept = [len(mine) - size for mine, size in parts]
+        minor = 1 if 2 * kept[1] < sum(kept) else 0
+        k = min(int(np.sqrt(sum(kept))), kept[1 - minor])
+        at_once = max(1, held // max(1, self.bags * (kept[minor] + k) * x.shape[1]))
+        out = []
+        for lo in range(0, self.perms, at_once):
+            which = range(lo, min(self.perms, lo + at_once))
+            u = np.stack([_uniforms(len(y), self.seed + 1000 + i) for i in which])
+            order = [mine[np.argsort(u[:, mine], axis=1, kind="stable")] for mine, _ in parts]
+            test = [o[:, :size] for o, (_, size) in zip(order, parts)]
+            train = [np.sort(o[:, size:], axis=1) for o, (_, size) in zip(order, parts)]
+            few = np.repeat(train[minor], self.bags, axis=0)
+            drawn = [many[_picks(self.bags, len(many), k, self.seed + 1 + i)] for i, many in zip(which, train[1 - minor])]
+            p = Stumps.of_bags(x, y, np.hstack([few, np.concatenate(drawn)])).proba(x)
+            p = (p.reshape(len(which), self.bags, len(y)).mean(axis=1) > 0.5).astype(float)
+            neg, pos = (np.take_along_axis(p, t, 1) for t in test)
+            if not pos.shape[1] or not neg.shape[1]:
+                out.append(np.ones(len(which)))
+            else:
+                out.append(1 - np.sqrt(pos.mean(axis=1) * (1 - neg).mean(axis=1)))
+        return np.concatenate(out) if out else np.zeros(0)
+
     def decide(self, s):
         block, s["block"] = s["block"], []
         if s["extra"] is None:
@@ -174,16 +279,7 @@ class PermutationChunks(_Growing):
             return 0, None
         old, new = self.arrays(s["store"]), self.arrays(block)
         x, y = np.vstack([old[0], new[0]]), np.concatenate([old[1], new[1]])
-        seen = self.loss(old, new, 0)
-        worse = 0
-        for i in range(self.perms):
-            u = splitmix_uniform(np.arange(len(y)), self.seed + 1000 + i)
-            test = np.zeros(len(y), bool)
-            for c in (0, 1):  # keep class shares in both parts
-                mine = np.flatnonzero(y == c)
-                size = min(max(round(len(mine) * len(block) / len(y)), 1), len(mine) - 1)
-                test[mine[np.argsort(u[mine], kind="stable")[:size]]] = True
-            worse += seen < self.loss((x[~test], y[~test]), (x[test], y[test]), 1 + i)
+        worse = int((self.loss(old, new, 0) < self.shuffled(x, y, len(block))).sum())
         p = (1 + worse) / (self.perms + 1)
         if p < self.delta or (self.max_rows is not None and len(s["store"]) >= self.max_rows):
             closed, s["store"] = len(s["store"]), block
