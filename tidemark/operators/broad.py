@@ -176,14 +176,14 @@ class BroadLearner:
 
     # distributed plan ---------------------------------------------------------------------------
 
-    def stats(self, df: DataFrame, by: list[str], chunk: str, features: str, label: str, salts: int = 1) -> DataFrame:
+    def stats(self, df: DataFrame, by: list[str], chunk: str, features: str, label: str, salts: int = 1, group: str | None = None) -> DataFrame:
         """(by*, chunk, n, gram, xty) per chunk, from partial sums of the partitions as they are: rows are not shuffled.
 
-        Only a chunk's graph needs its rows together; the chunk length, a parameter of the run, bounds them.
+        ``group`` names a column of several chunks each to sum by instead (not for graphs).  Only a chunk's graph needs its rows together; the chunk length, a parameter of the run, bounds them.
         """
         d, c = self.nodes.width, self.n_classes
-        keys = [*by, chunk]
-        rows = df.select(*keys, F.col(features).alias("__x"), F.coalesce(F.col(label), F.lit(-1)).cast("int").alias("__y")).filter(
+        keys = [*by, group or chunk]
+        rows = df.select(*dict.fromkeys([*keys, chunk]), F.col(features).alias("__x"), F.coalesce(F.col(label), F.lit(-1)).cast("int").alias("__y")).filter(
             F.col("__x").isNotNull())
         schema = T.StructType([rows.schema[k] for k in keys] + [
             T.StructField("n", T.LongType()), T.StructField("gram", T.ArrayType(T.DoubleType())), T.StructField("xty", T.ArrayType(T.DoubleType()))])
@@ -206,7 +206,7 @@ class BroadLearner:
 
         if self.mode == "graph":
             return fold_blocks(rows, keys, start, add, finish, schema)
-        hold = max(1, (256 << 20) // (8 * d * (d + c)))  # a quarter of a GB of sums in a task
+        hold = max(1, (64 << 20) // (8 * d * (d + c)))  # 64 MB of sums in a task
         return sum_arrays(partial_blocks(rows, keys, start, add, finish, schema, hold=hold), keys, ["gram", "xty"], ["n"])
 
     def _add_frame(self, acc, part: pd.DataFrame, chunk: str) -> None:
@@ -221,12 +221,7 @@ class BroadLearner:
         """
         d, c = self.nodes.width, self.n_classes
         fixed = materialize(stats.withColumn("__block", F.expr(f"cast(`{chunk}` as bigint) div {span}")), "chunk-stats")
-        totals = sum_arrays(fixed, [*by, "__block"], ["gram", "xty"], ["n"])
-        cells = totals.select(*by, "__block", F.posexplode(F.concat("gram", "xty")).alias("pos", "v"))
-        before = Window.partitionBy(*by, "pos").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-        prefixed = cells.withColumn("v", F.coalesce(F.sum("v").over(before), F.lit(0.0)))
-        packed = prefixed.groupBy(*by, "__block").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("p"))
-        offsets = packed.select(*by, "__block", F.transform("p", lambda e: e["v"]).alias("both"))
+        offsets = self._offsets(sum_arrays(fixed, [*by, "__block"], ["gram", "xty"], ["n"]), by)
         rows = fixed.select(*by, "__block", chunk, "gram", "xty")
         schema = T.StructType([rows.schema[k] for k in [*by, chunk]] + [T.StructField("w", T.ArrayType(T.DoubleType()))])
         state = {}
@@ -246,6 +241,14 @@ class BroadLearner:
 
         return stream_past(rows, offsets, [*by, "__block"], ["both"], scan, schema, order=[chunk])
 
+    def _offsets(self, totals: DataFrame, by: list[str]) -> DataFrame:
+        """(by*, __block, both): the sums of all strictly earlier blocks, AtA then AtY."""
+        cells = totals.select(*by, "__block", F.posexplode(F.concat("gram", "xty")).alias("pos", "v"))
+        before = Window.partitionBy(*by, "pos").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+        prefixed = cells.withColumn("v", F.coalesce(F.sum("v").over(before), F.lit(0.0)))
+        packed = prefixed.groupBy(*by, "__block").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("p"))
+        return packed.select(*by, "__block", F.transform("p", lambda e: e["v"]).alias("both"))
+
     def score(self, df: DataFrame, models: DataFrame, on: list[str], chunk: str, features: str, *, salts: int = 1, small: int = 64 << 20) -> DataFrame:
         """Add ``y_pred`` and ``proba`` (softmax); a chunk without a model gets class 0.
 
@@ -255,13 +258,7 @@ class BroadLearner:
         d, c = self.nodes.width, self.n_classes
         schema = T.StructType([*df.schema.fields, T.StructField("y_pred", T.IntegerType()), T.StructField("proba", T.ArrayType(T.DoubleType()))])
         models = materialize(models, "broad-models")
-
-        def scored(part: pd.DataFrame, w: np.ndarray) -> pd.DataFrame:
-            x = np.stack(part[features].to_numpy()).astype(float)
-            logit = self.nodes(x, part[chunk].to_numpy()) @ w
-            e = np.exp(logit - logit.max(axis=1, keepdims=True))
-            return part.assign(y_pred=logit.argmax(axis=1).astype(np.int32), proba=list(e / e.sum(axis=1, keepdims=True)))
-
+        scored = lambda part, w: self._answered(part, w, chunk, features)
         usable = df.filter(F.col(features).isNotNull())
         if models.count() * d * c * 8 <= small:
             key = lambda values: tuple(None if pd.isna(v) else v for v in values)
@@ -281,10 +278,59 @@ class BroadLearner:
 
         return stream_past(usable, models, on, ["w"], run, schema, salts=salts)
 
-    def prequential(self, df: DataFrame, by: list[str], chunk: str, features: str, label: str, *, train_label: Column | None = None, salts: int = 1) -> DataFrame:
+    def _answered(self, part: pd.DataFrame, w: np.ndarray, chunk: str, features: str) -> pd.DataFrame:
+        x = np.stack(part[features].to_numpy()).astype(float)
+        logit = self.nodes(x, part[chunk].to_numpy()) @ w
+        e = np.exp(logit - logit.max(axis=1, keepdims=True))
+        return part.assign(y_pred=logit.argmax(axis=1).astype(np.int32), proba=list(e / e.sum(axis=1, keepdims=True)))
+
+    def _streamed(self, learn: DataFrame, out: list[T.StructField], by: list[str], chunk: str, features: str, label: str, span: int) -> DataFrame:
+        """``prequential`` of small chunks: a block of ``span`` chunks passes a task row by row, from the sums of the blocks before it.
+
+        No sums or weights of single chunks are kept: a task holds one pair of sums and a batch of rows.  Rows without a chunk
+        get class 0 and are not learned.
+        """
+        d, c = self.nodes.width, self.n_classes
+        blocked = learn.filter(F.col(features).isNotNull()).withColumn("__block", F.expr(f"cast(`{chunk}` as bigint) div {span}"))
+        totals = materialize(self.stats(blocked.filter("__block IS NOT NULL"), by, chunk, features, label, group="__block"), "block-stats")
+        schema = T.StructType([*out, T.StructField("y_pred", T.IntegerType()), T.StructField("proba", T.ArrayType(T.DoubleType()))])
+        names = [f.name for f in schema]
+        rows = blocked.withColumn("__y", F.coalesce(F.col(label), F.lit(-1)).cast("int"))
+        state = {}
+
+        def scan(part: pd.DataFrame, side: dict | None) -> pd.DataFrame:
+            if side is None:  # rows without a chunk
+                return self._answered(part, np.zeros((d, c)), chunk, features)[names]
+            key = tuple(part[k].iloc[0] for k in [*by, "__block"])
+            if state.get("key") != key:
+                both = np.asarray(side["both"])
+                state.update(key=key, chunk=None, gram=both[: d * d].reshape(d, d).copy(), xty=both[d * d :].reshape(d, c).copy())
+            answered = []
+            at = part[chunk].to_numpy()
+            edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if state["chunk"] is None or state["chunk"] != at[lo]:  # a chunk that goes on in the next batch keeps its weights
+                    state.update(chunk=at[lo], w=self.solve(state["gram"], state["xty"]))
+                rows = part.iloc[lo:hi]
+                answered.append(self._answered(rows, state["w"], chunk, features)[names])
+                self.add(state["gram"], state["xty"], np.stack(rows[features].to_numpy()).astype(float), rows["__y"].to_numpy(), at[lo:hi])
+            return pd.concat(answered, ignore_index=True)
+
+        return stream_past(rows, self._offsets(totals, by), [*by, "__block"], ["both"], scan, schema, order=[chunk])
+
+    def prequential(self, df: DataFrame, by: list[str], chunk: str, features: str, label: str, *, train_label: Column | None = None, salts: int = 1,
+                    span: int = 64) -> DataFrame:
         """Chunk t scored by the model of the chunks before it.  ``train_label`` (null = unlabelled) may
-        hide labels from training."""
+        hide labels from training.
+
+        A chunk's sums take the square of the nodes, whatever its rows.  Where no chunk has over eight rows a node, and no
+        graph needs a chunk's rows together, rows are shuffled in blocks of ``span`` chunks and only blocks have sums.
+        """
         learn = df if train_label is None else df.withColumn("__train", train_label)
+        if self.mode != "graph":
+            most = df.groupBy(*by, chunk).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+            if most is not None and most <= 8 * self.nodes.width:
+                return self._streamed(learn, list(df.schema.fields), by, chunk, features, label if train_label is None else "__train", span)
         stats = self.stats(learn, by, chunk, features, label if train_label is None else "__train", salts)
         return self.score(df, self.models(stats, by, chunk), [*by, chunk], chunk, features, salts=salts)
 

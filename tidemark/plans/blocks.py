@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+EMITTED = 16  # accumulators in one batch that a task emits
+
+
 def _cuts(frame: pd.DataFrame, by: list[str]) -> list[int]:
     change = np.zeros(len(frame), dtype=bool)
     for c in by:
@@ -138,23 +141,24 @@ def partial_blocks(
 ) -> DataFrame:
     """Like ``fold_blocks``, over the partitions as they are: no shuffle, and several partial rows per block.
 
-    A task keeps ``hold`` accumulators and emits them all when it meets more blocks; add the rows up by block.
+    A task keeps ``hold`` accumulators and emits them all when it meets more blocks; add the rows up by block.  They are
+    emitted a few at a time and let go as they are, so that no second copy of all of them is made.
     """
 
     def run(frames):
         held: dict = {}
 
         def rows_of():
-            return pd.DataFrame([{**dict(zip(by, key)), **finish(acc)} for key, acc in held.items()])
+            while held:
+                some = [held.popitem() for _ in range(min(EMITTED, len(held)))]
+                yield pd.DataFrame([{**dict(zip(by, key)), **finish(acc)} for key, acc in some])
 
         for frame in frames:
             for key, part in frame.groupby(by, sort=False, dropna=False):
                 if key not in held and len(held) >= hold:
-                    yield rows_of()
-                    held = {}
+                    yield from rows_of()
                 held[key] = add(held[key] if key in held else start(), part)
-        if held:
-            yield rows_of()
+        yield from rows_of()
 
     return rows.mapInPandas(run, schema)
 
