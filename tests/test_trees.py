@@ -114,3 +114,15 @@ def test_registered(spark):
     assert {r["method"]: r["count"] for r in out.groupBy("method").count().collect()} == {"tree": 500, "bagged_tree": 500}
     pred = registry.prequential(df, "hoeffding_tree", order="seq", features=["a", "b"], label="label", n_classes=3, keys=["g"], chunk_size=100)
     assert pred.count() == 500
+
+
+def test_levels_read_sums_and_not_rows(spark, monkeypatch):
+    """The rows are read once, into one row per chunk and bins; the levels and the answers read those."""
+    kept, plain = {}, T.materialize
+    monkeypatch.setattr(T, "materialize", lambda df, name: kept.setdefault(name, plain(df, name)) if name.startswith("tree-cells") else plain(df, name))
+    rows = [(i, i // 300, float(i % 4), float(i % 3), float((i % 4) * 2 + i % 3)) for i in range(900)]
+    df = spark.createDataFrame(rows, "i int, chunk int, a double, b double, y double").repartition(3)
+    out = T.tree_regressor(df, [], "chunk", ["a", "b"], "y", members=3, ident="i")
+    assert out.count() == 900 and kept["tree-cells"].count() == 36
+    weight = kept["tree-cells"].selectExpr("explode(__sums) AS s").selectExpr("sum(s.w)", "sum(s.terms[0])").first()
+    assert weight[0] == weight[1] and 3 * 900 * 5 < weight[0] < 3 * 900 * 7

@@ -3,8 +3,8 @@
 A node decides by the statistics of the rows that reached it since its birth, so all chunks of a level are read in one
 pass: rows are routed through the levels known so far, counted per (node, chunk, feature, bin), and the small
 counts are folded in the order of the chunks until a split is sure.  The nodes of the next level see the rows of
-later chunks.  Passes over the rows grow with the depth of the tree, not with the number of chunks, and
-rows are never copied or shuffled by themselves.
+later chunks.  A tree sees a row by its chunk and bins only, so the rows are read once, into sums per (chunk, bins), and the
+passes of the levels are over those; rows are never copied or shuffled by themselves.
 """
 
 from __future__ import annotations
@@ -150,6 +150,7 @@ def stream_forest(
     binned = df.withColumn("__bins", F.expr(f"CASE WHEN {usable} THEN array({', '.join(place)}) END"))
     weights: Column = F.array(F.lit(1.0)) if members == 1 else F.array(*[hash_poisson(F.col(ident), F.lit(f"tree{m}"), lam).cast("double") for m in range(members)])
     learn = binned.filter(F.col("__bins").isNotNull() & F.col(target).isNotNull()).select(*keys, chunk, "__bins", F.col(target).alias("__y"), weights.alias("__weights"))
+    learn = materialize(_cells(learn, [*keys, chunk, "__bins"], goal, members), "tree-cells")
     forest, splits = None, None
 
     def routed(rows: DataFrame) -> DataFrame:
@@ -162,16 +163,16 @@ def stream_forest(
         return rows.withColumn("__nodes", F.expr(f"CASE WHEN __forest IS NULL THEN array_repeat(1, {members}) ELSE transform(__forest, tree -> {walk}) END")).drop("__forest")
 
     def each(rows: DataFrame) -> DataFrame:
-        pairs = F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(members - 1)).alias("member"), F.col("__nodes").alias("node"), F.col("__weights").alias("w")))
-        return rows.select(*keys, chunk, "__bins", "__y", pairs.alias("p")).select(
-            *keys, chunk, "__bins", "__y", F.col("p.member").alias("__member"), F.col("p.node").alias("__node"), F.col("p.w").alias("__w")).filter("__w > 0")
+        pairs = F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(members - 1)).alias("member"), F.col("__nodes").alias("node"), F.col("__sums").alias("s")))
+        return rows.select(*keys, chunk, "__bins", pairs.alias("p")).select(
+            *keys, chunk, "__bins", F.col("p.member").alias("__member"), F.col("p.node").alias("__node"), F.col("p.s").alias("__s")).filter("__s.w > 0")
 
-    stats = [F.expr(f"{t} AS __s{i}") for i, t in enumerate(goal.terms("__w"))]
+    stats = [F.sum(F.col("__s.terms")[i]).alias(f"__s{i}") for i in range(goal.width)]
     packed = F.array(*[F.col(f"__s{i}") for i in range(goal.width)]).alias("stats")
     node = [*keys, "__member", "__node"]
     for level in range(depth):
         open_ = each(routed(learn)).filter(F.col("__node") >= 2**level)
-        cells = open_.select(*node, chunk, "__y", "__w", F.posexplode("__bins").alias("feature", "bin")).groupBy(*node, chunk, "feature", "bin").agg(*stats)
+        cells = open_.select(*node, chunk, "__s", F.posexplode("__bins").alias("feature", "bin")).groupBy(*node, chunk, "feature", "bin").agg(*stats)
         held = cells.groupBy(*node, chunk).agg(F.collect_list(F.struct("feature", "bin", packed)).alias("cells"))
         found = keyed_scan(held, node, chunk, Split(goal, d, bins, delta, tie)).withColumn("at", F.col(chunk).cast("bigint")).drop(chunk)
         splits = materialize(found if splits is None else splits.unionByName(found), "tree-splits")
@@ -184,7 +185,8 @@ def stream_forest(
 
     total = each(routed(learn)).groupBy(*node, chunk).agg(*stats)
     names = [f"__s{i}" for i in range(goal.width)]
-    spine = routed(binned.filter("__bins IS NOT NULL")).select(*keys, chunk, F.posexplode("__nodes").alias("__member", "__node")).distinct()  # also rows without a target
+    seen = materialize(binned.filter("__bins IS NOT NULL").select(*keys, chunk, "__bins").distinct(), "tree-bins")  # also of rows without a target
+    spine = routed(seen).select(*keys, chunk, F.posexplode("__nodes").alias("__member", "__node")).distinct()
     total = spine.join(total, [*node, chunk], "left").na.fill(0.0, names)
     past = lagged_prefix(total, node, chunk, names)
     sides = F.explode(F.array(F.struct((F.col("__node") * 2).alias("__node"), F.col("low").alias("from")), F.struct((F.col("__node") * 2 + 1).alias("__node"), F.col("high").alias("from"))))
@@ -192,13 +194,23 @@ def stream_forest(
     have = past.join(born, node, "left").withColumn("__have", F.array(*[F.col(n) + F.coalesce(F.get("from", F.lit(i)), F.lit(0.0)) for i, n in enumerate(names)]))
     have = have.withColumn("__answer", F.expr(goal.answer("__have")).cast(goal.kind))
     known = have.groupBy(*keys, chunk).agg(F.map_from_entries(F.collect_list(F.struct((F.col("__member") * 2 ** (depth + 1) + F.col("__node")).alias("k"), "__answer"))).alias("__leaves"))
-    rows = score_join(routed(binned), known, [*keys, chunk])
-    answers = f"CASE WHEN __bins IS NOT NULL THEN transform(__nodes, (n, m) -> try_element_at(__leaves, m * {2 ** (depth + 1)} + n)) END"
+    answers = f"transform(__nodes, (n, m) -> try_element_at(__leaves, m * {2 ** (depth + 1)} + n))"
+    told = score_join(routed(seen), known, [*keys, chunk]).select(*keys, chunk, "__bins", F.expr(answers).alias("answers"))
+    rows = score_join(binned, materialize(told, "tree-answers"), [*keys, chunk, "__bins"])
     cut = F.element_at(F.array(*[F.lit(float(lo)) for lo, _ in ends]), F.col("feature") + 1) + F.col("bin") / F.lit(float(bins)) * F.element_at(
         F.array(*[F.lit(float(hi - lo)) for lo, hi in ends]), F.col("feature") + 1)
     shown = splits.select(*keys, F.col("__member").alias("member"), F.col("__node").alias("node"), F.col("at").alias(chunk),
                           F.element_at(F.array(*[F.lit(f) for f in features]), F.col("feature") + 1).alias("feature"), cut.alias("cut"))
-    return rows.withColumn("answers", F.expr(answers)).select(*df.columns, "answers"), shown
+    return rows.select(*df.columns, "answers"), shown
+
+
+def _cells(learn: DataFrame, by: list[str], goal, members: int) -> DataFrame:
+    """One row per ``by``: ``__sums`` has the weight and the additive terms of the rows for each member."""
+    each = [(m, F.expr(f"sum(__w{m})").alias(f"__w{m}"), [F.expr(f"{t} AS __t{m}_{i}") for i, t in enumerate(goal.terms(f"__w{m}"))]) for m in range(members)]
+    wide = learn.select(*by, F.col("__y"), *[F.col("__weights")[m].alias(f"__w{m}") for m in range(members)])
+    sums = wide.groupBy(*by).agg(*[c for _, w, terms in each for c in (w, *terms)])
+    packed = [F.struct(F.col(f"__w{m}").alias("w"), F.array(*[F.col(f"__t{m}_{i}") for i in range(goal.width)]).alias("terms")) for m in range(members)]
+    return sums.select(*by, F.array(*packed).alias("__sums"))
 
 
 def _no_tree(depth: int) -> Column:
